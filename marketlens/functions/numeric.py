@@ -15,6 +15,17 @@ def exact_sum(col: str | Column, decimal_type: str = MONEY_DECIMAL) -> Column:
     return F.sum(c.cast(decimal_type)).cast("double")
 
 
+# Averages are an exact decimal sum over a count: the same value whatever the
+# partitioning (a double sum depends on the order partial sums meet, which can
+# move a rounded average or the order of two segments).
+AVG_DECIMAL = "decimal(38,10)"
+
+
+def exact_avg(col: str | Column) -> Column:
+    c = F.col(col) if isinstance(col, str) else col
+    return F.sum(c.cast(AVG_DECIMAL)).cast("double") / F.nullif(F.count(c), F.lit(0))
+
+
 def count_if(cond: Column) -> Column:
     """COUNT(CASE WHEN cond THEN 1 END): NULL conditions are not counted."""
     return F.count(F.when(cond, F.lit(1)))

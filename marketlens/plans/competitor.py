@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.config import DEFAULT_THRESHOLDS, STUDY_WINDOW, DateWindow, Thresholds
-from marketlens.functions import count_if, ladder
+from marketlens.functions import count_if, exact_avg, ladder
 from marketlens.plans import label_text as L
 from marketlens.plans.base import RankSpec, SubjectPlan, build_plan
 
@@ -29,13 +29,13 @@ def segment_aggs(th: Thresholds) -> list[Column]:
     gap, impact = F.col("price_gap_pct"), F.col("market_share_impact")
     return [
         F.count_distinct("competitor").alias("competitors_tracked"),
-        F.avg(gap).alias("avg_price_gap_pct"),
+        exact_avg(gap).alias("avg_price_gap_pct"),
         count_if(impact.isin(*POSITIVE_IMPACT)).alias("positive_positioning_count"),
         count_if(F.col("promotion_flag") == "TRUE").alias("competitor_promotions_active"),
         count_if(gap <= th.price_advantage).alias("price_advantages"),
         count_if(gap >= th.price_disadvantage).alias("price_disadvantages"),
-        F.avg("own_price_usd").alias("avg_own_price"),
-        F.avg("competitor_price_usd").alias("avg_competitor_price"),
+        exact_avg("own_price_usd").alias("avg_own_price"),
+        exact_avg("competitor_price_usd").alias("avg_competitor_price"),
     ]
 
 

@@ -1,7 +1,9 @@
 """Registered queries: name -> callable(spark, sf_dir) -> DataFrame.
 
-Each reads the driver's base tables from ``sf_dir`` (whole tables; the date
-window of the reports is the only filter) and returns a lazy DataFrame.
+Each reads the driver's base tables from ``sf_dir`` (whole tables; the report's
+date window is the only filter) and returns a DataFrame.  Building a ranked
+report runs the small jobs that cut lineage (see ``operators.ranking``); the
+returned DataFrame itself is lazy.
 """
 
 from __future__ import annotations
@@ -10,42 +12,49 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.plans import competitor
+from marketlens.plans import campaign, competitor, elasticity, promo
 from marketlens.sources import derived
 from marketlens.sources.tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-
-def _tables(spark: SparkSession, sf_dir: str) -> Tables:
-    return Tables.parquet(spark, sf_dir)
-
-
-def _competitor_plan(spark, sf_dir):
-    return competitor.build(derived.competitor_tracking(_tables(spark, sf_dir)))
-
-
-def competitor_report(spark, sf_dir):
-    return _competitor_plan(spark, sf_dir).report(100)
+# subject prefix -> (module, fact builder, columns kept by the `_ranks` view)
+SUBJECTS = {
+    "competitor": (competitor, derived.competitor_tracking,
+                   ["tracking_date", "competitor", "product_category", "market", "price_gap_pct",
+                    "price_competitiveness_rank", "overall_competitiveness_rank"]),
+    "campaign": (campaign, derived.campaign_performance,
+                 ["campaign_name", "campaign_type", "target_audience", "market_segment",
+                  "roi_rank", "revenue_rank", "efficiency_rank"]),
+    "elasticity": (elasticity, derived.price_elasticity,
+                   ["analysis_date", "product_category", "market", "customer_segment",
+                    "elasticity_coefficient", "revenue_impact_pct", "revenue_impact_rank",
+                    "market_sensitivity_rank"]),
+    "promo": (promo, derived.promotional_calendar,
+              ["promo_id", "target_market", "product_category", "expected_uplift_pct", "budget_usd",
+               "impact_efficiency_rank", "market_priority_rank"]),
+}
 
 
-def competitor_labels(spark, sf_dir):
-    return _competitor_plan(spark, sf_dir).rows
+def tables(spark: SparkSession, sf_dir: str) -> Tables:
+    return Tables.parquet(spark, sf_dir)
 
 
-def competitor_ranks(spark, sf_dir):
-    return _competitor_plan(spark, sf_dir).ranked.select(
-        "tracking_date", "competitor", "product_category", "market", "price_gap_pct",
-        "price_competitiveness_rank", "overall_competitiveness_rank")
+def subject_plan(prefix: str, spark: SparkSession, sf_dir: str, **options):
+    module, facts, _ = SUBJECTS[prefix]
+    return module.build(facts(tables(spark, sf_dir)), **options)
 
 
-def competitor_segments(spark, sf_dir):
-    return competitor.segment_view(_competitor_plan(spark, sf_dir).segments)
+def _subject_queries(prefix: str) -> dict[str, Query]:
+    module, _, rank_cols = SUBJECTS[prefix]
+    return {
+        f"{prefix}_report": lambda spark, d: subject_plan(prefix, spark, d).report(100),
+        f"{prefix}_labels": lambda spark, d: subject_plan(prefix, spark, d).rows,
+        f"{prefix}_ranks": lambda spark, d: subject_plan(prefix, spark, d).ranked.select(*rank_cols),
+        f"{prefix}_segments": lambda spark, d: module.segment_view(subject_plan(prefix, spark, d).segments),
+    }
 
 
-QUERIES: dict[str, Query] = {
-    "competitor_report": competitor_report,
-    "competitor_labels": competitor_labels,
-    "competitor_ranks": competitor_ranks,
-    "competitor_segments": competitor_segments,
-}
+QUERIES: dict[str, Query] = {}
+for _prefix in SUBJECTS:
+    QUERIES.update(_subject_queries(_prefix))
