@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from marketlens.plans import campaign, competitor, elasticity, promo
+from marketlens.plans.insights import insights
+from marketlens.plans.summary import summarize
 from marketlens.sources import derived
 from marketlens.sources.tables import Tables
 
@@ -52,6 +54,13 @@ def _subject_queries(prefix: str) -> dict[str, Query]:
         f"{prefix}_labels": lambda spark, d: subject_plan(prefix, spark, d).rows,
         f"{prefix}_ranks": lambda spark, d: subject_plan(prefix, spark, d).ranked.select(*rank_cols),
         f"{prefix}_segments": lambda spark, d: module.segment_view(subject_plan(prefix, spark, d).segments),
+        # scope 'full': every labelled row; scope 'top_n': the rows of the report (the reference's scope)
+        f"{prefix}_summary": lambda spark, d: summarize(subject_plan(prefix, spark, d).rows, module.SUBJECT),
+        f"{prefix}_insights": lambda spark, d: insights(subject_plan(prefix, spark, d).rows, module.SUBJECT),
+        f"{prefix}_report_summary":
+            lambda spark, d: summarize(subject_plan(prefix, spark, d).report(100), module.SUBJECT),
+        f"{prefix}_report_insights":
+            lambda spark, d: insights(subject_plan(prefix, spark, d).report(100), module.SUBJECT),
     }
 
 

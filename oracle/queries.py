@@ -505,5 +505,174 @@ ORACLE = {
 }
 
 
+# ---------------------------------------------------------------- summary and insights
+def _distinct(c: str) -> str:
+    return f"COUNT(DISTINCT {c}) + MAX(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END)"
+
+
+def _mean(c: str) -> str:
+    return f"CAST(SUM(CAST({c} AS DECIMAL(38,10))) AS DOUBLE) / COUNT(*)"
+
+
+def _money(c: str) -> str:
+    return f"CAST(SUM(CAST({c} AS DECIMAL(20,4))) AS DOUBLE)"
+
+
+SUMMARY_FIELDS = {
+    "competitor": ("competitor_tracking", [
+        ("unique_competitors", _distinct("competitor")), ("unique_markets", _distinct("market")),
+        ("avg_price_gap", _mean("price_gap_pct")),
+        ("competitive_advantages", "COUNT(CASE WHEN price_gap_pct <= -15 THEN 1 END)")]),
+    "campaign": ("campaign_performance", [
+        ("unique_campaigns", _distinct("campaign_name")), ("total_revenue", _money("revenue_generated")),
+        ("total_cost", _money("campaign_cost")), ("avg_roi", _mean("roi_pct"))]),
+    "elasticity": ("price_elasticity", [
+        ("price_points_analyzed", "COUNT(*)"), ("unique_markets", _distinct("market")),
+        ("avg_elasticity", _mean("elasticity_coefficient")),
+        ("price_increase_opportunities", "COUNT(CASE WHEN recommendation = 'Increase Price' THEN 1 END)")]),
+    "promo": ("promotional_calendar", [
+        ("planned_campaigns", "COUNT(*)"), ("total_budget", _money("budget_usd")),
+        ("avg_expected_uplift", _mean("expected_uplift_pct")), ("unique_markets", _distinct("target_market"))]),
+}
+
+CTES = {"competitor": (ct_ctes, CT_COLS, "tracking_date DESC NULLS LAST, ABS(price_gap_pct) DESC NULLS LAST"),
+        "campaign": (cp_ctes, CP_COLS, "roi_pct DESC NULLS LAST, revenue_generated DESC NULLS LAST"),
+        "elasticity": (pe_ctes, PE_COLS, "ABS(revenue_impact_pct) DESC NULLS LAST, elasticity_coefficient DESC NULLS LAST"),
+        "promo": (pc_ctes, PC_COLS, "strptime(start_date, '%Y-%m-%d')::DATE ASC NULLS FIRST, expected_uplift_pct DESC NULLS LAST")}
+
+
+def _rows_cte(prefix: str, top: bool) -> str:
+    ctes, cols, order = CTES[prefix]
+    if not top:
+        return ctes() + ",\nrws AS (SELECT * FROM labelled)"
+    return ctes() + f",\nrws AS (SELECT * FROM labelled ORDER BY {order}, {order_all(cols)} LIMIT {REPORT_LIMIT})"
+
+
+def summary_sql(prefix: str, top: bool) -> str:
+    subject, fields = SUMMARY_FIELDS[prefix]
+    cols = ",\n       ".join(f"CASE WHEN COUNT(*) > 0 THEN {expr} END AS {name}" for name, expr in fields)
+    return _rows_cte(prefix, top) + f"""
+SELECT COUNT(*) AS total_records, CASE WHEN COUNT(*) > 0 THEN '{subject}' END AS query_type,
+       {cols}
+FROM rws"""
+
+
+def _cnt(col: str, label: str) -> str:
+    return f"COUNT(CASE WHEN {col} = {q(label)} THEN 1 END)"
+
+
+INSIGHT_STATS = {
+    "competitor": [
+        ("strong", _cnt("competitive_position", L.STRONG_ADVANTAGE)),
+        ("disadvantage", _cnt("competitive_position", L.DISADVANTAGE)),
+        ("premium_value", _cnt("value_proposition", L.PREMIUM_VALUE)),
+        ("promo_pressure", _cnt("promotional_environment", L.PROMO_PRESSURE)),
+        ("gap_n", "COUNT(price_gap_pct)"),
+        ("gap_mean", "CAST(SUM(CAST(price_gap_pct AS DECIMAL(38,10))) AS DOUBLE) / NULLIF(COUNT(price_gap_pct), 0)"),
+    ],
+    "campaign": [
+        ("excellent", _cnt("campaign_performance_tier", L.ROI_EXCELLENT)),
+        ("best_roi", f"MAX(roi_pct) FILTER (WHERE campaign_performance_tier = {q(L.ROI_EXCELLENT)})"),
+        ("best_campaign", "FIRST(campaign_name ORDER BY roi_pct DESC NULLS LAST, revenue_generated DESC NULLS LAST, "
+                          f"campaign_date, campaign_name) FILTER (WHERE campaign_performance_tier = {q(L.ROI_EXCELLENT)})"),
+        ("poor", _cnt("campaign_performance_tier", L.ROI_POOR)),
+        ("efficient_acquisition", _cnt("acquisition_effectiveness", L.ACQUISITION_EFFICIENT)),
+        ("excellent_retention", _cnt("retention_performance", L.RETENTION_EXCELLENT)),
+        ("revenue_total", _money("revenue_generated")),
+        ("cost_total", _money("campaign_cost")),
+    ],
+    "elasticity": [
+        ("strong_increase", _cnt("pricing_strategy", L.STRONG_INCREASE)),
+        ("under_priced", _cnt("price_optimization_status", L.UNDER_PRICED)),
+        ("high_impact", _cnt("revenue_opportunity_level", L.IMPACT_HIGH)),
+        ("low_sensitivity", _cnt("sensitivity_classification", L.SENSITIVITY_LOW)),
+    ],
+    "promo": [
+        ("high_impact_low_cost", _cnt("campaign_priority_tier", L.HIGH_IMPACT_LOW_COST)),
+        ("high_impact_total", f"COUNT(CASE WHEN campaign_priority_tier IN ({q(L.HIGH_IMPACT)}, "
+                              f"{q(L.HIGH_IMPACT_LOW_COST)}) THEN 1 END)"),
+        ("battleground", _cnt("competitive_intensity", L.BATTLEGROUND)),
+        ("budget_total", _money("budget_usd")),
+        ("major", _cnt("budget_scale", L.BUDGET_MAJOR)),
+        ("flash", _cnt("duration_strategy", L.DURATION_FLASH)),
+        ("extended", _cnt("duration_strategy", L.DURATION_EXTENDED)),
+    ],
+}
+
+
+def _count(kind, seq, code, stat):
+    return (kind, seq, f"'{code}'", stat, f"{stat} > 0", "NULL")
+
+
+INSIGHT_RULES = {
+    "competitor": [
+        _count("insight", 1, "strong_price_advantage", "strong"),
+        _count("alert", 1, "price_disadvantage", "disadvantage"),
+        _count("recommendation", 1, "review_price_disadvantage", "disadvantage"),
+        _count("insight", 2, "premium_value_proposition", "premium_value"),
+        _count("alert", 2, "competitor_promo_pressure", "promo_pressure"),
+        _count("recommendation", 2, "respond_to_competitor_promos", "promo_pressure"),
+        ("insight", 3, "CASE WHEN gap_mean < -10 THEN 'avg_gap_advantage' WHEN gap_mean > 10 "
+                       "THEN 'avg_gap_disadvantage' ELSE 'avg_gap_parity' END",
+         "ROUND(gap_mean, 1)", "gap_n > 0", "NULL"),
+    ],
+    "campaign": [
+        ("insight", 1, "'top_campaign'", "best_roi", "excellent > 0", "best_campaign"),
+        _count("alert", 1, "poor_campaigns", "poor"),
+        _count("recommendation", 1, "optimize_low_roi_types", "poor"),
+        _count("insight", 2, "efficient_acquisition", "efficient_acquisition"),
+        _count("insight", 3, "excellent_retention", "excellent_retention"),
+        ("insight", 4, "'overall_roi'", "ROUND((revenue_total / cost_total - 1) * 100, 1)", "cost_total > 0", "NULL"),
+    ],
+    "elasticity": [
+        _count("insight", 1, "strong_increase_opportunity", "strong_increase"),
+        _count("recommendation", 1, "pilot_price_increases", "strong_increase"),
+        _count("insight", 2, "under_priced", "under_priced"),
+        _count("recommendation", 2, "optimize_under_priced", "under_priced"),
+        _count("insight", 3, "high_revenue_impact", "high_impact"),
+        _count("recommendation", 3, "ab_test_high_impact", "high_impact"),
+        _count("insight", 4, "low_price_sensitivity", "low_sensitivity"),
+        _count("recommendation", 4, "premium_pricing", "low_sensitivity"),
+    ],
+    "promo": [
+        _count("insight", 1, "high_impact_low_cost", "high_impact_low_cost"),
+        _count("recommendation", 1, "execute_high_impact_low_cost", "high_impact_low_cost"),
+        ("insight", 2, "'high_impact_total'", "high_impact_total", "TRUE", "NULL"),
+        _count("alert", 1, "competitive_battleground", "battleground"),
+        _count("recommendation", 2, "differentiate_battlegrounds", "battleground"),
+        ("insight", 3, "'total_budget'", "budget_total", "TRUE", "NULL"),
+        _count("insight", 4, "major_investments", "major"),
+        _count("insight", 5, "flash_campaigns", "flash"),
+        _count("insight", 6, "extended_campaigns", "extended"),
+    ],
+}
+
+
+def insights_sql(prefix: str, top: bool) -> str:
+    stats = ",\n         ".join(f"{expr} AS {name}" for name, expr in INSIGHT_STATS[prefix])
+    arms = [f"SELECT '{k}' AS kind, {s} AS seq, {c} AS code, CAST({m} AS DOUBLE) AS metric, "
+            f"CAST({d} AS VARCHAR) AS detail FROM stats WHERE n > 0 AND COALESCE({w}, FALSE)"
+            for k, s, c, m, w, d in INSIGHT_RULES[prefix]]
+    arms += ["SELECT 'insight', 1, 'no_data', 0.0, NULL FROM stats WHERE n = 0",
+             "SELECT 'recommendation', 1, 'widen_criteria', 0.0, NULL FROM stats WHERE n = 0"]
+    union = "\n  UNION ALL ".join(arms)
+    return _rows_cte(prefix, top) + f""",
+stats AS (
+  SELECT COUNT(*) AS n,
+         {stats}
+  FROM rws),
+fired AS (
+  {union})
+SELECT kind, seq, code, metric, detail FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY kind ORDER BY seq) AS rn FROM fired) t
+WHERE rn <= CASE kind WHEN 'insight' THEN 10 ELSE 5 END"""
+
+
+for _p in ("competitor", "campaign", "elasticity", "promo"):
+    for _top, _suffix in ((False, ""), (True, "_report")):
+        ORACLE[f"{_p}{_suffix}_summary"] = (lambda p=_p, t=_top: summary_sql(p, t))
+        ORACLE[f"{_p}{_suffix}_insights"] = (lambda p=_p, t=_top: insights_sql(p, t))
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: decimal_rounding(exact_avg(build())) for name, build in ORACLE.items()}
