@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from marketlens.plans import campaign, competitor, elasticity, promo
+from marketlens.plans import intent
 from marketlens.plans.insights import insights
 from marketlens.plans.summary import summarize
 from marketlens.sources import derived
@@ -67,3 +68,15 @@ def _subject_queries(prefix: str) -> dict[str, Query]:
 QUERIES: dict[str, Query] = {}
 for _prefix in SUBJECTS:
     QUERIES.update(_subject_queries(_prefix))
+
+
+def _routed(spark, sf_dir, mode="first_match"):
+    questions = intent.conversation_questions(tables(spark, sf_dir)["conversations"])
+    return intent.route_requests(questions, mode=mode).select("conv_id", "turn", "intent")
+
+
+QUERIES.update({
+    "intent_routing": lambda spark, d: _routed(spark, d),
+    "intent_routing_score": lambda spark, d: _routed(spark, d, "score"),
+    "request_mix": lambda spark, d: intent.request_mix(_routed(spark, d)),
+})

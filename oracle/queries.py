@@ -674,5 +674,31 @@ for _p in ("competitor", "campaign", "elasticity", "promo"):
         ORACLE[f"{_p}{_suffix}_insights"] = (lambda p=_p, t=_top: insights_sql(p, t))
 
 
+# ---------------------------------------------------------------- intent routing
+from marketlens.plans.intent import KEYWORDS  # noqa: E402  (fixed keyword lists)
+
+
+def _has(words) -> str:
+    return "(" + " OR ".join(f"contains(lower(coalesce(text, '')), {q(w)})" for w in words) + ")"
+
+
+def routing_sql(mode: str = "first_match") -> str:
+    if mode == "first_match":
+        arms = " ".join(f"WHEN {_has(ws)} THEN {q(i)}" for i, ws in KEYWORDS.items())
+        expr = f"CASE {arms} ELSE 'competitor_tracking' END"
+    else:
+        scores = {i: " + ".join(f"(CASE WHEN contains(lower(coalesce(text, '')), {q(w)}) THEN 1 ELSE 0 END)"
+                                for w in sorted(set(ws))) for i, ws in KEYWORDS.items()}
+        best = "GREATEST(" + ", ".join(f"({v})" for v in scores.values()) + ")"
+        arms = " ".join(f"WHEN ({v}) = {best} THEN {q(i)}" for i, v in scores.items())
+        expr = f"CASE WHEN {best} = 0 THEN 'competitor_tracking' {arms} END"
+    return f"SELECT conv_id, turn, {expr} AS intent FROM conversations WHERE role = 'user'"
+
+
+ORACLE["intent_routing"] = lambda: routing_sql("first_match")
+ORACLE["intent_routing_score"] = lambda: routing_sql("score")
+ORACLE["request_mix"] = lambda: (f"SELECT intent, COUNT(*) AS requests FROM ({routing_sql()}) r GROUP BY intent")
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: decimal_rounding(exact_avg(build())) for name, build in ORACLE.items()}
