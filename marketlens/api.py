@@ -56,7 +56,7 @@ def analyze(
     strict: bool = True,
     facts: DataFrame | None = None,
     thresholds: Thresholds = DEFAULT_THRESHOLDS,
-    rank_mode: str = "two_pass",
+    rank_mode: str = "auto",
     language: str = "en",
 ) -> Report:
     """Build the report for one request.

@@ -42,6 +42,23 @@ OrderKey = tuple[str | Column, bool]  # (expression, ascending)
 
 RANK_MODES = ("two_pass", "window")
 
+# Rows up to which one task may sort a whole rank window (a single-partition
+# exchange); larger inputs take the two-pass path.  A session conf so clusters
+# and tests can move it; the check is an exact count of the (materialised) input.
+WINDOW_MAX_ROWS_CONF = "spark.marketlens.rank.windowMaxRows"
+WINDOW_MAX_ROWS_DEFAULT = 1_000_000
+
+
+def choose_rank_mode(df: DataFrame) -> str:
+    """'window' when ``df`` has at most the configured rows, else 'two_pass'.
+
+    Call it on a materialised table: the count then reads Parquet footers only.
+    """
+    limit = int(df.sparkSession.conf.get(WINDOW_MAX_ROWS_CONF, str(WINDOW_MAX_ROWS_DEFAULT)))
+    if limit <= 0:
+        return "two_pass"
+    return "window" if df.count() <= limit else "two_pass"
+
 
 def _expr(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -75,13 +92,12 @@ def rank_keys(keys: DataFrame, key_cols: Sequence[str], ascending: Sequence[bool
               part_cols: Sequence[str], weight_col: str, name: str,
               buckets: int | None = None) -> DataFrame:
     """Rank a table of *distinct* keys with weights; returns part_cols + key_cols + name."""
-    spark = keys.sparkSession
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort = [_sort(F.col(p), True) for p in part_cols] + [
         _sort(F.col(k), a) for k, a in zip(key_cols, ascending)]
-    ranged = materialize(
-        keys.repartitionByRange(max(1, n), *sort).withColumn("_bucket", F.spark_partition_id()),
-        "rank-keys")
+    # Without an explicit count AQE may merge neighbouring ranges (still ordered);
+    # either way the bucket count is at most spark.sql.shuffle.partitions.
+    by_range = keys.repartitionByRange(buckets, *sort) if buckets else keys.repartitionByRange(*sort)
+    ranged = materialize(by_range.withColumn("_bucket", F.spark_partition_id()), "rank-keys")
     totals = ranged.groupBy("_bucket").agg(F.sum(weight_col).alias("_bucket_w"))
     offsets = totals.select(
         "_bucket",

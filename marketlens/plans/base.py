@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 
 from marketlens.config import DEFAULT_THRESHOLDS, Thresholds, resolve_limit
-from marketlens.operators.ranking import OrderKey, rank_over
+from marketlens.operators.ranking import OrderKey, choose_rank_mode, rank_over
 from marketlens.operators.segments import drop_null_keys, join_back, rollup
 from marketlens.operators.topn import top_n
 from marketlens.session import materialize
@@ -55,16 +55,18 @@ def build_plan(
     report_order: Callable[[DataFrame], list[Column]],
     segment_weight: str | None = None,
     thresholds: Thresholds = DEFAULT_THRESHOLDS,
-    rank_mode: str = "two_pass",
+    rank_mode: str = "auto",
     cut_detail: bool = True,
 ) -> SubjectPlan:
     # Only rows with non-NULL keys survive the inner join-back; ranks are taken
     # over exactly those rows, as the reference ranks after its join.
     kept = drop_null_keys(detail, keys)
-    if cut_detail and rank_mode == "two_pass":
+    if cut_detail and rank_mode != "window":
         # The detail feeds the rollup, every rank and the final join: write it
         # once instead of re-running scans and joins of the base tables.
         kept = materialize(kept, f"{subject}-detail")
+    if rank_mode == "auto":
+        rank_mode = choose_rank_mode(kept)
     segs = rollup(kept, keys, segment_aggs(thresholds))
     ranked_segs = segs
     ranked_rows = kept

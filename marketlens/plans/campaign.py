@@ -120,7 +120,7 @@ def report_order(rows: DataFrame) -> list[Column]:
 
 
 def build(facts: DataFrame, window: DateWindow = STUDY_WINDOW, thresholds: Thresholds = DEFAULT_THRESHOLDS,
-          rank_mode: str = "two_pass", cut_detail: bool = True) -> SubjectPlan:
+          rank_mode: str = "auto", cut_detail: bool = True) -> SubjectPlan:
     return build_plan(SUBJECT, detail(facts, window), KEYS, segment_aggs, ranks(), project, report_order,
                       segment_weight="campaigns_executed", thresholds=thresholds, rank_mode=rank_mode,
                       cut_detail=cut_detail)

@@ -128,6 +128,6 @@ def report_order(rows: DataFrame) -> list[Column]:
 
 
 def build(facts: DataFrame, window: DateWindow = STUDY_WINDOW, thresholds: Thresholds = DEFAULT_THRESHOLDS,
-          rank_mode: str = "two_pass", cut_detail: bool = True, iso_dates: bool = False) -> SubjectPlan:
+          rank_mode: str = "auto", cut_detail: bool = True, iso_dates: bool = False) -> SubjectPlan:
     return build_plan(SUBJECT, detail(facts, window, iso_dates), KEYS, segment_aggs, ranks(), project,
                       report_order, thresholds=thresholds, rank_mode=rank_mode, cut_detail=cut_detail)

@@ -39,8 +39,15 @@ SUBJECTS = {
 }
 
 
+_OPENED: dict[tuple[int, str], Tables] = {}
+
+
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    return Tables.parquet(spark, sf_dir)
+    """Base tables of a folder, opened once per session (schemas read once)."""
+    key = (id(spark), sf_dir)
+    if key not in _OPENED:
+        _OPENED[key] = Tables.parquet(spark, sf_dir)
+    return _OPENED[key]
 
 
 def subject_plan(prefix: str, spark: SparkSession, sf_dir: str, **options):
