@@ -90,8 +90,12 @@ def _window_rank(df: DataFrame, order: Sequence[OrderKey], partition_by: Sequenc
 
 def rank_keys(keys: DataFrame, key_cols: Sequence[str], ascending: Sequence[bool],
               part_cols: Sequence[str], weight_col: str, name: str,
-              buckets: int | None = None) -> DataFrame:
-    """Rank a table of *distinct* keys with weights; returns part_cols + key_cols + name."""
+              buckets: int | None = None, total: str | None = None) -> DataFrame:
+    """Rank a table of *distinct* keys with weights.
+
+    Returns part_cols + key_cols + name (+ ``total``: the weight of the key's
+    partition, i.e. the row count RANK's window sees, when ``total`` is given).
+    """
     sort = [_sort(F.col(p), True) for p in part_cols] + [
         _sort(F.col(k), a) for k, a in zip(key_cols, ascending)]
     # Without an explicit count AQE may merge neighbouring ranges (still ordered);
@@ -102,23 +106,30 @@ def rank_keys(keys: DataFrame, key_cols: Sequence[str], ascending: Sequence[bool
     offsets = totals.select(
         "_bucket",
         F.coalesce(F.sum("_bucket_w").over(
-            Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
+            Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"),
+        F.sum("_bucket_w").over(Window.partitionBy()).alias("_all"))
     within = F.coalesce(F.sum(weight_col).over(
         Window.partitionBy("_bucket").orderBy(*sort).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     before = (ranged.join(F.broadcast(offsets), "_bucket")  # one row per bucket: bounded by n
-              .select(*part_cols, *key_cols, (F.col("_offset") + within).alias("_before")))
+              .select(*part_cols, *key_cols, weight_col, "_all",
+                      (F.col("_offset") + within).alias("_before")))
+    extra = []
     if not part_cols:
-        return before.select(*key_cols, (F.col("_before") + 1).cast("bigint").alias(name))
-    starts = before.groupBy(*part_cols).agg(F.min("_before").alias("_start"))
-    starts = starts.select(*[F.col(p).alias(f"{p}_s") for p in part_cols], "_start")
+        if total:
+            extra = [F.col("_all").alias(total)]
+        return before.select(*key_cols, (F.col("_before") + 1).cast("bigint").alias(name), *extra)
+    starts = before.groupBy(*part_cols).agg(F.min("_before").alias("_start"), F.sum(weight_col).alias("_ptotal"))
+    starts = starts.select(*[F.col(p).alias(f"{p}_s") for p in part_cols], "_start", "_ptotal")
     joined = before.join(starts, _null_safe_on(before, starts, [(p, f"{p}_s") for p in part_cols]))
+    if total:
+        extra = [F.col("_ptotal").alias(total)]
     return joined.select(*part_cols, *key_cols,
-                         (F.col("_before") - F.col("_start") + 1).cast("bigint").alias(name))
+                         (F.col("_before") - F.col("_start") + 1).cast("bigint").alias(name), *extra)
 
 
 def rank_over(df: DataFrame, order: Sequence[OrderKey], partition_by: Sequence[str | Column] = (),
               *, name: str, weight: str | None = None, mode: str = "two_pass",
-              buckets: int | None = None) -> DataFrame:
+              buckets: int | None = None, total: str | None = None) -> DataFrame:
     """``df`` plus column ``name`` = RANK() OVER (PARTITION BY .. ORDER BY ..) as bigint.
 
     ``weight`` names a column of row multiplicities (default: each row counts 1).
@@ -126,6 +137,8 @@ def rank_over(df: DataFrame, order: Sequence[OrderKey], partition_by: Sequence[s
     if mode not in RANK_MODES:
         raise ValueError(f"mode must be one of {RANK_MODES}, got {mode!r}")
     if mode == "window":
+        if total:
+            raise ValueError("total is only produced by the two-pass rank")
         return _window_rank(df, order, partition_by, name, weight)
 
     part_cols = [f"_rp{i}" for i in range(len(partition_by))]
@@ -136,8 +149,22 @@ def rank_over(df: DataFrame, order: Sequence[OrderKey], partition_by: Sequence[s
     })
     w = F.count(F.lit(1)) if weight is None else F.sum(weight)
     keys = tagged.groupBy(*part_cols, *key_cols).agg(w.alias("_w"))
-    ranked = rank_keys(keys, key_cols, [a for _, a in order], part_cols, "_w", name, buckets)
-    renamed = ranked.select(*[F.col(c).alias(f"{c}_r") for c in part_cols + key_cols], name)
+    ranked = rank_keys(keys, key_cols, [a for _, a in order], part_cols, "_w", name, buckets, total)
+    renamed = ranked.select(*[F.col(c).alias(f"{c}_r") for c in part_cols + key_cols], name,
+                            *([total] if total else []))
     on = _null_safe_on(tagged, renamed, [(c, f"{c}_r") for c in part_cols + key_cols])
     out = tagged.join(renamed, on)
     return out.drop(*part_cols, *key_cols, *[f"{c}_r" for c in part_cols + key_cols])
+
+
+def percent_rank_over(df: DataFrame, order: Sequence[OrderKey], partition_by: Sequence[str | Column] = (),
+                      *, name: str, mode: str = "two_pass", buckets: int | None = None) -> DataFrame:
+    """``df`` plus ``name`` = PERCENT_RANK() = (rank - 1) / (rows in partition - 1), 0 for one row."""
+    if mode == "window":
+        sort = [_sort(_expr(c), a) for c, a in order]
+        w = Window.partitionBy(*[_expr(p) for p in partition_by]).orderBy(*sort)
+        return df.withColumn(name, F.percent_rank().over(w))
+    tmp_rank, tmp_total = f"_{name}_rank", f"_{name}_total"
+    ranked = rank_over(df, order, partition_by, name=tmp_rank, mode=mode, buckets=buckets, total=tmp_total)
+    pr = F.when(F.col(tmp_total) > 1, (F.col(tmp_rank) - 1) / (F.col(tmp_total) - 1)).otherwise(F.lit(0.0))
+    return ranked.withColumn(name, pr).drop(tmp_rank, tmp_total)

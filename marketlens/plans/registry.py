@@ -87,3 +87,38 @@ QUERIES.update({
     "intent_routing_score": lambda spark, d: _routed(spark, d, "score"),
     "request_mix": lambda spark, d: intent.request_mix(_routed(spark, d)),
 })
+
+
+# ---- Tier B (definitions of our own; see plans/supply.py and plans/pricing_ext.py)
+from marketlens.plans import pricing_ext, supply  # noqa: E402
+
+
+def _tracking(spark, d):
+    return derived.competitor_tracking(tables(spark, d))
+
+
+def _all_parts(spark, d):
+    return tables(spark, d)["part"].select("p_partkey")
+
+
+QUERIES.update({
+    "tb_quality_trend": lambda spark, d: supply.quality_trend(tables(spark, d)),
+    "tb_delivery_performance": lambda spark, d: supply.delivery_performance(tables(spark, d)),
+    "tb_budget_variance": lambda spark, d: supply.budget_variance(tables(spark, d)),
+    "tb_supplier_scorecard": lambda spark, d: supply.supplier_scorecard(tables(spark, d)),
+    "tb_capacity_plan": lambda spark, d: supply.capacity_plan(tables(spark, d)),
+    "tb_price_monitor": lambda spark, d: pricing_ext.price_monitor(_tracking(spark, d)),
+    "tb_market_entries": lambda spark, d: pricing_ext.market_entries(_tracking(spark, d)),
+    "tb_market_forecast": lambda spark, d: pricing_ext.market_forecast(_tracking(spark, d)),
+    "tb_price_rules": lambda spark, d: pricing_ext.apply_price_rules(tables(spark, d)),
+    "tb_elasticity_curves": lambda spark, d: pricing_ext.elasticity_curves(tables(spark, d)),
+    "tb_optimal_prices": lambda spark, d: pricing_ext.optimal_prices(tables(spark, d)),
+    "tb_brand_share": lambda spark, d: pricing_ext.brand_share(tables(spark, d)),
+    "tb_product_competitor_prices":
+        lambda spark, d: pricing_ext.competitor_prices_for(_all_parts(spark, d), tables(spark, d)),
+    "tb_product_supplier_performance":
+        lambda spark, d: pricing_ext.supplier_performance_for(_all_parts(spark, d), tables(spark, d)),
+    "tb_product_optimal_price":
+        lambda spark, d: pricing_ext.optimal_price_for(_all_parts(spark, d), tables(spark, d)),
+    "tb_brand_rollup": lambda spark, d: pricing_ext.brand_rollup(pricing_ext.brand_lines(tables(spark, d))),
+})

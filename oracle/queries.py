@@ -700,5 +700,10 @@ ORACLE["intent_routing_score"] = lambda: routing_sql("score")
 ORACLE["request_mix"] = lambda: (f"SELECT intent, COUNT(*) AS requests FROM ({routing_sql()}) r GROUP BY intent")
 
 
+from oracle.tier_b import TIER_B  # noqa: E402
+
+ORACLE.update(TIER_B)
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: decimal_rounding(exact_avg(build())) for name, build in ORACLE.items()}

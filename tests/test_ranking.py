@@ -67,3 +67,12 @@ def test_two_pass_plan_has_no_single_partition_over_rows(spark):
         .executedPlan().toString()
     assert "SinglePartition" in window_plan
     assert plan.count("SinglePartition") <= 1
+
+
+def test_percent_rank_matches_window(spark):
+    from marketlens.operators.ranking import percent_rank_over
+    df = _data(spark, seed=13)
+    for parts in ([], ["k"]):
+        got = percent_rank_over(df, [("a", True)], parts, name="p", mode="two_pass", buckets=4)
+        want = percent_rank_over(df, [("a", True)], parts, name="p", mode="window")
+        assert _pairs(got, "p") == _pairs(want, "p")
