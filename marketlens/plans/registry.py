@@ -122,3 +122,9 @@ QUERIES.update({
         lambda spark, d: pricing_ext.optimal_price_for(_all_parts(spark, d), tables(spark, d)),
     "tb_brand_rollup": lambda spark, d: pricing_ext.brand_rollup(pricing_ext.brand_lines(tables(spark, d))),
 })
+
+
+# ---- TB-14: the live monitor, run over the events file with availableNow
+from marketlens.streaming import price_monitor  # noqa: E402
+
+QUERIES["tb_price_stream"] = lambda spark, d: price_monitor.run_available(spark, d, file_glob="events.parquet")

@@ -274,3 +274,17 @@ TIER_B = {
     "tb_product_optimal_price": product_optimal_price,
     "tb_brand_rollup": brand_rollup,
 }
+
+
+def price_stream() -> str:
+    """Batch form of the stream: windows the final watermark (max event time - 2 h) has closed."""
+    return f"""
+WITH e AS (SELECT CAST(ts AS TIMESTAMP) AS ts, event_type, value FROM events),
+g AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, COUNT(*) AS events,
+             {xavg('value')} AS mean_value
+      FROM e GROUP BY 1, 2)
+SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, event_type, events, mean_value
+FROM g WHERE window_start + INTERVAL 1 HOUR <= (SELECT MAX(ts) FROM e) - INTERVAL 2 HOUR"""
+
+
+TIER_B["tb_price_stream"] = price_stream
