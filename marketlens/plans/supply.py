@@ -90,8 +90,10 @@ def budget_variance(tables: Mapping[str, DataFrame], uplift_pct: int = 5) -> Dat
     orders = tables["orders"].select("o_orderkey", "o_custkey", "o_orderdate")
     cust = tables["customer"].select("c_custkey", "c_nationkey")
     cents = F.round(F.col("l_extendedprice") * (F.lit(1) - F.col("l_discount")) * F.lit(100), 0).cast("bigint")
-    per_order = (li.join(orders, li.l_orderkey == orders.o_orderkey)
-                 .groupBy("o_custkey", F.year("o_orderdate").cast("int").alias("year")).agg(F.sum(cents).alias("c")))
+    # cents per order first (partial aggregation before any shuffle), then orders
+    order_c = li.groupBy("l_orderkey").agg(F.sum(cents).alias("oc"))
+    per_order = (order_c.join(orders, order_c.l_orderkey == orders.o_orderkey)
+                 .groupBy("o_custkey", F.year("o_orderdate").cast("int").alias("year")).agg(F.sum("oc").alias("c")))
     geo = _geo(tables)
     actual = (per_order.join(cust, per_order.o_custkey == cust.c_custkey)
               .join(geo, F.col("c_nationkey") == geo.n_nationkey)
