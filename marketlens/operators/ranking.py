@@ -49,15 +49,17 @@ WINDOW_MAX_ROWS_CONF = "spark.marketlens.rank.windowMaxRows"
 WINDOW_MAX_ROWS_DEFAULT = 1_000_000
 
 
-def choose_rank_mode(df: DataFrame) -> str:
+def choose_rank_mode(df: DataFrame, rows: int | None = None) -> str:
     """'window' when ``df`` has at most the configured rows, else 'two_pass'.
 
-    Call it on a materialised table: the count then reads Parquet footers only.
+    Pass ``rows`` when the count is known (observed while materialising);
+    otherwise call it on a materialised table, where the count reads footers.
     """
     limit = int(df.sparkSession.conf.get(WINDOW_MAX_ROWS_CONF, str(WINDOW_MAX_ROWS_DEFAULT)))
     if limit <= 0:
         return "two_pass"
-    return "window" if df.count() <= limit else "two_pass"
+    n = df.count() if rows is None else rows
+    return "window" if n <= limit else "two_pass"
 
 
 def _expr(c: str | Column) -> Column:

@@ -130,8 +130,8 @@ def supplier_scorecard(tables: Mapping[str, DataFrame], rank_mode: str = "auto")
     """TB-4. Per supplier: volume (units), return rate, mean discount, their
     percent ranks over all suppliers, and score = 0.4 pr(volume) + 0.3 (1 - pr(return
     rate)) + 0.3 (1 - pr(discount)), rounded to 6 places."""
-    stats = materialize(supplier_stats(tables), "supplier-stats")
-    mode = choose_rank_mode(stats) if rank_mode == "auto" else rank_mode
+    stats, rows = materialize(supplier_stats(tables), "supplier-stats", count=True)
+    mode = choose_rank_mode(stats, rows) if rank_mode == "auto" else rank_mode
     for col in SCORE_WEIGHTS:
         stats = percent_rank_over(stats, [(col, True)], name=f"pr_{col}", mode=mode)
     score = (SCORE_WEIGHTS["volume"] * F.col("pr_volume")

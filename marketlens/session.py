@@ -11,7 +11,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -74,14 +75,19 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, count: bool = False) -> DataFrame | tuple[DataFrame, int]:
     """Write ``df`` once as parquet under the checkpoint root and read it back.
 
     One computation (unlike ``checkpoint()`` without a cache), survives executor
     loss, and freezes any non-deterministic partition assignment such as the
-    borders sampled by ``repartitionByRange``.
+    borders sampled by ``repartitionByRange``.  With ``count=True`` the row count
+    is observed during the same write (no second job) and returned as well.
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
+    if count:
+        obs = Observation(f"rows-{uuid.uuid4().hex}")
+        df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists").parquet(path)
+        return spark.read.parquet(path), int(obs.get["rows"])
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)

@@ -28,3 +28,19 @@ def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.count() > 0
     assert "competitive_position" in df.columns
+
+
+TWO_PASS_CASES = [f"{s}_{k}" for s in ("competitor", "campaign", "elasticity", "promo")
+                  for k in ("ranks", "report")] + ["tb_supplier_scorecard"]
+
+
+@pytest.mark.parametrize("name", TWO_PASS_CASES)
+def test_distributed_rank_path_matches_oracle(spark, con, name):
+    """The path large inputs take (rank_mode auto above the row limit) is exact too."""
+    from marketlens.operators.ranking import WINDOW_MAX_ROWS_CONF
+    spark.conf.set(WINDOW_MAX_ROWS_CONF, "0")
+    try:
+        res = compare(entry.queries()[name](spark, SMALL), SQL[name], con)
+    finally:
+        spark.conf.unset(WINDOW_MAX_ROWS_CONF)
+    assert res["ok"], res
