@@ -25,6 +25,7 @@ from marketlens.plans.summary import summarize
 from marketlens.operators.topn import full_order
 from marketlens.session import materialize
 from marketlens.sources import derived
+from marketlens.sources.schemas import SCHEMAS, check_columns
 
 SUBJECT_MODULES = {
     "competitor_tracking": (competitor, derived.competitor_tracking),
@@ -76,6 +77,8 @@ def analyze(
         if tables is None:
             raise ValueError("pass tables or facts")
         facts = builder(tables)
+    else:
+        facts = check_columns(facts, SCHEMAS[subject], subject)
     plan = module.build(facts, window=window, thresholds=thresholds, rank_mode=rank_mode)
     top = plan.report(n)
     if scope == "top_n":
