@@ -69,12 +69,18 @@ def build_plan(
     if rank_mode == "auto":
         rank_mode = choose_rank_mode(kept, rows)
     segs = rollup(kept, keys, segment_aggs(thresholds))
+    segment_mode = rank_mode
+    if rank_mode == "two_pass" and any(spec.on_segments for spec in ranks):
+        # Segment-valued ranks work on the rollup, usually a few hundred rows even
+        # when the detail is huge: write it once and size-check it on its own.
+        segs, seg_rows = materialize(segs, f"{subject}-segments", count=True)
+        segment_mode = choose_rank_mode(segs, seg_rows)
     ranked_segs = segs
     ranked_rows = kept
     for spec in ranks:
         if spec.on_segments:
             ranked_segs = rank_over(ranked_segs, spec.order, spec.partition_by, name=spec.name,
-                                    weight=segment_weight, mode=rank_mode)
+                                    weight=segment_weight, mode=segment_mode)
         else:
             ranked_rows = rank_over(ranked_rows, spec.order, spec.partition_by, name=spec.name,
                                     mode=rank_mode)
