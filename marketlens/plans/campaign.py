@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marketlens.config import DEFAULT_THRESHOLDS, STUDY_WINDOW, DateWindow, Thresholds
 from marketlens.functions import exact_avg, exact_sum, ladder
 from marketlens.plans import label_text as L
+from marketlens.sources.layout import month_predicate
 from marketlens.plans.base import RankSpec, SubjectPlan, build_plan
 
 SUBJECT = "campaign_performance"
@@ -20,6 +21,9 @@ DETAIL_COLUMNS = (
 
 
 def detail(facts: DataFrame, window: DateWindow = STUDY_WINDOW) -> DataFrame:
+    months = month_predicate(facts, SUBJECT, window.start, window.end)  # partition pruning, if laid out
+    if months is not None:
+        facts = facts.where(months)
     d = F.col("campaign_date")
     return facts.select(*DETAIL_COLUMNS).where(d.between(F.lit(window.start), F.lit(window.end)))
 

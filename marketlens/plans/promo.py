@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marketlens.config import DEFAULT_THRESHOLDS, STUDY_WINDOW, DateWindow, Thresholds
 from marketlens.functions import count_if, exact_avg, exact_sum, ladder
 from marketlens.plans import label_text as L
+from marketlens.sources.layout import month_predicate
 from marketlens.plans.base import RankSpec, SubjectPlan, build_plan
 
 SUBJECT = "promotional_calendar"
@@ -33,6 +34,9 @@ def detail(facts: DataFrame, window: DateWindow = STUDY_WINDOW, iso_dates: bool
     is well-formed ISO text, so it is off by default.
     """
     start = parse_date("start_date")
+    months = month_predicate(facts, SUBJECT, window.start)  # partition pruning, if laid out
+    if months is not None:
+        facts = facts.where(months)
     out = facts.select(*DETAIL_COLUMNS)
     if iso_dates:
         out = out.where(F.col("start_date") >= F.lit(window.start.isoformat()))
