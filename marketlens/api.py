@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from marketlens.config import DEFAULT_THRESHOLDS, STUDY_WINDOW, DateWindow, Thresholds, resolve_limit
+from marketlens.config import DEFAULT_THRESHOLDS, REFERENCE_WINDOW, DateWindow, Thresholds, resolve_limit
 from marketlens.plans import campaign, competitor, elasticity, promo
 from marketlens.plans.insights import insights as insight_rows
 from marketlens.plans.intent import route
@@ -52,7 +52,7 @@ def analyze(
     question: str | None = None,
     query_type: str | None = None,
     limit: int | None = None,
-    window: DateWindow = STUDY_WINDOW,
+    window: DateWindow = REFERENCE_WINDOW,
     scope: str = "top_n",
     strict: bool = True,
     facts: DataFrame | None = None,

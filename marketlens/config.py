@@ -73,7 +73,7 @@ class DateWindow:
         return DateWindow(as_date(start), as_date(end))
 
 
-# The reference hard-codes these two days; kept as defaults (empty on test data).
+# The reference hard-codes these two days; they stay the library default (D1).
 REFERENCE_WINDOW = DateWindow.of("2024-12-14", "2024-12-15")
 # The window used by the registered queries on the driver's data (dates 1995-2001).
 STUDY_WINDOW = DateWindow.of("1998-01-01", "1998-12-31")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.config import DEFAULT_THRESHOLDS, STUDY_WINDOW, DateWindow, Thresholds
+from marketlens.config import DEFAULT_THRESHOLDS, REFERENCE_WINDOW, DateWindow, Thresholds
 from marketlens.functions import exact_avg, exact_sum, ladder
 from marketlens.plans import label_text as L
 from marketlens.sources.layout import month_predicate
@@ -20,7 +20,7 @@ DETAIL_COLUMNS = (
 )
 
 
-def detail(facts: DataFrame, window: DateWindow = STUDY_WINDOW) -> DataFrame:
+def detail(facts: DataFrame, window: DateWindow = REFERENCE_WINDOW) -> DataFrame:
     months = month_predicate(facts, SUBJECT, window.start, window.end)  # partition pruning, if laid out
     if months is not None:
         facts = facts.where(months)
@@ -123,7 +123,7 @@ def report_order(rows: DataFrame) -> list[Column]:
     return [rows["roi_pct"].desc_nulls_last(), rows["revenue_generated"].desc_nulls_last()]
 
 
-def build(facts: DataFrame, window: DateWindow = STUDY_WINDOW, thresholds: Thresholds = DEFAULT_THRESHOLDS,
+def build(facts: DataFrame, window: DateWindow = REFERENCE_WINDOW, thresholds: Thresholds = DEFAULT_THRESHOLDS,
           rank_mode: str = "auto", cut_detail: bool = True) -> SubjectPlan:
     return build_plan(SUBJECT, detail(facts, window), KEYS, segment_aggs, ranks(), project, report_order,
                       segment_weight="campaigns_executed", thresholds=thresholds, rank_mode=rank_mode,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.config import DEFAULT_THRESHOLDS, STUDY_WINDOW, DateWindow, Thresholds
+from marketlens.config import DEFAULT_THRESHOLDS, REFERENCE_WINDOW, DateWindow, Thresholds
 from marketlens.functions import count_if, exact_avg, exact_sum, ladder
 from marketlens.plans import label_text as L
 from marketlens.sources.layout import month_predicate
@@ -26,7 +26,7 @@ def parse_date(c: str | Column) -> Column:
     return F.to_date(F.col(c) if isinstance(c, str) else c, ISO)
 
 
-def detail(facts: DataFrame, window: DateWindow = STUDY_WINDOW, iso_dates: bool = False) -> DataFrame:
+def detail(facts: DataFrame, window: DateWindow = REFERENCE_WINDOW, iso_dates: bool = False) -> DataFrame:
     """Promotions starting on or after ``window.start`` (the end of the window is ignored).
 
     ``iso_dates=True`` adds the equivalent text comparison ``start_date >= 'yyyy-mm-dd'``,
@@ -131,7 +131,7 @@ def report_order(rows: DataFrame) -> list[Column]:
     return [parse_date(rows["start_date"]).asc_nulls_first(), rows["expected_uplift_pct"].desc_nulls_last()]
 
 
-def build(facts: DataFrame, window: DateWindow = STUDY_WINDOW, thresholds: Thresholds = DEFAULT_THRESHOLDS,
+def build(facts: DataFrame, window: DateWindow = REFERENCE_WINDOW, thresholds: Thresholds = DEFAULT_THRESHOLDS,
           rank_mode: str = "auto", cut_detail: bool = True, iso_dates: bool = False) -> SubjectPlan:
     return build_plan(SUBJECT, detail(facts, window, iso_dates), KEYS, segment_aggs, ranks(), project,
                       report_order, thresholds=thresholds, rank_mode=rank_mode, cut_detail=cut_detail)

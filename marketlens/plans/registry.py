@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marketlens.config import STUDY_WINDOW
 from marketlens.plans import campaign, competitor, elasticity, promo
 from marketlens.plans import intent
 from marketlens.plans.insights import insights
@@ -51,7 +52,9 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
 
 
 def subject_plan(prefix: str, spark: SparkSession, sf_dir: str, **options):
+    """The subject's plan over the driver's data, in the 1998 study window by default."""
     module, facts, _ = SUBJECTS[prefix]
+    options.setdefault("window", STUDY_WINDOW)
     return module.build(facts(tables(spark, sf_dir)), **options)
 
 

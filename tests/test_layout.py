@@ -4,6 +4,7 @@ import tempfile
 
 import pytest
 
+from marketlens.config import STUDY_WINDOW
 from marketlens.plans import campaign, competitor, elasticity, promo
 from marketlens.plans.registry import tables
 from marketlens.sources import derived
@@ -23,9 +24,9 @@ def laid_out(spark):
 
 @pytest.mark.parametrize("module,builder", CASES)
 def test_partitioned_facts_give_the_same_report(spark, laid_out, module, builder):
-    base = module.build(builder(tables(spark, SMALL)), rank_mode="window").report(100).collect()
+    base = module.build(builder(tables(spark, SMALL)), STUDY_WINDOW, rank_mode="window").report(100).collect()
     facts = read_facts(spark, laid_out, module.SUBJECT)
-    plan = module.build(facts, rank_mode="window")
+    plan = module.build(facts, STUDY_WINDOW, rank_mode="window")
     assert plan.report(100).collect() == base
-    scan = module.detail(facts)._jdf.queryExecution().executedPlan().toString()
+    scan = module.detail(facts, STUDY_WINDOW)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(" in scan and "_month" in scan

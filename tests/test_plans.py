@@ -1,5 +1,6 @@
 """Physical-plan checks: filters reach the scan, the rollup join does not shuffle the detail."""
 
+from marketlens.config import STUDY_WINDOW
 from marketlens.plans import competitor
 from marketlens.plans.registry import tables
 from marketlens.sources import derived
@@ -27,7 +28,7 @@ def test_column_pruning_on_lineitem(spark):
 
 
 def test_window_mode_report_has_no_cartesian_product(spark):
-    plan = competitor.build(derived.competitor_tracking(tables(spark, SMALL)), rank_mode="window")
+    plan = competitor.build(derived.competitor_tracking(tables(spark, SMALL)), STUDY_WINDOW, rank_mode="window")
     text = _plan(plan.report(100))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert "TakeOrderedAndProject" in text

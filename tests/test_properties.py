@@ -8,7 +8,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from marketlens.config import DateWindow
+from marketlens.config import STUDY_WINDOW, DateWindow
 from marketlens.operators.ranking import WINDOW_MAX_ROWS_CONF
 from marketlens.plans import competitor
 from marketlens.plans import label_text as L
@@ -43,7 +43,7 @@ def test_competitor_ladders_total_and_join_back(spark, rows):
 
 
 def test_label_counts_sum_to_rows(spark):
-    plan = competitor.build(derived.competitor_tracking(tables(spark, SMALL)))
+    plan = competitor.build(derived.competitor_tracking(tables(spark, SMALL)), STUDY_WINDOW)
     rows = plan.rows
     n = rows.count()
     for col in ("competitive_position", "promotional_environment", "value_proposition", "brand_position_strength"):
@@ -53,7 +53,7 @@ def test_label_counts_sum_to_rows(spark):
 def test_two_pass_report_has_no_single_partition_over_rows(spark):
     spark.conf.set(WINDOW_MAX_ROWS_CONF, "0")
     try:
-        plan = competitor.build(derived.competitor_tracking(tables(spark, SMALL)))
+        plan = competitor.build(derived.competitor_tracking(tables(spark, SMALL)), STUDY_WINDOW)
         text = plan.report(100)._jdf.queryExecution().executedPlan().toString().splitlines()
     finally:
         spark.conf.unset(WINDOW_MAX_ROWS_CONF)
