@@ -45,6 +45,18 @@ class Report:
     summary: DataFrame
     insights: DataFrame
 
+    def write(self, path: str | None = None, table_prefix: str | None = None, mode: str = "errorifexists") -> None:
+        """Write rows, summary and insights as parquet folders under ``path`` or as
+        catalog tables ``<table_prefix>_rows`` etc. (one job each, executors write)."""
+        if (path is None) == (table_prefix is None):
+            raise ValueError("give exactly one of path or table_prefix")
+        for part, df in (("rows", self.rows), ("summary", self.summary), ("insights", self.insights)):
+            writer = df.write.mode(mode)
+            if path is not None:
+                writer.parquet(f"{path.rstrip('/')}/{part}")
+            else:
+                writer.saveAsTable(f"{table_prefix}_{part}")
+
 
 def analyze(
     tables: Mapping[str, DataFrame] | None = None,

@@ -63,3 +63,13 @@ def test_analyze_with_user_facts_checks_schema(spark):
     assert row.own_price_usd == 10.0 and row.price_gap_pct == 11.1
     with pytest.raises(ValueError):
         analyze(facts=good.drop("market"), query_type="competitor_tracking")
+
+
+def test_report_write_parquet(spark):
+    import tempfile
+    out = tempfile.mkdtemp(prefix="ml-report-")
+    rep = analyze(tables(spark, SMALL), question="demand", limit=5, window=STUDY_WINDOW)
+    rep.write(path=out, mode="overwrite")
+    assert spark.read.parquet(f"{out}/rows").count() == 5
+    assert spark.read.parquet(f"{out}/summary").collect()[0].price_points_analyzed == 5
+    assert spark.read.parquet(f"{out}/insights").count() >= 1
