@@ -76,3 +76,16 @@ def test_percent_rank_matches_window(spark):
         got = percent_rank_over(df, [("a", True)], parts, name="p", mode="two_pass", buckets=4)
         want = percent_rank_over(df, [("a", True)], parts, name="p", mode="window")
         assert _pairs(got, "p") == _pairs(want, "p")
+
+
+def test_hot_key_third_of_rows(spark):
+    """One key holds a third of the rows: it collapses to one row of the keys table,
+    so no bucket holds it more than once, and the ranks stay exact."""
+    from marketlens.operators.ranking import rank_over
+    n = 3000
+    rows = [(i, 7.0 if i % 3 == 0 else float(i % 997), "hot" if i % 3 == 0 else f"m{i % 5}") for i in range(n)]
+    df = spark.createDataFrame(rows, "id int, v double, m string")
+    for parts in ([], ["m"]):
+        got = rank_over(df, [("v", False)], parts, name="r", mode="two_pass", buckets=8)
+        want = rank_over(df, [("v", False)], parts, name="r", mode="window")
+        assert _pairs(got, "r") == _pairs(want, "r")
