@@ -14,4 +14,6 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session("*", shuffle_partitions=8)
+    import tempfile
+    warehouse = tempfile.mkdtemp(prefix="ml-warehouse-")  # catalog tables of tests stay out of the repo
+    return local_session("*", shuffle_partitions=8, extra={"spark.sql.warehouse.dir": warehouse})

@@ -30,3 +30,26 @@ def test_partitioned_facts_give_the_same_report(spark, laid_out, module, builder
     assert plan.report(100).collect() == base
     scan = module.detail(facts, STUDY_WINDOW)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(" in scan and "_month" in scan
+
+
+def test_bucketed_order_tables_join_without_exchange(spark):
+    from marketlens.sources.layout import Layered, write_bucketed
+    spark.sql("CREATE DATABASE IF NOT EXISTS ml_bucketed")
+    base = tables(spark, SMALL)
+    write_bucketed(base, "ml_bucketed", buckets=4)
+    layered = Layered(spark, "ml_bucketed", ["lineitem", "orders"], base)
+    facts = derived.campaign_performance(layered)
+    # as at scale: no broadcast, so the join must be a sort-merge join on co-located buckets
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = facts._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin [o_orderkey" in plan
+    # the per-order aggregation and the orders join read co-located buckets: no hash exchange on the order key
+    assert "hashpartitioning(l_orderkey" not in plan and "hashpartitioning(o_orderkey" not in plan
+    want = campaign.build(derived.campaign_performance(base), STUDY_WINDOW, rank_mode="window").report(50).collect()
+    got = campaign.build(facts, STUDY_WINDOW, rank_mode="window").report(50).collect()
+    assert got == want
