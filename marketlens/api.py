@@ -15,6 +15,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from marketlens.config import DEFAULT_THRESHOLDS, REFERENCE_WINDOW, DateWindow, Thresholds, resolve_limit
 from marketlens.plans import campaign, competitor, elasticity, promo
@@ -99,5 +100,6 @@ def analyze(
         basis = kept
     else:
         basis = plan.rows
-    return Report(subject, n, scope, top, summarize(basis, subject),
-                  messages(insight_rows(basis, subject), language))
+    summary = summarize(basis, subject).withColumn(  # SU-0: when the report was made (UTC)
+        "generated_at", F.when(F.col("total_records") > 0, F.current_timestamp()))
+    return Report(subject, n, scope, top, summary, messages(insight_rows(basis, subject), language))

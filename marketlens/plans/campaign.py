@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.config import DEFAULT_THRESHOLDS, REFERENCE_WINDOW, DateWindow, Thresholds
-from marketlens.functions import exact_avg, exact_sum, ladder
+from marketlens.functions import exact_avg, exact_sum, ladder, ratio
 from marketlens.plans import label_text as L
 from marketlens.sources.layout import month_predicate
 from marketlens.plans.base import RankSpec, SubjectPlan, build_plan
@@ -30,7 +30,6 @@ def detail(facts: DataFrame, window: DateWindow = REFERENCE_WINDOW) -> DataFrame
 
 def segment_aggs(th: Thresholds) -> list[Column]:
     revenue, cost = exact_sum("revenue_generated"), exact_sum("campaign_cost")
-    cost_or_null = F.nullif(cost, F.lit(0.0))
     return [
         F.count(F.lit(1)).alias("campaigns_executed"),
         exact_avg("roi_pct").alias("avg_roi_pct"),
@@ -40,9 +39,9 @@ def segment_aggs(th: Thresholds) -> list[Column]:
         F.sum("customer_acquisition").alias("total_new_customers"),
         exact_avg("repeat_purchase_rate").alias("avg_repeat_purchase_rate"),
         F.sum("units_sold").alias("total_units_sold"),
-        (revenue / cost_or_null).alias("revenue_cost_ratio"),
+        ratio(revenue, cost).alias("revenue_cost_ratio"),
         # the reference's name; the value is acquisitions per 1000 USD of cost
-        (F.sum("customer_acquisition") / cost_or_null * F.lit(1000)).alias("cost_per_acquisition_usd"),
+        (ratio(F.sum("customer_acquisition"), cost) * F.lit(1000)).alias("cost_per_acquisition_usd"),
     ]
 
 
