@@ -18,17 +18,13 @@ from marketlens.functions import count_if, exact_avg
 from marketlens.plans import competitor
 from marketlens.plans.supply import supplier_scorecard
 from marketlens.sources import derived
+from marketlens.sources.derived import geo_of
 
 
 def _month(c: str) -> Column:
     return F.trunc(F.col(c), "month")
 
 
-def _geo(tables: Mapping[str, DataFrame]) -> DataFrame:
-    nation = tables["nation"].select("n_nationkey", "n_regionkey")
-    region = tables["region"].select("r_regionkey", "r_name")
-    return nation.join(region, nation.n_regionkey == region.r_regionkey).select("n_nationkey", "r_name")
-
 
 # ---- TB-6 competitor price monitoring ------------------------------------------
 
@@ -163,7 +159,7 @@ def elasticity_curves(tables: Mapping[str, DataFrame]) -> DataFrame:
     orders = tables["orders"].select("o_orderkey", "o_custkey")
     part = tables["part"].select("p_partkey", "p_type")
     cust = tables["customer"].select("c_custkey", "c_nationkey")
-    geo = _geo(tables)
+    geo = geo_of(tables)
     j = (li.where((F.col("l_quantity") > 0) & (F.col("l_extendedprice") > 0) & (F.col("l_discount") < 1))
          .join(orders, li.l_orderkey == orders.o_orderkey)
          .join(part, li.l_partkey == part.p_partkey)
@@ -232,7 +228,7 @@ def brand_share(tables: Mapping[str, DataFrame]) -> DataFrame:
     orders = tables["orders"].select("o_orderkey", "o_custkey", "o_orderdate")
     part = tables["part"].select("p_partkey", "p_brand")
     cust = tables["customer"].select("c_custkey", "c_nationkey")
-    geo = _geo(tables)
+    geo = geo_of(tables)
     cents = F.round(F.col("l_extendedprice") * (F.lit(1) - F.col("l_discount")) * F.lit(100), 0).cast("bigint")
     per = (li.join(orders, li.l_orderkey == orders.o_orderkey)
            .join(part, li.l_partkey == part.p_partkey)

@@ -13,12 +13,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from marketlens.config import STUDY_WINDOW
-from marketlens.plans import campaign, competitor, elasticity, promo
-from marketlens.plans import intent
+from marketlens.plans import campaign, competitor, elasticity, intent, pricing_ext, promo, supply
 from marketlens.plans.insights import insights
 from marketlens.plans.summary import summarize
 from marketlens.sources import derived
 from marketlens.sources.tables import Tables
+from marketlens.streaming import price_monitor
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -93,7 +93,6 @@ QUERIES.update({
 
 
 # ---- Tier B (definitions of our own; see plans/supply.py and plans/pricing_ext.py)
-from marketlens.plans import pricing_ext, supply  # noqa: E402
 
 
 def _tracking(spark, d):
@@ -128,6 +127,5 @@ QUERIES.update({
 
 
 # ---- TB-14: the live monitor, run over the events file with availableNow
-from marketlens.streaming import price_monitor  # noqa: E402
 
 QUERIES["tb_price_stream"] = lambda spark, d: price_monitor.run_available(spark, d, file_glob="events.parquet")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from marketlens.functions import count_if, exact_avg
 from marketlens.operators.ranking import choose_rank_mode, percent_rank_over
 from marketlens.session import materialize
+from marketlens.sources.derived import geo_of
 
 LATE_DAYS = 30
 
@@ -24,11 +25,6 @@ def _month(ts: str) -> F.Column:
     return F.trunc(F.col(ts).cast("date"), "month")
 
 
-def _geo(tables: Mapping[str, DataFrame]) -> DataFrame:
-    nation = tables["nation"].select("n_nationkey", "n_name", "n_regionkey")
-    region = tables["region"].select("r_regionkey", "r_name")
-    return nation.join(region, nation.n_regionkey == region.r_regionkey).select("n_nationkey", "n_name", "r_name")
-
 
 def quality_trend(tables: Mapping[str, DataFrame]) -> DataFrame:
     """TB-1. Per supplier and ship month: lines, returned lines (flag 'R'), return
@@ -59,7 +55,7 @@ def delivery_performance(tables: Mapping[str, DataFrame]) -> DataFrame:
     days = F.datediff(F.col("l_shipdate").cast("date"), F.col("o_orderdate").cast("date")).cast("bigint")
     per_supp = (li.join(orders, li.l_orderkey == orders.o_orderkey)
                 .groupBy("l_suppkey", days.alias("days")).agg(F.count(F.lit(1)).alias("n")))
-    geo = _geo(tables)
+    geo = geo_of(tables)
     hist = (per_supp.join(supp, per_supp.l_suppkey == supp.s_suppkey)
             .join(geo, F.col("s_nationkey") == geo.n_nationkey)
             .groupBy(F.col("n_name").alias("supplier_nation"), "days").agg(F.sum("n").alias("n")))
@@ -94,7 +90,7 @@ def budget_variance(tables: Mapping[str, DataFrame], uplift_pct: int = 5) -> Dat
     order_c = li.groupBy("l_orderkey").agg(F.sum(cents).alias("oc"))
     per_order = (order_c.join(orders, order_c.l_orderkey == orders.o_orderkey)
                  .groupBy("o_custkey", F.year("o_orderdate").cast("int").alias("year")).agg(F.sum("oc").alias("c")))
-    geo = _geo(tables)
+    geo = geo_of(tables)
     actual = (per_order.join(cust, per_order.o_custkey == cust.c_custkey)
               .join(geo, F.col("c_nationkey") == geo.n_nationkey)
               .groupBy(F.col("r_name").alias("region"), F.col("n_name").alias("nation"), "year")

@@ -27,11 +27,11 @@ def _c(name: str) -> Column:
     return F.col(name)
 
 
-def _geo(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """nation -> region name, keyed by nation key (25 rows in TPC-H shape)."""
-    nation = tables["nation"].select("n_nationkey", "n_regionkey")
+def geo_of(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Nation key -> nation and region names (25 rows in TPC-H shape)."""
+    nation = tables["nation"].select("n_nationkey", "n_name", "n_regionkey")
     region = tables["region"].select("r_regionkey", "r_name")
-    return nation.join(region, nation.n_regionkey == region.r_regionkey).select("n_nationkey", "r_name")
+    return nation.join(region, nation.n_regionkey == region.r_regionkey).select("n_nationkey", "n_name", "r_name")
 
 
 def competitor_tracking(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -40,7 +40,7 @@ def competitor_tracking(tables: Mapping[str, DataFrame]) -> DataFrame:
         "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_returnflag", "l_linestatus", "l_shipdate")
     part = tables["part"].select("p_partkey", "p_type", "p_size", "p_retailprice")
     supp = tables["supplier"].select("s_suppkey", "s_name", "s_nationkey")
-    geo = _geo(tables)
+    geo = geo_of(tables)
     j = (li.join(part, li.l_partkey == part.p_partkey)
          .join(supp, li.l_suppkey == supp.s_suppkey)
          .join(geo, supp.s_nationkey == geo.n_nationkey))
@@ -70,7 +70,7 @@ def campaign_performance(tables: Mapping[str, DataFrame]) -> DataFrame:
     li = tables["lineitem"].select("l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag")
     orders = tables["orders"].select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     cust = tables["customer"].select("c_custkey", "c_nationkey", "c_mktsegment")
-    geo = _geo(tables)
+    geo = geo_of(tables)
     cents = lambda e: F.round(e * F.lit(100), 0).cast("bigint")
     # Aggregate line items per order first: map-side partial aggregation collapses
     # every order (a hot order included) before the shuffle, and the aggregate's
@@ -113,7 +113,7 @@ def price_elasticity(tables: Mapping[str, DataFrame]) -> DataFrame:
     orders = tables["orders"].select("o_orderkey", "o_custkey", "o_orderdate")
     part = tables["part"].select("p_partkey", "p_type", "p_retailprice")
     cust = tables["customer"].select("c_custkey", "c_nationkey", "c_mktsegment")
-    geo = _geo(tables)
+    geo = geo_of(tables)
     j = (li.join(orders, li.l_orderkey == orders.o_orderkey)
          .join(part, li.l_partkey == part.p_partkey)
          .join(cust, orders.o_custkey == cust.c_custkey)
@@ -141,7 +141,7 @@ def promotional_calendar(tables: Mapping[str, DataFrame]) -> DataFrame:
     orders = tables["orders"].select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
                                      "o_orderdate", "o_orderpriority")
     cust = tables["customer"].select("c_custkey", "c_nationkey", "c_mktsegment")
-    geo = _geo(tables)
+    geo = geo_of(tables)
     j = (orders.join(cust, orders.o_custkey == cust.c_custkey)
          .join(geo, cust.c_nationkey == geo.n_nationkey))
     day = _c("o_orderdate").cast("date")
