@@ -148,6 +148,56 @@ def apply_price_rules(tables: Mapping[str, DataFrame], rules: Sequence[PriceRule
                        F.round(price * (F.lit(1.0) + adj / F.lit(100.0)), 2).alias("new_price"))
 
 
+RULES_SCHEMA = ("priority int, rule_id string, min_price double, max_price double, min_size int, max_size int, "
+                "adjustment_pct double")
+BROADCAST_RULES_MAX = 10_000   # rules up to this count are broadcast (checked by an exact count)
+PRICE_BUCKET = 50.0            # bucket width of the equi-join path for larger rule tables
+
+
+def rules_frame(spark, rules: Sequence[PriceRule] = DEFAULT_RULES) -> DataFrame:
+    return spark.createDataFrame([(r.priority, r.rule_id, r.min_price, r.max_price, r.min_size, r.max_size,
+                                   r.adjustment_pct) for r in rules], RULES_SCHEMA)
+
+
+def apply_price_rule_table(parts: DataFrame, rules: DataFrame) -> DataFrame:
+    """TB-8 over a rules *table* (range join; lowest priority number wins per part).
+
+    A part matches a rule when min_price <= price < max_price and min_size <= size
+    <= max_size.  Rule tables up to BROADCAST_RULES_MAX rows (exact count) are
+    broadcast and matched in a nested loop next to each part partition (no
+    shuffle of parts).  Larger rule tables use an equi-join on price buckets:
+    each rule is exploded over the buckets its range covers, clamped to the
+    observed price range of the parts (two scalars), and the exact range test
+    runs after the join.  The winner per part is ``min_by`` over matches
+    (at most one row per matching rule and part); parts with no match keep
+    their price with rule_id 'none'.
+    """
+    p = parts.select("p_partkey", "p_type", "p_size", "p_retailprice")
+    price, size = F.col("p_retailprice"), F.col("p_size")
+    in_range = ((price >= F.col("min_price")) & (price < F.col("max_price"))
+                & size.between(F.col("min_size"), F.col("max_size")))
+    if rules.count() <= BROADCAST_RULES_MAX:
+        matches = p.join(F.broadcast(rules), in_range, "inner")
+    else:
+        lo, hi = p.agg(F.min("p_retailprice"), F.max("p_retailprice")).first()
+        if lo is None:
+            matches = p.join(rules, F.lit(False), "inner")
+        else:
+            first = F.floor(F.greatest(F.col("min_price"), F.lit(lo)) / PRICE_BUCKET)
+            last = F.floor(F.least(F.col("max_price"), F.lit(hi)) / PRICE_BUCKET)
+            spread = rules.where(F.col("max_price") > F.lit(lo)).where(F.col("min_price") <= F.lit(hi)).withColumn(
+                "bucket", F.explode(F.sequence(first.cast("bigint"), last.cast("bigint"))))
+            keyed = p.withColumn("bucket", F.floor(price / PRICE_BUCKET).cast("bigint"))
+            matches = keyed.join(spread, "bucket").where(in_range).drop("bucket")
+    best = matches.groupBy("p_partkey").agg(
+        F.min_by(F.struct("rule_id", "adjustment_pct"), F.struct("priority", "rule_id")).alias("w"))
+    out = p.join(best, "p_partkey", "left")
+    adj = F.coalesce(F.col("w.adjustment_pct"), F.lit(0.0))
+    return out.select("p_partkey", "p_type", "p_size", "p_retailprice",
+                      F.coalesce(F.col("w.rule_id"), F.lit("none")).alias("rule_id"),
+                      F.round(price * (F.lit(1.0) + adj / F.lit(100.0)), 2).alias("new_price"))
+
+
 # ---- TB-9 elasticity curves ----------------------------------------------------
 
 def elasticity_curves(tables: Mapping[str, DataFrame]) -> DataFrame:

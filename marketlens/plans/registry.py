@@ -113,6 +113,8 @@ QUERIES.update({
     "tb_market_entries": lambda spark, d: pricing_ext.market_entries(_tracking(spark, d)),
     "tb_market_forecast": lambda spark, d: pricing_ext.market_forecast(_tracking(spark, d)),
     "tb_price_rules": lambda spark, d: pricing_ext.apply_price_rules(tables(spark, d)),
+    "tb_price_rule_table": lambda spark, d: pricing_ext.apply_price_rule_table(
+        tables(spark, d)["part"], pricing_ext.rules_frame(spark)),
     "tb_elasticity_curves": lambda spark, d: pricing_ext.elasticity_curves(tables(spark, d)),
     "tb_optimal_prices": lambda spark, d: pricing_ext.optimal_prices(tables(spark, d)),
     "tb_brand_share": lambda spark, d: pricing_ext.brand_share(tables(spark, d)),

@@ -256,6 +256,22 @@ SELECT brand, market, CAST(GROUPING_ID(brand, market) AS BIGINT) AS level, COUNT
 FROM u GROUP BY ROLLUP (brand, market)"""
 
 
+def price_rule_table() -> str:
+    """Same rules as a table: range join, lowest priority wins (ties by rule id)."""
+    vals = ", ".join(f"({r.priority}, '{r.rule_id}', CAST({r.min_price!r} AS DOUBLE), CAST({r.max_price!r} AS DOUBLE), "
+                     f"{r.min_size}, {r.max_size}, CAST({r.adjustment_pct!r} AS DOUBLE))" for r in DEFAULT_RULES)
+    return f"""
+WITH rules(priority, rule_id, min_price, max_price, min_size, max_size, adjustment_pct) AS (VALUES {vals}),
+m AS (SELECT p.p_partkey, r.rule_id, r.adjustment_pct,
+             ROW_NUMBER() OVER (PARTITION BY p.p_partkey ORDER BY r.priority, r.rule_id) AS rn
+      FROM part p JOIN rules r ON p.p_retailprice >= r.min_price AND p.p_retailprice < r.max_price
+                              AND p.p_size BETWEEN r.min_size AND r.max_size)
+SELECT p.p_partkey, p.p_type, p.p_size, p.p_retailprice, COALESCE(m.rule_id, 'none') AS rule_id,
+       ROUND(p.p_retailprice * (CAST(1.0 AS DOUBLE) + COALESCE(m.adjustment_pct, CAST(0.0 AS DOUBLE)) / CAST(100.0 AS DOUBLE)), 2)
+         AS new_price
+FROM part p LEFT JOIN m ON p.p_partkey = m.p_partkey AND m.rn = 1"""
+
+
 TIER_B = {
     "tb_quality_trend": quality_trend,
     "tb_delivery_performance": delivery_performance,
@@ -266,6 +282,7 @@ TIER_B = {
     "tb_market_entries": market_entries,
     "tb_market_forecast": market_forecast,
     "tb_price_rules": price_rules,
+    "tb_price_rule_table": price_rule_table,
     "tb_elasticity_curves": elasticity_curves,
     "tb_optimal_prices": optimal_prices,
     "tb_brand_share": brand_share,

@@ -203,3 +203,16 @@ def test_limits(limit, expected):
 def test_negative_limit_rejected():
     with pytest.raises(ValueError):
         resolve_limit(-1)
+
+
+def test_price_rule_table_paths_agree(spark, monkeypatch):
+    """Broadcast nested-loop path, bucketed equi-join path and the CASE chain give one answer."""
+    from marketlens.plans import pricing_ext
+    from marketlens.plans.registry import tables
+    from tests.conftest import SMALL
+    t = tables(spark, SMALL)
+    chain = sorted(pricing_ext.apply_price_rules(t).collect())
+    table = sorted(pricing_ext.apply_price_rule_table(t["part"], pricing_ext.rules_frame(spark)).collect())
+    monkeypatch.setattr(pricing_ext, "BROADCAST_RULES_MAX", 0)
+    bucketed = sorted(pricing_ext.apply_price_rule_table(t["part"], pricing_ext.rules_frame(spark)).collect())
+    assert chain == table == bucketed
