@@ -46,6 +46,30 @@ class Report:
     summary: DataFrame
     insights: DataFrame
 
+    def response(self) -> dict:
+        """The reference's response shape as a dict (rows at most the limit, so at most 500).
+
+        ``summary`` holds the one summary row; insights, recommendations and
+        alerts hold message texts in emission order.
+        """
+        rows = [r.asDict() for r in self.rows.collect()]
+        summary_row = self.summary.collect()[0].asDict()
+        summary = {k: v for k, v in summary_row.items() if v is not None}
+        by_kind: dict[str, list[str]] = {"insight": [], "recommendation": [], "alert": []}
+        for r in sorted(self.insights.collect(), key=lambda r: (r.kind, r.seq)):
+            by_kind[r.kind].append(r.message)
+        return {
+            "success": True,
+            "query_type": self.query_type,
+            "parameters": {"limit": self.limit, "scope": self.scope},
+            "summary": summary,
+            "insights": by_kind["insight"],
+            "recommendations": by_kind["recommendation"],
+            "alerts": by_kind["alert"],
+            "row_count": len(rows),
+            "rows": rows,
+        }
+
     def write(self, path: str | None = None, table_prefix: str | None = None, mode: str = "errorifexists") -> None:
         """Write rows, summary and insights as parquet folders under ``path`` or as
         catalog tables ``<table_prefix>_rows`` etc. (one job each, executors write)."""

@@ -73,3 +73,12 @@ def test_report_write_parquet(spark):
     assert spark.read.parquet(f"{out}/rows").count() == 5
     assert spark.read.parquet(f"{out}/summary").collect()[0].price_points_analyzed == 5
     assert spark.read.parquet(f"{out}/insights").count() >= 1
+
+
+def test_response_shape(spark):
+    rep = analyze(tables(spark, SMALL), question="marketing campaign ROI", limit=3, window=STUDY_WINDOW)
+    res = rep.response()
+    assert res["query_type"] == "competitor_tracking"  # "market" wins, as in the reference
+    assert res["row_count"] == 3 and len(res["rows"]) == 3
+    assert res["summary"]["total_records"] == 3
+    assert all(isinstance(m, str) for m in res["insights"] + res["recommendations"] + res["alerts"])
