@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.config import STUDY_WINDOW
+from marketlens.config import REFERENCE_WINDOW, STUDY_WINDOW
 from marketlens.plans import campaign, competitor, elasticity, intent, pricing_ext, promo, supply
 from marketlens.plans.insights import insights
 from marketlens.plans.summary import summarize
@@ -79,6 +79,15 @@ QUERIES: dict[str, Query] = {}
 for _prefix in SUBJECTS:
     QUERIES.update(_subject_queries(_prefix))
 
+# The reference's own two days (the library default) once, as the empty-result case.
+QUERIES.update({
+    "competitor_report_reference_window":
+        lambda spark, d: subject_plan("competitor", spark, d, window=REFERENCE_WINDOW).report(100),
+    "competitor_insights_reference_window":
+        lambda spark, d: insights(subject_plan("competitor", spark, d, window=REFERENCE_WINDOW).report(100),
+                                  competitor.SUBJECT),
+})
+
 
 def _routed(spark, sf_dir, mode="first_match"):
     questions = intent.conversation_questions(tables(spark, sf_dir)["conversations"])

@@ -702,6 +702,14 @@ ORACLE["request_mix"] = lambda: (f"SELECT intent, COUNT(*) AS requests FROM ({ro
 
 from oracle.tier_b import TIER_B  # noqa: E402
 
+
+def _reference_window(sql: str) -> str:
+    return sql.replace(f"BETWEEN {START} AND {END}", "BETWEEN DATE '2024-12-14' AND DATE '2024-12-15'")
+
+
+ORACLE["competitor_report_reference_window"] = lambda: _reference_window(ct_report())
+ORACLE["competitor_insights_reference_window"] = lambda: _reference_window(insights_sql("competitor", True))
+
 ORACLE.update(TIER_B)
 
 
