@@ -8,7 +8,9 @@ upstream plan (and, for range partitioning, instead of re-sampling borders).
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -75,6 +77,38 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+_SCRATCH = threading.local()
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Delete the folders materialised inside the block when it ends.
+
+    DataFrames built inside read those folders lazily: write or collect what you
+    need before leaving the block.  Without this context the folders stay (the
+    caller's storage lifecycle removes them).
+    """
+    stack = getattr(_SCRATCH, "stack", None)
+    if stack is None:
+        stack = _SCRATCH.stack = []
+    written: list[str] = []
+    stack.append(written)
+    try:
+        yield written
+    finally:
+        stack.pop()
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in written:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+
+
+def _remember(path: str) -> None:
+    for written in getattr(_SCRATCH, "stack", None) or []:
+        written.append(path)
+
+
 def materialize(df: DataFrame, label: str, count: bool = False) -> DataFrame | tuple[DataFrame, int]:
     """Write ``df`` once as parquet under the checkpoint root and read it back.
 
@@ -85,6 +119,7 @@ def materialize(df: DataFrame, label: str, count: bool = False) -> DataFrame | t
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _remember(path)
     if count:
         obs = Observation(f"rows-{uuid.uuid4().hex}")
         df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists").parquet(path)

@@ -82,3 +82,14 @@ def test_response_shape(spark):
     assert res["row_count"] == 3 and len(res["rows"]) == 3
     assert res["summary"]["total_records"] == 3
     assert all(isinstance(m, str) for m in res["insights"] + res["recommendations"] + res["alerts"])
+
+
+def test_scratch_removes_materialized_folders(spark):
+    import os
+    from marketlens.session import scratch
+    with scratch(spark) as written:
+        rep = analyze(tables(spark, SMALL), question="prices", limit=3, window=STUDY_WINDOW)
+        assert rep.rows.count() == 3
+        paths = list(written)
+    assert paths, "the detail and the report rows are materialised"
+    assert not any(os.path.exists(p.removeprefix("file:")) for p in paths)
