@@ -32,6 +32,8 @@ rows would be: every detail row of a segment shares the segment's value).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -129,6 +131,62 @@ def rank_keys(keys: DataFrame, key_cols: Sequence[str], ascending: Sequence[bool
                          (F.col("_before") - F.col("_start") + 1).cast("bigint").alias(name), *extra)
 
 
+@dataclass(frozen=True)
+class RankSpec:
+    """One RANK column: ORDER BY ``order`` within ``partition_by``, optionally weighted."""
+
+    name: str
+    order: Sequence[OrderKey]
+    partition_by: Sequence[str | Column] = ()
+    weight: str | None = None
+    total: str | None = None  # also emit the rows of the rank's partition under this name
+
+
+def rank_columns(df: DataFrame, specs: Sequence[RankSpec], mode: str = "two_pass",
+                 buckets: int | None = None) -> DataFrame:
+    """``df`` plus one bigint column per spec, each RANK() OVER its own window.
+
+    Two-pass: every rank's key table is built from ``df`` itself (never from the
+    output of another rank, which would drag a join of all rows into the next
+    rank's job); the key tables are independent jobs, submitted concurrently;
+    then each is joined back once, null-safe, on its own key columns.
+    """
+    if mode not in RANK_MODES:
+        raise ValueError(f"mode must be one of {RANK_MODES}, got {mode!r}")
+    if mode == "window":
+        out = df
+        for spec in specs:
+            if spec.total:
+                raise ValueError("total is only produced by the two-pass rank")
+            out = _window_rank(out, spec.order, spec.partition_by, spec.name, spec.weight)
+        return out
+
+    def key_table(i: int, spec: RankSpec):
+        part_cols = [f"_r{i}p{j}" for j in range(len(spec.partition_by))]
+        key_cols = [f"_r{i}k{j}" for j in range(len(spec.order))]
+        exprs = {**{pc: _expr(p) for pc, p in zip(part_cols, spec.partition_by)},
+                 **{kc: _expr(c) for kc, (c, _) in zip(key_cols, spec.order)}}
+        w = F.count(F.lit(1)) if spec.weight is None else F.sum(spec.weight)
+        keys = df.withColumns(exprs).groupBy(*part_cols, *key_cols).agg(w.alias("_w"))
+        ranked = rank_keys(keys, key_cols, [a for _, a in spec.order], part_cols, "_w", spec.name, buckets,
+                           spec.total)
+        cols = part_cols + key_cols
+        renamed = ranked.select(*[F.col(c).alias(f"{c}_r") for c in cols], spec.name,
+                                *([spec.total] if spec.total else []))
+        return exprs, cols, renamed
+
+    if len(specs) > 1:
+        with ThreadPoolExecutor(max_workers=len(specs)) as pool:  # independent jobs: overlap them
+            tables = list(pool.map(lambda a: key_table(*a), enumerate(specs)))
+    else:
+        tables = [key_table(i, s) for i, s in enumerate(specs)]
+    out = df.withColumns({k: v for exprs, _, _ in tables for k, v in exprs.items()})
+    for _, cols, renamed in tables:
+        out = out.join(renamed, _null_safe_on(out, renamed, [(c, f"{c}_r") for c in cols]))
+        out = out.drop(*[f"{c}_r" for c in cols])
+    return out.drop(*[c for _, cols, _ in tables for c in cols])
+
+
 def rank_over(df: DataFrame, order: Sequence[OrderKey], partition_by: Sequence[str | Column] = (),
               *, name: str, weight: str | None = None, mode: str = "two_pass",
               buckets: int | None = None, total: str | None = None) -> DataFrame:
@@ -136,37 +194,28 @@ def rank_over(df: DataFrame, order: Sequence[OrderKey], partition_by: Sequence[s
 
     ``weight`` names a column of row multiplicities (default: each row counts 1).
     """
-    if mode not in RANK_MODES:
-        raise ValueError(f"mode must be one of {RANK_MODES}, got {mode!r}")
+    return rank_columns(df, [RankSpec(name, order, partition_by, weight, total)], mode, buckets)
+
+
+def percent_rank_columns(df: DataFrame, specs: Sequence[RankSpec], mode: str = "two_pass",
+                         buckets: int | None = None) -> DataFrame:
+    """One PERCENT_RANK() column per spec: (rank - 1) / (rows in partition - 1), 0 for one row."""
     if mode == "window":
-        if total:
-            raise ValueError("total is only produced by the two-pass rank")
-        return _window_rank(df, order, partition_by, name, weight)
-
-    part_cols = [f"_rp{i}" for i in range(len(partition_by))]
-    key_cols = [f"_rk{i}" for i in range(len(order))]
-    tagged = df.withColumns({
-        **{pc: _expr(p) for pc, p in zip(part_cols, partition_by)},
-        **{kc: _expr(c) for kc, (c, _) in zip(key_cols, order)},
-    })
-    w = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    keys = tagged.groupBy(*part_cols, *key_cols).agg(w.alias("_w"))
-    ranked = rank_keys(keys, key_cols, [a for _, a in order], part_cols, "_w", name, buckets, total)
-    renamed = ranked.select(*[F.col(c).alias(f"{c}_r") for c in part_cols + key_cols], name,
-                            *([total] if total else []))
-    on = _null_safe_on(tagged, renamed, [(c, f"{c}_r") for c in part_cols + key_cols])
-    out = tagged.join(renamed, on)
-    return out.drop(*part_cols, *key_cols, *[f"{c}_r" for c in part_cols + key_cols])
+        out = df
+        for spec in specs:
+            sort = [_sort(_expr(c), a) for c, a in spec.order]
+            w = Window.partitionBy(*[_expr(p) for p in spec.partition_by]).orderBy(*sort)
+            out = out.withColumn(spec.name, F.percent_rank().over(w))
+        return out
+    tmp = [RankSpec(f"_{s.name}_rank", s.order, s.partition_by, s.weight, f"_{s.name}_total") for s in specs]
+    out = rank_columns(df, tmp, mode, buckets)
+    for spec, t in zip(specs, tmp):
+        r, n = F.col(t.name), F.col(t.total)
+        out = out.withColumn(spec.name, F.when(n > 1, (r - 1) / (n - 1)).otherwise(F.lit(0.0))).drop(t.name, t.total)
+    return out
 
 
 def percent_rank_over(df: DataFrame, order: Sequence[OrderKey], partition_by: Sequence[str | Column] = (),
                       *, name: str, mode: str = "two_pass", buckets: int | None = None) -> DataFrame:
-    """``df`` plus ``name`` = PERCENT_RANK() = (rank - 1) / (rows in partition - 1), 0 for one row."""
-    if mode == "window":
-        sort = [_sort(_expr(c), a) for c, a in order]
-        w = Window.partitionBy(*[_expr(p) for p in partition_by]).orderBy(*sort)
-        return df.withColumn(name, F.percent_rank().over(w))
-    tmp_rank, tmp_total = f"_{name}_rank", f"_{name}_total"
-    ranked = rank_over(df, order, partition_by, name=tmp_rank, mode=mode, buckets=buckets, total=tmp_total)
-    pr = F.when(F.col(tmp_total) > 1, (F.col(tmp_rank) - 1) / (F.col(tmp_total) - 1)).otherwise(F.lit(0.0))
-    return ranked.withColumn(name, pr).drop(tmp_rank, tmp_total)
+    """``df`` plus ``name`` = PERCENT_RANK() over the given window."""
+    return percent_rank_columns(df, [RankSpec(name, order, partition_by)], mode, buckets)

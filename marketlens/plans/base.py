@@ -15,7 +15,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 
 from marketlens.config import DEFAULT_THRESHOLDS, Thresholds, resolve_limit
-from marketlens.operators.ranking import OrderKey, choose_rank_mode, rank_over
+from marketlens.operators.ranking import OrderKey, choose_rank_mode, rank_columns
+from marketlens.operators.ranking import RankSpec as Rank
 from marketlens.operators.segments import drop_null_keys, join_back, rollup
 from marketlens.operators.topn import top_n
 from marketlens.session import materialize
@@ -75,15 +76,10 @@ def build_plan(
         # when the detail is huge: write it once and size-check it on its own.
         segs, seg_rows = materialize(segs, f"{subject}-segments", count=True)
         segment_mode = choose_rank_mode(segs, seg_rows)
-    ranked_segs = segs
-    ranked_rows = kept
-    for spec in ranks:
-        if spec.on_segments:
-            ranked_segs = rank_over(ranked_segs, spec.order, spec.partition_by, name=spec.name,
-                                    weight=segment_weight, mode=segment_mode)
-        else:
-            ranked_rows = rank_over(ranked_rows, spec.order, spec.partition_by, name=spec.name,
-                                    mode=rank_mode)
+    seg_specs = [Rank(s.name, s.order, s.partition_by, segment_weight) for s in ranks if s.on_segments]
+    row_specs = [Rank(s.name, s.order, s.partition_by) for s in ranks if not s.on_segments]
+    ranked_segs = rank_columns(segs, seg_specs, segment_mode) if seg_specs else segs
+    ranked_rows = rank_columns(kept, row_specs, rank_mode) if row_specs else kept
     joined = join_back(ranked_rows, ranked_segs, keys)
     rows = project(joined, thresholds)
     return SubjectPlan(subject, kept, segs, joined, rows, report_order)

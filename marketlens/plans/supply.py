@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.functions import count_if, exact_avg
-from marketlens.operators.ranking import choose_rank_mode, percent_rank_over
+from marketlens.operators.ranking import RankSpec, choose_rank_mode, percent_rank_columns
 from marketlens.session import materialize
 from marketlens.sources.derived import geo_of
 
@@ -128,8 +128,7 @@ def supplier_scorecard(tables: Mapping[str, DataFrame], rank_mode: str = "auto")
     rate)) + 0.3 (1 - pr(discount)), rounded to 6 places."""
     stats, rows = materialize(supplier_stats(tables), "supplier-stats", count=True)
     mode = choose_rank_mode(stats, rows) if rank_mode == "auto" else rank_mode
-    for col in SCORE_WEIGHTS:
-        stats = percent_rank_over(stats, [(col, True)], name=f"pr_{col}", mode=mode)
+    stats = percent_rank_columns(stats, [RankSpec(f"pr_{c}", [(c, True)]) for c in SCORE_WEIGHTS], mode)
     score = (SCORE_WEIGHTS["volume"] * F.col("pr_volume")
              + SCORE_WEIGHTS["return_rate"] * (1 - F.col("pr_return_rate"))
              + SCORE_WEIGHTS["avg_discount"] * (1 - F.col("pr_avg_discount")))
