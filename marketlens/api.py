@@ -127,3 +127,19 @@ def analyze(
     summary = summarize(basis, subject).withColumn(  # SU-0: when the report was made (UTC)
         "generated_at", F.when(F.col("total_records") > 0, F.current_timestamp()))
     return Report(subject, n, scope, top, summary, messages(insight_rows(basis, subject), language))
+
+
+def handle(body: Mapping[str, object] | None, tables: Mapping[str, DataFrame], *,
+           window: DateWindow = REFERENCE_WINDOW, strict: bool = True) -> dict:
+    """One request body in the reference's fields (question, query_type, limit) to a
+    response dict; a failure gives ``{"success": False, "error", "error_type", ...}``
+    instead of raising, as the reference's handler does (without the HTTP layer)."""
+    body = body or {}
+    query_type = body.get("query_type") or None
+    try:
+        report = analyze(tables, question=body.get("question") or "", query_type=query_type,
+                         limit=body.get("limit"), window=window, strict=strict)
+        return report.response()
+    except Exception as e:  # noqa: BLE001 - reported to the caller, as the reference does
+        return {"success": False, "error": str(e), "error_type": type(e).__name__,
+                "query_type": query_type or "unknown"}

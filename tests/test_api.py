@@ -93,3 +93,16 @@ def test_scratch_removes_materialized_folders(spark):
         paths = list(written)
     assert paths, "the detail and the report rows are materialised"
     assert not any(os.path.exists(p.removeprefix("file:")) for p in paths)
+
+
+def test_handle_request_bodies(spark):
+    from marketlens.api import handle
+    t = tables(spark, SMALL)
+    ok = handle({"question": "kampanya performansı", "limit": 2}, t, window=STUDY_WINDOW)
+    assert ok["success"] and ok["query_type"] == "campaign_performance" and ok["row_count"] == 2
+    empty = handle({"query_type": "price_optimization"}, t)  # reference window: no rows
+    assert empty["success"] and empty["row_count"] == 0 and empty["summary"] == {"total_records": 0}
+    bad = handle({"query_type": "nonsense"}, t)
+    assert not bad["success"] and bad["error_type"] == "ValueError"
+    bad_limit = handle({"question": "prices", "limit": "many"}, t)
+    assert not bad_limit["success"] and bad_limit["error_type"] == "ValueError"
