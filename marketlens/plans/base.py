@@ -62,13 +62,13 @@ def build_plan(
     # Only rows with non-NULL keys survive the inner join-back; ranks are taken
     # over exactly those rows, as the reference ranks after its join.
     kept = drop_null_keys(detail, keys)
-    rows = None
+    n_kept = None
     if cut_detail and rank_mode != "window":
         # The detail feeds the rollup, every rank and the final join: write it
         # once instead of re-running scans and joins of the base tables.
-        kept, rows = materialize(kept, f"{subject}-detail", count=True)
+        kept, n_kept = materialize(kept, f"{subject}-detail", count=True)
     if rank_mode == "auto":
-        rank_mode = choose_rank_mode(kept, rows)
+        rank_mode = choose_rank_mode(kept, n_kept)
     segs = rollup(kept, keys, segment_aggs(thresholds))
     segment_mode = rank_mode
     if rank_mode == "two_pass" and any(spec.on_segments for spec in ranks):
