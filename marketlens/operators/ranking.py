@@ -31,6 +31,7 @@ rows would be: every detail row of a segment shares the segment's value).
 
 from __future__ import annotations
 
+import contextvars
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -177,7 +178,8 @@ def rank_columns(df: DataFrame, specs: Sequence[RankSpec], mode: str = "two_pass
 
     if len(specs) > 1:
         with ThreadPoolExecutor(max_workers=len(specs)) as pool:  # independent jobs: overlap them
-            tables = list(pool.map(lambda a: key_table(*a), enumerate(specs)))
+            futures = [pool.submit(contextvars.copy_context().run, key_table, i, s) for i, s in enumerate(specs)]
+            tables = [f.result() for f in futures]
     else:
         tables = [key_table(i, s) for i, s in enumerate(specs)]
     out = df.withColumns({k: v for exprs, _, _ in tables for k, v in exprs.items()})

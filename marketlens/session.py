@@ -9,8 +9,8 @@ upstream plan (and, for range partitioning, instead of re-sampling borders).
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import tempfile
-import threading
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -77,7 +77,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
-_SCRATCH = threading.local()
+# Folders lists of the scratch blocks in effect; a ContextVar, so work submitted
+# to helper threads with the caller's context is recorded too.
+_SCRATCH: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("marketlens_scratch", default=())
 
 
 @contextlib.contextmanager
@@ -88,15 +90,12 @@ def scratch(spark: SparkSession):
     need before leaving the block.  Without this context the folders stay (the
     caller's storage lifecycle removes them).
     """
-    stack = getattr(_SCRATCH, "stack", None)
-    if stack is None:
-        stack = _SCRATCH.stack = []
     written: list[str] = []
-    stack.append(written)
+    token = _SCRATCH.set(_SCRATCH.get() + (written,))
     try:
         yield written
     finally:
-        stack.pop()
+        _SCRATCH.reset(token)
         jvm = spark.sparkContext._jvm
         conf = spark.sparkContext._jsc.hadoopConfiguration()
         for path in written:
@@ -105,7 +104,7 @@ def scratch(spark: SparkSession):
 
 
 def _remember(path: str) -> None:
-    for written in getattr(_SCRATCH, "stack", None) or []:
+    for written in _SCRATCH.get():
         written.append(path)
 
 

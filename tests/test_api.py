@@ -106,3 +106,19 @@ def test_handle_request_bodies(spark):
     assert not bad["success"] and bad["error_type"] == "ValueError"
     bad_limit = handle({"question": "prices", "limit": "many"}, t)
     assert not bad_limit["success"] and bad_limit["error_type"] == "ValueError"
+
+
+def test_scratch_covers_concurrent_rank_jobs(spark):
+    import os
+    from marketlens.operators.ranking import WINDOW_MAX_ROWS_CONF
+    from marketlens.session import scratch
+    spark.conf.set(WINDOW_MAX_ROWS_CONF, "0")
+    try:
+        with scratch(spark) as written:
+            rep = analyze(tables(spark, SMALL), question="prices", limit=3, window=STUDY_WINDOW)
+            assert rep.rows.count() == 3
+            paths = list(written)
+    finally:
+        spark.conf.unset(WINDOW_MAX_ROWS_CONF)
+    assert sum("rank-keys" in p for p in paths) == 2  # both ranks' key tables, written on helper threads
+    assert not any(os.path.exists(p.removeprefix("file:")) for p in paths)
