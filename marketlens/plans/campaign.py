@@ -42,6 +42,9 @@ def segment_aggs(th: Thresholds) -> list[Column]:
         ratio(revenue, cost).alias("revenue_cost_ratio"),
         # the reference's name; the value is acquisitions per 1000 USD of cost
         (ratio(F.sum("customer_acquisition"), cost) * F.lit(1000)).alias("cost_per_acquisition_usd"),
+        # D4: the same value under an honest name, and the true cost per acquisition
+        (ratio(F.sum("customer_acquisition"), cost) * F.lit(1000)).alias("acquisitions_per_1000_usd"),
+        ratio(cost, F.sum("customer_acquisition")).alias("true_cost_per_acquisition"),
     ]
 
 
@@ -67,6 +70,8 @@ def segment_view(segments: DataFrame) -> DataFrame:
         "total_units_sold",
         F.round("revenue_cost_ratio", 2).alias("segment_revenue_cost_ratio"),
         F.round("cost_per_acquisition_usd", 2).alias("segment_cost_per_acquisition"),
+        F.round("acquisitions_per_1000_usd", 2).alias("segment_acquisitions_per_1000_usd"),
+        F.round("true_cost_per_acquisition", 2).alias("segment_true_cost_per_acquisition"),
     )
 
 
@@ -92,6 +97,8 @@ def project(j: DataFrame, th: Thresholds) -> DataFrame:
         "total_units_sold",
         F.round("revenue_cost_ratio", 2).alias("segment_revenue_cost_ratio"),
         seg_cpa.alias("segment_cost_per_acquisition"),
+        F.round("acquisitions_per_1000_usd", 2).alias("segment_acquisitions_per_1000_usd"),
+        F.round("true_cost_per_acquisition", 2).alias("segment_true_cost_per_acquisition"),
         "roi_rank", "revenue_rank", "efficiency_rank",
         ladder([
             (roi >= th.roi_excellent, L.ROI_EXCELLENT),
