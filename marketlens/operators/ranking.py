@@ -156,7 +156,9 @@ def rank_columns(df: DataFrame, specs: Sequence[RankSpec], mode: str = "two_pass
         raise ValueError(f"mode must be one of {RANK_MODES}, got {mode!r}")
     if mode == "window":
         out = df
-        for spec in specs:
+        # Global windows first: their single partition already satisfies any later
+        # PARTITION BY, so the partitioned windows need no second exchange.
+        for spec in sorted(specs, key=lambda s: len(s.partition_by)):
             if spec.total:
                 raise ValueError("total is only produced by the two-pass rank")
             out = _window_rank(out, spec.order, spec.partition_by, spec.name, spec.weight)
