@@ -61,11 +61,15 @@ def checkpoint_root(spark: SparkSession) -> str:
     refuse instead.
     """
     root = spark.conf.get(CHECKPOINT_CONF, None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
+    try:
+        context = spark.sparkContext  # not available on a Spark Connect session
+    except Exception:  # noqa: BLE001
+        context = None
+    if not root and context is not None:
+        root = context.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    master = spark.sparkContext.master or ""
+    master = (context.master if context is not None else "") or ""
     if not master.startswith("local"):
         raise RuntimeError(
             f"set {CHECKPOINT_CONF} to a folder shared by all executors "
@@ -73,7 +77,7 @@ def checkpoint_root(spark: SparkSession) -> str:
         )
     root = tempfile.mkdtemp(prefix="marketlens-ckpt-")
     spark.conf.set(CHECKPOINT_CONF, root)
-    spark.sparkContext.setCheckpointDir(root)
+    context.setCheckpointDir(root)
     return root
 
 
