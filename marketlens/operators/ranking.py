@@ -6,23 +6,26 @@ of low cardinality (five markets) the same happens five tasks at a time, and a
 hot key holding a third of the rows lands in one task either way.
 
 RANK only depends on the key: ``rank(k) = 1 + #rows with a strictly earlier
-key`` inside the partition.  ``rank_over`` therefore works on the *distinct*
-keys with their row counts (the group-by pre-aggregates map-side, so a hot key
-collapses to one row before any shuffle):
+key`` inside the partition.  ``rank_columns`` / ``rank_over`` therefore work on
+the *distinct* keys with their row counts (the group-by pre-aggregates map-side,
+so a hot key collapses to one row before any shuffle):
 
 1. ``keys``: distinct (partition, order) keys with weight = rows per key;
 2. range-partition the keys table on (partition, order) and tag each row with
    its range bucket; the table is written under the checkpoint root so that the
    sampled borders are frozen (a recomputation cannot move a key to another
    bucket) and lineage is cut;
-3. bucket totals -> exclusive offsets: one row per bucket (bounded by the
-   bucket count we choose), broadcast;
+3. bucket totals -> exclusive offsets: one row per bucket (at most
+   ``spark.sql.shuffle.partitions`` rows, or the ``buckets`` given), broadcast;
 4. rows before a key = bucket offset + running weight inside the bucket
    (a window over one bucket: keys are spread evenly by the range sampling);
 5. with a partition key, subtract the count before the partition's first key;
-6. join the rank back on the keys, null-safe.  The keys table is small after
-   aggregation in practice, so AQE broadcasts it; otherwise the sort-merge join
-   has its skewed partitions split by AQE's skew-join handling.
+6. join the rank back on the keys, null-safe.  When the ranked keys table is
+   under the broadcast threshold AQE broadcasts it; otherwise the sort-merge
+   join has its skewed partitions split by AQE's skew-join handling.
+
+Several ranks of one table build their key tables from that table alone and
+concurrently, then join back one after another.
 
 ``mode="window"`` is the plain ``F.rank()`` window, for inputs known to be small.
 Weights let one input row stand for many (a segment rollup ranked as its detail
