@@ -151,7 +151,7 @@ def apply_price_rules(tables: Mapping[str, DataFrame], rules: Sequence[PriceRule
 RULES_SCHEMA = ("priority int, rule_id string, min_price double, max_price double, min_size int, max_size int, "
                 "adjustment_pct double")
 BROADCAST_RULES_MAX = 10_000   # rules up to this count are broadcast (checked by an exact count)
-PRICE_BUCKET = 50.0            # bucket width of the equi-join path for larger rule tables
+PRICE_BUCKETS = 1024           # buckets over the observed price range (equi-join path, larger rule tables)
 
 
 def rules_frame(spark, rules: Sequence[PriceRule] = DEFAULT_RULES) -> DataFrame:
@@ -167,8 +167,9 @@ def apply_price_rule_table(parts: DataFrame, rules: DataFrame) -> DataFrame:
     broadcast and matched in a nested loop next to each part partition (no
     shuffle of parts).  Larger rule tables use an equi-join on price buckets:
     each rule is exploded over the buckets its range covers, clamped to the
-    observed price range of the parts (two scalars), and the exact range test
-    runs after the join.  The winner per part is ``min_by`` over matches
+    observed price range of the parts (two scalars) and cut into at most
+    PRICE_BUCKETS buckets (so a rule becomes at most that many rows), and the
+    exact range test runs after the join.  The winner per part is ``min_by`` over matches
     (at most one row per matching rule and part); parts with no match keep
     their price with rule_id 'none'.
     """
@@ -183,11 +184,13 @@ def apply_price_rule_table(parts: DataFrame, rules: DataFrame) -> DataFrame:
         if lo is None:
             matches = p.join(rules, F.lit(False), "inner")
         else:
-            first = F.floor(F.greatest(F.col("min_price"), F.lit(lo)) / PRICE_BUCKET)
-            last = F.floor(F.least(F.col("max_price"), F.lit(hi)) / PRICE_BUCKET)
+            width = max((hi - lo) / PRICE_BUCKETS, 1e-9)
+            bucket_of = lambda c: F.floor((c - F.lit(lo)) / F.lit(width))
+            first = bucket_of(F.greatest(F.col("min_price"), F.lit(lo)))
+            last = bucket_of(F.least(F.col("max_price"), F.lit(hi)))
             spread = rules.where(F.col("max_price") > F.lit(lo)).where(F.col("min_price") <= F.lit(hi)).withColumn(
                 "bucket", F.explode(F.sequence(first.cast("bigint"), last.cast("bigint"))))
-            keyed = p.withColumn("bucket", F.floor(price / PRICE_BUCKET).cast("bigint"))
+            keyed = p.withColumn("bucket", bucket_of(price).cast("bigint"))
             matches = keyed.join(spread, "bucket").where(in_range).drop("bucket")
     best = matches.groupBy("p_partkey").agg(
         F.min_by(F.struct("rule_id", "adjustment_pct"), F.struct("priority", "rule_id")).alias("w"))

@@ -51,11 +51,22 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
     return _OPENED[key]
 
 
+_FACTS: dict[tuple[int, str, str], DataFrame] = {}
+
+
+def facts_of(prefix: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subject's report table over a folder: a lazy plan, defined once per session."""
+    key = (id(spark), sf_dir, prefix)
+    if key not in _FACTS:
+        _FACTS[key] = SUBJECTS[prefix][1](tables(spark, sf_dir))
+    return _FACTS[key]
+
+
 def subject_plan(prefix: str, spark: SparkSession, sf_dir: str, **options):
     """The subject's plan over the driver's data, in the 1998 study window by default."""
-    module, facts, _ = SUBJECTS[prefix]
+    module = SUBJECTS[prefix][0]
     options.setdefault("window", STUDY_WINDOW)
-    return module.build(facts(tables(spark, sf_dir)), **options)
+    return module.build(facts_of(prefix, spark, sf_dir), **options)
 
 
 def _subject_queries(prefix: str) -> dict[str, Query]:
@@ -105,7 +116,7 @@ QUERIES.update({
 
 
 def _tracking(spark, d):
-    return derived.competitor_tracking(tables(spark, d))
+    return facts_of("competitor", spark, d)
 
 
 def _all_parts(spark, d):
