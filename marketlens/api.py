@@ -96,6 +96,7 @@ def analyze(
     thresholds: Thresholds = DEFAULT_THRESHOLDS,
     rank_mode: str = "auto",
     language: str = "en",
+    options: Mapping[str, object] | None = None,
 ) -> Report:
     """Build the report for one request.
 
@@ -103,7 +104,8 @@ def analyze(
     ``facts`` instead to use an existing report table with the declared schema.
     ``scope='top_n'`` summarises the returned rows (the reference's behaviour)
     and writes those few rows once so the three outputs share them;
-    ``scope='full'`` summarises every labelled row, lazily.
+    ``scope='full'`` summarises every labelled row, lazily.  ``options`` go to
+    the subject's ``build`` (``cut_detail``; ``iso_dates`` for the promo calendar).
     """
     if scope not in SCOPES:
         raise ValueError(f"scope must be one of {SCOPES}")
@@ -116,7 +118,8 @@ def analyze(
         facts = builder(tables)
     else:
         facts = check_columns(facts, SCHEMAS[subject], subject)
-    plan = module.build(facts, window=window, thresholds=thresholds, rank_mode=rank_mode)
+    plan = module.build(facts, window=window, thresholds=thresholds, rank_mode=rank_mode,
+                        **dict(options or {}))  # e.g. cut_detail, or iso_dates for the promo calendar
     top = plan.report(n)
     if scope == "top_n":
         kept = materialize(top, f"{subject}-report")  # at most 500 rows; order restored below

@@ -122,3 +122,10 @@ def test_scratch_covers_concurrent_rank_jobs(spark):
         spark.conf.unset(WINDOW_MAX_ROWS_CONF)
     assert sum("rank-keys" in p for p in paths) == 2  # both ranks' key tables, written on helper threads
     assert not any(os.path.exists(p.removeprefix("file:")) for p in paths)
+
+
+def test_promo_iso_dates_option_pushes_text_filter(spark):
+    rep = analyze(tables(spark, SMALL), query_type="promotional_planning", limit=5, window=STUDY_WINDOW,
+                  options={"iso_dates": True})
+    base = analyze(tables(spark, SMALL), query_type="promotional_planning", limit=5, window=STUDY_WINDOW)
+    assert rep.rows.collect() == base.rows.collect()

@@ -216,3 +216,23 @@ def test_price_rule_table_paths_agree(spark, monkeypatch):
     monkeypatch.setattr(pricing_ext, "BROADCAST_RULES_MAX", 0)
     bucketed = sorted(pricing_ext.apply_price_rule_table(t["part"], pricing_ext.rules_frame(spark)).collect())
     assert chain == table == bucketed
+
+
+def test_route_requests_table(spark):
+    from marketlens.plans.intent import request_mix, route_requests
+    reqs = spark.createDataFrame([
+        (1, "seasonal schedule", None, None),
+        (2, "anything", "campaign_analysis", 600),
+        (3, "demand", "", 5),
+        (4, None, "nonsense", 10),
+    ], "request_id bigint, question string, query_type string, limit int")
+    lenient = {r.request_id: (r.intent, r.row_limit) for r in route_requests(reqs, strict=False).collect()}
+    assert lenient == {1: ("promotional_calendar", 100), 2: ("campaign_performance", 500),
+                       3: ("price_elasticity", 5), 4: ("competitor_tracking", 10)}
+    with pytest.raises(Exception):
+        route_requests(reqs).collect()  # strict: the unknown type fails the query
+    neg = spark.createDataFrame([(5, "prices", None, -1)], reqs.schema)
+    with pytest.raises(Exception):
+        route_requests(neg).collect()
+    mix = {r.intent: r.requests for r in request_mix(route_requests(reqs, strict=False)).collect()}
+    assert sum(mix.values()) == 4
