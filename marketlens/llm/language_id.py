@@ -2,8 +2,9 @@
 
 Training takes a bounded, documented sample: for each language the ``SAMPLE_DOCS`` labelled
 documents with the smallest hash of (id, text), cut to ``DICTIONARY_BYTES`` in all, as a
-raw-content dictionary.  A text is cut into pieces of ``PIECE_BYTES`` (whole text, all
-pieces), every piece is compressed once with each dictionary, and the language with the
+raw-content dictionary.  Texts are lower-cased and runs of anything but letters become one
+space, so that punctuation, digits and capitals say nothing.  A text is cut into pieces of
+``PIECE_BYTES`` (whole text, all pieces), every piece is compressed once with each dictionary, and the language with the
 fewest bytes over all pieces wins; equal sizes go to the first language by code point.
 Pieces keep a long text from compressing against itself instead of the dictionary, so the
 margin means the same at every length.
@@ -20,6 +21,7 @@ prediction.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,11 +33,13 @@ from pyspark.sql import types as T
 SAMPLE_DOCS = 200
 DICTIONARY_BYTES = 128 << 10
 PIECE_BYTES = 2 << 10
-LEVEL = 3
+LEVEL = 5
 MIN_MARGIN = 0.002
 MAX_LANGUAGES = 1000
 UNDETERMINED = "und"
 
+_OTHER = re.compile(r"[\W\d_]+")
+
 RESULT = T.StructType([
     T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 
@@ -58,7 +62,12 @@ def train_dictionaries(docs: DataFrame, id_col: str, text_col: str, lang_col: st
         if len(found) > MAX_LANGUAGES:
             raise ValueError(f"more than {MAX_LANGUAGES} languages; is {lang_col} a language column?")
     # The end of a raw dictionary is the part nearest to the data, so the sample's order hardly matters.
-    return {lang: "\n".join(t for _, t in sorted(texts)).encode("utf-8", "replace")[:dictionary_bytes] for lang, texts in sorted(found.items())}
+    return {lang: letters_only("\n".join(t for _, t in sorted(texts)))[:dictionary_bytes] for lang, texts in sorted(found.items())}
+
+
+def letters_only(text: str) -> bytes:
+    """The lower-cased letters of a text as UTF-8, other runs as one space."""
+    return _OTHER.sub(" ", text.lower()).encode("utf-8", "surrogatepass")
 
 
 def has_letter(text: str) -> bool:
@@ -74,7 +83,7 @@ def _coder(dictionary: bytes) -> zstandard.ZstdCompressor:
 
 def compressed_sizes(text: str, coders: list[zstandard.ZstdCompressor]) -> list[int]:
     """Bytes of the whole text under each dictionary, piece by piece."""
-    data = memoryview(text.encode("utf-8", "surrogatepass"))
+    data = memoryview(letters_only(text))
     pieces = [data[i : i + PIECE_BYTES] for i in range(0, len(data), PIECE_BYTES)]
     return [sum(len(c.compress(p)) for p in pieces) for c in coders]
 

@@ -71,7 +71,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seq += 1
 
 
-def _pack_words(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _pack_words(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("pos", kind="stable")
     ids = pdf["word_id"].to_numpy(np.float64, na_value=-1).astype(np.int64) + 1  # 0: not in the training texts
     return pd.DataFrame({"block": [key[0]], "vocab": [pack(smallest_uint(ids), smallest_uint(pdf["c"].to_numpy(np.int64)))]})
@@ -134,7 +134,7 @@ def _fragments(n: int, v: int, shards: int):
 
 
 def _shard(folder: str):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         """Merge the fragments, build and map the shard, answer every fragment with the codes of its pairs."""
         pdf = pdf.sort_values("block", kind="stable")
         parts = [unpack(f) for f in pdf["frag"]]
@@ -159,7 +159,7 @@ def _shard(folder: str):
 
 
 def _finish(n: int, v: int, shards: int):
-    def run(key, blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in blocks.to_dict("records"):
             b = _Block(row, n, v)

@@ -14,8 +14,8 @@ at most 3,000,000, so sums are exact and no document can be taken four times.
 
 The prefix sum is two-step: row counts per (source, size, id range) are summed in a window
 over that small table, and positions inside one such cell are numbered in a window of their
-own, so a hot source is spread over its cells.  Only the table of sources and the table of
-sizes see a window over a whole source.
+own, so a hot source is spread over its cells.  Only the table of distinct sizes sees a window
+over a whole source.
 
 Defined cases: a null text has size 0; null source is a source of its own; rows with equal
 ids count as documents of their own and share the draw between them (which one of two equal
@@ -77,10 +77,16 @@ def mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: t
     width = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo") + 1) / F.lit(ID_RANGES)))
     ranged = rows.crossJoin(F.broadcast(bounds)).withColumn("cell", F.coalesce(F.floor((F.col("doc_id") - F.col("lo")) / width), F.lit(-1)).cast("int")).drop("lo", "hi")
     cells = ranged.groupBy("source", "size", "cell").agg(F.count(F.lit(1)).alias("n"))
-    ahead = Window.partitionBy("source").orderBy("size", "cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
-    cells = cells.join(sources, cells["source"].eqNullSafe(sources["source"])).select(
-        cells["source"].alias("s"), F.col("size").alias("z"), F.col("cell").alias("c"), "ahead", "source_size", "target", "per_doc", "offset")
+    # Rows before a cell: those of smaller sizes of the source, and those of the same size in earlier ranges.
+    smaller = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    before = sized.withColumn("smaller", F.coalesce(F.sum("n").over(smaller), F.lit(0))).drop("n")
+    before = before.join(sources, before["source"].eqNullSafe(sources["source"])).select(
+        before["source"].alias("b"), F.col("size").alias("y"), "smaller", "source_size", "target", "per_doc", "offset")
+    earlier = Window.partitionBy("source", "size").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("earlier", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    cells = cells.join(before, cells["source"].eqNullSafe(before["b"]) & (cells["size"] == before["y"])).select(
+        F.col("source").alias("s"), F.col("size").alias("z"), F.col("cell").alias("c"), (F.col("smaller") + F.col("earlier")).alias("ahead"),
+        "source_size", "target", "per_doc", "offset")
     inside = Window.partitionBy("source", "size", "cell").orderBy(F.col("doc_id").asc_nulls_first())
     placed = ranged.withColumn("at", F.row_number().over(inside))
     placed = placed.join(cells, placed["source"].eqNullSafe(F.col("s")) & (placed["size"] == F.col("z")) & (placed["cell"] == F.col("c")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import language_id, line_dedup, lm_scoring, mixing, secret_ledger, warc
+from marketlens.llm import decontamination, language_id, line_dedup, lm_scoring, mixing, page_text, secret_ledger, simhash, vector_dedup, warc
 from marketlens.llm.shared import cut, run_folder, text_crc_mod
 
 
@@ -56,6 +56,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs, "doc_id", "text").select("doc_id", "clean_text", "n_lines", "n_removed")
 
 
+def op6_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Link all vectors of equal label with cosine 0.98 or more."""
+    return vector_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of every document under the source weights 5, 2, 1."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -63,7 +68,30 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_lm_scoring, op3_secrets, op4_language_id, op5_line_dedup, op7_mixing)}
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash of every document and the components at three bits or fewer."""
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op9_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = page_text.extract(_table(spark, sf_dir, "pages"), "page_id", "url", "html")
+    return found.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    hits = decontamination.contaminated(docs, "doc_id", "text", _table(spark, sf_dir, "benchmark"), "item_id", "text")
+    doc, t = decontamination.row_key(docs["doc_id"], docs["text"])
+    joined = docs.join(hits, doc.eqNullSafe(hits["doc"]) & t.eqNullSafe(hits["t"]), "left")
+    return joined.select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"),
+                         F.coalesce("n_overlaps", F.lit(0)).cast("bigint").alias("n_overlaps"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_warc, op2_lm_scoring, op3_secrets, op4_language_id, op5_line_dedup, op6_vector_dedup, op7_mixing, op8_simhash, op9_page_text, op10_decontamination)}
 
 
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
