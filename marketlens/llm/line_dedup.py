@@ -91,6 +91,7 @@ def dedup_lines(docs: DataFrame, id_col: str, text_col: str, window: int = WINDO
     keep = F.filter(F.zip_with(lines, numbered, lambda x, i: F.when(~F.array_contains("gone", i), x)), lambda x: x.isNotNull())
     clean = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(keep, "\n"))
     n_lines = F.coalesce(F.size(F.filter(blank, lambda b: ~b)), F.lit(0))
+    done = found.select("row", clean.alias("clean"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("removed"), F.when(
+        F.col("text").isNull(), 0).otherwise(n_lines).cast("bigint").alias("total"))
     others = [F.col(f"row.`{c}`") for c in docs.columns if c not in (kept, removed, total)]
-    return found.select(*others, clean.alias(kept), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias(removed), F.when(
-        F.col("text").isNull(), 0).otherwise(n_lines).cast("bigint").alias(total))
+    return done.select(*others, F.col("clean").alias(kept), F.col("removed").alias(removed), F.col("total").alias(total))

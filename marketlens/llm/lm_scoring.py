@@ -23,6 +23,7 @@ that was never seen: log10(0.5 / 0.5)); an empty table gives no rows; other colu
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -120,9 +121,9 @@ def _fragments(n: int, v: int, shards: int):
                 trained = np.repeat(b.train.astype(bool), b.lengths)[b.routed]
                 count = np.bincount(b.inverse[trained], minlength=len(b.key))
                 shard, order = b.order(shards)
-                cuts = np.flatnonzero(np.diff(shard[order], prepend=-1)) if len(order) else []
+                edges = [*np.flatnonzero(np.diff(shard[order], prepend=-1)), len(order)]
                 out = {"shard": [], "block": [], "frag": []}
-                for lo, hi in zip(cuts, [*cuts[1:], len(order)], strict=True):
+                for lo, hi in itertools.pairwise(edges):
                     o = order[lo:hi]
                     key = b.key[o]
                     out["shard"].append(int(shard[o[0]]))
