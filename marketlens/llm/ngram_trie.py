@@ -17,12 +17,12 @@ import numpy as np
 
 from marketlens.llm.shared import open_fs
 
-CODE_STEPS = 2048  # quantisation steps per unit of log10
+CODE_STEPS = 256  # quantisation steps per unit of log10
 CODE_MAX = 65535
 
 
 def quantise(log10p: np.ndarray) -> np.ndarray:
-    """Codes of log10 probabilities in (-32, 0]; the error is at most half a step (0.00025)."""
+    """Codes of log10 probabilities in (-256, 0]; the error is at most half a step (0.002)."""
     return np.clip(np.rint(-log10p * CODE_STEPS), 0, CODE_MAX).astype(np.uint16)
 
 

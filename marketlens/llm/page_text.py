@@ -230,7 +230,7 @@ def _shared(depth: int):
                 if short:
                     sigs.append(np.unique(np.array([_short(x) for x in short], np.uint64)))
         if not sigs:
-            return pd.DataFrame({"host": [], "sig": [], "n": []}).astype({"sig": "int64", "n": "int64"})
+            return pd.DataFrame({"host": [], "sig": [], "n": []}).astype({"host": object, "sig": "int64", "n": "int64"})
         value, count = np.unique(np.concatenate(sigs), return_counts=True)
         return pd.DataFrame({"host": key[0], "sig": value.view(np.int64), "n": count})
     return run
