@@ -186,12 +186,8 @@ def _strings(stream: list[str]) -> tuple[np.ndarray, list[tuple[int, int]]]:
     return (np.concatenate(h) if h else np.zeros(0, np.uint64)), list(zip([0, *ends[:-1]], ends, strict=True)) if h else []
 
 
-def _substrings(pdf: pd.DataFrame, depth: int):
-    """Per position of the group's distinct streams: its substring's hash; and where each stream starts.
-
-    A position has a string of ``depth`` words if the stream holds so many from there, and the start of
-    a block shorter than ``depth`` has the whole block as its string.
-    """
+def _substrings(pdf: pd.DataFrame):
+    """The group's streams in order, their words and blocks, where each starts, and all words in a row."""
     distinct = {s: _strings(b.tolist()) for s, b in zip(pdf["stream"].tolist(), pdf["others"], strict=True)}
     order = sorted(distinct)
     parts, at = [], 0
@@ -208,7 +204,7 @@ def _substrings(pdf: pd.DataFrame, depth: int):
 def _shared(depth: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         """Substrings of one group with the number of distinct streams that hold them."""
-        order, distinct, first, tokens = _substrings(pdf, depth)
+        order, distinct, first, tokens = _substrings(pdf)
         sigs, owner = [], []
         if len(tokens):
             rank = suffix_ranks(tokens, depth)
@@ -240,73 +236,78 @@ def _short(words: np.ndarray) -> np.uint64:
     return _prefix_hash(words, len(words))[0]
 
 
-def _extract(depth: int):
-    def run(key: tuple, pages: pd.DataFrame, repeated: pd.DataFrame) -> pd.DataFrame:
-        """Text of every page of a group, without the runs covered by repeated substrings."""
+def _kept(depth: int):
+    def run(key: tuple, streams: pd.DataFrame, repeated: pd.DataFrame) -> pd.DataFrame:
+        """The blocks of each distinct stream without the runs covered by repeated substrings."""
         known = np.sort(repeated["sig"].to_numpy(np.int64).view(np.uint64)) if len(repeated) else np.zeros(0, np.uint64)
-        gone: dict[int, list[np.ndarray]] = {}
-        texts = []
-        for s, others, whole, regions in zip(pages["stream"].tolist(), pages["others"], pages["blocks"], pages["regions"], strict=True):
-            if s not in gone:
-                words, bounds = _strings(others.tolist())
-                covered = np.zeros(len(words) + 1, np.int64)
-                if len(words) >= depth:
-                    hit = np.flatnonzero(np.isin(_prefix_hash(words, depth)[: len(words) - depth + 1], known))
-                    np.add.at(covered, hit, 1)
-                    np.add.at(covered, hit + depth, -1)
-                covered = np.cumsum(covered)[:-1] > 0
-                for a, b in bounds:
-                    if 0 < b - a < depth and np.isin(_short(words[a:b]), known):
-                        covered[a:b] = True
-                gone[s] = [covered[a:b] for a, b in bounds]
-            kept, k = [], 0
-            for block, region in zip(whole, regions, strict=True):
-                if region == IN_MAIN:
-                    kept.append(block)
-                    continue
-                mask = gone[s][k]
-                k += 1
-                if region == BODY and len(mask):
-                    words = block.encode("utf-8", "surrogatepass").split()
-                    kept.append(b" ".join(w for w, g in zip(words, mask, strict=True) if not g).decode("utf-8", "replace") if mask.any() else block)
-            texts.append(" ".join(x for x in kept if x))
-        return pd.DataFrame({"page_id": pages["page_id"], "url": pages["url"], "text": texts})
+        out = []
+        for others in streams["others"]:
+            words, bounds = _strings(others.tolist())
+            covered = np.zeros(len(words) + 1, np.int64)
+            if len(words) >= depth:
+                hit = np.flatnonzero(np.isin(_prefix_hash(words, depth)[: len(words) - depth + 1], known))
+                np.add.at(covered, hit, 1)
+                np.add.at(covered, hit + depth, -1)
+            covered = np.cumsum(covered)[:-1] > 0
+            kept = []
+            for block, (a, b) in zip(others, bounds, strict=True):
+                if 0 < b - a < depth and np.isin(_short(words[a:b]), known):
+                    covered[a:b] = True
+                left = [w for w, gone in zip(block.encode("utf-8", "surrogatepass").split(), covered[a:b], strict=True) if not gone]
+                kept.append(b" ".join(left).decode("utf-8", "replace"))
+            out.append(kept)
+        return pd.DataFrame({"k_host": pd.Series(key[0], index=range(len(out)), dtype=object), "k_stream": streams["stream"].to_numpy(np.int64), "kept": out})
     return run
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per page: the blocks outside main regions."""
+    for batch in batches:
+        others = [[b for b, r in blocks(x) if r != IN_MAIN] for x in batch["html"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch["host"], pa.array(others, pa.list_(pa.string()))], names=["host", "others"])
+
+
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per page: the blocks that may stay, each with its place in the stream (-1: main, kept whole), and the stream."""
     for batch in batches:
-        found = [blocks(x) for x in batch["html"].to_pylist()]
-        whole = [[b for b, _ in f] for f in found]
-        others = [[b for b, r in f if r != IN_MAIN] for f in found]
-        sizes = [sum(len(b) for b in o) for o in others]
+        texts, slots, streams = [], [], []
+        for page in batch["html"].to_pylist():
+            found = blocks(page)
+            others = [b for b, r in found if r != IN_MAIN]
+            place = iter(range(len(others)))
+            at = [-1 if r == IN_MAIN else next(place) for _, r in found]
+            stay = [i for i, (_, r) in enumerate(found) if r != IN_CHROME]
+            texts.append([found[i][0] if at[i] < 0 else "" for i in stay])
+            slots.append([at[i] for i in stay])
+            streams.append(others)
         yield pa.RecordBatch.from_arrays(
-            [batch["page_id"], batch["url"], batch["host"], pa.array(whole, pa.list_(pa.string())), pa.array([[r for _, r in f] for f in found], pa.list_(pa.int32())),
-             pa.array(others, pa.list_(pa.string())), pa.array(sizes, pa.int64())],
-            names=["page_id", "url", "host", "blocks", "regions", "others", "size"])
+            [batch["page_id"], batch["url"], batch["host"], pa.array(texts, pa.list_(pa.string())), pa.array(slots, pa.list_(pa.int32())), pa.array(streams, pa.list_(pa.string()))],
+            names=["page_id", "url", "host", "blocks", "slots", "others"])
 
 
 def extract(pages: DataFrame, id_col: str, url_col: str, html_col: str, depth: int = DEPTH, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """``page_id``, ``url`` and ``text`` of every page."""
+    """``page_id``, ``url`` and ``text`` of every page.
+
+    Pages are parsed twice, so that only the streams are stored and dealt by host; the
+    article text moves once, in the join with the kept runs of the page's stream.
+    """
     if depth & (depth - 1):
         raise ValueError("depth must be a power of two")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     id_type = dict(rows.dtypes)["page_id"]
-    parsed = cut(rows.mapInArrow(_parse, f"page_id {id_type}, url string, host string, blocks array<string>, regions array<int>, others array<string>, size bigint").withColumn(
-        "stream", F.xxhash64("others")), "page-blocks")
-    groups = parsed.groupBy(F.col("host").alias("g_host")).agg(F.ceil(F.sum("size") / F.lit(group_bytes)).cast("int").alias("parts"))
-    dealt = parsed.join(groups, parsed["host"] == groups["g_host"]).withColumn(
-        "part", F.pmod(F.col("stream"), F.greatest(F.lit(1), F.col("parts"))).cast("int"))
-    strings = dealt.select("host", "part", "stream", "others").dropDuplicates(["host", "part", "stream"])
-    shared = strings.groupBy("host", "part").applyInPandas(_shared(depth), "host string, sig bigint, n bigint")
+    stream = F.xxhash64("others").alias("stream")
+    found = rows.select("host", "html").mapInArrow(_streams, "host string, others array<string>").select("host", stream, "others")
+    distinct = cut(found.groupBy("host", "stream").agg(F.first("others").alias("others")), "page-streams")
+    size = F.aggregate("others", F.lit(0), lambda n, b: n + F.length(b))
+    parts = distinct.groupBy(F.col("host").alias("p_host")).agg(F.greatest(F.lit(1), F.ceil(F.sum(size) / F.lit(group_bytes))).cast("int").alias("parts"))
+    dealt = distinct.join(parts, distinct["host"] == parts["p_host"]).select("host", F.pmod("stream", F.col("parts")).cast("int").alias("part"), "stream", "others")
+    shared = dealt.groupBy("host", "part").applyInPandas(_shared(depth), "host string, sig bigint, n bigint")
     repeated = cut(shared.groupBy("host", "sig").agg(F.sum("n").alias("n")).filter("n > 1").select("host", "sig"), "page-repeats")
-    # Pages are dealt once more, by page, so that copies of one page spread; each group gets its host's repeated strings.
-    return _apply(dealt, repeated, depth, id_type)
-
-
-def _apply(dealt: DataFrame, repeated: DataFrame, depth: int, id_type: str) -> DataFrame:
-    pages = dealt.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.greatest(F.lit(1), F.col("parts"))).cast("int"))
-    parts = pages.select(F.col("host").alias("p_host"), "part").distinct()
-    known = repeated.join(parts, repeated["host"] == parts["p_host"]).select("host", "part", "sig").toDF("host", "part", "sig")
-    return pages.groupBy("host", "part").cogroup(known.groupBy("host", "part")).applyInPandas(
-        _extract(depth), f"page_id {id_type}, url string, text string")
+    known = repeated.join(dealt.select("host", "part").distinct(), "host").select("host", "part", "sig").toDF("host", "part", "sig")
+    kept = dealt.groupBy("host", "part").cogroup(known.groupBy("host", "part")).applyInPandas(
+        _kept(depth), "k_host string, k_stream bigint, kept array<string>")
+    parsed = rows.mapInArrow(_pages, f"page_id {id_type}, url string, host string, blocks array<string>, slots array<int>, others array<string>").select(
+        "page_id", "url", "host", "blocks", "slots", stream)
+    joined = parsed.join(kept, (parsed["host"] == F.col("k_host")) & (parsed["stream"] == F.col("k_stream")), "left")
+    runs = F.zip_with("blocks", "slots", lambda b, i: F.when(i < 0, b).otherwise(F.try_element_at("kept", i + 1)))
+    return joined.select("page_id", "url", F.array_join(F.filter(runs, lambda x: F.length(x) > 0), " ").alias("text"))
