@@ -9,8 +9,8 @@ candidate pair is verified by cosine in double precision, so a link below the th
 never appears; measured recall is in the README.
 
 Equal vectors (same group, same components) are one class from the start, counted with a
-partial aggregate.  A bucket is cut into parts of about ``PART`` members by hash, and pairs of
-parts are dealt apart, so a bucket that holds a third of all vectors is many small tasks.  A
+partial aggregate.  A bucket is cut into parts of about ``PART`` members by hash, pairs of parts
+are dealt in batches of bounded size, so a bucket that holds a third of all vectors is many small tasks.  A
 pair that meets in several buckets counts once, in the first table (and probe) where it meets.
 Parts return one row per member with its number of links, and a spanning forest of links;
 pairs are never emitted.
@@ -40,6 +40,8 @@ TABLES = 5
 HASHES = 2
 PROBES = 2
 PART = 512
+BATCH = 20_000
+STEP = 1 << 16  # pairs compared at once
 SEED = 7
 
 
@@ -124,48 +126,52 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _compare(threshold: float):
-    slots = 1 + PROBES
+def _pairs(looking: np.ndarray, stored: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i, j) with looking[i] == stored[j], for sorted bucket numbers, about STEP at a time."""
+    lo, hi = np.searchsorted(stored, looking, "left"), np.searchsorted(stored, looking, "right")
+    total = np.cumsum(hi - lo)
+    at = 0
+    while at < len(looking):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + STEP, "right")))
+        n = (hi - lo)[at:end]
+        i = np.repeat(np.arange(at, end), n)
+        yield i, np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[at:end], n)
+        at = end
 
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"node": [], "links": [], "a": [], "b": []}).astype("int64")
-        if left.empty or right.empty:
-            return empty
-        table = int(key[2])
-        xs, ys = _vectors(left["vec"], int(key[1])), _vectors(right["vec"], int(key[1]))
-        kx = np.stack([np.frombuffer(v, np.int64).reshape(TABLES, slots) for v in left["keys"]])
-        ky = np.stack([np.frombuffer(v, np.int64).reshape(TABLES, slots) for v in right["keys"]])
-        nx, ny = left["node"].to_numpy(np.int64), right["node"].to_numpy(np.int64)
-        cx, cy = left["n"].to_numpy(np.int64), right["n"].to_numpy(np.int64)
-        own_x = left["slot"].to_numpy() == 0
-        # Left members look (own bucket or probe), right members are stored.  A pair whose own buckets
-        # are equal is met twice, from both sides; the side with the smaller node counts.
-        near = (xs @ ys.T >= threshold - 1e-9) & (nx[:, None] != ny[None, :]) & (~own_x[:, None] | (nx[:, None] < ny[None, :]))
-        i, j = np.nonzero(near)
-        exact = np.einsum("ij,ij->i", xs[i], ys[j]) >= threshold
-        i, j = i[exact], j[exact]
-        fresh = np.ones(len(i), bool)
-        for t in range(table):
-            a, b = kx[i, t], ky[j, t]
-            fresh &= ~((a == b[:, :1]).any(1) | (a[:, :1] == b).any(1))
-        a, b = kx[i, table], ky[j, table]
-        # In this table: equal own buckets come first, then the probe from the smaller node.
-        probing = ~own_x[i]
-        fresh &= ~(probing & ((a[:, 0] == b[:, 0]) | ((nx[i] > ny[j]) & (b == a[:, :1]).any(1))))
-        slot = left["slot"].to_numpy()[i]
-        fresh &= ~probing | (np.argmax(a == b[:, :1], axis=1) == slot)  # two probes of one member into one bucket
-        i, j = i[fresh], j[fresh]
-        if not len(i):
-            return empty
-        count: dict[int, int] = {}
-        for nodes, other in ((nx[i], cy[j]), (ny[j], cx[i])):
-            u, at = np.unique(nodes, return_inverse=True)
-            for node, c in zip(u.tolist(), np.bincount(at, weights=other).tolist(), strict=True):
-                count[node] = count.get(node, 0) + int(c)
+
+def _compare(threshold: float):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """Verified links of a batch of buckets: per node their number, and a spanning forest."""
+        pdf = pdf.assign(home=pdf.groupby(["grp", "tab", "bucket", "lpart", "rpart"], sort=False).ngroup()).sort_values("home", kind="stable")
+        left, right = pdf[~pdf["stored"]], pdf[pdf["stored"]]
+        xs, ys = (_vectors(x["vec"], int(key[0])) if len(x) else np.zeros((0, 1)) for x in (left, right))
+        kx, ky = (np.stack([np.frombuffer(v, np.int64).reshape(TABLES, 1 + PROBES) for v in x["keys"]]) if len(x) else None for x in (left, right))
+        (nx, cx), (ny, cy) = ((x["node"].to_numpy(np.int64), x["n"].to_numpy(np.int64)) for x in (left, right))
+        slot, table = left["slot"].to_numpy(), left["tab"].to_numpy()
+        ends: list[tuple[np.ndarray, np.ndarray]] = []
+        for i, j in _pairs(left["home"].to_numpy(), right["home"].to_numpy()):
+            # Left members look (own bucket or probe), right members are stored.  Where both own buckets
+            # are equal the pair is met from both sides; the side with the smaller node counts.
+            some = (nx[i] != ny[j]) & ((slot[i] > 0) | (nx[i] < ny[j]))
+            i, j = i[some], j[some]
+            near = np.einsum("ij,ij->i", xs[i], ys[j]) >= threshold
+            i, j = i[near], j[near]
+            fresh = np.ones(len(i), bool)
+            for t in range(TABLES):  # met in an earlier table
+                a, b = kx[i, t], ky[j, t]
+                fresh &= ~((t < table[i]) & ((a == b[:, :1]).any(1) | (a[:, :1] == b).any(1)))
+            a, b = kx[i, table[i]], ky[j, table[i]]
+            # In this table: equal own buckets come first, then the probe from the smaller node, then its first such probe.
+            probing = slot[i] > 0
+            fresh &= ~(probing & ((a[:, 0] == b[:, 0]) | ((nx[i] > ny[j]) & (b == a[:, :1]).any(1))))
+            fresh &= ~probing | (np.argmax(a == b[:, :1], axis=1) == slot[i])
+            ends.append((i[fresh], j[fresh]))
+        i, j = (np.concatenate(x) for x in zip(*ends, strict=True)) if ends else (np.zeros(0, np.int64),) * 2
+        nodes, at = np.unique(np.concatenate([nx[i], ny[j]]), return_inverse=True)
+        links = np.bincount(at, weights=np.concatenate([cy[j], cx[i]]), minlength=len(nodes)).astype(np.int64)
         a, b = forest(nx, ny, iter([(i, j)]))
-        pad = len(count) + len(a)
-        return pd.DataFrame({"node": list(count) + [-1] * len(a), "links": list(count.values()) + [0] * len(a),
-                             "a": [-1] * len(count) + a, "b": [-1] * len(count) + b}, index=range(pad)).astype("int64")
+        return pd.DataFrame({"node": np.concatenate([nodes, np.full(len(a), -1)]), "links": np.concatenate([links, np.zeros(len(a), np.int64)]),
+                             "a": np.concatenate([np.full(len(nodes), -1), a]), "b": np.concatenate([np.full(len(nodes), -1), b])}).astype("int64")
     return run
 
 
@@ -190,8 +196,8 @@ def near_duplicates(vectors: DataFrame, id_col: str, vector_col: str, group_col:
     stored = F.count(F.when(F.col("slot") == 0, 1))
     # Only buckets that somebody is stored in and somebody else looks into go on.
     sizes = looks.groupBy(*home).agg(stored.alias("n_stored"), F.count(F.lit(1)).alias("n_looks")).filter("n_stored > 0 and n_looks > 1")
-    sizes = sizes.select(*home, F.ceil(F.col("n_looks") / F.lit(PART)).cast("int").alias("lparts"), F.ceil(F.col("n_stored") / F.lit(PART)).cast("int").alias("rparts"))
-    alive = looks.join(sizes, home).join(units.select("node", "n", "vec", "keys"), "node")
+    sizes = cut(sizes.withColumns({"lparts": F.ceil(F.col("n_looks") / F.lit(PART)).cast("int"), "rparts": F.ceil(F.col("n_stored") / F.lit(PART)).cast("int")}), "vec-buckets")
+    alive = looks.join(sizes.drop("n_stored", "n_looks"), home).join(units.select("node", "n", "vec", "keys"), "node")
     part = lambda parts: F.pmod(F.xxhash64("node"), F.col(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
     # A bucket is compared as lparts x rparts pairs of parts; each side is sent once per part of the other.
@@ -199,8 +205,11 @@ def near_duplicates(vectors: DataFrame, id_col: str, vector_col: str, group_col:
     right = alive.filter("slot = 0").withColumn("rpart", part("rparts")).withColumn("lpart", every("lparts"))
     by = [*home, "lpart", "rpart"]
     cols = ["node", "n", "vec", "keys", "slot", *by]
-    # toDF gives the right side columns of its own (both come from one frame)
-    met = left.select(*cols).groupBy(*by).cogroup(right.select(*cols).toDF(*cols).groupBy(*by)).applyInPandas(_compare(threshold), "node bigint, links bigint, a bigint, b bigint")
+    both = left.select(*cols, F.lit(False).alias("stored")).unionByName(right.select(*cols, F.lit(True).alias("stored")))
+    # Buckets are small: many of them, by hash, make one batch of about BATCH rows.
+    rows = sizes.agg(F.coalesce(F.sum(F.col("n_looks") * F.col("rparts") + F.col("n_stored") * F.col("lparts")), F.lit(0))).first()[0]
+    batch = F.pmod(F.xxhash64(*by), F.lit(max(1, rows // BATCH))).alias("batch")
+    met = both.withColumn("batch", batch).groupBy("dim", "batch").applyInPandas(_compare(threshold), "node bigint, links bigint, a bigint, b bigint")
     met = cut(met, "vec-links")
     counted = met.filter("node >= 0").groupBy(F.col("node").alias("c_node")).agg(F.sum("links").alias("links"))
     found = connected_components(met.filter("a >= 0").select("a", "b"))
