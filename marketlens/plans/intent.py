@@ -55,15 +55,14 @@ MODES = ("first_match", "score")
 # ---- single request (driver-side helper) -------------------------------------
 
 def detect(question: str | None, mode: str = "first_match") -> str:
-    q = (question or "").lower()
-    if mode == "first_match":
-        for intent, words in KEYWORDS.items():
-            if any(w in q for w in words):
-                return intent
-        return DEFAULT_INTENT
-    scores = {i: sum(1 for w in set(ws) if w in q) for i, ws in KEYWORDS.items()}
-    best = max(scores.values())
-    return next(i for i, s in scores.items() if s == best) if best else DEFAULT_INTENT
+    """Intent of one text: the most hits, or any hit, ties in table order; none is the default."""
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}")
+    text = (question or "").lower()
+    hits = {intent: len({w for w in words if w in text}) for intent, words in KEYWORDS.items()}
+    weight = {"first_match": bool, "score": int}[mode]
+    best = max(hits, key=lambda intent: weight(hits[intent]))
+    return best if hits[best] else DEFAULT_INTENT
 
 
 def route(question: str | None = None, query_type: str | None = None, strict: bool = True,
@@ -147,3 +146,20 @@ def conversation_questions(conversations: DataFrame) -> DataFrame:
     """User turns of a conversation log as routing requests (whole texts)."""
     return conversations.where(F.col("role") == "user").select(
         "conv_id", "turn", F.col("text").alias("question"))
+
+
+def varied_requests(conversations: DataFrame) -> DataFrame:
+    """User turns as full requests (question, query_type, limit) that reach every routing rule.
+
+    The request kind follows from (conv_id + turn) mod 12: each accepted name, an unknown
+    name, an empty name, and questions for the intents that the turns' own texts never reach.
+    """
+    kind = (F.col("conv_id") + F.col("turn")) % 12
+    names = F.array(*[F.lit(a) for a in ALIASES], F.lit("no_such_report"), F.lit(""))
+    limits = F.array(F.lit(-5), F.lit(0), F.lit(250), F.lit(9999))
+    question = F.when(kind == 9, "Kampanya ROI").when(kind == 10, "demand sensitivity?").when(
+        kind == 11, "SEASONAL calendar").otherwise(F.col("text"))
+    at = (kind + 1).cast("int")
+    return conversations.where(F.col("role") == "user").select(
+        "conv_id", "turn", question.alias("question"), F.try_element_at(names, at).alias("query_type"),
+        F.try_element_at(limits, at).alias("limit"))

@@ -1,20 +1,18 @@
 """Label texts of the four reports.
 
 Fixed values: these strings must equal the reference's labels byte for byte
-(emoji included; U+FE0F is the emoji variation selector that follows some
-symbols).  Listed per column, branches in evaluation order, default last.
+(emoji included; some symbols are followed by the emoji variation selector U+FE0F).
+Listed per column, branches in evaluation order, default last.
 """
 
-VS = "\ufe0f"
-
 # ---- fixed values: competitor tracking ---------------------------------------
 DOMINANT = "🏆 Dominant Market Position"
 STRONG_ADVANTAGE = "💰 Strong Price Advantage"
-PARITY = f"⚖{VS} Competitive Parity"
+PARITY = "⚖️ Competitive Parity"
 DISADVANTAGE = "🔴 Price Disadvantage"
 NEUTRAL = "📊 Neutral Position"
 
-PROMO_PRESSURE = f"⚠{VS} Competitor Promotional Pressure"
+PROMO_PRESSURE = "⚠️ Competitor Promotional Pressure"
 PROMO_ACTIVITY = "🎯 Competitor Promo Activity"
 STANDARD_ENVIRONMENT = "📊 Standard Competitive Environment"
 
@@ -51,14 +49,14 @@ ACQUISITION_LOW = "📉 Low Acquisition Campaign"
 
 # ---- fixed values: price elasticity ------------------------------------------
 SENSITIVITY_HIGH = "🔴 Highly Price Sensitive"
-SENSITIVITY_MODERATE = f"⚠{VS} Moderately Price Sensitive"
+SENSITIVITY_MODERATE = "⚠️ Moderately Price Sensitive"
 SENSITIVITY_LOW = "💎 Low Price Sensitivity"
 
 STRONG_INCREASE = "📈 Strong Price Increase Opportunity"
 INCREASE = "💰 Price Increase Opportunity"
 STRATEGIC_DECREASE = "🎯 Strategic Price Decrease"
 DECREASE = "📉 Price Reduction Recommended"
-MAINTAIN = f"⚖{VS} Maintain Current Pricing"
+MAINTAIN = "⚖️ Maintain Current Pricing"
 
 IMPACT_HIGH = "🚀 High Revenue Impact Potential"
 IMPACT_SIGNIFICANT = "📈 Significant Revenue Impact"
@@ -76,8 +74,8 @@ GOOD_IMPACT = "📈 Good Impact Campaign"
 MODERATE_IMPACT = "📊 Moderate Impact Campaign"
 LOW_IMPACT = "📉 Low Impact Campaign"
 
-BATTLEGROUND = f"⚔{VS} Competitive Battleground"
-HIGH_RESPONSE = f"⚠{VS} High Competitive Response Expected"
+BATTLEGROUND = "⚔️ Competitive Battleground"
+HIGH_RESPONSE = "⚠️ High Competitive Response Expected"
 MODERATE_COMPETITION = "📊 Moderate Competition"
 LOW_PRESSURE = "✅ Low Competitive Pressure"
 
@@ -92,6 +90,6 @@ BUDGET_STANDARD = "💵 Standard Campaign Budget"
 BUDGET_LIMITED = "💳 Limited Budget Campaign"
 
 DURATION_EXTENDED = "📅 Extended Campaign Period"
-DURATION_STANDARD = f"🗓{VS} Standard Campaign Period"
+DURATION_STANDARD = "🗓️ Standard Campaign Period"
 DURATION_SHORT = "⚡ Short Campaign Period"
 DURATION_FLASH = "🚀 Flash Campaign"

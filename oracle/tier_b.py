@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from marketlens.plans.pricing_ext import COST_SHARE, DEFAULT_RULES, GRID
-from marketlens.plans.supply import LATE_DAYS, SCORE_WEIGHTS
+from oracle.fixed_values import COST_SHARE, GRID, LATE_DAYS, PRICE_RULES, SCORE_WEIGHTS
 from oracle.mapping import MAPPING
 
 GEO = """geo AS (SELECT n.n_nationkey, n.n_name, r.r_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey)"""
@@ -114,18 +113,14 @@ def market_entries() -> str:
     return f"""
 WITH {CT},
 seen AS (SELECT DISTINCT market, CAST(date_trunc('month', tracking_date) AS DATE) AS month, competitor FROM competitor_tracking),
-prev AS (SELECT market, CAST(month + INTERVAL 1 MONTH AS DATE) AS month, competitor FROM seen),
-e AS (SELECT market, month, COUNT(*) AS entrants FROM seen s
-      WHERE NOT EXISTS (SELECT 1 FROM prev p WHERE p.market = s.market AND p.month = s.month AND p.competitor = s.competitor)
-      GROUP BY 1, 2),
-l AS (SELECT market, month, COUNT(*) AS leavers FROM prev p
-      WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE p.market = s.market AND p.month = s.month AND p.competitor = s.competitor)
-      GROUP BY 1, 2),
-a AS (SELECT market, month, COUNT(*) AS competitors FROM seen GROUP BY 1, 2),
-k AS (SELECT market, month FROM a UNION SELECT market, month FROM e UNION SELECT market, month FROM l)
-SELECT k.market, k.month, COALESCE(a.competitors, 0) AS competitors, COALESCE(e.entrants, 0) AS entrants,
-       COALESCE(l.leavers, 0) AS leavers
-FROM k LEFT JOIN a USING (market, month) LEFT JOIN e USING (market, month) LEFT JOIN l USING (market, month)"""
+ends AS (SELECT MIN(month) AS lo, MAX(month) AS hi FROM seen),
+grid AS (SELECT market, competitor, CAST(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS DATE) AS month, lo
+         FROM (SELECT DISTINCT market, competitor FROM seen) c, ends),
+state AS (SELECT g.*, s.month IS NOT NULL AS here, LAG(s.month IS NOT NULL) OVER (PARTITION BY g.market, g.competitor ORDER BY g.month) AS before
+          FROM grid g LEFT JOIN seen s ON g.market = s.market AND g.competitor = s.competitor AND g.month = s.month)
+SELECT market, month, COUNT(*) FILTER (here) AS competitors, COUNT(*) FILTER (here AND NOT before) AS entrants,
+       COUNT(*) FILTER (NOT here AND before) AS leavers
+FROM state GROUP BY 1, 2 HAVING COUNT(*) FILTER (here OR before) > 0"""
 
 
 def market_forecast(horizon: int = 3) -> str:
@@ -152,11 +147,10 @@ FROM b LEFT JOIN s ON b.market = s.market AND b.cal_month = s.cal_month"""
 
 def price_rules() -> str:
     arms_id, arms_adj = [], []
-    for r in sorted(DEFAULT_RULES, key=lambda r: r.priority):
-        cond = (f"p_retailprice >= CAST({r.min_price!r} AS DOUBLE) AND p_retailprice < CAST({r.max_price!r} AS DOUBLE) "
-                f"AND p_size BETWEEN {r.min_size} AND {r.max_size}")
-        arms_id.append(f"WHEN {cond} THEN '{r.rule_id}'")
-        arms_adj.append(f"WHEN {cond} THEN CAST({r.adjustment_pct!r} AS DOUBLE)")
+    for _, rule, low, high, small, large, change in sorted(PRICE_RULES):
+        cond = f"p_retailprice >= CAST({low!r} AS DOUBLE) AND p_retailprice < CAST({high!r} AS DOUBLE) AND p_size BETWEEN {small} AND {large}"
+        arms_id.append(f"WHEN {cond} THEN '{rule}'")
+        arms_adj.append(f"WHEN {cond} THEN CAST({change!r} AS DOUBLE)")
     return f"""
 SELECT p_partkey, p_type, p_size, p_retailprice, CASE {' '.join(arms_id)} ELSE 'none' END AS rule_id,
        ROUND(p_retailprice * (CAST(1.0 AS DOUBLE) + (CASE {' '.join(arms_adj)} ELSE CAST(0.0 AS DOUBLE) END) / CAST(100.0 AS DOUBLE)), 2) AS new_price
@@ -191,14 +185,14 @@ price_elasticity AS ({MAPPING['price_elasticity']}),
 e AS (SELECT product_category, {xavg('elasticity_coefficient')} AS e FROM price_elasticity GROUP BY 1),
 g AS (SELECT p.p_partkey, p.p_type, p.p_retailprice AS p0, e.e, CAST(i AS BIGINT) AS i,
              ROUND(p.p_retailprice * (CAST({start!r} AS DOUBLE) + CAST({step!r} AS DOUBLE) * i), 2) AS price
-      FROM part p JOIN e ON p.p_type = e.product_category, range(0, {n}) r(i)),
+      FROM part p LEFT JOIN e ON p.p_type = e.product_category, range(0, {n}) r(i)),
 pr AS (SELECT *, ROUND((price - p0 * CAST({COST_SHARE!r} AS DOUBLE)) * pow(price / p0, -e), 6) AS profit FROM g),
 best AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY p_partkey ORDER BY profit DESC, price DESC) AS rn FROM pr) t
          WHERE rn = 1),
 opt AS (
-  SELECT p_partkey, p_type, p0 AS base_price, ROUND(e, 6) AS elasticity, price AS best_price,
+  SELECT p_partkey, p_type, p0 AS base_price, ROUND(e, 6) AS elasticity, IF(e IS NULL, NULL, price) AS best_price,
          ROUND(profit / (p0 - p0 * CAST({COST_SHARE!r} AS DOUBLE)), 6) AS profit_index,
-         ROUND(100.0 * (price - p0 * CAST({COST_SHARE!r} AS DOUBLE)) / price, 4) AS margin_pct
+         IF(e IS NULL, NULL, ROUND(100.0 * (price - p0 * CAST({COST_SHARE!r} AS DOUBLE)) / price, 4)) AS margin_pct
   FROM best)"""
 
 
@@ -223,22 +217,21 @@ FROM s"""
 def product_competitor_prices() -> str:
     return f"""
 WITH {CT},
-d AS (SELECT * FROM competitor_tracking WHERE tracking_date BETWEEN DATE '1998-01-01' AND DATE '1998-12-31'),
 pc AS (SELECT product_category, COUNT(*) AS observations, COUNT(DISTINCT competitor) AS competitors,
               {xavg('competitor_price_usd')} AS avg_competitor_price, {xavg('price_gap_pct')} AS avg_price_gap_pct
-       FROM d GROUP BY 1)
-SELECT p.p_partkey, pc.product_category, observations, competitors,
+       FROM competitor_tracking GROUP BY 1)
+SELECT p.p_partkey, p.p_type AS product_category, COALESCE(observations, 0) AS observations, COALESCE(competitors, 0) AS competitors,
        ROUND(avg_competitor_price, 2) AS avg_competitor_price, ROUND(avg_price_gap_pct, 2) AS avg_price_gap_pct
 FROM (SELECT DISTINCT p_partkey FROM part) w JOIN part p ON w.p_partkey = p.p_partkey
-JOIN pc ON p.p_type = pc.product_category"""
+LEFT JOIN pc ON p.p_type = pc.product_category"""
 
 
 def product_supplier_performance() -> str:
     return "WITH" + _scorecard_cte() + """,
 pairs AS (SELECT DISTINCT l_partkey AS p_partkey, l_suppkey AS supplier_key FROM lineitem
           WHERE l_partkey IN (SELECT p_partkey FROM part))
-SELECT pairs.p_partkey, pairs.supplier_key, volume, return_rate, score
-FROM pairs JOIN card ON pairs.supplier_key = card.supplier_key"""
+SELECT w.p_partkey, pairs.supplier_key, volume, return_rate, score
+FROM (SELECT DISTINCT p_partkey FROM part) w LEFT JOIN (pairs JOIN card ON pairs.supplier_key = card.supplier_key) ON w.p_partkey = pairs.p_partkey"""
 
 
 def product_optimal_price() -> str:
@@ -258,8 +251,8 @@ FROM u GROUP BY ROLLUP (brand, market)"""
 
 def price_rule_table() -> str:
     """Same rules as a table: range join, lowest priority wins (ties by rule id)."""
-    vals = ", ".join(f"({r.priority}, '{r.rule_id}', CAST({r.min_price!r} AS DOUBLE), CAST({r.max_price!r} AS DOUBLE), "
-                     f"{r.min_size}, {r.max_size}, CAST({r.adjustment_pct!r} AS DOUBLE))" for r in DEFAULT_RULES)
+    vals = ", ".join(f"({p}, '{rule}', CAST({low!r} AS DOUBLE), CAST({high!r} AS DOUBLE), {small}, {large}, CAST({change!r} AS DOUBLE))"
+                     for p, rule, low, high, small, large, change in PRICE_RULES)
     return f"""
 WITH rules(priority, rule_id, min_price, max_price, min_size, max_size, adjustment_pct) AS (VALUES {vals}),
 m AS (SELECT p.p_partkey, r.rule_id, r.adjustment_pct,
@@ -305,3 +298,28 @@ FROM g WHERE window_start + INTERVAL 1 HOUR <= (SELECT MAX(ts) FROM e) - INTERVA
 
 
 TIER_B["tb_price_stream"] = price_stream
+
+
+def rounding_on_text(sql: str) -> str:
+    """Every ``ROUND(x, n)`` on the decimal text of x: Spark rounds the printed value, DuckDB the binary one."""
+    out, rest = "", sql
+    while "ROUND(" in rest:
+        head, _, rest = rest.partition("ROUND(")
+        depth, commas = 1, []
+        for k, ch in enumerate(rest):
+            depth += (ch == "(") - (ch == ")")
+            if ch == "," and depth == 1:
+                commas.append(k)
+            if depth == 0:
+                break
+        inner, rest = rest[:k], rest[k + 1:]
+        if commas:
+            value, places = rounding_on_text(inner[:commas[-1]]), inner[commas[-1] + 1:].strip()
+            out += f"{head}CAST(ROUND_(CAST(CAST({value} AS VARCHAR) AS DECIMAL(38,17)), {places}) AS DOUBLE)"
+        else:
+            out += f"{head}ROUND_({rounding_on_text(inner)})"
+    return out + rest
+
+
+def tier_b() -> dict[str, str]:
+    return {name: rounding_on_text(build()).replace("ROUND_(", "ROUND(") for name, build in TIER_B.items()}
