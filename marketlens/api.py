@@ -24,7 +24,7 @@ from marketlens.plans.intent import route
 from marketlens.plans.messages import messages
 from marketlens.plans.summary import summarize
 from marketlens.operators.topn import full_order
-from marketlens.session import materialize
+from marketlens.session import delete_folders, materialize, recording
 from marketlens.sources import derived
 from marketlens.sources.schemas import SCHEMAS, check_columns
 
@@ -45,6 +45,17 @@ class Report:
     rows: DataFrame
     summary: DataFrame
     insights: DataFrame
+    folders: tuple[str, ...] = ()  # intermediate tables this report wrote and still reads
+
+    def close(self) -> None:
+        """Delete the report's intermediate tables; its DataFrames cannot be read afterwards."""
+        delete_folders(self.rows.sparkSession, self.folders)
+
+    def __enter__(self) -> Report:
+        return self
+
+    def __exit__(self, *exc) -> None:
+        self.close()
 
     def response(self) -> dict:
         """The reference's response shape as a dict (rows at most the limit, so at most 500).
@@ -94,7 +105,7 @@ def analyze(
     strict: bool = True,
     facts: DataFrame | None = None,
     thresholds: Thresholds = DEFAULT_THRESHOLDS,
-    rank_mode: str = "auto",
+    rank_mode: str = "two_pass",
     language: str = "en",
     options: Mapping[str, object] | None = None,
 ) -> Report:
@@ -118,18 +129,19 @@ def analyze(
         facts = builder(tables)
     else:
         facts = check_columns(facts, SCHEMAS[subject], subject)
-    plan = module.build(facts, window=window, thresholds=thresholds, rank_mode=rank_mode,
-                        **dict(options or {}))  # e.g. cut_detail, or iso_dates for the promo calendar
-    top = plan.report(n)
-    if scope == "top_n":
-        kept = materialize(top, f"{subject}-report")  # at most 500 rows; order restored below
-        top = kept.orderBy(*full_order(kept, plan.report_order(kept)))
-        basis = kept
-    else:
-        basis = plan.rows
-    summary = summarize(basis, subject).withColumn(  # SU-0: when the report was made (UTC)
-        "generated_at", F.when(F.col("total_records") > 0, F.current_timestamp()))
-    return Report(subject, n, scope, top, summary, messages(insight_rows(basis, subject), language))
+    with recording() as folders:
+        plan = module.build(facts, window=window, thresholds=thresholds, rank_mode=rank_mode,
+                            **dict(options or {}))  # e.g. cut_detail, or iso_dates for the promo calendar
+        top = plan.report(n)
+        if scope == "top_n":
+            kept = materialize(top, f"{subject}-report")  # at most 500 rows; order restored below
+            top = kept.orderBy(*full_order(kept, plan.report_order(kept)))
+            basis = kept
+        else:
+            basis = plan.labelled
+    summary = summarize(basis, subject, thresholds).withColumn(  # SU-0: when the report was made (UTC)
+        "timestamp", F.when(F.col("total_records") > 0, F.current_timestamp()))
+    return Report(subject, n, scope, top, summary, messages(insight_rows(basis, subject, thresholds), language), tuple(folders))
 
 
 def handle(body: Mapping[str, object] | None, tables: Mapping[str, DataFrame], *,

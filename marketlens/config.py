@@ -9,6 +9,9 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 @dataclass(frozen=True)
 class Thresholds:
@@ -60,7 +63,7 @@ DEFAULT_THRESHOLDS = Thresholds()
 
 @dataclass(frozen=True)
 class DateWindow:
-    """Inclusive date window; ``end=None`` means open-ended (promo calendar)."""
+    """Inclusive date window; ``end=None`` means open-ended."""
 
     start: dt.date
     end: dt.date | None = None
@@ -72,6 +75,11 @@ class DateWindow:
 
         return DateWindow(as_date(start), as_date(end))
 
+    def contains(self, day: Column) -> Column:
+        """Whether a date column lies in the window."""
+        inside = day >= F.lit(self.start)
+        return inside if self.end is None else inside & (day <= F.lit(self.end))
+
 
 # The reference hard-codes these two days; they stay the library default (D1).
 REFERENCE_WINDOW = DateWindow.of("2024-12-14", "2024-12-15")

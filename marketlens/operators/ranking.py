@@ -27,7 +27,8 @@ so a hot key collapses to one row before any shuffle):
 Several ranks of one table build their key tables from that table alone and
 concurrently, then join back one after another.
 
-``mode="window"`` is the plain ``F.rank()`` window, for inputs known to be small.
+``rank_tables`` and ``join_ranks`` are the two halves, for callers that need the ranks of a
+few rows only.  ``mode="window"`` is the plain ``F.rank()`` window, on explicit request only.
 Weights let one input row stand for many (a segment rollup ranked as its detail
 rows would be: every detail row of a segment shares the segment's value).
 """
@@ -48,26 +49,6 @@ OrderKey = tuple[str | Column, bool]  # (expression, ascending)
 
 RANK_MODES = ("two_pass", "window")
 
-# Rows up to which one task may sort a whole rank window (a single-partition
-# exchange); larger inputs take the two-pass path.  A session conf so clusters
-# and tests can move it; the check is an exact count of the (materialised) input.
-WINDOW_MAX_ROWS_CONF = "spark.marketlens.rank.windowMaxRows"
-WINDOW_MAX_ROWS_DEFAULT = 1_000_000
-
-
-def choose_rank_mode(df: DataFrame, rows: int | None = None) -> str:
-    """'window' when ``df`` has at most the configured rows, else 'two_pass'.
-
-    Pass ``rows`` when the count is known (observed while materialising);
-    otherwise call it on a materialised table, where the count reads footers.
-    """
-    limit = int(df.sparkSession.conf.get(WINDOW_MAX_ROWS_CONF, str(WINDOW_MAX_ROWS_DEFAULT)))
-    if limit <= 0:
-        return "two_pass"
-    n = df.count() if rows is None else rows
-    return "window" if n <= limit else "two_pass"
-
-
 def _expr(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -167,7 +148,27 @@ def rank_columns(df: DataFrame, specs: Sequence[RankSpec], mode: str = "two_pass
             out = _window_rank(out, spec.order, spec.partition_by, spec.name, spec.weight)
         return out
 
-    def key_table(i: int, spec: RankSpec):
+    return join_ranks(df, rank_tables(df, specs, buckets))
+
+
+@dataclass(frozen=True)
+class RankTable:
+    """Ranks by key: ``table`` has ``columns`` (partition and order keys, suffixed ``_r``) and the rank."""
+
+    spec: RankSpec
+    exprs: dict[str, Column]  # column name -> expression over the ranked frame
+    table: DataFrame
+
+    def renamed(self, prefix: str) -> RankTable:
+        """The same table under other key names, to join several with one frame."""
+        return RankTable(self.spec, {prefix + c: e for c, e in self.exprs.items()},
+                         self.table.withColumnsRenamed({f"{c}_r": f"{prefix}{c}_r" for c in self.exprs}))
+
+
+def rank_tables(df: DataFrame, specs: Sequence[RankSpec], buckets: int | None = None) -> list[RankTable]:
+    """The key table of each rank of ``df``; independent jobs, submitted concurrently."""
+
+    def key_table(i: int, spec: RankSpec) -> RankTable:
         part_cols = [f"_r{i}p{j}" for j in range(len(spec.partition_by))]
         key_cols = [f"_r{i}k{j}" for j in range(len(spec.order))]
         exprs = {**{pc: _expr(p) for pc, p in zip(part_cols, spec.partition_by)},
@@ -176,22 +177,27 @@ def rank_columns(df: DataFrame, specs: Sequence[RankSpec], mode: str = "two_pass
         keys = df.withColumns(exprs).groupBy(*part_cols, *key_cols).agg(w.alias("_w"))
         ranked = rank_keys(keys, key_cols, [a for _, a in spec.order], part_cols, "_w", spec.name, buckets,
                            spec.total)
-        cols = part_cols + key_cols
-        renamed = ranked.select(*[F.col(c).alias(f"{c}_r") for c in cols], spec.name,
-                                *([spec.total] if spec.total else []))
-        return exprs, cols, renamed
-
-    if len(specs) > 1:
-        with ThreadPoolExecutor(max_workers=len(specs)) as pool:  # independent jobs: overlap them
-            futures = [pool.submit(contextvars.copy_context().run, key_table, i, s) for i, s in enumerate(specs)]
-            tables = [f.result() for f in futures]
-    else:
-        tables = [key_table(i, s) for i, s in enumerate(specs)]
-    out = df.withColumns({k: v for exprs, _, _ in tables for k, v in exprs.items()})
-    for _, cols, renamed in tables:
-        out = out.join(renamed, _null_safe_on(out, renamed, [(c, f"{c}_r") for c in cols]))
-        out = out.drop(*[f"{c}_r" for c in cols])
-    return out.drop(*[c for _, cols, _ in tables for c in cols])
+        return RankTable(spec, exprs, ranked.select(
+            *[F.col(c).alias(f"{c}_r") for c in exprs], spec.name, *([spec.total] if spec.total else [])))
+
+    if len(specs) < 2:
+        return [key_table(i, s) for i, s in enumerate(specs)]
+    with ThreadPoolExecutor(max_workers=len(specs)) as pool:
+        futures = [pool.submit(contextvars.copy_context().run, key_table, i, s) for i, s in enumerate(specs)]
+        return [f.result() for f in futures]
+
+
+def join_ranks(df: DataFrame, tables: Sequence[RankTable], values: Sequence[dict[str, Column]] | None = None) -> DataFrame:
+    """``df`` plus the rank of each row, by null-safe joins on the keys.
+
+    ``values`` gives the key expressions over ``df`` where it is not the ranked frame itself.
+    """
+    exprs = [t.exprs for t in tables] if values is None else values
+    out = df.withColumns({k: v for e in exprs for k, v in e.items()})
+    for e, t in zip(exprs, tables):
+        out = out.join(t.table, _null_safe_on(out, t.table, [(c, f"{c}_r") for c in e]))
+        out = out.drop(*[f"{c}_r" for c in e])
+    return out.drop(*[c for e in exprs for c in e])
 
 
 def rank_over(df: DataFrame, order: Sequence[OrderKey], partition_by: Sequence[str | Column] = (),

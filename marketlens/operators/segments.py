@@ -25,10 +25,6 @@ def join_back(detail: DataFrame, segments: DataFrame, keys: Sequence[str]) -> Da
     return detail.join(segments, list(keys), "inner")
 
 
-def with_segment_stats(detail: DataFrame, keys: Sequence[str], aggs: Sequence[Column]) -> DataFrame:
-    return join_back(detail, rollup(detail, keys, aggs), keys)
-
-
 def drop_null_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The rows an inner join-back keeps; used when ranks must see the joined set."""
     cond = None

@@ -4,18 +4,21 @@ Every report is the same plan: filter the fact table to a date window, roll it
 up by segment keys, join the rollup back to each detail row, add ranks, project
 rounded values and label ladders, then keep the top n.  Subjects differ only in
 columns, so each subject module supplies expressions and this module wires the
-stages.
+stages.  Stages are built when asked for: segments, summaries and insights never
+touch the ranks, and a report ranks only the rows it keeps.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from marketlens.config import DEFAULT_THRESHOLDS, Thresholds, resolve_limit
-from marketlens.operators.ranking import OrderKey, choose_rank_mode, rank_columns
+from marketlens.operators.ranking import OrderKey, join_ranks, rank_columns, rank_tables
 from marketlens.operators.ranking import RankSpec as Rank
 from marketlens.operators.segments import drop_null_keys, join_back, rollup
 from marketlens.operators.topn import top_n
@@ -30,56 +33,141 @@ class RankSpec:
     on_segments: bool = False  # rank the rollup, each segment weighted by its rows
 
 
+def _col(c: str | Column) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def _sort_key(spec: RankSpec) -> Column:
+    """A struct that orders rows of one rank partition as the rank does, followed by the raw keys.
+
+    Ascending struct order puts NULL first, which is the rank's order for an ascending
+    key; a descending number is negated, with NULL last and NaN (the largest) first.
+    """
+    fields = []
+    for i, (c, ascending) in enumerate(spec.order):
+        c = _col(c)
+        if ascending:
+            fields.append(c.alias(f"o{i}"))
+        else:
+            fields += [c.isNull().alias(f"null{i}"), (~F.isnan(c.cast("double"))).alias(f"number{i}"), (-c).alias(f"o{i}")]
+    fields += [_col(p).alias(f"p{i}") for i, p in enumerate(spec.partition_by)]
+    fields += [_col(c).alias(f"k{i}") for i, (c, _) in enumerate(spec.order)]
+    return F.struct(*fields)
+
+
 @dataclass
 class SubjectPlan:
-    """Lazy stages of one report.  ``rows`` is the labelled result before LIMIT."""
+    """Stages of one report, each built at its first use."""
 
     subject: str
-    detail: DataFrame
-    segments: DataFrame
-    ranked: DataFrame
-    rows: DataFrame
-    report_order: Callable[[DataFrame], list[Column]] = field(repr=False)
+    source: DataFrame  # detail rows with non-NULL keys: the rows the inner join-back keeps
+    keys: Sequence[str]
+    aggregate: Callable[[DataFrame], DataFrame] = field(repr=False)
+    specs: Sequence[RankSpec] = ()
+    projection: Callable[[DataFrame], DataFrame] = field(default=None, repr=False)
+    report_order: Callable[[DataFrame], list[Column]] = field(default=None, repr=False)
+    segment_weight: str | None = None
+    rank_mode: str = "two_pass"
+    cut_detail: bool = True
+
+    @cached_property
+    def segments(self) -> DataFrame:
+        """The rollup, straight from the source (one scan, nothing written)."""
+        return self.aggregate(self.source)
+
+    @cached_property
+    def detail(self) -> DataFrame:
+        """The detail rows; written once, as the rollup, the ranks and the join all read them."""
+        if self.cut_detail and self.rank_mode != "window":
+            return materialize(self.source, f"{self.subject}-detail")
+        return self.source
+
+    @cached_property
+    def _ranked_segments(self) -> DataFrame:
+        segs = self.aggregate(self.detail)
+        if self.rank_mode == "two_pass" and any(s.on_segments for s in self.specs):
+            return materialize(segs, f"{self.subject}-segments")
+        return segs
+
+    def _ranks(self, on_segments: bool) -> list[Rank]:
+        weight = self.segment_weight if on_segments else None
+        return [Rank(s.name, s.order, s.partition_by, weight) for s in self.specs if s.on_segments == on_segments]
+
+    @cached_property
+    def ranked(self) -> DataFrame:
+        """Every detail row with its segment's values and all ranks."""
+        segs, rows = self._ranked_segments, self.detail
+        if self._ranks(True):
+            segs = rank_columns(segs, self._ranks(True), self.rank_mode)
+        if self._ranks(False):
+            rows = rank_columns(rows, self._ranks(False), self.rank_mode)
+        return join_back(rows, segs, self.keys)
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        """The labelled result before LIMIT, with all ranks."""
+        return self.projection(self.ranked)
+
+    @cached_property
+    def labelled(self) -> DataFrame:
+        """The labelled result before LIMIT, without the rank columns."""
+        return self._keyed(self.source, self.segments).drop(*[s.name for s in self.specs])
+
+    def _keyed(self, detail: DataFrame, segments: DataFrame) -> DataFrame:
+        """Labelled rows whose rank columns hold the rank's sort key instead."""
+        joined = join_back(detail, segments, self.keys)
+        return self.projection(joined.withColumns({s.name: _sort_key(s) for s in self.specs}))
+
+    def top(self, limit: int | None = None) -> DataFrame:
+        """The rows of the report without rank columns: nothing is ranked."""
+        keyed = self._keyed(self.source, self.segments)
+        chosen = top_n(keyed, self.report_order(keyed), resolve_limit(limit))
+        return chosen.drop(*[s.name for s in self.specs])
 
     def report(self, limit: int | None = None) -> DataFrame:
+        """The top rows with their ranks: n rows are chosen first, then looked up in the rank tables.
+
+        Among rows equal in all columns before it, a rank orders as its sort key does
+        (its partition columns stand before it), so the choice is the one by rank.
+        """
         n = resolve_limit(limit)
-        return top_n(self.rows, self.report_order(self.rows), n)
+        if self.rank_mode == "window":
+            return top_n(self.rows, self.report_order(self.rows), n)
+        keyed = self._keyed(self.detail, self._ranked_segments)
+        chosen = top_n(keyed, self.report_order(keyed), n)
+        specs = sorted(self.specs, key=lambda s: s.on_segments)
+        tables = rank_tables(self.detail, self._ranks(False)) + rank_tables(self._ranked_segments, self._ranks(True))
+        held = chosen.withColumnsRenamed({s.name: f"_key_{s.name}" for s in specs})
+        values = [{f"_{i}{c}": F.col(f"_key_{s.name}")[_field(c)] for c in t.exprs} for i, (s, t) in enumerate(zip(specs, tables))]
+        tables = [t.renamed(f"_{i}") for i, t in enumerate(tables)]
+        out = join_ranks(held, tables, values).select(*keyed.columns)
+        return top_n(out, self.report_order(out), n)
+
+
+def _field(key_column: str) -> str:
+    """Field of the sort key that holds a rank table's key column (``_r0k1`` -> ``k1``)."""
+    return key_column[key_column.index("p" if "p" in key_column else "k"):]
 
 
 def build_plan(
     subject: str,
     detail: DataFrame,
     keys: Sequence[str],
-    segment_aggs: Callable[[Thresholds], list[Column]],
+    segment_aggs: Callable[[Thresholds], list[Column]] | None,
     ranks: Sequence[RankSpec],
     project: Callable[[DataFrame, Thresholds], DataFrame],
     report_order: Callable[[DataFrame], list[Column]],
     segment_weight: str | None = None,
     thresholds: Thresholds = DEFAULT_THRESHOLDS,
-    rank_mode: str = "auto",
+    rank_mode: str = "two_pass",
     cut_detail: bool = True,
+    aggregate: Callable[[DataFrame], DataFrame] | None = None,
 ) -> SubjectPlan:
     # Only rows with non-NULL keys survive the inner join-back; ranks are taken
     # over exactly those rows, as the reference ranks after its join.
-    kept = drop_null_keys(detail, keys)
-    n_kept = None
-    if cut_detail and rank_mode != "window":
-        # The detail feeds the rollup, every rank and the final join: write it
-        # once instead of re-running scans and joins of the base tables.
-        kept, n_kept = materialize(kept, f"{subject}-detail", count=True)
-    if rank_mode == "auto":
-        rank_mode = choose_rank_mode(kept, n_kept)
-    segs = rollup(kept, keys, segment_aggs(thresholds))
-    segment_mode = rank_mode
-    if rank_mode == "two_pass" and any(spec.on_segments for spec in ranks):
-        # Segment-valued ranks work on the rollup, usually a few hundred rows even
-        # when the detail is huge: write it once and size-check it on its own.
-        segs, seg_rows = materialize(segs, f"{subject}-segments", count=True)
-        segment_mode = choose_rank_mode(segs, seg_rows)
-    seg_specs = [Rank(s.name, s.order, s.partition_by, segment_weight) for s in ranks if s.on_segments]
-    row_specs = [Rank(s.name, s.order, s.partition_by) for s in ranks if not s.on_segments]
-    ranked_segs = rank_columns(segs, seg_specs, segment_mode) if seg_specs else segs
-    ranked_rows = rank_columns(kept, row_specs, rank_mode) if row_specs else kept
-    joined = join_back(ranked_rows, ranked_segs, keys)
-    rows = project(joined, thresholds)
-    return SubjectPlan(subject, kept, segs, joined, rows, report_order)
+    if rank_mode not in ("two_pass", "window"):
+        raise ValueError(f"rank_mode must be two_pass or window, got {rank_mode!r}")
+    return SubjectPlan(
+        subject, drop_null_keys(detail, keys), keys,
+        aggregate or (lambda rows: rollup(rows, keys, segment_aggs(thresholds))),
+        ranks, lambda joined: project(joined, thresholds), report_order, segment_weight, rank_mode, cut_detail)

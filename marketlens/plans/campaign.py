@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.config import DEFAULT_THRESHOLDS, REFERENCE_WINDOW, DateWindow, Thresholds
-from marketlens.functions import exact_avg, exact_sum, ladder, ratio
+from marketlens.functions import exact_avg, exact_sum, ladder, ratio, shown
 from marketlens.plans import label_text as L
 from marketlens.sources.layout import month_predicate
 from marketlens.plans.base import RankSpec, SubjectPlan, build_plan
@@ -24,8 +24,7 @@ def detail(facts: DataFrame, window: DateWindow = REFERENCE_WINDOW) -> DataFrame
     months = month_predicate(facts, SUBJECT, window.start, window.end)  # partition pruning, if laid out
     if months is not None:
         facts = facts.where(months)
-    d = F.col("campaign_date")
-    return facts.select(*DETAIL_COLUMNS).where(d.between(F.lit(window.start), F.lit(window.end)))
+    return facts.select(*DETAIL_COLUMNS).where(window.contains(F.col("campaign_date")))
 
 
 def segment_aggs(th: Thresholds) -> list[Column]:
@@ -61,12 +60,12 @@ def ranks() -> list[RankSpec]:
 def segment_view(segments: DataFrame) -> DataFrame:
     return segments.select(
         *KEYS, "campaigns_executed",
-        F.round("avg_roi_pct", 1).alias("segment_avg_roi"),
-        F.round("avg_discount_pct", 1).alias("segment_avg_discount"),
+        shown("avg_roi_pct", 1).alias("segment_avg_roi"),
+        shown("avg_discount_pct", 1).alias("segment_avg_discount"),
         F.round("total_revenue_generated", 2).alias("segment_total_revenue"),
         F.round("total_campaign_cost", 2).alias("segment_total_cost"),
         "total_new_customers",
-        F.round("avg_repeat_purchase_rate", 1).alias("segment_avg_repeat_rate"),
+        shown("avg_repeat_purchase_rate", 1).alias("segment_avg_repeat_rate"),
         "total_units_sold",
         F.round("revenue_cost_ratio", 2).alias("segment_revenue_cost_ratio"),
         F.round("cost_per_acquisition_usd", 2).alias("segment_cost_per_acquisition"),
@@ -88,12 +87,12 @@ def project(j: DataFrame, th: Thresholds) -> DataFrame:
         "customer_acquisition",
         F.round(repeat, 1).alias("repeat_purchase_rate"),
         "campaigns_executed",
-        F.round("avg_roi_pct", 1).alias("segment_avg_roi"),
-        F.round("avg_discount_pct", 1).alias("segment_avg_discount"),
+        shown("avg_roi_pct", 1).alias("segment_avg_roi"),
+        shown("avg_discount_pct", 1).alias("segment_avg_discount"),
         F.round("total_revenue_generated", 2).alias("segment_total_revenue"),
         F.round("total_campaign_cost", 2).alias("segment_total_cost"),
         "total_new_customers",
-        F.round("avg_repeat_purchase_rate", 1).alias("segment_avg_repeat_rate"),
+        shown("avg_repeat_purchase_rate", 1).alias("segment_avg_repeat_rate"),
         "total_units_sold",
         F.round("revenue_cost_ratio", 2).alias("segment_revenue_cost_ratio"),
         seg_cpa.alias("segment_cost_per_acquisition"),
@@ -130,7 +129,7 @@ def report_order(rows: DataFrame) -> list[Column]:
 
 
 def build(facts: DataFrame, window: DateWindow = REFERENCE_WINDOW, thresholds: Thresholds = DEFAULT_THRESHOLDS,
-          rank_mode: str = "auto", cut_detail: bool = True) -> SubjectPlan:
+          rank_mode: str = "two_pass", cut_detail: bool = True) -> SubjectPlan:
     return build_plan(SUBJECT, detail(facts, window), KEYS, segment_aggs, ranks(), project, report_order,
                       segment_weight="campaigns_executed", thresholds=thresholds, rank_mode=rank_mode,
                       cut_detail=cut_detail)

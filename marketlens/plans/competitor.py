@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.config import DEFAULT_THRESHOLDS, REFERENCE_WINDOW, DateWindow, Thresholds
-from marketlens.functions import count_if, exact_avg, ladder
+from marketlens.functions import count_if, exact_avg, ladder, shown
 from marketlens.plans import label_text as L
 from marketlens.sources.layout import month_predicate
 from marketlens.plans.base import RankSpec, SubjectPlan, build_plan
@@ -25,8 +25,7 @@ def detail(facts: DataFrame, window: DateWindow = REFERENCE_WINDOW) -> DataFrame
     months = month_predicate(facts, SUBJECT, window.start, window.end)  # partition pruning, if laid out
     if months is not None:
         facts = facts.where(months)
-    d = F.col("tracking_date")
-    return facts.select(*DETAIL_COLUMNS).where(d.between(F.lit(window.start), F.lit(window.end)))
+    return facts.select(*DETAIL_COLUMNS).where(window.contains(F.col("tracking_date")))
 
 
 def segment_aggs(th: Thresholds) -> list[Column]:
@@ -54,11 +53,11 @@ def segment_view(segments: DataFrame) -> DataFrame:
     """The rollup as the report shows it (rounded)."""
     return segments.select(
         *KEYS, "competitors_tracked",
-        F.round("avg_price_gap_pct", 1).alias("market_avg_price_gap"),
+        shown("avg_price_gap_pct", 1).alias("market_avg_price_gap"),
         "positive_positioning_count", "competitor_promotions_active", "price_advantages",
         "price_disadvantages",
-        F.round("avg_own_price", 2).alias("market_avg_own_price"),
-        F.round("avg_competitor_price", 2).alias("market_avg_competitor_price"),
+        shown("avg_own_price", 2).alias("market_avg_own_price"),
+        shown("avg_competitor_price", 2).alias("market_avg_competitor_price"),
     )
 
 
@@ -69,11 +68,11 @@ def project(j: DataFrame, th: Thresholds) -> DataFrame:
         "tracking_date", "competitor", "product_category", "market", "own_price_usd",
         "competitor_price_usd", F.round(gap, 1).alias("price_gap_pct"), "promotion_flag",
         "quality_comparison", "brand_positioning", "market_share_impact", "competitors_tracked",
-        F.round("avg_price_gap_pct", 1).alias("market_avg_price_gap"),
+        shown("avg_price_gap_pct", 1).alias("market_avg_price_gap"),
         "positive_positioning_count", "competitor_promotions_active", "price_advantages",
         "price_disadvantages",
-        F.round("avg_own_price", 2).alias("market_avg_own_price"),
-        F.round("avg_competitor_price", 2).alias("market_avg_competitor_price"),
+        shown("avg_own_price", 2).alias("market_avg_own_price"),
+        shown("avg_competitor_price", 2).alias("market_avg_competitor_price"),
         "price_competitiveness_rank", "overall_competitiveness_rank",
         # labels read the unrounded gap (a select alias is not visible to siblings)
         ladder([
@@ -105,6 +104,6 @@ def report_order(rows: DataFrame) -> list[Column]:
 
 
 def build(facts: DataFrame, window: DateWindow = REFERENCE_WINDOW, thresholds: Thresholds = DEFAULT_THRESHOLDS,
-          rank_mode: str = "auto", cut_detail: bool = True) -> SubjectPlan:
+          rank_mode: str = "two_pass", cut_detail: bool = True) -> SubjectPlan:
     return build_plan(SUBJECT, detail(facts, window), KEYS, segment_aggs, ranks(), project, report_order,
                       thresholds=thresholds, rank_mode=rank_mode, cut_detail=cut_detail)

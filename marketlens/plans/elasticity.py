@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.config import DEFAULT_THRESHOLDS, REFERENCE_WINDOW, DateWindow, Thresholds
-from marketlens.functions import count_if, exact_avg, ladder
+from marketlens.functions import count_if, exact_avg, ladder, shown
 from marketlens.plans import label_text as L
 from marketlens.sources.layout import month_predicate
 from marketlens.plans.base import RankSpec, SubjectPlan, build_plan
@@ -25,8 +25,7 @@ def detail(facts: DataFrame, window: DateWindow = REFERENCE_WINDOW) -> DataFrame
     months = month_predicate(facts, SUBJECT, window.start, window.end)  # partition pruning, if laid out
     if months is not None:
         facts = facts.where(months)
-    d = F.col("analysis_date")
-    return facts.select(*DETAIL_COLUMNS).where(d.between(F.lit(window.start), F.lit(window.end)))
+    return facts.select(*DETAIL_COLUMNS).where(window.contains(F.col("analysis_date")))
 
 
 def segment_aggs(th: Thresholds) -> list[Column]:
@@ -55,12 +54,12 @@ def ranks() -> list[RankSpec]:
 def segment_view(segments: DataFrame) -> DataFrame:
     return segments.select(
         *KEYS,
-        F.round("avg_elasticity_coefficient", 2).alias("segment_avg_elasticity"),
+        shown("avg_elasticity_coefficient", 2).alias("segment_avg_elasticity"),
         "price_points_tested",
-        F.round("avg_revenue_impact_pct", 1).alias("segment_avg_revenue_impact"),
-        F.round("avg_margin_impact_pct", 1).alias("segment_avg_margin_impact"),
+        shown("avg_revenue_impact_pct", 1).alias("segment_avg_revenue_impact"),
+        shown("avg_margin_impact_pct", 1).alias("segment_avg_margin_impact"),
         "price_increase_recommendations", "price_decrease_recommendations", "maintain_price_recommendations",
-        F.round("avg_optimal_price", 2).alias("segment_avg_optimal_price"),
+        shown("avg_optimal_price", 2).alias("segment_avg_optimal_price"),
         F.round("max_revenue_impact", 1).alias("segment_max_revenue_impact"),
         F.round("min_revenue_impact", 1).alias("segment_min_revenue_impact"),
     )
@@ -77,12 +76,12 @@ def project(j: DataFrame, th: Thresholds) -> DataFrame:
         F.round(impact, 1).alias("revenue_impact_pct"),
         F.round("margin_impact_pct", 1).alias("margin_impact_pct"),
         "recommendation",
-        F.round("avg_elasticity_coefficient", 2).alias("segment_avg_elasticity"),
+        shown("avg_elasticity_coefficient", 2).alias("segment_avg_elasticity"),
         "price_points_tested",
-        F.round("avg_revenue_impact_pct", 1).alias("segment_avg_revenue_impact"),
-        F.round("avg_margin_impact_pct", 1).alias("segment_avg_margin_impact"),
+        shown("avg_revenue_impact_pct", 1).alias("segment_avg_revenue_impact"),
+        shown("avg_margin_impact_pct", 1).alias("segment_avg_margin_impact"),
         "price_increase_recommendations", "price_decrease_recommendations", "maintain_price_recommendations",
-        F.round("avg_optimal_price", 2).alias("segment_avg_optimal_price"),
+        shown("avg_optimal_price", 2).alias("segment_avg_optimal_price"),
         F.round("max_revenue_impact", 1).alias("segment_max_revenue_impact"),
         F.round("min_revenue_impact", 1).alias("segment_min_revenue_impact"),
         "revenue_impact_rank", "market_sensitivity_rank",
@@ -113,6 +112,6 @@ def report_order(rows: DataFrame) -> list[Column]:
 
 
 def build(facts: DataFrame, window: DateWindow = REFERENCE_WINDOW, thresholds: Thresholds = DEFAULT_THRESHOLDS,
-          rank_mode: str = "auto", cut_detail: bool = True) -> SubjectPlan:
+          rank_mode: str = "two_pass", cut_detail: bool = True) -> SubjectPlan:
     return build_plan(SUBJECT, detail(facts, window), KEYS, segment_aggs, ranks(), project, report_order,
                       thresholds=thresholds, rank_mode=rank_mode, cut_detail=cut_detail)

@@ -18,8 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.functions import count_if, exact_sum
-from marketlens.functions.numeric import AVG_DECIMAL
+from marketlens.config import DEFAULT_THRESHOLDS, Thresholds
+from marketlens.functions import count_if, exact_avg, exact_sum
 from marketlens.plans import label_text as L
 
 INSIGHT, RECOMMENDATION, ALERT = "insight", "recommendation", "alert"
@@ -50,7 +50,7 @@ def _count_rule(kind: str, seq: int, code: str, stat: str) -> Rule:
 
 # ---- per-subject statistics (one aggregation) and rules ----------------------
 
-def _competitor_stats() -> list[Column]:
+def _competitor_stats(th: Thresholds) -> list[Column]:
     gap = F.col("price_gap_pct")
     return [
         count_if(F.col("competitive_position") == L.STRONG_ADVANTAGE).alias("strong"),
@@ -58,13 +58,14 @@ def _competitor_stats() -> list[Column]:
         count_if(F.col("value_proposition") == L.PREMIUM_VALUE).alias("premium_value"),
         count_if(F.col("promotional_environment") == L.PROMO_PRESSURE).alias("promo_pressure"),
         F.count(gap).alias("gap_n"),
-        (F.sum(gap.cast(AVG_DECIMAL)).cast("double") / F.nullif(F.count(gap), F.lit(0))).alias("gap_mean"),
+        exact_avg(gap).alias("gap_mean"),
+        F.lit(th.insight_gap_band).alias("gap_band"),
     ]
 
 
 def _gap_code() -> Column:
-    m = F.col("gap_mean")
-    return F.when(m < -10, "avg_gap_advantage").when(m > 10, "avg_gap_disadvantage").otherwise("avg_gap_parity")
+    m, band = F.col("gap_mean"), F.col("gap_band")
+    return F.when(m < -band, "avg_gap_advantage").when(m > band, "avg_gap_disadvantage").otherwise("avg_gap_parity")
 
 
 COMPETITOR_RULES = [
@@ -78,7 +79,7 @@ COMPETITOR_RULES = [
 ]
 
 
-def _campaign_stats() -> list[Column]:
+def _campaign_stats(th: Thresholds) -> list[Column]:
     excellent = F.col("campaign_performance_tier") == L.ROI_EXCELLENT
     roi, revenue = F.col("roi_pct"), F.col("revenue_generated")
     # first Excellent row in report order: roi desc, revenue desc, then date and name
@@ -110,7 +111,7 @@ CAMPAIGN_RULES = [
 ]
 
 
-def _elasticity_stats() -> list[Column]:
+def _elasticity_stats(th: Thresholds) -> list[Column]:
     return [
         count_if(F.col("pricing_strategy") == L.STRONG_INCREASE).alias("strong_increase"),
         count_if(F.col("price_optimization_status") == L.UNDER_PRICED).alias("under_priced"),
@@ -131,7 +132,7 @@ ELASTICITY_RULES = [
 ]
 
 
-def _promo_stats() -> list[Column]:
+def _promo_stats(th: Thresholds) -> list[Column]:
     tier, duration = F.col("campaign_priority_tier"), F.col("duration_strategy")
     return [
         count_if(tier == L.HIGH_IMPACT_LOW_COST).alias("high_impact_low_cost"),
@@ -178,10 +179,10 @@ def _rule_struct(rule: Rule, gate: Column) -> Column:
         (gate & F.coalesce(rule.when(), F.lit(False))).alias("keep"))
 
 
-def insights(rows: DataFrame, subject: str) -> DataFrame:
+def insights(rows: DataFrame, subject: str, thresholds: Thresholds = DEFAULT_THRESHOLDS) -> DataFrame:
     """(kind, seq, code, metric, detail) rows, capped per kind in emission order."""
     stats_fn, rules = SUBJECT_RULES[subject]
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), *stats_fn())
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), *stats_fn(thresholds))
     has_rows = F.col("n") > 0
     structs = [_rule_struct(r, has_rows) for r in rules] + [_rule_struct(r, ~has_rows) for r in NO_DATA_RULES]
     fired = stats.select(F.explode(F.array(*structs)).alias("r")).select("r.*").where("keep").drop("keep")

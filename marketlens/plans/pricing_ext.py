@@ -9,14 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.config import STUDY_WINDOW, DateWindow
-from marketlens.functions import count_if, exact_avg
-from marketlens.plans import competitor
+from marketlens.config import DateWindow
+from marketlens.functions import count_if, exact_avg, exact_sum
 from marketlens.plans.supply import supplier_scorecard
+from marketlens.session import materialize
 from marketlens.sources import derived
 from marketlens.sources.derived import geo_of
 
@@ -41,21 +42,25 @@ def price_monitor(tracking: DataFrame) -> DataFrame:
 
 
 def market_entries(tracking: DataFrame) -> DataFrame:
-    """Per market and month: competitors seen, entrants (seen this month, not the
-    calendar month before) and leavers (seen the month before, not this month,
-    counted in this month).  Anti-joins on (market, month, competitor)."""
-    seen = tracking.select("market", _month("tracking_date").alias("month"), "competitor").distinct()
-    prev = seen.select("market", F.add_months("month", 1).alias("month"), "competitor")
-    keys = ["market", "month", "competitor"]
-    entrants = seen.join(prev, keys, "left_anti").groupBy("market", "month").agg(
-        F.count(F.lit(1)).alias("entrants"))
-    leavers = prev.join(seen, keys, "left_anti").groupBy("market", "month").agg(
-        F.count(F.lit(1)).alias("leavers"))
-    active = seen.groupBy("market", "month").agg(F.count(F.lit(1)).alias("competitors"))
-    out = active.join(entrants, ["market", "month"], "full_outer").join(leavers, ["market", "month"], "full_outer")
-    return out.select("market", "month", F.coalesce("competitors", F.lit(0)).alias("competitors"),
-                      F.coalesce("entrants", F.lit(0)).alias("entrants"),
-                      F.coalesce("leavers", F.lit(0)).alias("leavers"))
+    """Per market and month: competitors seen, entrants (not seen the calendar month before)
+    and leavers (seen the month before, not this month).  Only months between the first and
+    the last observed one count, so nobody enters in the first month or leaves after the last.
+
+    One scan: each (market, competitor) looks at its own previous and next month."""
+    seen = materialize(tracking.select("market", _month("tracking_date").alias("month"), "competitor").distinct(), "market-months")
+    bounds = seen.agg(F.min("month").alias("first"), F.max("month").alias("last"))  # one row
+    w = Window.partitionBy("market", "competitor").orderBy("month")
+    after = F.add_months("month", 1)
+    flagged = seen.crossJoin(F.broadcast(bounds)).select(
+        "market", "month", "last", after.alias("after"),
+        (~F.lag("month").over(w).eqNullSafe(F.add_months("month", -1)) & (F.col("month") > F.col("first"))).alias("entered"),
+        (~F.lead("month").over(w).eqNullSafe(after) & (after <= F.col("last"))).alias("left"))
+    none = F.lit(0)
+    here = F.struct(F.col("month").alias("month"), F.lit(1).alias("n"), F.col("entered").cast("int").alias("e"), none.alias("l"))
+    gone = F.struct(F.col("after").alias("month"), none.alias("n"), none.alias("e"), F.lit(1).alias("l"))
+    events = flagged.select("market", F.explode(F.when(F.col("left"), F.array(here, gone)).otherwise(F.array(here))).alias("x"))
+    return events.groupBy("market", F.col("x.month").alias("month")).agg(
+        F.sum("x.n").alias("competitors"), F.sum("x.e").alias("entrants"), F.sum("x.l").alias("leavers"))
 
 
 # ---- TB-7 market trend and forecast --------------------------------------------
@@ -69,8 +74,9 @@ def market_forecast(tracking: DataFrame, horizon: int = 3) -> DataFrame:
     The line is fitted from exact decimal sums, so every engine and every
     partitioning gives the same coefficients; outputs are rounded to 4 places.
     """
-    monthly = tracking.groupBy("market", _month("tracking_date").alias("month")).agg(
-        exact_avg("competitor_price_usd").alias("y"))
+    # the fit, the seasonal index and the mean all read this small table: written once
+    monthly = materialize(tracking.groupBy("market", _month("tracking_date").alias("month")).agg(
+        exact_avg("competitor_price_usd").alias("y")), "market-months")
     t = (F.year("month") - 1970) * 12 + F.month("month") - 1
     pts = monthly.withColumn("t", t.cast("bigint"))
     d = "decimal(38,6)"  # sums of y and y*t at 6 places: exact, engine-independent
@@ -150,8 +156,7 @@ def apply_price_rules(tables: Mapping[str, DataFrame], rules: Sequence[PriceRule
 
 RULES_SCHEMA = ("priority int, rule_id string, min_price double, max_price double, min_size int, max_size int, "
                 "adjustment_pct double")
-BROADCAST_RULES_MAX = 10_000   # rules up to this count are broadcast (checked by an exact count)
-PRICE_BUCKETS = 1024           # buckets over the observed price range (equi-join path, larger rule tables)
+PRICE_BUCKETS = 1024  # buckets over the observed price range
 
 
 def rules_frame(spark, rules: Sequence[PriceRule] = DEFAULT_RULES) -> DataFrame:
@@ -162,39 +167,27 @@ def rules_frame(spark, rules: Sequence[PriceRule] = DEFAULT_RULES) -> DataFrame:
 def apply_price_rule_table(parts: DataFrame, rules: DataFrame) -> DataFrame:
     """TB-8 over a rules *table* (range join; lowest priority number wins per part).
 
-    A part matches a rule when min_price <= price < max_price and min_size <= size
-    <= max_size.  Rule tables up to BROADCAST_RULES_MAX rows (exact count) are
-    broadcast and matched in a nested loop next to each part partition (no
-    shuffle of parts).  Larger rule tables use an equi-join on price buckets:
-    each rule is exploded over the buckets its range covers, clamped to the
-    observed price range of the parts (two scalars) and cut into at most
-    PRICE_BUCKETS buckets (so a rule becomes at most that many rows), and the
-    exact range test runs after the join.  The winner per part is ``min_by`` over matches
-    (at most one row per matching rule and part); parts with no match keep
-    their price with rule_id 'none'.
+    A part matches a rule when min_price <= price < max_price and min_size <= size <= max_size.
+    The distinct (price, size) pairs are matched, not the parts, so a popular price is one row.
+    Both sides meet on price buckets (an equi-join): the observed price range (two scalars)
+    is cut into at most PRICE_BUCKETS buckets and a rule goes to those its range covers; the
+    exact range test follows.  The winner of a pair is ``min_by`` over its matches and joins
+    back to the parts on (price, size).  Parts with no match keep their price, rule_id 'none'.
     """
     p = parts.select("p_partkey", "p_type", "p_size", "p_retailprice")
     price, size = F.col("p_retailprice"), F.col("p_size")
-    in_range = ((price >= F.col("min_price")) & (price < F.col("max_price"))
-                & size.between(F.col("min_size"), F.col("max_size")))
-    if rules.count() <= BROADCAST_RULES_MAX:
-        matches = p.join(F.broadcast(rules), in_range, "inner")
-    else:
-        lo, hi = p.agg(F.min("p_retailprice"), F.max("p_retailprice")).first()
-        if lo is None:
-            matches = p.join(rules, F.lit(False), "inner")
-        else:
-            width = max((hi - lo) / PRICE_BUCKETS, 1e-9)
-            bucket_of = lambda c: F.floor((c - F.lit(lo)) / F.lit(width))
-            first = bucket_of(F.greatest(F.col("min_price"), F.lit(lo)))
-            last = bucket_of(F.least(F.col("max_price"), F.lit(hi)))
-            spread = rules.where(F.col("max_price") > F.lit(lo)).where(F.col("min_price") <= F.lit(hi)).withColumn(
-                "bucket", F.explode(F.sequence(first.cast("bigint"), last.cast("bigint"))))
-            keyed = p.withColumn("bucket", bucket_of(price).cast("bigint"))
-            matches = keyed.join(spread, "bucket").where(in_range).drop("bucket")
-    best = matches.groupBy("p_partkey").agg(
+    pairs = materialize(p.select("p_retailprice", "p_size").distinct(), "price-pairs")
+    lo, hi = pairs.agg(F.min("p_retailprice"), F.max("p_retailprice")).first()
+    lo, hi = (0.0, 0.0) if lo is None else (lo, hi)
+    width = max((hi - lo) / PRICE_BUCKETS, 1e-9)
+    bucket_of = lambda c: F.floor((c - F.lit(lo)) / F.lit(width)).cast("bigint")
+    reach = rules.where((F.col("max_price") > F.lit(lo)) & (F.col("min_price") <= F.lit(hi))).withColumn("bucket", F.explode(F.sequence(
+        bucket_of(F.greatest(F.col("min_price"), F.lit(lo))), bucket_of(F.least(F.col("max_price"), F.lit(hi))))))
+    in_range = ((price >= F.col("min_price")) & (price < F.col("max_price")) & size.between(F.col("min_size"), F.col("max_size")))
+    best = pairs.withColumn("bucket", bucket_of(price)).join(reach, "bucket").where(in_range).groupBy(
+        price.alias("m_price"), size.alias("m_size")).agg(
         F.min_by(F.struct("rule_id", "adjustment_pct"), F.struct("priority", "rule_id")).alias("w"))
-    out = p.join(best, "p_partkey", "left")
+    out = p.join(best, (price == F.col("m_price")) & (size == F.col("m_size")), "left")
     adj = F.coalesce(F.col("w.adjustment_pct"), F.lit(0.0))
     return out.select("p_partkey", "p_type", "p_size", "p_retailprice",
                       F.coalesce(F.col("w.rule_id"), F.lit("none")).alias("rule_id"),
@@ -248,11 +241,12 @@ def optimal_prices(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Per part: elasticity e of its category (exact mean elasticity coefficient
     of the price-elasticity table, all dates), demand (p / p0)^-e, unit cost
     0.6 p0, and the grid price maximising (p - cost) x demand.  The grid is an
-    array evaluated per row (no explode, no shuffle per part)."""
+    array evaluated per row (no explode, no shuffle per part).  A part of a category
+    without observations is kept, with NULL results."""
     pe = derived.price_elasticity(tables)
     e_cat = pe.groupBy("product_category").agg(exact_avg("elasticity_coefficient").alias("e"))
     part = tables["part"].select("p_partkey", "p_type", "p_retailprice")
-    j = part.join(e_cat, part.p_type == e_cat.product_category)
+    j = part.join(e_cat, part.p_type == e_cat.product_category, "left")
     p0, e = F.col("p_retailprice"), F.col("e")
     cost = p0 * F.lit(COST_SHARE)
     start, step, n = GRID
@@ -262,7 +256,7 @@ def optimal_prices(tables: Mapping[str, DataFrame]) -> DataFrame:
         profit = (price - cost) * F.pow(price / p0, -e)
         return F.struct(F.round(profit, 6).alias("profit"), price.alias("price"))
 
-    best = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), candidate))
+    best = F.when(e.isNotNull(), F.array_max(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), candidate)))
     base_profit = (p0 - cost)
     return j.select(
         "p_partkey", "p_type", F.col("p_retailprice").alias("base_price"), F.round(e, 6).alias("elasticity"),
@@ -299,60 +293,76 @@ def brand_share(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 # ---- TB-12 product lookups -------------------------------------------------------
 
-def competitor_prices_for(products: DataFrame, tables: Mapping[str, DataFrame],
-                          window: DateWindow = STUDY_WINDOW) -> DataFrame:
-    """get_competitor_prices: for each product id (p_partkey) its category and the
-    category's competitor picture in the window: observations, competitors,
-    mean competitor price and mean price gap (semi-keyed by the given ids)."""
-    tracking = competitor.detail(derived.competitor_tracking(tables), window)
+def competitor_prices_for(products: DataFrame, tables: Mapping[str, DataFrame], category: str | None = None,
+                          window: DateWindow | None = None) -> DataFrame:
+    """get_competitor_prices: for each product id (p_partkey) its category (or the given one)
+    and the category's competitor picture over all dates, or a window: observations, competitors,
+    mean competitor price and mean price gap.  An unknown id or category keeps its row, with NULLs."""
+    tracking = derived.competitor_tracking(tables)
+    if window is not None:
+        tracking = tracking.where(window.contains(F.col("tracking_date")))
     per_cat = tracking.groupBy("product_category").agg(
         F.count(F.lit(1)).alias("observations"), F.count_distinct("competitor").alias("competitors"),
         exact_avg("competitor_price_usd").alias("avg_competitor_price"),
         exact_avg("price_gap_pct").alias("avg_price_gap_pct"))
-    part = tables["part"].select("p_partkey", "p_type")
-    wanted = products.select("p_partkey").distinct().join(part, "p_partkey")
-    out = wanted.join(per_cat, wanted.p_type == per_cat.product_category)
-    return out.select("p_partkey", "product_category", "observations", "competitors",
+    part = tables["part"].select("p_partkey", F.col("p_type").alias("wanted"))
+    wanted = products.select("p_partkey").distinct().join(part, "p_partkey", "left")
+    if category is not None:
+        wanted = wanted.withColumn("wanted", F.lit(category))
+    out = wanted.join(per_cat, F.col("wanted") == per_cat.product_category, "left")
+    return out.select("p_partkey", F.col("wanted").alias("product_category"), F.coalesce("observations", F.lit(0)).alias("observations"),
+                      F.coalesce("competitors", F.lit(0)).alias("competitors"),
                       F.round("avg_competitor_price", 2).alias("avg_competitor_price"),
                       F.round("avg_price_gap_pct", 2).alias("avg_price_gap_pct"))
 
 
-def supplier_performance_for(products: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
+SUPPLIER_METRICS = ("volume", "return_rate", "score")
+
+
+def supplier_performance_for(products: DataFrame, tables: Mapping[str, DataFrame],
+                             metrics: Sequence[str] = SUPPLIER_METRICS) -> DataFrame:
     """get_supplier_performance: for each product id the suppliers that shipped it
-    (distinct), with their scorecard score and percent ranks."""
-    li = tables["lineitem"].select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("supplier_key"))
-    pairs = li.join(products.select("p_partkey").distinct(), "p_partkey", "left_semi").distinct()
+    (distinct), with the wanted scorecard metrics.  An id nobody shipped keeps its row, with NULLs."""
     card = supplier_scorecard(tables)
-    return pairs.join(card, "supplier_key").select(
-        "p_partkey", "supplier_key", "volume", "return_rate", "score")
+    unknown = [m for m in metrics if m not in card.columns or m == "supplier_key"]
+    if unknown:
+        raise ValueError(f"unknown metrics {unknown}; choose from {[c for c in card.columns if c != 'supplier_key']}")
+    li = tables["lineitem"].select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("supplier_key"))
+    ids = products.select("p_partkey").distinct()
+    pairs = li.join(ids, "p_partkey", "left_semi").distinct().join(card, "supplier_key")
+    return ids.join(pairs, "p_partkey", "left").select("p_partkey", "supplier_key", *metrics)
 
 
 def optimal_price_for(products: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
-    """calculate_optimal_price: the TB-10 result for the given product ids."""
-    return optimal_prices(tables).join(products.select("p_partkey").distinct(), "p_partkey", "left_semi")
+    """calculate_optimal_price: the TB-10 result for the given product ids; an unknown id keeps its row, with NULLs."""
+    return products.select("p_partkey").distinct().join(optimal_prices(tables), "p_partkey", "left")
 
 
 # ---- TB-13 several brands in one platform ----------------------------------------
 
-def brand_rollup(tracking_by_brand: Mapping[str, DataFrame]) -> DataFrame:
-    """Union the competitor tables of several brands (tagged with the brand) and
-    total them per brand and market, per brand, and across brands (rollup)."""
-    frames = [df.select(F.lit(b).alias("brand"), "market", "competitor", "price_gap_pct", "promotion_flag")
-              for b, df in tracking_by_brand.items()]
-    union = frames[0]
-    for f in frames[1:]:
-        union = union.unionByName(f)
-    return union.rollup("brand", "market").agg(
+def brand_rollup(tracking: DataFrame | Mapping[str, DataFrame]) -> DataFrame:
+    """Totals per brand and market, per brand, and across brands (rollup) of competitor tables.
+
+    ``tracking`` is one table with a ``brand`` column, or a table per brand.  Rows are first
+    summed per (brand, market, competitor); the rollup and its distinct count read that.
+    """
+    cols = ("brand", "market", "competitor", "price_gap_pct", "promotion_flag")
+    if not isinstance(tracking, DataFrame):
+        frames = [df.withColumn("brand", F.lit(b)).select(*cols) for b, df in tracking.items()]
+        tracking = reduce(DataFrame.unionByName, frames)
+    small = tracking.groupBy("brand", "market", "competitor").agg(
+        F.count(F.lit(1)).alias("n"), exact_sum("price_gap_pct").alias("gap"), F.count("price_gap_pct").alias("gap_n"),
+        count_if(F.col("promotion_flag") == "TRUE").alias("promo"))
+    return small.rollup("brand", "market").agg(
         F.grouping_id().cast("bigint").alias("level"),
-        F.count(F.lit(1)).alias("observations"),
+        F.sum("n").alias("observations"),
         F.count_distinct("competitor").alias("competitors"),
-        F.round(exact_avg("price_gap_pct"), 4).alias("avg_price_gap_pct"),
-        count_if(F.col("promotion_flag") == "TRUE").alias("promotions"))
+        F.round(exact_sum("gap") / F.nullif(F.sum("gap_n"), F.lit(0)), 4).alias("avg_price_gap_pct"),
+        F.sum("promo").alias("promotions"))
 
 
-def brand_lines(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    """Our two-brand split of the driver's data: the value line and the
-    premium / mid-tier line (complementary, so together they are the whole table)."""
-    ct = derived.competitor_tracking(tables)
-    return {"value_line": ct.where(F.col("brand_positioning") == "Value"),
-            "premium_line": ct.where(F.coalesce(F.col("brand_positioning") != "Value", F.lit(True)))}
+def brand_lines(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Our two-brand split of the driver's data, tagged in one pass: the value line and the
+    premium / mid-tier line."""
+    line = F.when(F.col("brand_positioning") == "Value", "value_line").otherwise("premium_line")
+    return derived.competitor_tracking(tables).withColumn("brand", line)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.config import DEFAULT_THRESHOLDS, REFERENCE_WINDOW, DateWindow, Thresholds
-from marketlens.functions import count_if, exact_avg, exact_sum, ladder
+from marketlens.functions import count_if, exact_sum, ladder, shown
 from marketlens.plans import label_text as L
 from marketlens.sources.layout import month_predicate
 from marketlens.plans.base import RankSpec, SubjectPlan, build_plan
@@ -22,12 +22,15 @@ ISO = "yyyy-MM-dd"
 
 
 def parse_date(c: str | Column) -> Column:
-    """Strict ISO date parse: with ANSI on, text that is not yyyy-MM-dd fails the query."""
-    return F.to_date(F.col(c) if isinstance(c, str) else c, ISO)
+    """Strict ISO date parse: text that is not a yyyy-MM-dd date fails the query, with ANSI on or off."""
+    text = F.col(c) if isinstance(c, str) else c
+    day = F.try_to_date(text, ISO)
+    bad = F.raise_error(F.concat(F.lit("not a yyyy-MM-dd date: "), text)).cast("date")
+    return F.when(text.isNotNull() & day.isNull(), bad).otherwise(day)
 
 
 def detail(facts: DataFrame, window: DateWindow = REFERENCE_WINDOW, iso_dates: bool = False) -> DataFrame:
-    """Promotions starting on or after ``window.start`` (the end of the window is ignored).
+    """Promotions starting on or after ``window.start``; the window's end is ignored, as in the reference.
 
     ``iso_dates=True`` adds the equivalent text comparison ``start_date >= 'yyyy-mm-dd'``,
     which Parquet can skip row groups on; it is exact only when every start date
@@ -44,22 +47,33 @@ def detail(facts: DataFrame, window: DateWindow = REFERENCE_WINDOW, iso_dates: b
         "campaign_duration_days", F.datediff(parse_date("end_date"), start).cast("bigint"))
 
 
-def segment_aggs(th: Thresholds) -> list[Column]:
+def aggregate(rows: DataFrame, th: Thresholds) -> DataFrame:
+    """The rollup in two steps: per (keys, channel, audience) first, so that the two distinct
+    counts look at that small table and not at three copies of every detail row."""
+    parts = ("channel", "target_audience")
     uplift = F.col("expected_uplift_pct")
-    return [
+    means = {"avg_expected_uplift": uplift, "avg_discount_value": F.col("discount_value"),
+             "avg_campaign_duration": F.col("campaign_duration_days")}
+    small = rows.groupBy(*KEYS, *parts).agg(
         F.count(F.lit(1)).alias("planned_campaigns"),
         exact_sum("budget_usd").alias("total_market_budget"),
-        exact_avg(uplift).alias("avg_expected_uplift"),
-        exact_avg("discount_value").alias("avg_discount_value"),
-        exact_avg("campaign_duration_days").alias("avg_campaign_duration"),
+        *[exact_sum(c).alias(f"{name}_sum") for name, c in means.items()],
+        *[F.count(c).alias(f"{name}_n") for name, c in means.items()],
         count_if(F.col("competitive_response") == "High").alias("high_competition_campaigns"),
         count_if(uplift >= th.uplift_excellent).alias("high_impact_campaigns"),
-        F.count_distinct("channel").alias("channels_utilized"),
-        F.count_distinct("target_audience").alias("audience_segments"),
         F.max(uplift).alias("max_expected_uplift"),
         F.min("budget_usd").alias("min_campaign_budget"),
-        F.max("budget_usd").alias("max_campaign_budget"),
-    ]
+        F.max("budget_usd").alias("max_campaign_budget"))
+    total = lambda c: F.sum(c).alias(c)
+    return small.groupBy(*KEYS).agg(
+        total("planned_campaigns"), exact_sum("total_market_budget").alias("total_market_budget"),
+        *[(exact_sum(f"{name}_sum") / F.nullif(F.sum(f"{name}_n"), F.lit(0))).alias(name) for name in means],
+        total("high_competition_campaigns"), total("high_impact_campaigns"),
+        F.count_distinct("channel").alias("channels_utilized"),
+        F.count_distinct("target_audience").alias("audience_segments"),
+        F.max("max_expected_uplift").alias("max_expected_uplift"),
+        F.min("min_campaign_budget").alias("min_campaign_budget"),
+        F.max("max_campaign_budget").alias("max_campaign_budget"))
 
 
 def ranks() -> list[RankSpec]:
@@ -73,9 +87,9 @@ def segment_view(segments: DataFrame) -> DataFrame:
     return segments.select(
         *KEYS, "planned_campaigns",
         F.round("total_market_budget", 2).alias("market_total_budget"),
-        F.round("avg_expected_uplift", 1).alias("market_avg_expected_uplift"),
-        F.round("avg_discount_value", 1).alias("market_avg_discount"),
-        F.round("avg_campaign_duration", 0).alias("market_avg_duration_days"),
+        shown("avg_expected_uplift", 1).alias("market_avg_expected_uplift"),
+        shown("avg_discount_value", 1).alias("market_avg_discount"),
+        shown("avg_campaign_duration", 0).alias("market_avg_duration_days"),
         "high_competition_campaigns", "high_impact_campaigns", "channels_utilized", "audience_segments",
         F.round("max_expected_uplift", 1).alias("market_max_uplift"),
         F.round("min_campaign_budget", 2).alias("market_min_budget"),
@@ -90,9 +104,9 @@ def project(j: DataFrame, th: Thresholds) -> DataFrame:
     return j.select(
         *DETAIL_COLUMNS, "campaign_duration_days", "planned_campaigns",
         F.round("total_market_budget", 2).alias("market_total_budget"),
-        F.round("avg_expected_uplift", 1).alias("market_avg_expected_uplift"),
-        F.round("avg_discount_value", 1).alias("market_avg_discount"),
-        F.round("avg_campaign_duration", 0).alias("market_avg_duration_days"),
+        shown("avg_expected_uplift", 1).alias("market_avg_expected_uplift"),
+        shown("avg_discount_value", 1).alias("market_avg_discount"),
+        shown("avg_campaign_duration", 0).alias("market_avg_duration_days"),
         "high_competition_campaigns", "high_impact_campaigns", "channels_utilized", "audience_segments",
         F.round("max_expected_uplift", 1).alias("market_max_uplift"),
         F.round("min_campaign_budget", 2).alias("market_min_budget"),
@@ -132,6 +146,7 @@ def report_order(rows: DataFrame) -> list[Column]:
 
 
 def build(facts: DataFrame, window: DateWindow = REFERENCE_WINDOW, thresholds: Thresholds = DEFAULT_THRESHOLDS,
-          rank_mode: str = "auto", cut_detail: bool = True, iso_dates: bool = False) -> SubjectPlan:
-    return build_plan(SUBJECT, detail(facts, window, iso_dates), KEYS, segment_aggs, ranks(), project,
-                      report_order, thresholds=thresholds, rank_mode=rank_mode, cut_detail=cut_detail)
+          rank_mode: str = "two_pass", cut_detail: bool = True, iso_dates: bool = False) -> SubjectPlan:
+    return build_plan(SUBJECT, detail(facts, window, iso_dates), KEYS, None, ranks(), project,
+                      report_order, thresholds=thresholds, rank_mode=rank_mode, cut_detail=cut_detail,
+                      aggregate=lambda rows: aggregate(rows, thresholds))

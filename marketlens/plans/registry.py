@@ -40,23 +40,23 @@ SUBJECTS = {
 }
 
 
-_OPENED: dict[tuple[int, str], Tables] = {}
+_OPENED: dict[tuple[str, str], Tables] = {}
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
     """Base tables of a folder, opened once per session (schemas read once)."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _OPENED:
         _OPENED[key] = Tables.parquet(spark, sf_dir)
     return _OPENED[key]
 
 
-_FACTS: dict[tuple[int, str, str], DataFrame] = {}
+_FACTS: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def facts_of(prefix: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     """The subject's report table over a folder: a lazy plan, defined once per session."""
-    key = (id(spark), sf_dir, prefix)
+    key = (spark.sparkContext.applicationId, sf_dir, prefix)
     if key not in _FACTS:
         _FACTS[key] = SUBJECTS[prefix][1](tables(spark, sf_dir))
     return _FACTS[key]
@@ -77,12 +77,12 @@ def _subject_queries(prefix: str) -> dict[str, Query]:
         f"{prefix}_ranks": lambda spark, d: subject_plan(prefix, spark, d).ranked.select(*rank_cols),
         f"{prefix}_segments": lambda spark, d: module.segment_view(subject_plan(prefix, spark, d).segments),
         # scope 'full': every labelled row; scope 'top_n': the rows of the report (the reference's scope)
-        f"{prefix}_summary": lambda spark, d: summarize(subject_plan(prefix, spark, d).rows, module.SUBJECT),
-        f"{prefix}_insights": lambda spark, d: insights(subject_plan(prefix, spark, d).rows, module.SUBJECT),
+        f"{prefix}_summary": lambda spark, d: summarize(subject_plan(prefix, spark, d).labelled, module.SUBJECT),
+        f"{prefix}_insights": lambda spark, d: insights(subject_plan(prefix, spark, d).labelled, module.SUBJECT),
         f"{prefix}_report_summary":
-            lambda spark, d: summarize(subject_plan(prefix, spark, d).report(100), module.SUBJECT),
+            lambda spark, d: summarize(subject_plan(prefix, spark, d).top(100), module.SUBJECT),
         f"{prefix}_report_insights":
-            lambda spark, d: insights(subject_plan(prefix, spark, d).report(100), module.SUBJECT),
+            lambda spark, d: insights(subject_plan(prefix, spark, d).top(100), module.SUBJECT),
     }
 
 
@@ -95,7 +95,7 @@ QUERIES.update({
     "competitor_report_reference_window":
         lambda spark, d: subject_plan("competitor", spark, d, window=REFERENCE_WINDOW).report(100),
     "competitor_insights_reference_window":
-        lambda spark, d: insights(subject_plan("competitor", spark, d, window=REFERENCE_WINDOW).report(100),
+        lambda spark, d: insights(subject_plan("competitor", spark, d, window=REFERENCE_WINDOW).top(100),
                                   competitor.SUBJECT),
 })
 
@@ -109,6 +109,10 @@ QUERIES.update({
     "intent_routing": lambda spark, d: _routed(spark, d),
     "intent_routing_score": lambda spark, d: _routed(spark, d, "score"),
     "request_mix": lambda spark, d: intent.request_mix(_routed(spark, d)),
+    # explicit names, aliases, an unknown name, limits, and texts for all four intents
+    "request_resolution": lambda spark, d: intent.route_requests(
+        intent.varied_requests(tables(spark, d)["conversations"]), strict=False).select(
+            "conv_id", "turn", "query_type", "intent", "row_limit"),
 })
 
 
@@ -148,6 +152,6 @@ QUERIES.update({
 })
 
 
-# ---- TB-14: the live monitor, run over the events file with availableNow
+# ---- TB-14: the live monitor, run over the events table (a file or a folder) with availableNow
 
-QUERIES["tb_price_stream"] = lambda spark, d: price_monitor.run_available(spark, d, file_glob="events.parquet")
+QUERIES["tb_price_stream"] = lambda spark, d: price_monitor.run_available(spark, f"{d}/events.parquet")

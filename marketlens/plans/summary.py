@@ -13,8 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketlens.config import DEFAULT_THRESHOLDS, Thresholds
 from marketlens.functions import count_if, exact_sum
-from marketlens.functions.numeric import AVG_DECIMAL
 
 
 def _distinct_with_null(c: str) -> Column:
@@ -23,16 +23,16 @@ def _distinct_with_null(c: str) -> Column:
 
 
 def _mean_over_rows(c: str, total: Column) -> Column:
-    return F.sum(F.col(c).cast(AVG_DECIMAL)).cast("double") / total
+    return exact_sum(c) / total
 
 
-def _fields(subject: str, total: Column) -> list[tuple[str, Column]]:
+def _fields(subject: str, total: Column, th: Thresholds) -> list[tuple[str, Column]]:
     if subject == "competitor_tracking":
         return [
             ("unique_competitors", _distinct_with_null("competitor")),
             ("unique_markets", _distinct_with_null("market")),
             ("avg_price_gap", _mean_over_rows("price_gap_pct", total)),
-            ("competitive_advantages", count_if(F.col("price_gap_pct") <= -15)),
+            ("competitive_advantages", count_if(F.col("price_gap_pct") <= th.price_advantage)),
         ]
     if subject == "campaign_performance":
         return [
@@ -58,11 +58,11 @@ def _fields(subject: str, total: Column) -> list[tuple[str, Column]]:
     raise ValueError(f"unknown subject {subject!r}")
 
 
-def summarize(rows: DataFrame, subject: str) -> DataFrame:
+def summarize(rows: DataFrame, subject: str, thresholds: Thresholds = DEFAULT_THRESHOLDS) -> DataFrame:
     """One row: total_records, query_type and the subject's fields (NULL when no rows)."""
     total = F.count(F.lit(1))
     some = total > 0
-    fields = _fields(subject, total)
+    fields = _fields(subject, total, thresholds)
     return rows.agg(
         total.alias("total_records"),
         F.when(some, F.lit(subject)).alias("query_type"),

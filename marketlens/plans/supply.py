@@ -13,8 +13,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.functions import count_if, exact_avg
-from marketlens.operators.ranking import RankSpec, choose_rank_mode, percent_rank_columns
+from marketlens.functions import count_if, exact_avg, exact_sum
+from marketlens.operators.ranking import RankSpec, percent_rank_columns
 from marketlens.session import materialize
 from marketlens.sources.derived import geo_of
 
@@ -76,9 +76,10 @@ def delivery_performance(tables: Mapping[str, DataFrame]) -> DataFrame:
     )
 
 
-def budget_variance(tables: Mapping[str, DataFrame], uplift_pct: int = 5) -> DataFrame:
+def budget_variance(tables: Mapping[str, DataFrame], uplift_pct: int = 5, budget: DataFrame | None = None) -> DataFrame:
     """TB-3. Net spend per customer region, nation and order year against a
-    budget of (100 + uplift_pct)% of the same nation's spend the year before.
+    budget table (region, nation, year, budget_usd), or, without one, a budget of
+    (100 + uplift_pct)% of the same nation's spend the year before.
     Full outer join (years with only a budget or only spend are kept), then a
     rollup over (year, region) with grand totals; money in integer cents.
     """
@@ -95,8 +96,12 @@ def budget_variance(tables: Mapping[str, DataFrame], uplift_pct: int = 5) -> Dat
               .join(geo, F.col("c_nationkey") == geo.n_nationkey)
               .groupBy(F.col("r_name").alias("region"), F.col("n_name").alias("nation"), "year")
               .agg(F.sum("c").alias("actual_c")))
-    budget = actual.select("region", "nation", (F.col("year") + 1).alias("year"),
-                           (F.col("actual_c") * F.lit(100 + uplift_pct)).alias("budget_c100"))
+    if budget is None:
+        budget = actual.select("region", "nation", (F.col("year") + 1).alias("year"),
+                               (F.col("actual_c") * F.lit(100 + uplift_pct)).alias("budget_c100"))
+    else:
+        budget = budget.groupBy("region", "nation", F.col("year").cast("int").alias("year")).agg(
+            F.round(exact_sum("budget_usd") * F.lit(10000), 0).cast("bigint").alias("budget_c100"))
     both = actual.join(budget, ["region", "nation", "year"], "full_outer")
     rolled = both.rollup("year", "region").agg(
         F.grouping_id().cast("bigint").alias("level"),
@@ -112,7 +117,7 @@ def budget_variance(tables: Mapping[str, DataFrame], uplift_pct: int = 5) -> Dat
 def supplier_stats(tables: Mapping[str, DataFrame]) -> DataFrame:
     li = tables["lineitem"].select("l_suppkey", "l_quantity", "l_discount", "l_returnflag")
     return li.groupBy(F.col("l_suppkey").alias("supplier_key")).agg(
-        F.sum("l_quantity").alias("volume"),
+        exact_sum("l_quantity").alias("volume"),
         (count_if(F.col("l_returnflag") == "R") / F.count(F.lit(1))).alias("return_rate"),
         exact_avg("l_discount").alias("avg_discount"),
     )
@@ -122,29 +127,32 @@ def supplier_stats(tables: Mapping[str, DataFrame]) -> DataFrame:
 SCORE_WEIGHTS = {"volume": 0.4, "return_rate": 0.3, "avg_discount": 0.3}
 
 
-def supplier_scorecard(tables: Mapping[str, DataFrame], rank_mode: str = "auto") -> DataFrame:
+def supplier_scorecard(tables: Mapping[str, DataFrame], rank_mode: str = "two_pass") -> DataFrame:
     """TB-4. Per supplier: volume (units), return rate, mean discount, their
     percent ranks over all suppliers, and score = 0.4 pr(volume) + 0.3 (1 - pr(return
     rate)) + 0.3 (1 - pr(discount)), rounded to 6 places."""
-    stats, rows = materialize(supplier_stats(tables), "supplier-stats", count=True)
-    mode = choose_rank_mode(stats, rows) if rank_mode == "auto" else rank_mode
-    stats = percent_rank_columns(stats, [RankSpec(f"pr_{c}", [(c, True)]) for c in SCORE_WEIGHTS], mode)
+    stats = materialize(supplier_stats(tables), "supplier-stats")
+    stats = percent_rank_columns(stats, [RankSpec(f"pr_{c}", [(c, True)]) for c in SCORE_WEIGHTS], rank_mode)
     score = (SCORE_WEIGHTS["volume"] * F.col("pr_volume")
              + SCORE_WEIGHTS["return_rate"] * (1 - F.col("pr_return_rate"))
              + SCORE_WEIGHTS["avg_discount"] * (1 - F.col("pr_avg_discount")))
     return stats.withColumn("score", F.round(score, 6))
 
 
-def capacity_plan(tables: Mapping[str, DataFrame]) -> DataFrame:
+def capacity_plan(tables: Mapping[str, DataFrame], capacity: DataFrame | None = None) -> DataFrame:
     """TB-5. Units shipped per part type and month, their 3-month moving mean
-    (this and the two previous months with shipments), and utilisation against
-    the type's peak month."""
+    (this and the two previous months with shipments), and utilisation against a
+    capacity table (part_type, units per month), or, without one, the type's peak month.
+    A type the capacity table does not hold has NULL utilisation."""
     li = tables["lineitem"].select("l_partkey", "l_quantity", "l_shipdate")
-    per_part = li.groupBy("l_partkey", _month("l_shipdate").alias("month")).agg(F.sum("l_quantity").alias("q"))
+    per_part = li.groupBy("l_partkey", _month("l_shipdate").alias("month")).agg(exact_sum("l_quantity").alias("q"))
     part = tables["part"].select("p_partkey", "p_type")
     monthly = (per_part.join(part, per_part.l_partkey == part.p_partkey)
-               .groupBy(F.col("p_type").alias("part_type"), "month").agg(F.sum("q").alias("units")))
+               .groupBy(F.col("p_type").alias("part_type"), "month").agg(exact_sum("q").alias("units")))
     w = Window.partitionBy("part_type").orderBy("month")
-    return (monthly
-            .withColumn("moving_avg_3m", F.avg("units").over(w.rowsBetween(-2, 0)))
-            .withColumn("utilisation", F.col("units") / F.max("units").over(Window.partitionBy("part_type"))))
+    planned = monthly.withColumn("moving_avg_3m", F.avg("units").over(w.rowsBetween(-2, 0)))
+    if capacity is None:
+        return planned.withColumn("utilisation", F.col("units") / F.max("units").over(Window.partitionBy("part_type")))
+    limits = capacity.groupBy(F.col("part_type").alias("c_type")).agg(F.max("units").cast("double").alias("c_units"))
+    return planned.join(limits, F.col("part_type") == F.col("c_type"), "left").withColumn(
+        "utilisation", F.col("units") / F.nullif(F.col("c_units"), F.lit(0.0))).drop("c_type", "c_units")

@@ -100,11 +100,26 @@ def scratch(spark: SparkSession):
         yield written
     finally:
         _SCRATCH.reset(token)
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for path in written:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
+        delete_folders(spark, written)
+
+
+@contextlib.contextmanager
+def recording():
+    """The list of folders materialised inside the block; nothing is deleted."""
+    written: list[str] = []
+    token = _SCRATCH.set(_SCRATCH.get() + (written,))
+    try:
+        yield written
+    finally:
+        _SCRATCH.reset(token)
+
+
+def delete_folders(spark: SparkSession, folders) -> None:
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in folders:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
 
 
 def _remember(path: str) -> None:

@@ -67,4 +67,6 @@ def check_columns(df: DataFrame, schema: T.StructType, table: str) -> DataFrame:
             out.append(df[f.name].cast(f.dataType).alias(f.name))
         else:
             raise TypeError(f"{table}.{f.name}: expected {f.dataType.simpleString()}, got {got.simpleString()}")
-    return df.select(*out)
+    # the month partition column of the stored layout stays, so that date windows prune partitions
+    months = [c for c in ("tracking_month", "campaign_month", "analysis_month", "start_month") if c in have]
+    return df.select(*out, *months)

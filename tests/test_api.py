@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 
 from marketlens.api import analyze
-from marketlens.config import STUDY_WINDOW, DateWindow
+from marketlens.config import Thresholds, STUDY_WINDOW, DateWindow
 from marketlens.plans.registry import tables
 from tests.conftest import SMALL
 
@@ -110,16 +110,11 @@ def test_handle_request_bodies(spark):
 
 def test_scratch_covers_concurrent_rank_jobs(spark):
     import os
-    from marketlens.operators.ranking import WINDOW_MAX_ROWS_CONF
     from marketlens.session import scratch
-    spark.conf.set(WINDOW_MAX_ROWS_CONF, "0")
-    try:
-        with scratch(spark) as written:
-            rep = analyze(tables(spark, SMALL), question="prices", limit=3, window=STUDY_WINDOW)
-            assert rep.rows.count() == 3
-            paths = list(written)
-    finally:
-        spark.conf.unset(WINDOW_MAX_ROWS_CONF)
+    with scratch(spark) as written:
+        rep = analyze(tables(spark, SMALL), question="prices", limit=3, window=STUDY_WINDOW)
+        assert rep.rows.count() == 3
+        paths = list(written)
     assert sum("rank-keys" in p for p in paths) == 2  # both ranks' key tables, written on helper threads
     assert not any(os.path.exists(p.removeprefix("file:")) for p in paths)
 
@@ -129,3 +124,38 @@ def test_promo_iso_dates_option_pushes_text_filter(spark):
                   options={"iso_dates": True})
     base = analyze(tables(spark, SMALL), query_type="promotional_planning", limit=5, window=STUDY_WINDOW)
     assert rep.rows.collect() == base.rows.collect()
+
+
+def test_report_close_deletes_what_it_wrote(spark):
+    import os
+    with analyze(tables(spark, SMALL), question="prices", limit=3, window=STUDY_WINDOW) as rep:
+        assert len(rep.rows.collect()) == 3 and rep.folders
+        assert all(os.path.exists(p.removeprefix("file:")) for p in rep.folders)
+    assert not any(os.path.exists(p.removeprefix("file:")) for p in rep.folders)
+
+
+def test_summary_has_the_reference_timestamp(spark):
+    rep = analyze(tables(spark, SMALL), question="prices", limit=3, window=STUDY_WINDOW)
+    assert "timestamp" in rep.response()["summary"]
+
+
+def test_thresholds_reach_summary_and_insights(spark):
+    wide = Thresholds(price_advantage=1e9, insight_gap_band=1e9)
+    rep = analyze(tables(spark, SMALL), question="prices", limit=20, window=STUDY_WINDOW, thresholds=wide)
+    assert rep.summary.first()["competitive_advantages"] == 20
+    assert "avg_gap_parity" in {r["code"] for r in rep.insights.collect()}
+
+
+def test_stored_facts_prune_months_through_analyze(spark, tmp_path):
+    from marketlens.sources.layout import read_facts, write_facts
+    write_facts(tables(spark, SMALL), str(tmp_path), ["competitor_tracking"])
+    facts = read_facts(spark, str(tmp_path), "competitor_tracking")
+    rep = analyze(facts=facts, query_type="competitor_tracking", limit=5, window=STUDY_WINDOW, rank_mode="window", scope="full")
+    plan = rep.summary._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(tracking_month" in plan
+
+
+def test_open_ended_windows_keep_rows(spark):
+    for name in ("competitor_tracking", "campaign_performance", "price_elasticity", "promotional_calendar"):
+        rep = analyze(tables(spark, SMALL), query_type=name, window=DateWindow.of("1998-06-01"), scope="full", rank_mode="window")
+        assert rep.summary.first()["total_records"] > 0, name

@@ -47,7 +47,7 @@ def test_bucketed_order_tables_join_without_exchange(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
-    assert "SortMergeJoin [o_orderkey" in plan
+    assert "SortMergeJoin [l_orderkey" in plan
     # the per-order aggregation and the orders join read co-located buckets: no hash exchange on the order key
     assert "hashpartitioning(l_orderkey" not in plan and "hashpartitioning(o_orderkey" not in plan
     want = campaign.build(derived.campaign_performance(base), STUDY_WINDOW, rank_mode="window").report(50).collect()

@@ -32,3 +32,56 @@ def test_window_mode_report_has_no_cartesian_product(spark):
     text = _plan(plan.report(100))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert "TakeOrderedAndProject" in text
+
+
+def _final(df) -> str:
+    """The plan that ran, after adaptive re-planning."""
+    df.write.format("noop").mode("overwrite").save()
+    return _plan(df)
+
+
+def test_campaign_window_reaches_orders_below_the_aggregate(spark):
+    from marketlens.plans import campaign
+    d = campaign.detail(derived.campaign_performance(tables(spark, SMALL)), STUDY_WINDOW)
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    aggregate, join = plan.index("Aggregate"), plan.index("l_orderkey", plan.index("Aggregate"))
+    assert aggregate < join and "o_orderdate" in plan[aggregate:] and "Filter" in plan[aggregate:]
+    assert "PushedFilters: [IsNotNull(o_orderdate)" in _plan(d) or "GreaterThanOrEqual(o_orderdate" in _plan(d)
+
+
+def test_unranked_outputs_write_and_rank_nothing(spark):
+    from marketlens.plans.registry import QUERIES
+    from marketlens.session import recording
+    for prefix in ("competitor", "campaign", "elasticity", "promo"):
+        for kind in ("segments", "summary", "insights", "report_summary", "report_insights"):
+            with recording() as folders:
+                QUERIES[f"{prefix}_{kind}"](spark, SMALL)
+            assert not folders, (prefix, kind)
+
+
+def test_report_looks_up_ranks_for_the_kept_rows_only(spark):
+    plan = competitor.build(derived.competitor_tracking(tables(spark, SMALL)), STUDY_WINDOW)
+    text = plan.report(7)._jdf.queryExecution().optimizedPlan().toString()
+    top = text.rindex("GlobalLimit 7")
+    assert "_r0k0_r" in text[:top] and "_r0k0_r" in text  # rank joins stand above the inner limit
+    assert len(plan.report(7).collect()) == 7
+
+
+def test_no_registered_plan_puts_rows_on_one_task(spark):
+    """Single-partition exchanges may only carry one row a bucket, a source or an aggregate."""
+    from marketlens.plans.registry import QUERIES
+    for name in ("competitor_report", "campaign_report", "elasticity_ranks", "promo_labels", "tb_supplier_scorecard", "tb_price_rule_table"):
+        lines = _plan(QUERIES[name](spark, SMALL)).splitlines()
+        for i, line in enumerate(lines):
+            if "Exchange SinglePartition" in line:
+                assert "HashAggregate(keys=[_bucket" in lines[i + 1] or "partial_" in lines[i + 1], (name, lines[i + 1])
+
+
+def test_tier_b_reads_its_fact_once(spark):
+    from marketlens.plans.registry import QUERIES
+    from marketlens.session import recording
+    for name in ("tb_market_entries", "tb_market_forecast"):
+        with recording() as folders:
+            df = QUERIES[name](spark, SMALL)
+        assert len(folders) == 1 and "lineitem" not in _plan(df)
+    assert _plan(QUERIES["tb_brand_rollup"](spark, SMALL)).count("lineitem.parquet") == 1

@@ -205,17 +205,17 @@ def test_negative_limit_rejected():
         resolve_limit(-1)
 
 
-def test_price_rule_table_paths_agree(spark, monkeypatch):
-    """Broadcast nested-loop path, bucketed equi-join path and the CASE chain give one answer."""
+def test_price_rule_table_agrees_with_the_case_chain(spark):
     from marketlens.plans import pricing_ext
     from marketlens.plans.registry import tables
     from tests.conftest import SMALL
     t = tables(spark, SMALL)
     chain = sorted(pricing_ext.apply_price_rules(t).collect())
     table = sorted(pricing_ext.apply_price_rule_table(t["part"], pricing_ext.rules_frame(spark)).collect())
-    monkeypatch.setattr(pricing_ext, "BROADCAST_RULES_MAX", 0)
-    bucketed = sorted(pricing_ext.apply_price_rule_table(t["part"], pricing_ext.rules_frame(spark)).collect())
-    assert chain == table == bucketed
+    assert chain == table
+    assert pricing_ext.apply_price_rule_table(t["part"].limit(0), pricing_ext.rules_frame(spark)).count() == 0
+    plan = pricing_ext.apply_price_rule_table(t["part"], pricing_ext.rules_frame(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_route_requests_table(spark):
@@ -236,3 +236,65 @@ def test_route_requests_table(spark):
         route_requests(neg).collect()
     mix = {r.intent: r.requests for r in request_mix(route_requests(reqs, strict=False)).collect()}
     assert sum(mix.values()) == 4
+
+
+def test_exact_aggregates_follow_nan_and_infinity(spark):
+    import math
+    from marketlens.functions import exact_avg, exact_sum
+    nan, inf = float("nan"), float("inf")
+    rows = [("nan", 1.0), ("nan", nan), ("inf", 1.0), ("inf", inf), ("both", inf), ("both", -inf), ("none", None), ("some", None), ("some", 1e-12),
+            ("some", 3e-12), ("big", 1e17), ("big", 1e19), ("thirds", 100 / 3), ("thirds", 100 / 3), ("thirds", 100 / 3)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r["k"]: (r["s"], r["a"]) for r in df.groupBy("k").agg(exact_sum("v").alias("s"), exact_avg("v").alias("a")).collect()}
+    assert math.isnan(got["nan"][0]) and math.isnan(got["nan"][1]) and math.isnan(got["both"][0])
+    assert got["inf"] == (inf, inf) and got["none"] == (None, None)
+    assert got["some"] == (4e-12, 2e-12) and got["big"] == (1.01e19, 5.05e18)
+    assert got["thirds"][0] == pytest.approx(100, abs=1e-13)
+
+
+def test_bad_date_text_fails_with_ansi_on_or_off(spark):
+    from marketlens.plans.promo import parse_date
+    df = spark.createDataFrame([("2024-01-31",), (None,)], "d string")
+    bad = spark.createDataFrame([("2024-01-31",), ("31.01.2024",)], "d string")
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    try:
+        for ansi in ("true", "false"):
+            spark.conf.set("spark.sql.ansi.enabled", ansi)
+            assert [str(r[0]) for r in df.select(parse_date("d")).collect()] == ["2024-01-31", "None"]
+            with pytest.raises(Exception, match="not a yyyy-MM-dd date"):
+                bad.select(parse_date("d")).collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def test_budget_and_capacity_tables(spark):
+    from marketlens.plans import supply
+    from marketlens.plans.registry import tables
+    from tests.conftest import SMALL
+    t = tables(spark, SMALL)
+    base = supply.budget_variance(t).where("level = 0").first()
+    nation = t["nation"].join(t["region"], t["nation"]["n_regionkey"] == t["region"]["r_regionkey"]).where("r_name = '%s'" % base["region"]).first()
+    budget = spark.createDataFrame([(base["region"], nation["n_name"], base["year"], 12.34)], "region string, nation string, year int, budget_usd double")
+    got = {(r["year"], r["region"]): r["budget_usd"] for r in supply.budget_variance(t, budget=budget).collect()}
+    assert got[(base["year"], base["region"])] == 12.34 and got[(None, None)] == 12.34
+    kind = supply.capacity_plan(t).first()["part_type"]
+    cap = spark.createDataFrame([(kind, 1000.0)], "part_type string, units double")
+    rows = supply.capacity_plan(t, cap).collect()
+    assert all(r["utilisation"] == (r["units"] / 1000 if r["part_type"] == kind else None) for r in rows)
+
+
+def test_lookups_keep_unknown_ids(spark):
+    from marketlens.plans import pricing_ext
+    from marketlens.plans.registry import tables
+    from tests.conftest import SMALL
+    t = tables(spark, SMALL)
+    ids = spark.createDataFrame([(1,), (10**9,)], "p_partkey bigint")
+    prices = {r["p_partkey"]: r for r in pricing_ext.competitor_prices_for(ids, t).collect()}
+    assert prices[1]["observations"] > 0 and prices[10**9]["observations"] == 0
+    chosen = pricing_ext.competitor_prices_for(ids, t, category="ECONOMY").collect()
+    assert {r["product_category"] for r in chosen} == {"ECONOMY"}
+    suppliers = pricing_ext.supplier_performance_for(ids, t, metrics=["score"]).collect()
+    assert {r["p_partkey"] for r in suppliers} == {1, 10**9} and suppliers[0].asDict().keys() == {"p_partkey", "supplier_key", "score"}
+    with pytest.raises(ValueError):
+        pricing_ext.supplier_performance_for(ids, t, metrics=["nonsense"])
+    assert {r["p_partkey"]: r["best_price"] is None for r in pricing_ext.optimal_price_for(ids, t).collect()} == {1: False, 10**9: True}

@@ -42,3 +42,13 @@ def test_stream_two_batches_and_late_row(spark):
     want = sorted((r.window_start, r.event_type, r.events, r.mean_value) for r in closed)
     assert got == want
     assert all(v != 100.0 for *_, v in got)
+
+
+def test_stream_reads_a_table_of_several_part_files(spark, tmp_path):
+    from tests.conftest import SMALL
+    events = spark.read.parquet(f"{SMALL}/events.parquet")
+    folder = str(tmp_path / "events.parquet")
+    events.repartition(3).write.parquet(folder)
+    key = lambda df: sorted(map(str, df.collect()))
+    want = key(run_available(spark, f"{SMALL}/events.parquet"))
+    assert want and key(run_available(spark, folder)) == want
