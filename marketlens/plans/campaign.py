@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.config import DEFAULT_THRESHOLDS, REFERENCE_WINDOW, DateWindow, Thresholds
-from marketlens.functions import exact_avg, exact_sum, ladder, ratio, shown
+from marketlens.functions import exact_avg, exact_sum, labels, ratio, shown
 from marketlens.plans import label_text as L
 from marketlens.sources.layout import month_predicate
 from marketlens.plans.base import RankSpec, SubjectPlan, build_plan
@@ -99,28 +99,28 @@ def project(j: DataFrame, th: Thresholds) -> DataFrame:
         F.round("acquisitions_per_1000_usd", 2).alias("segment_acquisitions_per_1000_usd"),
         F.round("true_cost_per_acquisition", 2).alias("segment_true_cost_per_acquisition"),
         "roi_rank", "revenue_rank", "efficiency_rank",
-        ladder([
+        *labels("campaign_performance_tier", [
             (roi >= th.roi_excellent, L.ROI_EXCELLENT),
             (roi >= th.roi_good, L.ROI_GOOD),
             (roi >= th.roi_average, L.ROI_AVERAGE),
-        ], L.ROI_POOR).alias("campaign_performance_tier"),
-        ladder([
+        ], L.ROI_POOR),
+        *labels("discount_efficiency", [
             ((disc >= th.discount_high) & (roi >= th.roi_good), L.HIGH_DISCOUNT_HIGH_RETURN),
             (disc >= th.discount_high, L.HIGH_DISCOUNT_LOW_RETURN),
             (roi >= th.roi_good, L.EFFICIENT_CAMPAIGN),
-        ], L.STANDARD_CAMPAIGN).alias("discount_efficiency"),
-        ladder([
+        ], L.STANDARD_CAMPAIGN),
+        *labels("retention_performance", [
             (repeat >= th.repeat_excellent, L.RETENTION_EXCELLENT),
             (repeat >= th.repeat_good, L.RETENTION_GOOD),
             (repeat >= th.repeat_standard, L.RETENTION_STANDARD),
-        ], L.RETENTION_LOW).alias("retention_performance"),
-        ladder([
+        ], L.RETENTION_LOW),
+        *labels("acquisition_effectiveness", [
             # the guard reads the segment value *rounded*, as the reference's CTE exposes it
             ((acq >= th.acquisition_efficient) & (seg_cpa <= th.cost_per_acquisition_max),
              L.ACQUISITION_EFFICIENT),
             (acq >= th.acquisition_good, L.ACQUISITION_GOOD),
             (acq >= th.acquisition_standard, L.ACQUISITION_STANDARD),
-        ], L.ACQUISITION_LOW).alias("acquisition_effectiveness"),
+        ], L.ACQUISITION_LOW),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.config import DEFAULT_THRESHOLDS, REFERENCE_WINDOW, DateWindow, Thresholds
-from marketlens.functions import count_if, exact_avg, ladder, shown
+from marketlens.functions import count_if, exact_avg, labels, shown
 from marketlens.plans import label_text as L
 from marketlens.sources.layout import month_predicate
 from marketlens.plans.base import RankSpec, SubjectPlan, build_plan
@@ -75,26 +75,26 @@ def project(j: DataFrame, th: Thresholds) -> DataFrame:
         shown("avg_competitor_price", 2).alias("market_avg_competitor_price"),
         "price_competitiveness_rank", "overall_competitiveness_rank",
         # labels read the unrounded gap (a select alias is not visible to siblings)
-        ladder([
+        *labels("competitive_position", [
             ((gap <= th.price_dominant) & (impact == "Very Positive"), L.DOMINANT),
             ((gap <= th.price_advantage) & impact.isin(*POSITIVE_IMPACT), L.STRONG_ADVANTAGE),
             (gap.between(th.parity_low, th.parity_high), L.PARITY),
             (gap >= th.price_disadvantage, L.DISADVANTAGE),
-        ], L.NEUTRAL).alias("competitive_position"),
-        ladder([
+        ], L.NEUTRAL),
+        *labels("promotional_environment", [
             ((flag == "TRUE") & (gap >= 0), L.PROMO_PRESSURE),
             (flag == "TRUE", L.PROMO_ACTIVITY),
-        ], L.STANDARD_ENVIRONMENT).alias("promotional_environment"),
-        ladder([
+        ], L.STANDARD_ENVIRONMENT),
+        *labels("value_proposition", [
             ((quality == "Superior") & (gap <= 0), L.PREMIUM_VALUE),
             (quality == "Superior", L.QUALITY_ADVANTAGE),
             (quality == "Comparable", L.QUALITY_PARITY),
-        ], L.QUALITY_OPPORTUNITY).alias("value_proposition"),
-        ladder([
+        ], L.QUALITY_OPPORTUNITY),
+        *labels("brand_position_strength", [
             ((brand == "Premium") & (impact == "Very Positive"), L.BRAND_LEADER),
             (brand == "Premium", L.PREMIUM_POSITIONING),
             (brand == "Mid-tier", L.MIDTIER_POSITIONING),
-        ], L.POSITION_DEVELOPMENT).alias("brand_position_strength"),
+        ], L.POSITION_DEVELOPMENT),
     )
 
 

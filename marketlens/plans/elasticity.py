@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.config import DEFAULT_THRESHOLDS, REFERENCE_WINDOW, DateWindow, Thresholds
-from marketlens.functions import count_if, exact_avg, ladder, shown
+from marketlens.functions import count_if, exact_avg, labels, shown
 from marketlens.plans import label_text as L
 from marketlens.sources.layout import month_predicate
 from marketlens.plans.base import RankSpec, SubjectPlan, build_plan
@@ -85,25 +85,25 @@ def project(j: DataFrame, th: Thresholds) -> DataFrame:
         F.round("max_revenue_impact", 1).alias("segment_max_revenue_impact"),
         F.round("min_revenue_impact", 1).alias("segment_min_revenue_impact"),
         "revenue_impact_rank", "market_sensitivity_rank",
-        ladder([
+        *labels("sensitivity_classification", [
             (e >= th.elasticity_high, L.SENSITIVITY_HIGH),
             (e >= th.elasticity_low, L.SENSITIVITY_MODERATE),
-        ], L.SENSITIVITY_LOW).alias("sensitivity_classification"),
-        ladder([
+        ], L.SENSITIVITY_LOW),
+        *labels("pricing_strategy", [
             ((rec == INCREASE) & (impact > th.increase_strong_impact), L.STRONG_INCREASE),
             (rec == INCREASE, L.INCREASE),
             ((rec == DECREASE) & (impact > th.decrease_strategic_impact), L.STRATEGIC_DECREASE),
             (rec == DECREASE, L.DECREASE),
-        ], L.MAINTAIN).alias("pricing_strategy"),
-        ladder([
+        ], L.MAINTAIN),
+        *labels("revenue_opportunity_level", [
             (F.abs(impact) >= th.impact_high, L.IMPACT_HIGH),
             (F.abs(impact) >= th.impact_significant, L.IMPACT_SIGNIFICANT),
             (F.abs(impact) >= th.impact_moderate, L.IMPACT_MODERATE),
-        ], L.IMPACT_MINIMAL).alias("revenue_opportunity_level"),
-        ladder([
+        ], L.IMPACT_MINIMAL),
+        *labels("price_optimization_status", [
             (optimal > price * th.underpriced_factor, L.UNDER_PRICED),
             (optimal < price * th.overpriced_factor, L.OVER_PRICED),
-        ], L.OPTIMALLY_PRICED).alias("price_optimization_status"),
+        ], L.OPTIMALLY_PRICED),
     )
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.config import DEFAULT_THRESHOLDS, Thresholds
-from marketlens.functions import count_if, exact_avg, exact_sum
+from marketlens.functions import code_of, count_if, exact_avg, exact_sum
 from marketlens.plans import label_text as L
 
 INSIGHT, RECOMMENDATION, ALERT = "insight", "recommendation", "alert"
@@ -48,15 +48,20 @@ def _count_rule(kind: str, seq: int, code: str, stat: str) -> Rule:
     return Rule(kind, seq, code, _c(stat), _positive(stat))
 
 
+def _is(column: str, *texts: str) -> Column:
+    """Whether a row carries one of the labels, by its plain code."""
+    return F.col(f"{column}_code").isin(*[code_of(t) for t in texts])
+
+
 # ---- per-subject statistics (one aggregation) and rules ----------------------
 
 def _competitor_stats(th: Thresholds) -> list[Column]:
     gap = F.col("price_gap_pct")
     return [
-        count_if(F.col("competitive_position") == L.STRONG_ADVANTAGE).alias("strong"),
-        count_if(F.col("competitive_position") == L.DISADVANTAGE).alias("disadvantage"),
-        count_if(F.col("value_proposition") == L.PREMIUM_VALUE).alias("premium_value"),
-        count_if(F.col("promotional_environment") == L.PROMO_PRESSURE).alias("promo_pressure"),
+        count_if(_is("competitive_position", L.STRONG_ADVANTAGE)).alias("strong"),
+        count_if(_is("competitive_position", L.DISADVANTAGE)).alias("disadvantage"),
+        count_if(_is("value_proposition", L.PREMIUM_VALUE)).alias("premium_value"),
+        count_if(_is("promotional_environment", L.PROMO_PRESSURE)).alias("promo_pressure"),
         F.count(gap).alias("gap_n"),
         exact_avg(gap).alias("gap_mean"),
         F.lit(th.insight_gap_band).alias("gap_band"),
@@ -80,7 +85,7 @@ COMPETITOR_RULES = [
 
 
 def _campaign_stats(th: Thresholds) -> list[Column]:
-    excellent = F.col("campaign_performance_tier") == L.ROI_EXCELLENT
+    excellent = _is("campaign_performance_tier", L.ROI_EXCELLENT)
     roi, revenue = F.col("roi_pct"), F.col("revenue_generated")
     # first Excellent row in report order: roi desc, revenue desc, then date and name
     order_key = F.struct(
@@ -91,9 +96,9 @@ def _campaign_stats(th: Thresholds) -> list[Column]:
         count_if(excellent).alias("excellent"),
         F.max(F.when(excellent, roi)).alias("best_roi"),
         F.min_by(F.col("campaign_name"), F.when(excellent, order_key)).alias("best_campaign"),
-        count_if(F.col("campaign_performance_tier") == L.ROI_POOR).alias("poor"),
-        count_if(F.col("acquisition_effectiveness") == L.ACQUISITION_EFFICIENT).alias("efficient_acquisition"),
-        count_if(F.col("retention_performance") == L.RETENTION_EXCELLENT).alias("excellent_retention"),
+        count_if(_is("campaign_performance_tier", L.ROI_POOR)).alias("poor"),
+        count_if(_is("acquisition_effectiveness", L.ACQUISITION_EFFICIENT)).alias("efficient_acquisition"),
+        count_if(_is("retention_performance", L.RETENTION_EXCELLENT)).alias("excellent_retention"),
         exact_sum("revenue_generated").alias("revenue_total"),
         exact_sum("campaign_cost").alias("cost_total"),
     ]
@@ -113,10 +118,10 @@ CAMPAIGN_RULES = [
 
 def _elasticity_stats(th: Thresholds) -> list[Column]:
     return [
-        count_if(F.col("pricing_strategy") == L.STRONG_INCREASE).alias("strong_increase"),
-        count_if(F.col("price_optimization_status") == L.UNDER_PRICED).alias("under_priced"),
-        count_if(F.col("revenue_opportunity_level") == L.IMPACT_HIGH).alias("high_impact"),
-        count_if(F.col("sensitivity_classification") == L.SENSITIVITY_LOW).alias("low_sensitivity"),
+        count_if(_is("pricing_strategy", L.STRONG_INCREASE)).alias("strong_increase"),
+        count_if(_is("price_optimization_status", L.UNDER_PRICED)).alias("under_priced"),
+        count_if(_is("revenue_opportunity_level", L.IMPACT_HIGH)).alias("high_impact"),
+        count_if(_is("sensitivity_classification", L.SENSITIVITY_LOW)).alias("low_sensitivity"),
     ]
 
 
@@ -133,15 +138,14 @@ ELASTICITY_RULES = [
 
 
 def _promo_stats(th: Thresholds) -> list[Column]:
-    tier, duration = F.col("campaign_priority_tier"), F.col("duration_strategy")
     return [
-        count_if(tier == L.HIGH_IMPACT_LOW_COST).alias("high_impact_low_cost"),
-        count_if(tier.isin(L.HIGH_IMPACT, L.HIGH_IMPACT_LOW_COST)).alias("high_impact_total"),
-        count_if(F.col("competitive_intensity") == L.BATTLEGROUND).alias("battleground"),
+        count_if(_is("campaign_priority_tier", L.HIGH_IMPACT_LOW_COST)).alias("high_impact_low_cost"),
+        count_if(_is("campaign_priority_tier", L.HIGH_IMPACT, L.HIGH_IMPACT_LOW_COST)).alias("high_impact_total"),
+        count_if(_is("competitive_intensity", L.BATTLEGROUND)).alias("battleground"),
         exact_sum("budget_usd").alias("budget_total"),
-        count_if(F.col("budget_scale") == L.BUDGET_MAJOR).alias("major"),
-        count_if(duration == L.DURATION_FLASH).alias("flash"),
-        count_if(duration == L.DURATION_EXTENDED).alias("extended"),
+        count_if(_is("budget_scale", L.BUDGET_MAJOR)).alias("major"),
+        count_if(_is("duration_strategy", L.DURATION_FLASH)).alias("flash"),
+        count_if(_is("duration_strategy", L.DURATION_EXTENDED)).alias("extended"),
     ]
 
 

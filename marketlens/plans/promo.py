@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.config import DEFAULT_THRESHOLDS, REFERENCE_WINDOW, DateWindow, Thresholds
-from marketlens.functions import count_if, exact_sum, ladder, shown
+from marketlens.functions import count_if, exact_sum, labels, shown
 from marketlens.plans import label_text as L
 from marketlens.sources.layout import month_predicate
 from marketlens.plans.base import RankSpec, SubjectPlan, build_plan
@@ -112,32 +112,32 @@ def project(j: DataFrame, th: Thresholds) -> DataFrame:
         F.round("min_campaign_budget", 2).alias("market_min_budget"),
         F.round("max_campaign_budget", 2).alias("market_max_budget"),
         "impact_efficiency_rank", "market_priority_rank",
-        ladder([
+        *labels("campaign_priority_tier", [
             ((uplift >= th.uplift_excellent) & (budget <= th.low_cost_budget), L.HIGH_IMPACT_LOW_COST),
             (uplift >= th.uplift_excellent, L.HIGH_IMPACT),
             (uplift >= th.uplift_good, L.GOOD_IMPACT),
             (uplift >= th.uplift_moderate, L.MODERATE_IMPACT),
-        ], L.LOW_IMPACT).alias("campaign_priority_tier"),
-        ladder([
+        ], L.LOW_IMPACT),
+        *labels("competitive_intensity", [
             ((response == "High") & (uplift >= th.battleground_uplift), L.BATTLEGROUND),
             (response == "High", L.HIGH_RESPONSE),
             (response == "Medium", L.MODERATE_COMPETITION),
-        ], L.LOW_PRESSURE).alias("competitive_intensity"),
-        ladder([
+        ], L.LOW_PRESSURE),
+        *labels("discount_strategy", [
             ((dtype == "Percentage") & (dvalue >= th.deep_discount_pct), L.DEEP_DISCOUNT),
             ((dtype == "Fixed Amount") & (dvalue >= th.high_value_discount), L.HIGH_VALUE_DISCOUNT),
             (dvalue >= th.standard_discount, L.STANDARD_DISCOUNT),
-        ], L.PREMIUM_PRICING).alias("discount_strategy"),
-        ladder([
+        ], L.PREMIUM_PRICING),
+        *labels("budget_scale", [
             (budget >= th.budget_major, L.BUDGET_MAJOR),
             (budget >= th.budget_significant, L.BUDGET_SIGNIFICANT),
             (budget >= th.budget_standard, L.BUDGET_STANDARD),
-        ], L.BUDGET_LIMITED).alias("budget_scale"),
-        ladder([
+        ], L.BUDGET_LIMITED),
+        *labels("duration_strategy", [
             (days >= th.duration_extended, L.DURATION_EXTENDED),
             (days >= th.duration_standard, L.DURATION_STANDARD),
             (days >= th.duration_short, L.DURATION_SHORT),
-        ], L.DURATION_FLASH).alias("duration_strategy"),
+        ], L.DURATION_FLASH),
     )
 
 

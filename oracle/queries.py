@@ -57,7 +57,10 @@ def ladder(column: str, conditions: list[str]) -> str:
     *texts, default = LABELS[column]
     assert len(texts) == len(conditions), column
     steps = ", ".join(f"IF({c}, {text(t)}, NULL)" for c, t in zip(conditions, texts))
-    return f"COALESCE({steps}, {text(default)}) AS {column}"
+    label = f"COALESCE({steps}, {text(default)})"
+    # the plain code: the label's letters in lower case, runs of anything else as one underscore
+    code = f"regexp_replace(regexp_replace(lower({label}), '[^a-z]+', '_', 'g'), '^_|_$', '', 'g')"
+    return f"{label} AS {column}, {code} AS {column}_code"
 
 
 def bounds(column: str, source: str, floors: list[float]) -> tuple[str, list[str]]:
@@ -212,7 +215,7 @@ labelled AS (SELECT {', '.join(map(show, s.shown))}, {', '.join(ladder(*x) for x
 
 
 def top(s: Subject) -> str:
-    names = [n for n, *_ in s.shown] + [c for c, _ in s.ladders]
+    names = [n for n, *_ in s.shown] + [x for c, _ in s.ladders for x in (c, f"{c}_code")]
     return f"SELECT * FROM labelled ORDER BY {s.order}, {', '.join(map(up, names))} LIMIT {REPORT_LIMIT}"
 
 
