@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketlens.llm.shared import cut
 from marketlens.llm.tokens import chunks, hashed, mix
 
 WINDOW = 15
@@ -173,7 +174,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def find(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id_col: str, item_text_col: str) -> DataFrame:
     """``doc``, ``t`` (hash of the text), ``item_id``, ``start`` (document word), ``words_agreeing``: one row per document, item and alignment."""
-    windows = benchmark_windows(items, item_id_col, item_text_col)
+    windows = cut(benchmark_windows(items, item_id_col, item_text_col), "benchmark-windows")
     flags = bitmap(windows)
     reach = (windows.agg(F.max(F.length("words"))).first()[0] or 0) // 8
     text = F.coalesce(F.col(text_col), F.lit(""))

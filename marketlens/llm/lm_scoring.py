@@ -39,7 +39,7 @@ from marketlens.llm.ngram_trie import Trie, dequantise, open_shard, quantise, wr
 from marketlens.llm.shared import cut, pack, run_folder, smallest_uint, unpack
 from marketlens.llm.tokens import chunks, hashed, mix
 
-MU = 50.0
+MU = 300.0
 SPAN = 4096
 TILE_V, TILE_W = 64, 16 * SPAN
 BLOCK_BYTES = 8 << 20

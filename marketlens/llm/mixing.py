@@ -68,15 +68,16 @@ def offset(source: Column, seed: int) -> Column:
 def mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES, seed: int = SEED) -> DataFrame:
     """One row per document: ``row`` (its columns), ``doc_id``, ``size``, ``source_size``, ``target``, ``copies``."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    sized = rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
+    # Order-preserving id ranges, so that a cell is (source, size, range of ids); two numbers reach the driver.
+    lo, hi = docs.agg(F.min(id_col), F.max(id_col)).first()
+    width = 1 if lo is None else (hi - lo) // ID_RANGES + 1
+    place = F.lit(-1) if lo is None else F.coalesce(F.floor((F.col("doc_id") - F.lit(lo)) / F.lit(width)), F.lit(-1))
+    ranged = rows.withColumn("cell", place.cast("int"))
+    cells = ranged.groupBy("source", "size", "cell").agg(F.count(F.lit(1)).alias("n"))
+    sized = cells.groupBy("source", "size").agg(F.sum("n").alias("n"))
     sources = source_targets(sized.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, max_copies)
     per_doc = F.when(F.col("source_size") > 0, F.least(F.round(F.col("target") / F.col("source_size") * UNIT), F.lit(max_copies * UNIT))).otherwise(0).cast("bigint")
     sources = sources.withColumns({"per_doc": per_doc, "offset": F.floor(offset(F.col("source"), seed)).cast("bigint")})
-    # Order-preserving id ranges, so that a cell is (source, size, range of ids).
-    bounds = rows.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    width = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo") + 1) / F.lit(ID_RANGES)))
-    ranged = rows.crossJoin(F.broadcast(bounds)).withColumn("cell", F.coalesce(F.floor((F.col("doc_id") - F.col("lo")) / width), F.lit(-1)).cast("int")).drop("lo", "hi")
-    cells = ranged.groupBy("source", "size", "cell").agg(F.count(F.lit(1)).alias("n"))
     # Rows before a cell: those of smaller sizes of the source, and those of the same size in earlier ranges.
     smaller = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
     before = sized.withColumn("smaller", F.coalesce(F.sum("n").over(smaller), F.lit(0))).drop("n")
