@@ -48,13 +48,13 @@ def market_entries(tracking: DataFrame) -> DataFrame:
 
     One scan: each (market, competitor) looks at its own previous and next month."""
     seen = materialize(tracking.select("market", _month("tracking_date").alias("month"), "competitor").distinct(), "market-months")
-    bounds = seen.agg(F.min("month").alias("first"), F.max("month").alias("last"))  # one row
+    first, last = seen.agg(F.min("month"), F.max("month")).first()  # two dates
     w = Window.partitionBy("market", "competitor").orderBy("month")
     after = F.add_months("month", 1)
-    flagged = seen.crossJoin(F.broadcast(bounds)).select(
-        "market", "month", "last", after.alias("after"),
-        (~F.lag("month").over(w).eqNullSafe(F.add_months("month", -1)) & (F.col("month") > F.col("first"))).alias("entered"),
-        (~F.lead("month").over(w).eqNullSafe(after) & (after <= F.col("last"))).alias("left"))
+    flagged = seen.select(
+        "market", "month", after.alias("after"),
+        (~F.lag("month").over(w).eqNullSafe(F.add_months("month", -1)) & (F.col("month") > F.lit(first))).alias("entered"),
+        (~F.lead("month").over(w).eqNullSafe(after) & (after <= F.lit(last))).alias("left"))
     none = F.lit(0)
     here = F.struct(F.col("month").alias("month"), F.lit(1).alias("n"), F.col("entered").cast("int").alias("e"), none.alias("l"))
     gone = F.struct(F.col("after").alias("month"), none.alias("n"), none.alias("e"), F.lit(1).alias("l"))
