@@ -28,6 +28,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import html
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -267,29 +268,42 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["host"], pa.array(others, pa.list_(pa.string()))], names=["host", "others"])
 
 
-def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per page: the blocks that may stay, each with its place in the stream (-1: main, kept whole), and the stream."""
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Text of the pages without body blocks: all their text is main or chrome."""
     for batch in batches:
-        texts, slots, streams = [], [], []
-        for page in batch["html"].to_pylist():
+        found = [blocks(x) for x in batch["html"].to_pylist()]
+        text = pa.array([" ".join(b for b, r in f if r == IN_MAIN) for f in found], pa.string())
+        done = pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], text], names=["page_id", "url", "text"])
+        yield done.filter(pa.array([all(r != BODY for _, r in f) for f in found], pa.bool_()))
+
+
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per page with body blocks: the blocks that may stay, each with its place in the stream (-1: main, kept whole), and the stream."""
+    for batch in batches:
+        rows, texts, slots, streams = [], [], [], []
+        for n, page in enumerate(batch["html"].to_pylist()):
             found = blocks(page)
-            others = [b for b, r in found if r != IN_MAIN]
-            place = iter(range(len(others)))
+            if all(r != BODY for _, r in found):
+                continue
+            place = itertools.count()
             at = [-1 if r == IN_MAIN else next(place) for _, r in found]
             stay = [i for i, (_, r) in enumerate(found) if r != IN_CHROME]
+            rows.append(n)
             texts.append([found[i][0] if at[i] < 0 else "" for i in stay])
             slots.append([at[i] for i in stay])
-            streams.append(others)
+            streams.append([b for b, r in found if r != IN_MAIN])
+        head = batch.select(["page_id", "url", "host"]).take(pa.array(rows, pa.int64()))
         yield pa.RecordBatch.from_arrays(
-            [batch["page_id"], batch["url"], batch["host"], pa.array(texts, pa.list_(pa.string())), pa.array(slots, pa.list_(pa.int32())), pa.array(streams, pa.list_(pa.string()))],
+            [*head.columns, pa.array(texts, pa.list_(pa.string())), pa.array(slots, pa.list_(pa.int32())), pa.array(streams, pa.list_(pa.string()))],
             names=["page_id", "url", "host", "blocks", "slots", "others"])
 
 
 def extract(pages: DataFrame, id_col: str, url_col: str, html_col: str, depth: int = DEPTH, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """``page_id``, ``url`` and ``text`` of every page.
 
-    Pages are parsed twice, so that only the streams are stored and dealt by host; the
-    article text moves once, in the join with the kept runs of the page's stream.
+    Only streams are stored and dealt by host.  Pages are parsed again for the result: those
+    without body blocks are finished where they are read, the others move once, in the join
+    with the kept runs of their stream.
     """
     if depth & (depth - 1):
         raise ValueError("depth must be a power of two")
@@ -306,8 +320,9 @@ def extract(pages: DataFrame, id_col: str, url_col: str, html_col: str, depth: i
     known = repeated.join(dealt.select("host", "part").distinct(), "host").select("host", "part", "sig").toDF("host", "part", "sig")
     kept = dealt.groupBy("host", "part").cogroup(known.groupBy("host", "part")).applyInPandas(
         _kept(depth), "k_host string, k_stream bigint, kept array<string>")
-    parsed = rows.mapInArrow(_pages, f"page_id {id_type}, url string, host string, blocks array<string>, slots array<int>, others array<string>").select(
+    settled = rows.mapInArrow(_settled, f"page_id {id_type}, url string, text string")
+    parsed = rows.mapInArrow(_open, f"page_id {id_type}, url string, host string, blocks array<string>, slots array<int>, others array<string>").select(
         "page_id", "url", "host", "blocks", "slots", stream)
     joined = parsed.join(kept, (parsed["host"] == F.col("k_host")) & (parsed["stream"] == F.col("k_stream")), "left")
     runs = F.zip_with("blocks", "slots", lambda b, i: F.when(i < 0, b).otherwise(F.try_element_at("kept", i + 1)))
-    return joined.select("page_id", "url", F.array_join(F.filter(runs, lambda x: F.length(x) > 0), " ").alias("text"))
+    return settled.unionByName(joined.select("page_id", "url", F.array_join(F.filter(runs, lambda x: F.length(x) > 0), " ").alias("text")))
