@@ -57,7 +57,7 @@ header masthead footer sidebar aside widget related recommended share sharing so
 gdpr popup modal newsletter subscribe signup login form search comment comments disqus replies pagination pager
 """.split())
 
-_PIECE = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(>|\Z)|</[^>]*(?:>|\Z)""", re.S)
+_PIECE = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)|</[^>]*(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?(?=\s|/|\Z)""", re.I)
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe")}
 _SPACES = re.compile(r"\s+")

@@ -150,6 +150,7 @@ def test_blocks_and_regions():
     assert text('<script>var t="</p>";</script><style>p{}</style>z<!-- <p>no --><p title="a>b">w') == "z w"
     assert text("<nav><ul><li>one<li>two</ul></nav><main><header><h1>T</h1></header>body<aside>x</aside> end</main><footer>f</footer>") == "T body end"
     assert text('<article><p>in</p><div class="comments"><p>c</p></div><form>q</form>out</article>') == "in out"
+    assert text('<p>kept</p><a href="/cut') == text("<p>kept</p><a href='/cut >") == text('<p>kept</p></a') == "kept"
     assert text("<p>kept</p><p unfinished") == "kept" and text("<p>kept<!-- cut") == "kept" and text("a<script>cut") == "a"
     assert text('<div id="cookie-notice">c</div><div role="navigation">n</div><div hidden>h</div>t') == "t"
     assert page_text.blocks(None) == page_text.blocks("") == page_text.blocks(" <p> </p>") == []
