@@ -6,6 +6,9 @@ the benchmark items are hashed under every mask, and so is every window of every
 equal hashes of the same mask are hits.  A hit fixes an item, a document and an alignment
 (no gaps), and the words around it on that alignment are compared.
 
+Words are lower-cased and ASCII punctuation counts as white space, so that changed marks or
+capitals hide nothing.
+
 Rule: a document is contaminated by an item if, on some alignment, ``WINDOW`` consecutive words
 of the item (the whole item, if it has fewer, but at least ``LEAST_WORDS``) agree with the
 document in at least 80 % of the positions.  The masks are chosen so that every such overlap
@@ -35,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.llm.shared import cut
-from marketlens.llm.tokens import chunks, hashed, mix
+from marketlens.llm.tokens import chunks, fold_words, hashed, mix
 
 WINDOW = 15
 LEAST_WORDS = 8
@@ -68,7 +71,7 @@ def _word_lists(batch: pa.RecordBatch) -> Iterator[tuple[list, np.ndarray, np.nd
     """Per group of texts: rows (without text), all word hashes, and each text's first word."""
     names = [c for c in batch.schema.names if c != "text"]
     rows = zip(*(batch[c].to_pylist() for c in names), batch["text"].to_pylist(), strict=True)
-    for keys, buf, text_starts in chunks(rows, CHUNK_BYTES):
+    for keys, buf, text_starts in chunks(rows, CHUNK_BYTES, fold_words):
         h, starts, _ = hashed(buf)
         yield keys, h, np.append(np.searchsorted(starts, text_starts), len(h))
 

@@ -7,7 +7,8 @@ A-Z lower-cased, i.e. the pattern ``[^\\x20\\x09-\\x0D]+``.  A word is identifie
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import string
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
@@ -25,6 +26,14 @@ def fold(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass").lower()
 
 
+_PUNCTUATION = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
+
+
+def fold_words(text: str | None) -> bytes:
+    """As ``fold``, with ASCII punctuation as spaces."""
+    return fold(text).translate(_PUNCTUATION)
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
         size = max(n, PIECE + 4096)
@@ -77,7 +86,7 @@ def hashed(buf: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def chunks(texts: Iterable[tuple], size: int) -> Iterator[tuple[list, bytes, np.ndarray]]:
+def chunks(texts: Iterable[tuple], size: int, fold: Callable[[str | None], bytes] = fold) -> Iterator[tuple[list, bytes, np.ndarray]]:
     """Rows whose last item is a text, in groups of about ``size`` bytes.
 
     Yields (rows without the text, joined buffer, start offset of each text); texts are

@@ -11,7 +11,7 @@ import corpus_pipeline
 from marketlens.llm import language_id
 from marketlens.llm.shared import cut, text_crc_mod
 from marketlens.llm.tokens import fold
-from tests.llm.test_llm_text_ops import components_brute, decontamination_brute, lines_brute, simhash_brute, words
+from tests.llm.test_llm_text_ops import components_brute, decontamination_brute, lines_brute, plain_words, simhash_brute
 
 SMALL = "/root/testdata/sf0.001"
 STAGES = dict(corpus_pipeline.STAGES)
@@ -72,7 +72,7 @@ def test_simhash_stage(spark, edge_docs):
 
 def test_decontamination_stage(spark, edge_docs):
     got = STAGES["decontamination"](spark, edge_docs, SMALL)
-    items = {r["item_id"]: words(r["text"]) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
+    items = {r["item_id"]: plain_words(r["text"]) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
     small = [r for r in edge_docs.collect() if r["doc_id"] is None or r["doc_id"] >= 9000 or r["doc_id"] % 4 == 0]
     found = decontamination_brute({n: r["text"] if len(r["text"] or "") < 10_000 else None for n, r in enumerate(small)}, items)
     kept = {(r["doc_id"], r["text"]) for r in got.collect()}
