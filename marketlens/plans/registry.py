@@ -8,6 +8,7 @@ returned DataFrame itself is lazy.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from marketlens.config import REFERENCE_WINDOW, STUDY_WINDOW
 from marketlens.plans import campaign, competitor, elasticity, intent, pricing_ext, promo, supply
 from marketlens.plans.insights import insights
 from marketlens.plans.summary import summarize
+from marketlens.session import checkpoint_root
 from marketlens.sources import derived
 from marketlens.sources.tables import Tables
 from marketlens.streaming import price_monitor
@@ -100,6 +102,18 @@ QUERIES.update({
 })
 
 
+def _written_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-1: the report of a request by alias, written by the executors and read back."""
+    from marketlens.api import analyze
+
+    folder = f"{checkpoint_root(spark)}/written-report-{uuid.uuid4().hex}"
+    analyze(tables(spark, sf_dir), query_type="competitor_analysis", limit=9999, window=STUDY_WINDOW).write(path=folder)
+    return spark.read.parquet(f"{folder}/rows")
+
+
+QUERIES["competitor_report_written"] = _written_report
+
+
 def _routed(spark, sf_dir, mode="first_match"):
     questions = intent.conversation_questions(tables(spark, sf_dir)["conversations"])
     return intent.route_requests(questions, mode=mode).select("conv_id", "turn", "intent")

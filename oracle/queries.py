@@ -20,6 +20,7 @@ from oracle.mapping import MAPPING
 STUDY = ("1998-01-01", "1998-12-31")
 REFERENCE = ("2024-12-14", "2024-12-15")
 REPORT_LIMIT = 100
+HIGHEST_LIMIT = 500  # a larger wish is cut to it
 
 
 def text(s: str) -> str:
@@ -214,9 +215,9 @@ wide AS (SELECT *{columns({n: better(*r) for n, r in s.ranks.items()})} FROM ext
 labelled AS (SELECT {', '.join(map(show, s.shown))}, {', '.join(ladder(*x) for x in s.ladders)} FROM wide)"""
 
 
-def top(s: Subject) -> str:
+def top(s: Subject, limit: int = REPORT_LIMIT) -> str:
     names = [n for n, *_ in s.shown] + [x for c, _ in s.ladders for x in (c, f"{c}_code")]
-    return f"SELECT * FROM labelled ORDER BY {s.order}, {', '.join(map(up, names))} LIMIT {REPORT_LIMIT}"
+    return f"SELECT * FROM labelled ORDER BY {s.order}, {', '.join(map(up, names))} LIMIT {limit}"
 
 
 def report_sql(s: Subject, window: tuple[str, str] = STUDY) -> str:
@@ -373,6 +374,7 @@ for _p, _s in SUBJECTS.items():
     for _top, _suffix in ((False, ""), (True, "_report")):
         ORACLE |= {f"{_p}{_suffix}_summary": summary_sql(_p, _top), f"{_p}{_suffix}_insights": insights_sql(_p, _top)}
 ORACLE |= {
+    "competitor_report_written": f"{ctes(SUBJECTS['competitor'])}\n{top(SUBJECTS['competitor'], HIGHEST_LIMIT)}",
     "competitor_report_reference_window": report_sql(SUBJECTS["competitor"], REFERENCE),
     "competitor_insights_reference_window": insights_sql("competitor", True, REFERENCE),
     "intent_routing": routing_sql(),

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from marketlens.config import DateWindow, resolve_limit
 from marketlens.plans import campaign, competitor, elasticity, promo
@@ -298,3 +299,12 @@ def test_lookups_keep_unknown_ids(spark):
     with pytest.raises(ValueError):
         pricing_ext.supplier_performance_for(ids, t, metrics=["nonsense"])
     assert {r["p_partkey"]: r["best_price"] is None for r in pricing_ext.optimal_price_for(ids, t).collect()} == {1: False, 10**9: True}
+
+
+def test_insight_caps(spark, monkeypatch):
+    """Ten insights, five recommendations and five alerts at most, the first in emission order."""
+    from marketlens.plans import insights as I
+    many = [I.Rule(kind, seq, f"r{seq}", lambda: F.lit(1.0), lambda: F.lit(True)) for kind in (I.INSIGHT, I.RECOMMENDATION, I.ALERT) for seq in range(1, 15)]
+    monkeypatch.setitem(I.SUBJECT_RULES, "competitor_tracking", (lambda th: [F.count(F.lit(1)).alias("unused")], many))
+    got = [(r["kind"], r["seq"]) for r in I.insights(spark.range(3), "competitor_tracking").collect()]
+    assert sorted(got) == sorted([(I.INSIGHT, s) for s in range(1, 11)] + [(k, s) for k in (I.RECOMMENDATION, I.ALERT) for s in range(1, 6)])
