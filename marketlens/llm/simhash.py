@@ -151,16 +151,17 @@ def link(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def components(rows: DataFrame, id_col: str, fp_col: str, radius: int = RADIUS) -> DataFrame:
-    """``fp`` and ``component_id`` (the smallest id whose fingerprint is reachable) of every distinct fingerprint."""
+    """Every distinct fingerprint: ``fp``, ``root`` (a fingerprint that names its component) and
+    ``component_id`` (the smallest id whose fingerprint is reachable)."""
     classes = cut(rows.groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("least")), "simhash-classes")
     found = connected_components(link(classes, radius))
     rooted = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
-    return rooted.join(least, rooted["root"] == least["r"]).select("fp", "component_id")
+    return rooted.join(least, rooted["root"] == least["r"]).select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``doc_id``, ``fp`` (signed long) and ``component_id`` of every row."""
     rows = cut(docs.select(F.col(id_col).alias("doc_id"), fingerprints(F.col(text_col), shingle).alias("fp")), "simhash-fps")
-    groups = components(rows, "doc_id", "fp", radius).withColumnRenamed("fp", "group_fp")
+    groups = components(rows, "doc_id", "fp", radius).withColumnRenamed("fp", "group_fp").drop("root")
     return rows.join(groups, rows["fp"] == groups["group_fp"]).select("doc_id", "fp", "component_id")

@@ -70,6 +70,13 @@ def test_simhash_stage(spark, edge_docs):
     assert {tuple(r) for r in got} <= {tuple(r) for r in rows}
 
 
+def test_simhash_stage_keeps_every_group_without_ids(spark):
+    rows = [(None, "one two three four"), (None, "one two three four"), (None, "something else entirely here"), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = STAGES["simhash"](spark, docs, SMALL).collect()
+    assert sorted(r["text"] for r in got) == ["", "one two three four", "something else entirely here"]
+
+
 def test_decontamination_stage(spark, edge_docs):
     got = STAGES["decontamination"](spark, edge_docs, SMALL)
     items = {r["item_id"]: plain_words(r["text"]) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
