@@ -44,14 +44,15 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the one with the smallest id, of each near-duplicate group."""
-    fp, group_fp, component, turn = (_free(docs, x) for x in ("fp", "group_fp", "component_id", "turn"))
+    """Keeps one document, the one with the smallest id, of each near-duplicate group; a group
+    whose ids are all null keeps its first row by content."""
+    fp, group_fp, root, component, turn = (_free(docs, x) for x in ("fp", "group_fp", "root", "component_id", "turn"))
     rows = cut(docs.withColumn(fp, simhash.fingerprints(F.col(TEXT))), "simhash-rows")
-    groups = simhash.components(rows, ID, fp).select(F.col("fp").alias(group_fp), F.col("component_id").alias(component))
+    groups = simhash.components(rows, ID, fp).select(F.col("fp").alias(group_fp), F.col("root").alias(root), F.col("component_id").alias(component))
     first = rows.join(groups, F.col(fp) == F.col(group_fp)).filter(F.col(ID).eqNullSafe(F.col(component)))
     # Rows that share the smallest id: the partial aggregate keeps one of them, the first by content.
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return first.groupBy(component).agg(F.min(row).alias(turn)).select(F.col(f"{turn}.*"))
+    return first.groupBy(root).agg(F.min(row).alias(turn)).select(F.col(f"{turn}.*"))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
