@@ -84,8 +84,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items found in every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     hits = decontamination.contaminated(docs, "doc_id", "text", _table(spark, sf_dir, "benchmark"), "item_id", "text")
-    doc, t = decontamination.row_key(docs["doc_id"], docs["text"])
-    joined = docs.join(hits, doc.eqNullSafe(hits["doc"]) & t.eqNullSafe(hits["t"]), "left")
+    doc, t = decontamination.row_key(F.col("doc_id"), F.col("text"))
+    keyed = docs.select("doc_id", doc.alias("key_doc"), t.alias("key_text"))  # the text itself need not move
+    joined = keyed.join(hits, keyed["key_doc"].eqNullSafe(hits["doc"]) & keyed["key_text"].eqNullSafe(hits["t"]), "left")
     return joined.select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"),
                          F.coalesce("n_overlaps", F.lit(0)).cast("bigint").alias("n_overlaps"))
 
