@@ -54,9 +54,12 @@ CHROME_ROLES = frozenset("navigation banner contentinfo complementary search for
 CHROME_NAMES = frozenset("""
 ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs
 header masthead footer sidebar aside widget related recommended share sharing social cookie cookies consent notice notices
-gdpr popup modal newsletter subscribe signup login form search comment comments disqus replies pagination pager
+gdpr popup modal newsletter subscribe signup login form search comment comments disqus replies reply pagination pager
 """.split())
 
+COMMENT_NAMES = frozenset("comment comments disqus replies reply".split())
+NEGATIONS = frozenset("has with no without hide".split())
+
 _PIECE = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)|</[^>]*(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?(?=\s|/|\Z)""", re.I)
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe")}
@@ -67,7 +70,7 @@ BODY, IN_MAIN, IN_CHROME = 0, 1, 2
 
 def _chrome(name: str, attributes: str, in_main: bool) -> bool:
     # A header inside the article holds its title and byline; elsewhere it is the site's.
-    if name in CHROME and not (in_main and name in ("header", "button", "fieldset")):
+    if name in CHROME and not (in_main and name == "header"):
         return True
     if "=" not in attributes and "hidden" not in attributes:
         return False
@@ -75,9 +78,12 @@ def _chrome(name: str, attributes: str, in_main: bool) -> bool:
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in CHROME_ROLES:
             return True
-        if key in ("class", "id") and name not in ("body", "html") and any(
-                w in CHROME_NAMES and not (in_main and w == "header") for w in re.split(r"[\s_-]+", value)):
-            return True
+        if key in ("class", "id") and name not in ("body", "html"):
+            words = re.split(r"[\s_-]+", value)
+            # a main element is chrome only as a reader's comment; "has-sidebar" names no sidebar
+            names = COMMENT_NAMES if name in MAIN else CHROME_NAMES - {"header"} if in_main else CHROME_NAMES
+            if any(w in names and (not k or words[k - 1] not in NEGATIONS) for k, w in enumerate(words)):
+                return True
     return False
 
 

@@ -153,6 +153,8 @@ def test_blocks_and_regions():
     assert text('<p>kept</p><a href="/cut') == text("<p>kept</p><a href='/cut >") == text('<p>kept</p></a') == "kept"
     assert text("<p>kept</p><p unfinished") == "kept" and text("<p>kept<!-- cut") == "kept" and text("a<script>cut") == "a"
     assert text('<div id="cookie-notice">c</div><div role="navigation">n</div><div hidden>h</div>t') == "t"
+    assert text('<main class="has-sidebar search-page"><h1>T</h1><button>Share</button>x</main><article class="comment">c</article>') == "T x"
+    assert text('<div class="no-sidebar">in</div><section class="reader-comments"><p>c</p></section><p class="cookie_notice">n</p>') == "in"
     assert page_text.blocks(None) == page_text.blocks("") == page_text.blocks(" <p> </p>") == []
     assert text("1 < 2 and 3 > 2") == "1 < 2 and 3 > 2"
     assert text("<article>a</nav></article></div><p>b &copy") == "a b ©"
