@@ -80,18 +80,19 @@ def dedup_lines(docs: DataFrame, id_col: str, text_col: str, window: int = WINDO
     Columns of ``docs`` with those three names are replaced.
     """
     text = F.col(text_col)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), doc_key(F.col(id_col), text).alias("key"), text.alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), doc_key(F.col(id_col), text).alias("key"))
     gone = repeated_lines(docs, id_col, text_col, window, long_words).withColumnRenamed("key", "gone_key").distinct()
     found = rows.join(gone, rows["key"].eqNullSafe(gone["gone_key"]), "left")
-    lines = _lines(F.col("text"))
+    text = F.col(f"row.`{text_col}`")  # the row holds the text, so that it moves once
+    lines = _lines(text)
     blank = F.transform(lines, lambda x: F.length(_trimmed(x)) == 0)
     # Number each line among the non-blank ones; blank lines get -1 and stay.
     numbered = F.aggregate(blank, F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("at")), lambda acc, b: F.struct(
         (acc["n"] + F.when(b, 0).otherwise(1)).alias("n"), F.array_append(acc["at"], F.when(b, F.lit(-1)).otherwise(acc["n"])).alias("at")))["at"]
     keep = F.filter(F.zip_with(lines, numbered, lambda x, i: F.when(~F.array_contains("gone", i), x)), lambda x: x.isNotNull())
-    clean = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(keep, "\n"))
+    clean = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(keep, "\n"))
     n_lines = F.coalesce(F.size(F.filter(blank, lambda b: ~b)), F.lit(0))
     done = found.select("row", clean.alias("clean"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("removed"), F.when(
-        F.col("text").isNull(), 0).otherwise(n_lines).cast("bigint").alias("total"))
+        text.isNull(), 0).otherwise(n_lines).cast("bigint").alias("total"))
     others = [F.col(f"row.`{c}`") for c in docs.columns if c not in (kept, removed, total)]
     return done.select(*others, F.col("clean").alias(kept), F.col("removed").alias(removed), F.col("total").alias(total))
