@@ -8,7 +8,7 @@ Scripts, styles and the like hold no text.
 Blocks outside main regions form the page's token stream; the streams of a host, one for
 each distinct stream, are concatenated and a suffix array of depth ``DEPTH`` (a power of two)
 is built by prefix doubling.  Suffixes that agree in ``DEPTH`` tokens and lie in two different
-streams are repeated substrings; everything they cover is boilerplate, and unique runs
+pages (by distinct HTML) are repeated substrings; everything they cover is boilerplate, and unique runs
 stay.  A shorter block counts as one string.  Text in chrome regions goes even where it is
 unique, and an article is kept whole even where it repeats (copies of an article are for the
 near-duplicate operators).  So the suffix array decides on all pages and parts of pages that
@@ -210,8 +210,10 @@ def _substrings(pdf: pd.DataFrame):
 
 def _shared(depth: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        """Substrings of one group with the number of distinct streams that hold them."""
+        """Substrings of one group with the number of distinct pages that hold them."""
         order, distinct, first, tokens = _substrings(pdf)
+        pages = dict(zip(pdf["stream"].tolist(), pdf["pages"].tolist(), strict=True))
+        weight = np.array([pages[s] for s in order], np.int64)
         sigs, owner = [], []
         if len(tokens):
             rank = suffix_ranks(tokens, depth)
@@ -228,13 +230,17 @@ def _shared(depth: int):
             new = np.ones(len(at), bool)
             new[1:] = (rank[at[1:]] != rank[at[:-1]]) | (of[at[1:]] != of[at[:-1]])
             sigs.append(sig[at[new]])
+            owner.append(of[at[new]])
             for n, s in enumerate(order):
                 short = [distinct[s][0][a:b] for a, b in distinct[s][1] if 0 < b - a < depth]
                 if short:
                     sigs.append(np.unique(np.array([_short(x) for x in short], np.uint64)))
+                    owner.append(np.full(len(sigs[-1]), n))
         if not sigs:
             return pd.DataFrame({"host": [], "sig": [], "n": []}).astype({"host": object, "sig": "int64", "n": "int64"})
-        value, count = np.unique(np.concatenate(sigs), return_counts=True)
+        value, at = np.unique(np.concatenate(sigs), return_inverse=True)
+        count = np.zeros(len(value), np.int64)
+        np.add.at(count, at, weight[np.concatenate(owner)])
         return pd.DataFrame({"host": key[0], "sig": value.view(np.int64), "n": count})
     return run
 
@@ -271,7 +277,7 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per page: the blocks outside main regions."""
     for batch in batches:
         others = [[b for b, r in blocks(x) if r != IN_MAIN] for x in batch["html"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch["host"], pa.array(others, pa.list_(pa.string()))], names=["host", "others"])
+        yield pa.RecordBatch.from_arrays([batch["host"], batch["page"], pa.array(others, pa.list_(pa.string()))], names=["host", "page", "others"])
 
 
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,11 +322,12 @@ def extract(pages: DataFrame, id_col: str, url_col: str, html_col: str, depth: i
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     id_type = dict(rows.dtypes)["page_id"]
     stream = F.xxhash64("others").alias("stream")
-    found = rows.select("host", "html").mapInArrow(_streams, "host string, others array<string>").select("host", stream, "others")
-    distinct = cut(found.groupBy("host", "stream").agg(F.first("others").alias("others")), "page-streams")
+    found = rows.select("host", F.xxhash64("html").alias("page"), "html").mapInArrow(_streams, "host string, page bigint, others array<string>").select("host", "page", stream, "others")
+    pages_of = found.groupBy("host", "stream", "page").agg(F.first("others").alias("others"))  # repeated rows are one page
+    distinct = cut(pages_of.groupBy("host", "stream").agg(F.first("others").alias("others"), F.count(F.lit(1)).alias("pages")), "page-streams")
     size = F.aggregate("others", F.lit(0), lambda n, b: n + F.length(b))
     parts = distinct.groupBy(F.col("host").alias("p_host")).agg(F.greatest(F.lit(1), F.ceil(F.sum(size) / F.lit(group_bytes))).cast("int").alias("parts"))
-    dealt = distinct.join(parts, distinct["host"] == parts["p_host"]).select("host", F.pmod("stream", F.col("parts")).cast("int").alias("part"), "stream", "others")
+    dealt = distinct.join(parts, distinct["host"] == parts["p_host"]).select("host", F.pmod("stream", F.col("parts")).cast("int").alias("part"), "stream", "others", "pages")
     shared = dealt.groupBy("host", "part").applyInPandas(_shared(depth), "host string, sig bigint, n bigint")
     repeated = cut(shared.groupBy("host", "sig").agg(F.sum("n").alias("n")).filter("n > 1").select("host", "sig"), "page-repeats")
     known = repeated.join(dealt.select("host", "part").distinct(), "host").select("host", "part", "sig").toDF("host", "part", "sig")

@@ -143,6 +143,15 @@ def test_repeated_substrings_of_a_host_go(spark, group_bytes):
     assert got == want and "rights" not in got[3] and "unique3" in got[3]
 
 
+def test_equal_outside_blocks_with_different_articles(spark):
+    notice = "Welcome, free delivery on all orders above twenty euros until the end of May"
+    rows = [(i, "http://h.example/x", f"<div>{notice}</div><article>unique{i} text</article>") for i in range(12)] + [(12, "http://h.example/x", f"<div>{notice}</div><article>unique0 text</article>")]
+    rows += [(20 + i, "http://copies.example/x", f"<div>{notice}</div>") for i in range(4)]  # one page four times
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in page_text.extract(pages, "page_id", "url", "html").collect()}
+    assert got == {**{i: f"unique{i % 12} text" for i in range(13)}, **{20 + i: notice for i in range(4)}}
+
+
 def test_blocks_and_regions():
     text = lambda page: " ".join(b for b, r in page_text.blocks(page) if r != page_text.IN_CHROME)
     assert text("<p>a<b>b</b>c<br>d &amp; e&nbsp;f &lt;g&gt; &eacute;") == "abc d & e f <g> é"
