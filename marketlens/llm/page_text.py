@@ -3,7 +3,9 @@
 A page is cut into blocks of text at block-level tags, with character references decoded.
 Blocks carry a region: main (inside an article or main element), chrome (inside navigation,
 header, footer, sidebar, advert, form or comment elements, by tag, role or class), or body.
-Scripts, styles and the like hold no text.
+Scripts, styles and the like hold no text.  An article or main element inside a form or a
+wrapper with a telling class is main again, but not inside navigation, aside, footer or comment
+elements or hidden ones.
 
 Blocks outside main regions form the page's token stream; the streams of a host, one for
 each distinct stream, are concatenated and a suffix array of depth ``DEPTH`` (a power of two)
@@ -57,6 +59,8 @@ header masthead footer sidebar aside widget related recommended share sharing so
 gdpr popup modal newsletter subscribe signup login form search comment comments disqus replies reply pagination pager
 """.split())
 
+# A main element opens a main region again in any chrome but these.
+CLOSED = frozenset("nav aside footer".split())
 COMMENT_NAMES = frozenset("comment comments disqus replies reply".split())
 NEGATIONS = frozenset("has with no without hide".split())
 
@@ -65,7 +69,25 @@ _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe")}
 _SPACES = re.compile(r"\s+")
 
-BODY, IN_MAIN, IN_CHROME = 0, 1, 2
+_ROLE_MAIN = re.compile(r"""(?:^|\s)role\s*=\s*(["']?)\s*main\s*\1(?=\s|/|\Z)""", re.I)
+
+# CLOSED_CHROME is used inside blocks() only: chrome in which no main region opens.
+BODY, IN_MAIN, IN_CHROME, CLOSED_CHROME = 0, 1, 2, 3
+
+
+def _closed(name: str, attributes: str) -> bool:
+    """Whether a chrome element holds no main region: navigation, aside, footer and comments, and what is hidden."""
+    if name in CLOSED:
+        return True
+    for key, value in _ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), value.strip("\"'").lower()
+        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in ("navigation", "complementary", "contentinfo"):
+            return True
+        if key in ("class", "id"):
+            words = re.split(r"[\s_-]+", value)
+            if any(w in COMMENT_NAMES and (not k or words[k - 1] not in NEGATIONS) for k, w in enumerate(words)):
+                return True
+    return False
 
 
 def _chrome(name: str, attributes: str, in_main: bool) -> bool:
@@ -100,7 +122,7 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
         if text:
             joined = _SPACES.sub(" ", html.unescape("".join(text))).strip()
             if joined:
-                out.append((joined, region))
+                out.append((joined, min(region, IN_CHROME)))
             text.clear()
 
     at = 0
@@ -139,9 +161,11 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
         was = (region, skipped)
         if name in SKIPPED or name == "head":
             now = (region, True)
-        elif region == IN_CHROME or _chrome(name, m[3], region == IN_MAIN):
-            now = (IN_CHROME, skipped)
-        elif name in MAIN or 'role="main"' in m[3]:
+        elif region == CLOSED_CHROME:
+            now = was
+        elif _chrome(name, m[3], region == IN_MAIN):
+            now = (CLOSED_CHROME if _closed(name, m[3]) else IN_CHROME, skipped)
+        elif name in MAIN or _ROLE_MAIN.search(m[3]):
             now = (IN_MAIN, skipped)
         else:
             now = was

@@ -169,6 +169,19 @@ def test_blocks_and_regions():
     assert text("<article>a</nav></article></div><p>b &copy") == "a b ©"
 
 
+@pytest.mark.parametrize("before, after", [
+    ('<form id="aspnetForm">', "</form>"), ('<div class="content sidebar-right">', "</div>"), ('<div id="search-page">', "</div>"),
+    ('<div class="layout-header-fixed"><form><div>', "</div></form></div>")])
+@pytest.mark.parametrize("main", ["<article>a<p>b</p></article>", "<main>a<p>b</p></main>", '<div role="main">a<p>b</p></div>', "<div role='main'>a<p>b</p></div>", "<div ROLE=main>a<p>b</p></div>"])
+def test_main_elements_inside_chrome_wrappers(before, after, main):
+    page = f"{before}<p>x</p>{main}<p>y</p>{after}<p>z</p>"
+    assert page_text.blocks(page) == [("x", page_text.IN_CHROME), ("a", page_text.IN_MAIN), ("b", page_text.IN_MAIN), ("y", page_text.IN_CHROME), ("z", page_text.BODY)]
+    for closed in ("nav", "aside", "footer", 'section class="comments"', 'div id="disqus_thread"'):
+        assert page_text.blocks(f"<{closed}>{before}{main}{after}</{closed.split()[0]}>") == [("a", page_text.IN_CHROME), ("b", page_text.IN_CHROME)]
+    inner = f"<main>t<form>q{main}</form></main>"
+    assert page_text.blocks(inner) == [("t", page_text.IN_MAIN), ("q", page_text.IN_CHROME), ("a", page_text.IN_MAIN), ("b", page_text.IN_MAIN)]
+
+
 def test_page_edges(spark):
     rows = [(1, None, None), (2, "nourl", ""), (3, "http://h/", "<p>" + "word " * 100_000), (3, "http://h/", "<p>" + "word " * 100_000), (None, "http://h/", "<p>x</p>")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
