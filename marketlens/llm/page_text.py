@@ -9,12 +9,15 @@ elements or hidden ones.
 
 Blocks outside main regions form the page's token stream; the streams of a host, one for
 each distinct stream, are concatenated and a suffix array of depth ``DEPTH`` (a power of two)
-is built by prefix doubling.  Suffixes that agree in ``DEPTH`` tokens and lie in two different
-pages (by distinct HTML) are repeated substrings; everything they cover is boilerplate, and unique runs
-stay.  A shorter block counts as one string.  Text in chrome regions goes even where it is
-unique, and an article is kept whole even where it repeats (copies of an article are for the
-near-duplicate operators).  So the suffix array decides on all pages and parts of pages that
-do not name their main element.
+is built by prefix doubling.  Suffixes that agree in ``DEPTH`` tokens are repeated substrings if
+they lie in ``SHARE`` of the host's distinct pages (by HTML), and in ``LEAST_PAGES`` at least.  A
+run that they cover is boilerplate if it has ``RUN_WORDS`` words or is made of whole blocks;
+other runs stay.  A shorter block counts as one string; it goes if ``MOST`` of the pages hold
+it, or if ``SHARE`` do and it borders on text that goes.  So common phrases, subheadings and
+copies of a few pages stay on a host of any size, and a host of two pages loses nothing here.
+Text in chrome regions goes even where it is unique, and an article is kept whole even where it
+repeats (copies of an article are for the near-duplicate operators).  So the suffix array decides
+on all pages and parts of pages that do not name their main element.
 
 A host is cut into groups of pages by hash, each of about ``GROUP_BYTES`` of tokens.  A group reports the
 hashes of its substrings with the number of streams that hold them, a partial aggregate adds
@@ -44,6 +47,10 @@ from marketlens.llm.shared import cut
 from marketlens.llm.tokens import hashed, mix
 
 DEPTH = 8
+RUN_WORDS = 12  # a shorter repeated run goes only if it is made of whole blocks
+LEAST_PAGES = 3
+SHARE = 0.2  # of the host's distinct pages, for runs and for short blocks beside them
+MOST = 0.5  # of the host's distinct pages, for short blocks alone
 GROUP_BYTES = 8 << 20
 
 # HTML elements by their role in the page.
@@ -273,24 +280,41 @@ def _short(words: np.ndarray) -> np.uint64:
     return _prefix_hash(words, len(words))[0]
 
 
+def _removed(words: np.ndarray, bounds: list[tuple[int, int]], known: np.ndarray, wide: np.ndarray, depth: int) -> np.ndarray:
+    """Flags of the words that go: long or whole-block runs of repeated substrings, and repeated short blocks."""
+    covered = np.zeros(len(words) + 1, np.int64)
+    if len(words) >= depth:
+        hit = np.flatnonzero(np.isin(_prefix_hash(words, depth)[: len(words) - depth + 1], known))
+        np.add.at(covered, hit, 1)
+        np.add.at(covered, hit + depth, -1)
+    gone = np.cumsum(covered)[:-1] > 0
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
+    firsts, lasts = {a for a, _ in bounds}, {b for _, b in bounds}
+    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+        if b - a < RUN_WORDS and not (a in firsts and b in lasts):
+            gone[a:b] = False
+    short = [(a, b, _short(words[a:b])) for a, b in bounds if 0 < b - a < depth]
+    for a, b, sig in short:
+        if np.isin(sig, wide):
+            gone[a:b] = True
+    for a, b, sig in [*short, *short[::-1]]:  # runs grow by short blocks in both directions
+        if (a and gone[a - 1] or b < len(words) and gone[b]) and np.isin(sig, known):
+            gone[a:b] = True
+    return gone
+
+
 def _kept(depth: int):
     def run(key: tuple, streams: pd.DataFrame, repeated: pd.DataFrame) -> pd.DataFrame:
         """The blocks of each distinct stream without the runs covered by repeated substrings."""
-        known = np.sort(repeated["sig"].to_numpy(np.int64).view(np.uint64)) if len(repeated) else np.zeros(0, np.uint64)
+        known = repeated["sig"].to_numpy(np.int64).view(np.uint64) if len(repeated) else np.zeros(0, np.uint64)
+        wide = known[repeated["wide"].to_numpy(bool)] if len(repeated) else known
         out = []
         for others in streams["others"]:
             words, bounds = _strings(others.tolist())
-            covered = np.zeros(len(words) + 1, np.int64)
-            if len(words) >= depth:
-                hit = np.flatnonzero(np.isin(_prefix_hash(words, depth)[: len(words) - depth + 1], known))
-                np.add.at(covered, hit, 1)
-                np.add.at(covered, hit + depth, -1)
-            covered = np.cumsum(covered)[:-1] > 0
+            gone = _removed(words, bounds, known, wide, depth)
             kept = []
             for block, (a, b) in zip(others, bounds, strict=True):
-                if 0 < b - a < depth and np.isin(_short(words[a:b]), known):
-                    covered[a:b] = True
-                left = [w for w, gone in zip(block.encode("utf-8", "surrogatepass").split(), covered[a:b], strict=True) if not gone]
+                left = [w for w, out_ in zip(block.encode("utf-8", "surrogatepass").split(), gone[a:b], strict=True) if not out_]
                 kept.append(b" ".join(left).decode("utf-8", "replace"))
             out.append(kept)
         return pd.DataFrame({"k_host": pd.Series(key[0], index=range(len(out)), dtype=object), "k_stream": streams["stream"].to_numpy(np.int64), "kept": out})
@@ -350,11 +374,13 @@ def extract(pages: DataFrame, id_col: str, url_col: str, html_col: str, depth: i
     pages_of = found.groupBy("host", "stream", "page").agg(F.first("others").alias("others"))  # repeated rows are one page
     distinct = cut(pages_of.groupBy("host", "stream").agg(F.first("others").alias("others"), F.count(F.lit(1)).alias("pages")), "page-streams")
     size = F.aggregate("others", F.lit(0), lambda n, b: n + F.length(b))
-    parts = distinct.groupBy(F.col("host").alias("p_host")).agg(F.greatest(F.lit(1), F.ceil(F.sum(size) / F.lit(group_bytes))).cast("int").alias("parts"))
+    parts = distinct.groupBy(F.col("host").alias("p_host")).agg(F.greatest(F.lit(1), F.ceil(F.sum(size) / F.lit(group_bytes))).cast("int").alias("parts"), F.sum("pages").alias("host_pages"))
     dealt = distinct.join(parts, distinct["host"] == parts["p_host"]).select("host", F.pmod("stream", F.col("parts")).cast("int").alias("part"), "stream", "others", "pages")
     shared = dealt.groupBy("host", "part").applyInPandas(_shared(depth), "host string, sig bigint, n bigint")
-    repeated = cut(shared.groupBy("host", "sig").agg(F.sum("n").alias("n")).filter("n > 1").select("host", "sig"), "page-repeats")
-    known = repeated.join(dealt.select("host", "part").distinct(), "host").select("host", "part", "sig").toDF("host", "part", "sig")
+    counted = shared.groupBy("host", "sig").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_PAGES).join(parts, F.col("host") == F.col("p_host"))
+    wide = (F.col("n") >= F.lit(MOST) * F.col("host_pages")).alias("wide")
+    repeated = cut(counted.filter(F.col("n") >= F.lit(SHARE) * F.col("host_pages")).select("host", "sig", wide), "page-repeats")
+    known = repeated.join(dealt.select("host", "part").distinct(), "host").select("host", "part", "sig", "wide").toDF("host", "part", "sig", "wide")
     kept = dealt.groupBy("host", "part").cogroup(known.groupBy("host", "part")).applyInPandas(
         _kept(depth), "k_host string, k_stream bigint, kept array<string>")
     settled = rows.mapInArrow(_settled, f"page_id {id_type}, url string, text string")

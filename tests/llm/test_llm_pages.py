@@ -152,6 +152,26 @@ def test_equal_outside_blocks_with_different_articles(spark):
     assert got == {**{i: f"unique{i % 12} text" for i in range(13)}, **{20 + i: notice for i in range(4)}}
 
 
+def test_ordinary_prose_on_a_large_host_stays(spark):
+    """Common phrases, subheadings, dialogue and edited copies stay; what most pages carry goes."""
+    phrase = "as far as anyone in the town could tell"  # nine words, in many sentences
+    words = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    rows, want = [], []
+    for i in range(40):
+        blocks = [words(i, 15), f"{words(i, 3)} {phrase} {words(i, 4)}"]
+        blocks += ["Conclusion"] * (i % 4 == 0) + ["Yes, he said."] * (i % 10 == 0) + ["a long table cell that holds nine words here"] * (i % 20 == 0)
+        if i < 2:
+            blocks += [words("copy", 60) + f" edit{i} " + words("end", 40)]
+        blocks.append(words(f"{i}y", 15))
+        rows.append((i, "http://h.example/x", "".join(f"<p>{b}</p>" for b in [*blocks, "Subscribe today", "Read our free letter with all the news of this week every Monday"])))
+        want.append((i, " ".join(blocks)))
+    rows += [(100 + i, "http://two.example/", f"<p>{words('same', 30)} e{i} {words('more', 30)}</p>") for i in range(2)]
+    want += [(100 + i, f"{words('same', 30)} e{i} {words('more', 30)}") for i in range(2)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in page_text.extract(pages, "page_id", "url", "html", group_bytes=4000).collect()}
+    assert got == dict(want)
+
+
 def test_blocks_and_regions():
     text = lambda page: " ".join(b for b, r in page_text.blocks(page) if r != page_text.IN_CHROME)
     assert text("<p>a<b>b</b>c<br>d &amp; e&nbsp;f &lt;g&gt; &eacute;") == "abc d & e f <g> é"
