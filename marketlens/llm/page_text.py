@@ -7,40 +7,43 @@ Scripts, styles and the like hold no text.  An article or main element inside a
 wrapper with a telling class is main again, but not inside navigation, aside, footer or comment
 elements or hidden ones.
 
-Blocks outside main regions form the page's token stream; the streams of a host, one for
-each distinct stream, are concatenated and a suffix array of depth ``DEPTH`` (a power of two)
-is built by prefix doubling.  Suffixes that agree in ``DEPTH`` tokens are repeated substrings if
-they lie in ``SHARE`` of the host's distinct pages (by HTML), and in ``LEAST_PAGES`` at least.  A
-run that they cover is boilerplate if it has ``RUN_WORDS`` words or is made of whole blocks;
-other runs stay.  A shorter block counts as one string; it goes if ``MOST`` of the pages hold
-it, or if ``SHARE`` do and it borders on text that goes.  So common phrases, subheadings and
-copies of a few pages stay on a host of any size, and a host of two pages loses nothing here.
-Text in chrome regions goes even where it is unique, and an article is kept whole even where it
-repeats (copies of an article are for the near-duplicate operators).  So the suffix array decides
-on all pages and parts of pages that do not name their main element.
-
-A host is cut into groups of pages by hash, each of about ``GROUP_BYTES`` of tokens.  A group reports the
-hashes of its substrings with the number of streams that hold them, a partial aggregate adds
-them up over the groups of a host, and only repeated ones come back; the result is that of
-one array per host, and a host with a third of all pages is many small tasks.
+All blocks form the page's token stream: first those outside main regions in a row, then each
+block of the main regions for itself.  The streams of a host's distinct pages (by HTML) are
+concatenated and a suffix array of depth ``DEPTH`` (a power of two) is built by prefix doubling.
+Suffixes that agree in ``DEPTH`` tokens are repeated substrings if they lie in ``SHARE`` of the
+host's distinct pages, or inside main regions in ``MAIN_SHARE`` of its distinct articles (copies of
+an article are one), and in ``LEAST_PAGES`` at least.  A run that they cover is boilerplate if it
+has ``RUN_WORDS`` words or is made of whole blocks; other runs stay.  A shorter block counts as
+one string; it goes if ``MOST`` of the pages (articles) hold it, or if enough of them do and it
+borders on text that goes.  So common phrases, subheadings and copies of a few pages stay on a
+host of any size, and a host of two pages loses nothing here.  Text in chrome regions goes even
+where it is unique.
+
+A host is cut into groups of pages by hash, each of about ``GROUP_BYTES`` of HTML and at least
+``GROUP_PAGES`` pages, with an array of its own.  What has a share of a host's pages has that
+share in one of its groups at least, so each group names its candidates, all groups of the host
+count them, and a group gets back those repeated substrings that it holds.  A group has at most
+(words of a page / share) candidates, however large the host.  The result is that of one array
+per host, and a host with a third of all pages is many small tasks.
 
 Defined cases: null and empty pages give the empty text; a page cut off inside a tag, comment
 or script loses that unfinished piece; a null URL, or one without a host, is the host "";
-repeated rows are extracted alike (and are one stream); an empty table gives no rows;
+repeated rows are extracted alike (and are one page); an empty table gives no rows;
 other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
-import itertools
 import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.llm.shared import cut
@@ -51,7 +54,9 @@ RUN_WORDS = 12  # a shorter repeated run goes only if it is made of whole blocks
 LEAST_PAGES = 3
 SHARE = 0.2  # of the host's distinct pages, for runs and for short blocks beside them
 MOST = 0.5  # of the host's distinct pages, for short blocks alone
-GROUP_BYTES = 8 << 20
+MAIN_SHARE = 0.5  # of the host's distinct articles, for text inside main regions
+GROUP_BYTES = 512 << 10
+GROUP_PAGES = 16
 
 # HTML elements by their role in the page.
 SKIPPED = frozenset("script style noscript template svg math iframe object canvas audio video select datalist textarea title".split())
@@ -217,175 +222,261 @@ def _prefix_hash(tokens: np.ndarray, depth: int) -> np.ndarray:
     return mix(out)
 
 
-def _strings(stream: list[str]) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Word hashes of a stream, and the first and last+1 word of each block."""
-    h = [hashed(b.encode("utf-8", "surrogatepass"))[0] for b in stream]
-    ends = np.cumsum([len(x) for x in h]).tolist() if h else []
-    return (np.concatenate(h) if h else np.zeros(0, np.uint64)), list(zip([0, *ends[:-1]], ends, strict=True)) if h else []
-
-
-def _substrings(pdf: pd.DataFrame):
-    """The group's streams in order, their words and blocks, where each starts, and all words in a row."""
-    distinct = {s: _strings(b.tolist()) for s, b in zip(pdf["stream"].tolist(), pdf["others"], strict=True)}
-    order = sorted(distinct)
-    parts, at = [], 0
-    first = {}
-    for s in order:
-        first[s] = at
-        # a separator of its own ends each stream, so no substring spans two pages
-        parts += [distinct[s][0], np.array([mix(np.array([s], np.int64).view(np.uint64))[0]], np.uint64)]
-        at += len(distinct[s][0]) + 1
-    tokens = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-    return order, distinct, first, tokens
-
-
-def _shared(depth: int):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        """Substrings of one group with the number of distinct pages that hold them."""
-        order, distinct, first, tokens = _substrings(pdf)
-        pages = dict(zip(pdf["stream"].tolist(), pdf["pages"].tolist(), strict=True))
-        weight = np.array([pages[s] for s in order], np.int64)
-        sigs, owner = [], []
-        if len(tokens):
-            rank = suffix_ranks(tokens, depth)
-            sig = _prefix_hash(tokens, depth)
-            valid = np.zeros(len(tokens), bool)
-            of = np.empty(len(tokens), np.int64)
-            for n, s in enumerate(order):
-                size = len(distinct[s][0])
-                valid[first[s] : first[s] + max(0, size - depth + 1)] = True
-                of[first[s] : first[s] + size + 1] = n
+class _Group:
+    """The distinct pages of one group: all words in stream order, and where blocks and pages lie."""
+
+    def __init__(self, table: pa.Table):
+        numbers = table["page"].to_numpy()
+        _, self.rows = np.unique(numbers, return_index=True)
+        self.page_of = {p: n for n, p in enumerate(numbers[self.rows].tolist())}
+        self.blocks, buf, at, page, main = [], [], [], [], []
+        articles: dict[int, int] = {}
+        counts = []  # whether the page's article is the first of its kind
+        total = 0
+        for n, i in enumerate(self.rows.tolist()):
+            raw = _unpacked(table["packed"][i].as_py())
+            regions = table["regions"][i].as_py()
+            self.blocks.append((raw, regions))
+            article = table["article"][i].as_py()
+            counts.append(article is not None and articles.setdefault(article, n) == n)
+            for b, region in zip(raw, regions, strict=True):
+                buf.append(b)
+                at.append(total)
+                total += len(b) + 1
+                page.append(n)
+                main.append(region == IN_MAIN)
+        self.pages, self.articles = len(self.rows), sum(counts)
+        h, starts, _ = hashed(b"\n".join(buf))
+        self.page, self.main = np.array(page, np.int64), np.array(main, bool)
+        first = np.append(np.searchsorted(starts, np.array(at, np.int64)), len(h)).astype(np.int64)
+        self.size = np.diff(first)
+        # stream order: the words outside main regions of a page, then its main blocks
+        order = np.lexsort((np.arange(len(self.page)), self.main, self.page))
+        self.order, self.first = order, np.zeros(len(order), np.int64)
+        self.first[order] = np.cumsum(self.size[order]) - self.size[order]
+        block = np.repeat(order, self.size[order])
+        self.words = h[np.arange(len(h)) - self.first[block] + first[:-1][block]] if len(h) else h
+        self.block = block
+        # no substring spans two pages, or two blocks of an article
+        self.segment = np.where(self.main[block], block, -1 - self.page[block])
+        self.counted = ~self.main | np.array(counts, bool)[self.page] if len(page) else np.zeros(0, bool)
+
+    def valid(self, depth: int) -> np.ndarray:
+        """Positions with ``depth`` words of one segment."""
+        n = len(self.words) - depth + 1
+        return np.flatnonzero(self.segment[:n] == self.segment[depth - 1 :]) if n > 0 else np.zeros(0, np.int64)
+
+    def signatures(self, depth: int) -> np.ndarray:
+        """Hash of the substring from each position; main regions have hashes of their own."""
+        return mix(_prefix_hash(self.words, depth) + self.main[self.block].astype(np.uint64))
+
+    def short(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """The blocks of fewer than ``depth`` words, and their hashes."""
+        found = np.flatnonzero((self.size > 0) & (self.size < depth))
+        sig = self.size[found].astype(np.uint64)
+        for k in range(depth - 1):
+            more = self.size[found] > k
+            sig[more] = sig[more] * np.uint64(0x9FB21C651E98DF25) + self.words[self.first[found[more]] + k]
+        return found, mix(mix(sig) + self.main[found].astype(np.uint64))
+
+    def held(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The group's substrings, whether they lie in main regions, and how many distinct pages (articles) hold them."""
+        at = self.valid(depth)
+        at = at[self.counted[self.block[at]]]
+        sigs, mains, counts = [], [], []
+        if len(at):
+            rank, sig = suffix_ranks(self.words, depth), self.signatures(depth)
+            main, page = self.main[self.block], self.page[self.block]
             # the suffix array: positions sorted by rank; neighbours of equal rank share the string
-            at = np.flatnonzero(valid)
-            at = at[np.lexsort((of[at], rank[at]))]
-            new = np.ones(len(at), bool)
-            new[1:] = (rank[at[1:]] != rank[at[:-1]]) | (of[at[1:]] != of[at[:-1]])
-            sigs.append(sig[at[new]])
-            owner.append(of[at[new]])
-            for n, s in enumerate(order):
-                short = [distinct[s][0][a:b] for a, b in distinct[s][1] if 0 < b - a < depth]
-                if short:
-                    sigs.append(np.unique(np.array([_short(x) for x in short], np.uint64)))
-                    owner.append(np.full(len(sigs[-1]), n))
+            at = at[np.lexsort((page[at], rank[at], main[at]))]
+            string = (np.diff(rank[at], prepend=-1) != 0) | (np.diff(main[at].astype(np.int8), prepend=-1) != 0)
+            owner = string | (np.diff(page[at], prepend=-1) != 0)
+            heads = np.flatnonzero(string)
+            sigs.append(sig[at[heads]])
+            mains.append(main[at[heads]])
+            counts.append(np.add.reduceat(owner.astype(np.int64), heads))
+        found, sig = self.short(depth)
+        use = self.counted[found]
+        found, sig = found[use], sig[use]
+        if len(found):
+            order = np.lexsort((self.page[found], sig))
+            found, sig = found[order], sig[order]
+            string = np.append(True, sig[1:] != sig[:-1])
+            owner = string | np.append(True, self.page[found][1:] != self.page[found][:-1])
+            heads = np.flatnonzero(string)
+            sigs.append(sig[heads])
+            mains.append(self.main[found[heads]])
+            counts.append(np.add.reduceat(owner.astype(np.int64), heads))
         if not sigs:
-            return pd.DataFrame({"host": [], "sig": [], "n": []}).astype({"host": object, "sig": "int64", "n": "int64"})
-        value, at = np.unique(np.concatenate(sigs), return_inverse=True)
-        count = np.zeros(len(value), np.int64)
-        np.add.at(count, at, weight[np.concatenate(owner)])
-        return pd.DataFrame({"host": key[0], "sig": value.view(np.int64), "n": count})
+            return np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.int64)
+        return np.concatenate(sigs), np.concatenate(mains), np.concatenate(counts)
+
+
+def _unpacked(data: bytes) -> list[bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    return raw.split(b"\n") if raw else []
+
+
+def _share(main: np.ndarray) -> np.ndarray:
+    return np.where(main, MAIN_SHARE, SHARE)
+
+
+_FOUND = pa.schema([("host", pa.string()), ("part", pa.int32()), ("main", pa.bool_()), ("sig", pa.int64()), ("n", pa.int64()), ("of", pa.int64())])
+
+
+def _rows(key: tuple, main, sig, n, of) -> pa.Table:
+    size = len(sig)
+    return pa.table([pa.array([key[0].as_py()] * size, pa.string()), pa.array([key[1].as_py()] * size, pa.int32()), pa.array(main, pa.bool_()),
+                     pa.array(sig, pa.int64()), pa.array(n, pa.int64()), pa.array(of, pa.int64())], schema=_FOUND)
+
+
+def _candidates(depth: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        """The group's pages and articles (null ``sig``), and the substrings in so large a share of them.
+
+        What has a share of a host's pages has it in one of the groups at least.
+        """
+        group = _Group(table)
+        sig, main, n = group.held(depth)
+        of = np.where(main, group.articles, group.pages)
+        often = n >= _share(main) * of - 1e-9
+        if table["parts"][0].as_py() == 1:
+            often &= n >= LEAST_PAGES
+        sig, main, n, of = sig[often], main[often], n[often], of[often]
+        head = [None, None], [False, True], [group.pages, group.articles]
+        return _rows(key, [*head[1], *main.tolist()], [*head[0], *sig.view(np.int64).tolist()], [*head[2], *n.tolist()], [*head[2], *of.tolist()])
     return run
 
 
-def _short(words: np.ndarray) -> np.uint64:
-    return _prefix_hash(words, len(words))[0]
+def _counts(depth: int):
+    def run(key: tuple, table: pa.Table, known: pa.Table) -> pa.Table:
+        """The candidates that the group holds, with its number of distinct pages, and the host's."""
+        total = {m: n for m, s, n in zip(known["main"].to_pylist(), known["sig"].to_pylist(), known["n"].to_pylist(), strict=True) if s is None}
+        known = known.filter(pa.compute.is_valid(known["sig"]))
+        if not len(table) or not len(known):
+            return _FOUND.empty_table()
+        main, sig, n = known["main"].to_numpy(), known["sig"].to_numpy(), known["n"].to_numpy()
+        if table["parts"][0].as_py() > 1:
+            has, where, count = _Group(table).held(depth)
+            mine = np.isin(has.view(np.int64), sig)
+            sig, main, n = has.view(np.int64)[mine], where[mine], count[mine]
+        return _rows(key, main, sig, n, np.where(main, total.get(True, 0), total.get(False, 0)))
+    return run
 
 
-def _removed(words: np.ndarray, bounds: list[tuple[int, int]], known: np.ndarray, wide: np.ndarray, depth: int) -> np.ndarray:
+def _removed(group: _Group, known: np.ndarray, wide: np.ndarray, depth: int) -> np.ndarray:
     """Flags of the words that go: long or whole-block runs of repeated substrings, and repeated short blocks."""
-    covered = np.zeros(len(words) + 1, np.int64)
-    if len(words) >= depth:
-        hit = np.flatnonzero(np.isin(_prefix_hash(words, depth)[: len(words) - depth + 1], known))
+    size = len(group.words)
+    covered = np.zeros(size + 1, np.int64)
+    at = group.valid(depth)
+    if len(at):
+        hit = at[np.isin(group.signatures(depth)[at], known)]
         np.add.at(covered, hit, 1)
         np.add.at(covered, hit + depth, -1)
     gone = np.cumsum(covered)[:-1] > 0
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
-    firsts, lasts = {a for a, _ in bounds}, {b for _, b in bounds}
-    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-        if b - a < RUN_WORDS and not (a in firsts and b in lasts):
+    # runs end with their segment
+    new = np.append(True, group.segment[1:] != group.segment[:-1]) if size else np.zeros(0, bool)
+    heads = np.flatnonzero(gone & (new | ~np.append(False, gone[:-1])))
+    tails = np.flatnonzero(gone & np.append(new[1:] | ~gone[1:], True)) + 1 if size else heads
+    firsts, lasts = np.zeros(size + 1, bool), np.zeros(size + 1, bool)
+    firsts[group.first], lasts[group.first + group.size] = True, True
+    for a, b in zip(heads.tolist(), tails.tolist(), strict=True):
+        if b - a < RUN_WORDS and not (firsts[a] and lasts[b]):
             gone[a:b] = False
-    short = [(a, b, _short(words[a:b])) for a, b in bounds if 0 < b - a < depth]
-    for a, b, sig in short:
-        if np.isin(sig, wide):
-            gone[a:b] = True
-    for a, b, sig in [*short, *short[::-1]]:  # runs grow by short blocks in both directions
-        if (a and gone[a - 1] or b < len(words) and gone[b]) and np.isin(sig, known):
+    found, sig = group.short(depth)
+    for i in found[np.isin(sig, wide)]:
+        gone[group.first[i] : group.first[i] + group.size[i]] = True
+    beside = found[np.isin(sig, known)]
+    beside = beside[np.argsort(group.first[beside])].tolist()
+    # stretches of one page's outside text, or of its article
+    part = (group.page * 2 + group.main)[group.block]
+    for i in [*beside, *beside[::-1]]:  # runs grow by short blocks in both directions
+        a, b = int(group.first[i]), int(group.first[i] + group.size[i])
+        if a and gone[a - 1] and part[a - 1] == part[a] or b < size and gone[b] and part[b] == part[a]:
             gone[a:b] = True
     return gone
 
 
 def _kept(depth: int):
-    def run(key: tuple, streams: pd.DataFrame, repeated: pd.DataFrame) -> pd.DataFrame:
-        """The blocks of each distinct stream without the runs covered by repeated substrings."""
-        known = repeated["sig"].to_numpy(np.int64).view(np.uint64) if len(repeated) else np.zeros(0, np.uint64)
-        wide = known[repeated["wide"].to_numpy(bool)] if len(repeated) else known
-        out = []
-        for others in streams["others"]:
-            words, bounds = _strings(others.tolist())
-            gone = _removed(words, bounds, known, wide, depth)
-            kept = []
-            for block, (a, b) in zip(others, bounds, strict=True):
-                left = [w for w, out_ in zip(block.encode("utf-8", "surrogatepass").split(), gone[a:b], strict=True) if not out_]
-                kept.append(b" ".join(left).decode("utf-8", "replace"))
-            out.append(kept)
-        return pd.DataFrame({"k_host": pd.Series(key[0], index=range(len(out)), dtype=object), "k_stream": streams["stream"].to_numpy(np.int64), "kept": out})
+    def run(key: tuple, table: pa.Table, known: pa.Table) -> pa.Table:
+        """The text of each page without chrome and without the words that go."""
+        group = None
+        if len(known) and len(table):
+            group = _Group(table)
+            sig = known["sig"].to_numpy().view(np.uint64)
+            gone = _removed(group, sig, sig[known["wide"].to_numpy()], depth)
+            first_block = np.searchsorted(group.page, np.arange(group.pages + 1))
+        texts = []
+        for page, packed, regions in zip(table["page"].to_pylist(), table["packed"].to_pylist(), table["regions"].to_pylist(), strict=True):
+            out = []
+            for k, (block, region) in enumerate(zip(_unpacked(packed), regions, strict=True)):
+                if region == IN_CHROME:
+                    continue
+                if group:
+                    i = first_block[group.page_of[page]] + k
+                    cut_out = gone[group.first[i] : group.first[i] + group.size[i]]
+                    if cut_out.any():
+                        block = b" ".join(w for w, x in zip(block.split(), cut_out, strict=True) if not x)
+                if block:
+                    out.append(block)
+            texts.append(b" ".join(out).decode("utf-8", "replace"))
+        return pa.table([table["ids"], pa.array(texts, pa.string())], names=["ids", "text"])
     return run
 
 
-def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per page: the blocks outside main regions."""
-    for batch in batches:
-        others = [[b for b, r in blocks(x) if r != IN_MAIN] for x in batch["html"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch["host"], batch["page"], pa.array(others, pa.list_(pa.string()))], names=["host", "page", "others"])
-
-
-def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Text of the pages without body blocks: all their text is main or chrome."""
-    for batch in batches:
-        found = [blocks(x) for x in batch["html"].to_pylist()]
-        text = pa.array([" ".join(b for b, r in f if r == IN_MAIN) for f in found], pa.string())
-        done = pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], text], names=["page_id", "url", "text"])
-        yield done.filter(pa.array([all(r != BODY for _, r in f) for f in found], pa.bool_()))
-
-
-def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per page with body blocks: the blocks that may stay, each with its place in the stream (-1: main, kept whole), and the stream."""
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per distinct page of a batch: the rows that have it, its blocks and their regions."""
+    coder = zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        rows, texts, slots, streams = [], [], [], []
-        for n, page in enumerate(batch["html"].to_pylist()):
-            found = blocks(page)
-            if all(r != BODY for _, r in found):
-                continue
-            place = itertools.count()
-            at = [-1 if r == IN_MAIN else next(place) for _, r in found]
-            stay = [i for i, (_, r) in enumerate(found) if r != IN_CHROME]
-            rows.append(n)
-            texts.append([found[i][0] if at[i] < 0 else "" for i in stay])
-            slots.append([at[i] for i in stay])
-            streams.append([b for b, r in found if r != IN_MAIN])
-        head = batch.select(["page_id", "url", "host"]).take(pa.array(rows, pa.int64()))
+        rows: dict[tuple, list[int]] = {}
+        for i, key in enumerate(zip(batch["host"].to_pylist(), batch["page"].to_pylist(), strict=True)):
+            rows.setdefault(key, []).append(i)
+        firsts = pa.array([x[0] for x in rows.values()], pa.int64())
+        ids = pa.StructArray.from_arrays([batch["page_id"], batch["url"]], names=["page_id", "url"]).take(pa.array([i for x in rows.values() for i in x], pa.int64()))
+        ends = np.cumsum([0, *(len(x) for x in rows.values())])
+        head = batch.take(firsts)
+        packed, regions, articles, parts = [], [], [], []
+        for page, of, html_text in zip(head["page"].to_pylist(), head["parts"].to_pylist(), head["html"].to_pylist(), strict=True):
+            found = blocks(html_text)
+            packed.append(coder.compress("\n".join(b for b, _ in found).encode("utf-8", "surrogatepass")))
+            regions.append(bytes(r for _, r in found))
+            main = "\n".join(b for b, r in found if r == IN_MAIN)
+            articles.append(int.from_bytes(hashlib.blake2b(main.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) if main else None)
+            # copies of an article are counted in one group
+            parts.append((page if articles[-1] is None else articles[-1]) % of)
         yield pa.RecordBatch.from_arrays(
-            [*head.columns, pa.array(texts, pa.list_(pa.string())), pa.array(slots, pa.list_(pa.int32())), pa.array(streams, pa.list_(pa.string()))],
-            names=["page_id", "url", "host", "blocks", "slots", "others"])
+            [head["host"], pa.array(parts, pa.int32()), head["parts"], head["page"], pa.array(articles, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids), pa.array(packed, pa.binary()), pa.array(regions, pa.binary())],
+            names=["host", "part", "parts", "page", "article", "ids", "packed", "regions"])
 
 
-def extract(pages: DataFrame, id_col: str, url_col: str, html_col: str, depth: int = DEPTH, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def extract(pages: DataFrame, id_col: str, url_col: str, html_col: str, depth: int = DEPTH, group_bytes: int = GROUP_BYTES, group_pages: int = GROUP_PAGES) -> DataFrame:
     """``page_id``, ``url`` and ``text`` of every page.
 
-    Only streams are stored and dealt by host.  Pages are parsed again for the result: those
-    without body blocks are finished where they are read, the others move once, in the join
-    with the kept runs of their stream.
+    Pages are parsed once and their blocks dealt once by host and group; the three steps over
+    the groups (candidates, counts, texts) read that one exchange.
     """
     if depth & (depth - 1):
         raise ValueError("depth must be a power of two")
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    id_type = dict(rows.dtypes)["page_id"]
-    stream = F.xxhash64("others").alias("stream")
-    found = rows.select("host", F.xxhash64("html").alias("page"), "html").mapInArrow(_streams, "host string, page bigint, others array<string>").select("host", "page", stream, "others")
-    pages_of = found.groupBy("host", "stream", "page").agg(F.first("others").alias("others"))  # repeated rows are one page
-    distinct = cut(pages_of.groupBy("host", "stream").agg(F.first("others").alias("others"), F.count(F.lit(1)).alias("pages")), "page-streams")
-    size = F.aggregate("others", F.lit(0), lambda n, b: n + F.length(b))
-    parts = distinct.groupBy(F.col("host").alias("p_host")).agg(F.greatest(F.lit(1), F.ceil(F.sum(size) / F.lit(group_bytes))).cast("int").alias("parts"), F.sum("pages").alias("host_pages"))
-    dealt = distinct.join(parts, distinct["host"] == parts["p_host"]).select("host", F.pmod("stream", F.col("parts")).cast("int").alias("part"), "stream", "others", "pages")
-    shared = dealt.groupBy("host", "part").applyInPandas(_shared(depth), "host string, sig bigint, n bigint")
-    counted = shared.groupBy("host", "sig").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_PAGES).join(parts, F.col("host") == F.col("p_host"))
-    wide = (F.col("n") >= F.lit(MOST) * F.col("host_pages")).alias("wide")
-    repeated = cut(counted.filter(F.col("n") >= F.lit(SHARE) * F.col("host_pages")).select("host", "sig", wide), "page-repeats")
-    known = repeated.join(dealt.select("host", "part").distinct(), "host").select("host", "part", "sig", "wide").toDF("host", "part", "sig", "wide")
-    kept = dealt.groupBy("host", "part").cogroup(known.groupBy("host", "part")).applyInPandas(
-        _kept(depth), "k_host string, k_stream bigint, kept array<string>")
-    settled = rows.mapInArrow(_settled, f"page_id {id_type}, url string, text string")
-    parsed = rows.mapInArrow(_open, f"page_id {id_type}, url string, host string, blocks array<string>, slots array<int>, others array<string>").select(
-        "page_id", "url", "host", "blocks", "slots", stream)
-    joined = parsed.join(kept, (parsed["host"] == F.col("k_host")) & (parsed["stream"] == F.col("k_stream")), "left")
-    runs = F.zip_with("blocks", "slots", lambda b, i: F.when(i < 0, b).otherwise(F.try_element_at("kept", i + 1)))
-    return settled.unionByName(joined.select("page_id", "url", F.array_join(F.filter(runs, lambda x: F.length(x) > 0), " ").alias("text")))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host(F.col(url_col)).alias("host"), F.xxhash64(F.col(html_col)).alias("page"), F.col(html_col).alias("html"))
+    id_type = f"array<struct<page_id:{dict(rows.dtypes)['page_id']},url:string>>"
+    size = F.coalesce(F.octet_length("html"), F.lit(0)).cast("bigint")
+    groups = F.least(F.ceil(F.sum(size) / F.lit(group_bytes)), F.floor(F.count(F.lit(1)) / F.lit(group_pages)))
+    parts = cut(rows.groupBy(F.col("host").alias("p_host")).agg(F.greatest(F.lit(1), groups).cast("int").alias("parts")), "page-parts")
+    large = parts.filter("parts > 1")
+    sized = rows.join(large, rows["host"] == large["p_host"], "left").select("page_id", "url", "host", F.coalesce("parts", F.lit(1)).alias("parts"), "page", "html")
+    dealt = sized.mapInArrow(_parsed, f"host string, part int, parts int, page bigint, article bigint, ids {id_type}, packed binary, regions binary")
+    found = "host string, part int, main boolean, sig bigint, n bigint, of bigint"
+    often = dealt.groupBy("host", "part").applyInArrow(_candidates(depth), found).groupBy("host", "main", "sig").agg(F.sum("n").alias("n"))
+    asked = often.join(parts, often["host"] == F.col("p_host")).select("host", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "main", "sig", "n")
+    held = dealt.groupBy("host", "part").cogroup(asked.groupBy("host", "part")).applyInArrow(_counts(depth), found)
+    known = _repeated(held)
+    texts = dealt.groupBy("host", "part").cogroup(known.groupBy("host", "part")).applyInArrow(_kept(depth), f"ids {id_type}, text string")
+    return texts.select(F.explode("ids").alias("id"), "text").select("id.page_id", "id.url", "text")
+
+
+def _repeated(held: DataFrame) -> DataFrame:
+    """``host``, ``part``, ``sig`` and ``wide``: to each group only those repeated substrings that it holds."""
+    every = held.withColumn("n", F.sum("n").over(Window.partitionBy("host", "main", "sig")))
+    share = F.when(F.col("main"), MAIN_SHARE).otherwise(SHARE)
+    enough = (F.col("n") >= LEAST_PAGES) & (F.col("n") >= share * F.col("of"))
+    return every.filter(enough).select("host", "part", "sig", (F.col("n") >= F.lit(MOST) * F.col("of")).alias("wide"))

@@ -172,6 +172,24 @@ def test_ordinary_prose_on_a_large_host_stays(spark):
     assert got == dict(want)
 
 
+@pytest.mark.parametrize("options", [{}, {"group_bytes": 60, "group_pages": 1}])
+def test_repeated_text_inside_articles_goes(spark, options):
+    words = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    notice = "Read more from our partners and support this site with a gift"
+    rows, want = [], {}
+    for i in range(24):
+        own = [f"The story {i}", words(i, 20), *(["Conclusion"] if i % 3 == 0 else []), f"The end {words(i, 9)}"]
+        main = f"<h1>{own[0]}</h1><p>{notice}</p><p>{own[1]}</p>" + "".join(f"<h2>{b}</h2>" for b in own[2:-1]) + f"<p>{own[-1]}</p><p>{notice} today</p><p>Share this</p>"
+        rows.append((i, "http://h.example/", f"<nav>n</nav><article>{main}</article>"))
+        want[i] = " ".join(own)
+    # copies of an article are one article, on pages of their own
+    rows += [(100 + i, "http://c.example/", f"<p>{words(('c', i), 9)}</p><main><p>{words('copy', 30)}</p></main>") for i in range(9)]
+    want |= {100 + i: " ".join(f"{words(('c', i), 9)} {words('copy', 30)}".split()) for i in range(9)}
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5)
+    got = {r["page_id"]: r["text"] for r in page_text.extract(pages, "page_id", "url", "html", **options).collect()}
+    assert got == want
+
+
 def test_blocks_and_regions():
     text = lambda page: " ".join(b for b, r in page_text.blocks(page) if r != page_text.IN_CHROME)
     assert text("<p>a<b>b</b>c<br>d &amp; e&nbsp;f &lt;g&gt; &eacute;") == "abc d & e f <g> é"
