@@ -7,6 +7,7 @@ import html
 import io
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,6 +191,25 @@ def test_repeated_text_inside_articles_goes(spark, options):
     assert got == want
 
 
+def test_groups_get_only_repeats_that_they_hold(spark):
+    held = spark.createDataFrame(
+        [("h", p, False, 1, 10, 100) for p in range(3)] + [("h", 0, False, 2, 25, 100), ("h", 2, False, 3, 19, 100), ("h", 1, True, 4, 60, 100), ("i", 0, False, 2, 2, 2)],
+        "host string, part int, main boolean, sig bigint, n bigint, of bigint")
+    got = sorted(tuple(r) for r in page_text._repeated(held).collect())
+    assert got == [("h", 0, 1, False), ("h", 0, 2, False), ("h", 1, 1, False), ("h", 1, 4, True), ("h", 2, 1, False)]
+
+
+def test_few_pages_make_no_candidates():
+    """Passages of two pages each are not sent to the other groups of a large host."""
+    n = 64
+    own = [" ".join(f"w{i // 2}x{k}" for k in range(200)) for i in range(n)]
+    rows = [(i, i, "h", 2, f"<p>{own[i]}</p><p>p{i}</p>") for i in range(n)]
+    batch = pa.RecordBatch.from_pydict(dict(zip(("page_id", "page", "host", "parts", "html"), map(list, zip(*rows)))) | {"url": ["http://h/"] * n})
+    table = pa.Table.from_batches(list(page_text._parsed(iter([batch]))))
+    found = page_text._candidates(page_text.DEPTH)((pa.scalar("h"), pa.scalar(0, pa.int32())), table).to_pylist()
+    assert [(r["sig"], r["main"], r["n"]) for r in found] == [(None, False, n), (None, True, 0)]
+
+
 def test_blocks_and_regions():
     text = lambda page: " ".join(b for b, r in page_text.blocks(page) if r != page_text.IN_CHROME)
     assert text("<p>a<b>b</b>c<br>d &amp; e&nbsp;f &lt;g&gt; &eacute;") == "abc d & e f <g> é"
