@@ -20,7 +20,8 @@ A bitmap of the benchmark's hashes, of fixed size (``BITMAP_BITS``, 2 MB at any
 goes to all tasks and only spares documents the exchange: windows whose two bits are not set
 cannot be hits.  All others go to an ordinary join with the benchmark windows.  A document
 sends the stretch of word hashes around its hits, as wide as the longest item, so the
-comparison needs no second look at the texts.
+comparison needs no second look at the texts.  A stretch has at most four times the words of the
+longest item, so a long text full of hits sends data in proportion to its hits.
 
 Defined cases: null and empty texts and items have no words and no hits; items with fewer
 than ``LEAST_WORDS`` words are not looked for; repeated rows of a document (equal id and text) are
@@ -136,7 +137,14 @@ def _stretches(flags: np.ndarray, reach: int):
                 of = np.searchsorted(first, at, side="right") - 1
                 # hits nearer than two reaches in one text share a stretch
                 cuts = np.flatnonzero((np.diff(of, prepend=-1) != 0) | (np.diff(at, prepend=-(10**9)) > 2 * reach))
-                for lo, hi in zip(cuts, [*cuts[1:], len(at)], strict=True):
+                pieces = []
+                for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(at)], strict=True):
+                    # a long stretch is cut: each hit has one reach of words on both sides, and copies no more than four
+                    while lo < hi:
+                        end = lo + int(np.searchsorted(at[lo:hi], at[lo] + 2 * reach, side="right"))
+                        pieces.append((lo, end))
+                        lo = end
+                for lo, hi in pieces:
                     doc = of[lo]
                     a, b = max(first[doc], at[lo] - reach), min(first[doc + 1], at[hi - 1] + reach)
                     out["doc"].append(keys[doc][0])

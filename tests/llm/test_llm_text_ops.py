@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -226,6 +227,24 @@ def test_decontamination_against_brute_force(spark):
     assert decontamination.find(docs.limit(0), "doc_id", "text", bench, "item_id", "text").count() == 0
 
 
+def test_long_text_full_of_hits_sends_data_in_proportion(spark):
+    item = [f"w{k}" for k in range(20)]
+    short = [f"v{k}" for k in range(9)]
+    text = " ".join(item * 300 + short + ["x"] * 30 + short * 2)
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, " ".join(short))], "item_id bigint, text string")
+    got = decontamination.contaminated(docs, "doc_id", "text", bench, "item_id", "text").collect()
+    assert [(r["doc"], r["items"], r["n_overlaps"]) for r in got] == [(1, [7, 8], 303)]
+    flags = decontamination.bitmap(decontamination.benchmark_windows(bench, "item_id", "text"))
+    batch = pa.RecordBatch.from_pydict({"doc": [1], "t": [1], "text": [text]})
+    rows = [x for b in decontamination._stretches(flags, len(item))(iter([batch])) for x in b.to_pylist()]
+    hits = sum(len(x["hits"]) for x in rows)
+    assert hits > 10_000 and max(len(x["words"]) for x in rows) <= 4 * len(item) * 8
+    # every hit has the words of any alignment with the longest item
+    n = len(text.split())
+    assert all(h["at"] >= min(len(item), x["start"] + h["at"]) and len(x["words"]) // 8 - h["at"] >= min(len(item), n - x["start"] - h["at"]) for x in rows for h in x["hits"])
+
+
 def test_decontamination_query(spark, small):
     bench = spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()
     got = {r["doc_id"]: r["items"] for r in QUERIES["op10_decontamination"](spark, SMALL).collect()}
