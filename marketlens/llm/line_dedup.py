@@ -5,7 +5,8 @@ returns, and blank lines are kept but take no part.  A window is ``WINDOW`` line
 or one or two lines that hold ``LONG_WORDS`` words or more.  A window is repeated if the
 same lines stand earlier, in the order (id, text hash, position), and a run of lines is
 deleted where repeated windows cover it: every later run of three lines, or of fifty words,
-that occurred before goes, and the first occurrence stays.
+that occurred before goes, and the first occurrence stays.  A repeated passage that begins or
+ends inside a line is outside this rule (the README has a measured figure).
 
 Method: the smallest line hash of each window is its fingerprint, so equal windows always
 select equal fingerprints.  Fingerprint positions are counted by hash with a partial
