@@ -1,8 +1,8 @@
 """Language identification by compression with per-language zstandard dictionaries.
 
 Training takes a bounded, documented sample: for each language the ``SAMPLE_DOCS`` labelled
-documents with the smallest hash of (id, text), cut to ``DICTIONARY_BYTES`` in all, as a
-raw-content dictionary.  Texts are lower-cased and runs of anything but letters become one
+documents with a letter and the smallest hash of (id, text), each from its first letter on, cut
+to ``DICTIONARY_BYTES`` in all, as a raw-content dictionary.  Texts are lower-cased and runs of anything but letters become one
 space, so that punctuation, digits and capitals say nothing.  A text is cut into pieces of
 ``PIECE_BYTES`` (whole text, all pieces), every piece is compressed once with each dictionary, and the language with the
 fewest bytes over all pieces wins; equal sizes go to the first language by code point.
@@ -11,7 +11,8 @@ margin means the same at every length.
 
 ``score`` is the relative margin ``(second - best) / second``, from 0 to 1 (1 when a single
 language was learned).  A text is rejected when it has no letter, or when its margin is
-below ``MIN_MARGIN``, or no language was learned.
+below ``MIN_MARGIN``.  With no language learned nothing can be told apart, so texts with a
+letter are ``und``, score 0, and not rejected.
 
 Defined cases: null text and text without a letter give ``und``, score 0, rejected; null
 language rows teach nothing; equal rows get equal results; with no training rows every
@@ -52,8 +53,9 @@ def train_dictionaries(docs: DataFrame, id_col: str, text_col: str, lang_col: st
     """
     share = max(64, dictionary_bytes // 128)
     rows = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.substring(F.col(text_col), 1, share).alias("text"))
-    rows = rows.filter(F.col("text").rlike(r"\p{L}"))
+        F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+    # From the first letter on: an opening of digits or markup teaches nothing.
+    rows = rows.filter(F.col("text").rlike(r"\p{L}")).withColumn("text", F.substring(F.regexp_replace("text", r"\A\P{L}+", ""), 1, share))
     first = Window.partitionBy("lang").orderBy("h", "text")
     sample = rows.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= sample_docs)
     found: dict[str, list] = {}
@@ -89,8 +91,10 @@ def compressed_sizes(text: str, coders: list[zstandard.ZstdCompressor]) -> list[
 
 
 def classify(text: str | None, languages: list[str], coders: list, min_margin: float) -> tuple[str, float, bool]:
-    if text is None or not languages or not has_letter(text):
+    if text is None or not has_letter(text):
         return UNDETERMINED, 0.0, True
+    if not languages:
+        return UNDETERMINED, 0.0, False
     sizes = compressed_sizes(text, coders)
     order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
     margin = 1.0 if len(sizes) == 1 else (sizes[order[1]] - sizes[order[0]]) / sizes[order[1]]

@@ -38,6 +38,13 @@ def test_stages_in_order_and_registered():
     assert entry.queries()["pipeline"] is corpus_pipeline.run and "pipeline" not in entry.oracle_sql()
 
 
+def test_language_stage_without_labels_keeps_texts(spark, edge_docs):
+    docs = edge_docs.withColumn("lang", F.lit(None).cast("string"))
+    got = STAGES["language_id"](spark, docs, SMALL)
+    want = [r for r in docs.collect() if language_id.has_letter(r["text"] or "")]
+    assert want and sorted(map(str, got.collect())) == sorted(map(str, want))
+
+
 def test_language_stage(spark, edge_docs):
     got = STAGES["language_id"](spark, edge_docs, SMALL)
     assert got.columns == edge_docs.columns

@@ -63,6 +63,19 @@ def test_language_edges(spark):
     assert none == {} and docs.select(language_id.identify(F.col("text"), none).alias("p")).filter("p.lang_pred <> 'und'").count() == 0
 
 
+def test_no_learned_language_rejects_only_texts_without_letters(spark):
+    docs = docs_of(spark, [(1, "a clean text", None, "a", 12), (2, "12 34", None, "a", 5), (3, None, None, "a", None), (4, "", None, "a", 0)])
+    none = language_id.train_dictionaries(docs, "doc_id", "text", "lang", F.lit(True))
+    got = {r["doc_id"]: tuple(r["p"]) for r in docs.select("doc_id", language_id.identify(F.col("text"), none).alias("p")).collect()}
+    assert none == {} and got == {1: ("und", 0.0, False), 2: ("und", 0.0, True), 3: ("und", 0.0, True), 4: ("und", 0.0, True)}
+
+
+def test_texts_that_open_without_letters_teach(spark):
+    docs = docs_of(spark, [(i, f"{i}. <1> " + "1234 " * 1000 + "ein deutscher Satz steht hier", "de", "a", 1) for i in range(5)])
+    found = language_id.train_dictionaries(docs, "doc_id", "text", "lang", F.lit(True))
+    assert list(found) == ["de"] and b"deutscher satz" in found["de"]
+
+
 def test_language_reads_whole_text():
     dictionaries = {"a": b"alpha beta gamma delta " * 50, "b": b"lorem ipsum dolor sit " * 50}
     coders = [language_id._coder(dictionaries[x]) for x in "ab"]
