@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import decontamination, language_id, line_dedup, lm_scoring, mixing, page_text, secret_ledger, simhash, vector_dedup, warc
+from marketlens.llm import (
+    decontamination, fill_middle, importance, language_id, line_dedup, lm_scoring, mixing, page_text, secret_ledger, sentence_pieces, simhash, vector_dedup, warc)
 from marketlens.llm.shared import cut, run_folder, text_crc_mod
 
 
@@ -91,8 +92,33 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.coalesce("n_overlaps", F.lit(0)).cast("bigint").alias("n_overlaps"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Store every text as seekable frames, cut it by lines and stream it out in its form."""
+    docs = _table(spark, sf_dir, "documents")
+    index = cut(fill_middle.store_frames(docs, "doc_id", "text", run_folder(spark, "frames")), "frames-index")
+    return fill_middle.transform(fill_middle.plan_cuts(index), with_text=False)
+
+
+def op12_sentence_pieces(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
+    """Encode every text with the public BPE model (``model_path``: another one) and decode it again."""
+    if model_path is None:
+        import public_tokenizers
+
+        model_path = public_tokenizers.path("piece_bpe_32k.model")
+    with open(model_path, "rb") as f:
+        model = f.read()
+    return sentence_pieces.encode_documents(_table(spark, sf_dir, "documents"), "doc_id", "text", model, pieces=False)
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draw 5 % of the documents towards the benchmark's features."""
+    docs, target = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return importance.resample(docs, "doc_id", "text", target, "text").select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_warc, op2_lm_scoring, op3_secrets, op4_language_id, op5_line_dedup, op6_vector_dedup, op7_mixing, op8_simhash, op9_page_text, op10_decontamination)}
+    op1_warc, op2_lm_scoring, op3_secrets, op4_language_id, op5_line_dedup, op6_vector_dedup, op7_mixing, op8_simhash, op9_page_text, op10_decontamination,
+    op11_fill_middle, op12_sentence_pieces, op13_importance)}
 
 
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
@@ -161,4 +187,23 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
-ORACLE_SQL = {"op5_line_dedup": _OP5, "op7_mixing": _OP7}
+_OP11 = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+drawn AS (
+  SELECT *, len(units) AS n, [('0x' || substr(h, 8 * i + 1, 8))::BIGINT FOR i IN range(4)] AS d FROM cut),
+planned AS (
+  SELECT *, least(d[1] % (n + 1), d[2] % (n + 1)) AS a, greatest(d[1] % (n + 1), d[2] % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR d[3] % 100 >= 100 THEN 'plain'
+              WHEN d[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn),
+parts AS (
+  SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:], '') AS suffix FROM planned)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
+ORACLE_SQL = {"op5_line_dedup": _OP5, "op7_mixing": _OP7, "op11_fill_middle": _OP11}
