@@ -12,6 +12,9 @@ Features across line ends are added from the document itself: of every line only
 two and the last two words (its one word, if it has one) can belong to them, so those words stand in
 a short sequence, in which runs that begin and end in different lines are the features.
 
+Arrays are exploded with ``explode_outer``: an inner explode would have Spark test their size first, in a
+filter that repeats all that builds them.
+
 Nothing but the gains (one number a bucket) reaches the driver.  A line or a text that a third
 of all rows hold is counted before it is shuffled; joins meet on (text, line) pairs that are
 distinct.  Ranks come from a range partition, numbered inside each range and moved on by the rows
@@ -94,18 +97,18 @@ def _lines(text: Column) -> Column:
 
 def line_table(texts: DataFrame, text_col: str, buckets: int) -> DataFrame:
     """Every distinct line with a word: ``line_key``, occurrences ``n``, number of words, buckets of its features."""
-    lines = texts.select(F.explode(_lines(F.col(text_col))).alias("line")).filter(F.col("line") != "")
+    lines = texts.select(F.explode_outer(_lines(F.col(text_col))).alias("line")).filter(F.col("line").rlike(LETTER))
     rows = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
     rows = rows.select(_key(F.col("line")).alias("line_key"), "n", F.regexp_extract_all(fold(F.col("line")), F.lit(f"({WORD}+)"), 1).alias("words"))
-    rows = with_features(rows.filter(F.size("words") > 0), "features")
+    rows = with_features(rows, "features")
     return cut(rows.select("line_key", "n", F.size("words").alias("words"), F.transform("features", lambda f: _bucket(f, buckets)).alias("buckets")), "importance-lines")
 
 
 def bucket_counts(texts: DataFrame, text_col: str, lines: DataFrame, buckets: int) -> DataFrame:
     """``bucket``, ``n``: features of all texts, those of a line multiplied by its occurrences."""
     inside = lines.select("n", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.sum("n").alias("n"))
-    between = with_across(texts.select(F.col(text_col).alias("t")), F.col("t"), "found").select(F.explode("found").alias("f"))
-    between = between.groupBy(_bucket(F.col("f"), buckets).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    between = with_across(texts.select(F.col(text_col).alias("t")), F.col("t"), "found").select(F.explode_outer("found").alias("f"))
+    between = between.filter(F.col("f").isNotNull()).groupBy(_bucket(F.col("f"), buckets).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     return inside.unionByName(between).groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
@@ -129,8 +132,8 @@ def weigh(docs: DataFrame, id_col: str, text_col: str, lines: DataFrame, gain: l
     per_line = lines.select("line_key", "words", F.size("buckets").alias("n"), worth(F.col("buckets")).alias("weight"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     # One row a line, and one with a null line for the text itself, which counts its copies.
-    held = docs.select(_key(text).alias("text_key"), F.explode(F.concat(_lines(text), F.array(F.lit(None).cast("string")))).alias("line"))
-    held = held.filter(F.col("line").isNull() | (F.col("line") != "")).groupBy("text_key", _key(F.col("line")).alias("key")).agg(F.count(F.lit(1)).alias("times"))
+    held = docs.select(_key(text).alias("text_key"), F.explode_outer(F.concat(_lines(text), F.array(F.lit(None).cast("string")))).alias("line"))
+    held = held.filter(F.col("line").isNull() | F.col("line").rlike(LETTER)).groupBy("text_key", _key(F.col("line")).alias("key")).agg(F.count(F.lit(1)).alias("times"))
     joined = held.join(per_line, F.col("key") == F.col("line_key"), "left")
     copies = F.max(F.when(F.col("key").isNull(), F.col("times")))
     total = lambda c: F.expr(f"coalesce(sum(times * {c}), 0) div max(if(key is null, times, null))").alias(f"in_{c}")
