@@ -225,11 +225,21 @@ def restore(output: Frames, form: str) -> Iterator[bytes]:
         yield from output.stream(*spans[part])
 
 
+def by_file(index: DataFrame) -> DataFrame:
+    """The index dealt out with as many partitions as there are stored files, each file in order.
+
+    Index rows are small beside the frames, so partitions of equal index bytes would be few.
+    """
+    files = index.select("path").distinct().count()
+    return index.repartition(max(files, 1), "path").sortWithinPartitions("path", F.try_element_at("offsets", F.lit(1)))
+
+
 def transform(planned: DataFrame, with_text: bool = True) -> DataFrame:
     """One row per document of ``plan_cuts``: its form, the lengths of prefix and middle, and both digests.
 
     ``with_text`` adds the output itself (``output``).
     """
+    planned = by_file(planned)
     kind = planned.schema["doc_id"].dataType.simpleString()
     names = ["n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"] + (["output"] if with_text else [])
     types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()][: len(names)]
