@@ -19,12 +19,11 @@ from pyspark.sql import functions as F
 
 from marketlens.config import DEFAULT_THRESHOLDS, REFERENCE_WINDOW, DateWindow, Thresholds, resolve_limit
 from marketlens.plans import campaign, competitor, elasticity, promo
-from marketlens.plans.insights import insights as insight_rows
+from marketlens.plans.insights import insight_rows, insights
 from marketlens.plans.intent import route
 from marketlens.plans.messages import messages
 from marketlens.plans.summary import summarize
-from marketlens.operators.topn import full_order
-from marketlens.session import delete_folders, materialize, recording
+from marketlens.session import delete_folders, recording
 from marketlens.sources import derived
 from marketlens.sources.schemas import SCHEMAS, check_columns
 
@@ -114,7 +113,7 @@ def analyze(
     ``tables`` are base tables (the report table is derived from them); pass
     ``facts`` instead to use an existing report table with the declared schema.
     ``scope='top_n'`` summarises the returned rows (the reference's behaviour)
-    and writes those few rows once so the three outputs share them;
+    from the same local table;
     ``scope='full'`` summarises every labelled row, lazily.  ``options`` go to
     the subject's ``build`` (``cut_detail``; ``iso_dates`` for the promo calendar).
     """
@@ -133,15 +132,11 @@ def analyze(
         plan = module.build(facts, window=window, thresholds=thresholds, rank_mode=rank_mode,
                             **dict(options or {}))  # e.g. cut_detail, or iso_dates for the promo calendar
         top = plan.report(n)
-        if scope == "top_n":
-            kept = materialize(top, f"{subject}-report")  # at most 500 rows; order restored below
-            top = kept.orderBy(*full_order(kept, plan.report_order(kept)))
-            basis = kept
-        else:
-            basis = plan.labelled
-    summary = summarize(basis, subject, thresholds).withColumn(  # SU-0: when the report was made (UTC)
+    # The report is a local table of at most 500 rows, so the three outputs share it without running it again.
+    shown = (top, top) if scope == "top_n" else (plan.alone, insight_rows(plan))
+    summary = summarize(shown[0], subject, thresholds).withColumn(  # SU-0: when the report was made (UTC)
         "timestamp", F.when(F.col("total_records") > 0, F.current_timestamp()))
-    return Report(subject, n, scope, top, summary, messages(insight_rows(basis, subject, thresholds), language), tuple(folders))
+    return Report(subject, n, scope, top, summary, messages(insights(shown[1], subject, thresholds), language), tuple(folders))
 
 
 def handle(body: Mapping[str, object] | None, tables: Mapping[str, DataFrame], *,

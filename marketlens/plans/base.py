@@ -5,12 +5,14 @@ up by segment keys, join the rollup back to each detail row, add ranks, project
 rounded values and label ladders, then keep the top n.  Subjects differ only in
 columns, so each subject module supplies expressions and this module wires the
 stages.  Stages are built when asked for: segments, summaries and insights never
-touch the ranks, and a report ranks only the rows it keeps.
+touch the ranks, and a report chooses its rows first and ranks only those.
 """
 
 from __future__ import annotations
 
+import contextvars
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -18,10 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.config import DEFAULT_THRESHOLDS, Thresholds, resolve_limit
-from marketlens.operators.ranking import OrderKey, join_ranks, rank_columns, rank_tables
+from marketlens.operators.interval_rank import Intervals, as_text, counts, partition_start, sort_key, with_ranks
+from marketlens.operators.ranking import OrderKey, rank_columns
 from marketlens.operators.ranking import RankSpec as Rank
 from marketlens.operators.segments import drop_null_keys, join_back, rollup
-from marketlens.operators.topn import top_n
+from marketlens.operators.topn import full_order, top_n
 from marketlens.session import materialize
 
 
@@ -33,28 +36,6 @@ class RankSpec:
     on_segments: bool = False  # rank the rollup, each segment weighted by its rows
 
 
-def _col(c: str | Column) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
-def _sort_key(spec: RankSpec) -> Column:
-    """A struct that orders rows of one rank partition as the rank does, followed by the raw keys.
-
-    Ascending struct order puts NULL first, which is the rank's order for an ascending
-    key; a descending number is negated, with NULL last and NaN (the largest) first.
-    """
-    fields = []
-    for i, (c, ascending) in enumerate(spec.order):
-        c = _col(c)
-        if ascending:
-            fields.append(c.alias(f"o{i}"))
-        else:
-            fields += [c.isNull().alias(f"null{i}"), (~F.isnan(c.cast("double"))).alias(f"number{i}"), (-c).alias(f"o{i}")]
-    fields += [_col(p).alias(f"p{i}") for i, p in enumerate(spec.partition_by)]
-    fields += [_col(c).alias(f"k{i}") for i, (c, _) in enumerate(spec.order)]
-    return F.struct(*fields)
-
-
 @dataclass
 class SubjectPlan:
     """Stages of one report, each built at its first use."""
@@ -64,7 +45,7 @@ class SubjectPlan:
     keys: Sequence[str]
     aggregate: Callable[[DataFrame], DataFrame] = field(repr=False)
     specs: Sequence[RankSpec] = ()
-    projection: Callable[[DataFrame], DataFrame] = field(default=None, repr=False)
+    projection: Callable[..., DataFrame] = field(default=None, repr=False)
     report_order: Callable[[DataFrame], list[Column]] = field(default=None, repr=False)
     segment_weight: str | None = None
     rank_mode: str = "two_pass"
@@ -111,42 +92,84 @@ class SubjectPlan:
     @cached_property
     def labelled(self) -> DataFrame:
         """The labelled result before LIMIT, without the rank columns."""
-        return self._keyed(self.source, self.segments).drop(*[s.name for s in self.specs])
+        blank = {s.name: F.lit(None).cast("bigint") for s in self.specs}
+        return self.projection(join_back(self.source, self.segments, self.keys).withColumns(blank)).drop(*blank)
 
-    def _keyed(self, detail: DataFrame, segments: DataFrame) -> DataFrame:
-        """Labelled rows whose rank columns hold the rank's sort key instead."""
-        joined = join_back(detail, segments, self.keys)
-        return self.projection(joined.withColumns({s.name: _sort_key(s) for s in self.specs}))
+    @cached_property
+    def alone(self) -> DataFrame:
+        """``labelled`` without the rollup: its columns are NULL, so are labels that need them.  For
+        outputs that read the detail only: one pass over the source and no join."""
+        return self.projection(self._blank(self.source)).drop(*[s.name for s in self.specs])
+
+    def _blank(self, detail: DataFrame) -> DataFrame:
+        """Detail rows with NULL for the rollup's columns, and the sort keys of the ranks for the ranks."""
+        columns = {f.name: F.lit(None).cast(f.dataType) for f in self.segments.schema if f.name not in self.keys}
+        keys = {s.name: F.lit(None).cast("bigint") if s.on_segments else sort_key(Rank(s.name, s.order, s.partition_by))
+                for s in self.specs}
+        return detail.withColumns(columns).withColumns(keys)
+
+    def _choose(self, n: int) -> DataFrame:
+        """The n detail rows of the report, as they are in the source.
+
+        The order ends with all output columns as tie-break.  Those of the rollup depend on the keys,
+        which stand before them among the output columns, so they break no tie and the rows can be chosen before
+        the join; a rank orders as its sort key does.
+        """
+        keyed = self.projection(self._blank(self.source), F.struct(*self.source.columns).alias("_row"))
+        order = full_order(keyed.drop("_row"), self.report_order(keyed))
+        return keyed.orderBy(*order).limit(n).select("_row.*")
 
     def top(self, limit: int | None = None) -> DataFrame:
-        """The rows of the report without rank columns: nothing is ranked."""
-        keyed = self._keyed(self.source, self.segments)
-        chosen = top_n(keyed, self.report_order(keyed), resolve_limit(limit))
-        return chosen.drop(*[s.name for s in self.specs])
+        """The rows of the report without rank columns: nothing is ranked, the join sees n rows."""
+        chosen = self._choose(resolve_limit(limit))
+        blank = {s.name: F.lit(None).cast("bigint") for s in self.specs}
+        return self.projection(join_back(chosen, self.segments, self.keys).withColumns(blank)).drop(*blank)
 
     def report(self, limit: int | None = None) -> DataFrame:
-        """The top rows with their ranks: n rows are chosen first, then looked up in the rank tables.
+        """The top rows with their ranks.
 
-        Among rows equal in all columns before it, a rank orders as its sort key does
-        (its partition columns stand before it), so the choice is the one by rank.
+        The n rows (n is at most ``MAX_LIMIT``) are chosen and fetched while the rollup is computed; then one
+        pass counts the rows between their keys, which gives the ranks.  Nothing is written.  The
+        result is a local table of n rows: reading it again runs nothing.
         """
         n = resolve_limit(limit)
         if self.rank_mode == "window":
             return top_n(self.rows, self.report_order(self.rows), n)
-        keyed = self._keyed(self.detail, self._ranked_segments)
-        chosen = top_n(keyed, self.report_order(keyed), n)
-        specs = sorted(self.specs, key=lambda s: s.on_segments)
-        tables = rank_tables(self.detail, self._ranks(False)) + rank_tables(self._ranked_segments, self._ranks(True))
-        held = chosen.withColumnsRenamed({s.name: f"_key_{s.name}" for s in specs})
-        values = [{f"_{i}{c}": F.col(f"_key_{s.name}")[_field(c)] for c in t.exprs} for i, (s, t) in enumerate(zip(specs, tables))]
-        tables = [t.renamed(f"_{i}") for i, t in enumerate(tables)]
-        out = join_ranks(held, tables, values).select(*keyed.columns)
+        spark = self.source.sparkSession
+        segments = self.segments.persist()  # read up to twice below; spills to disk, computed again where lost
+        try:
+            with ThreadPoolExecutor(2) as pool:
+                run = lambda f: pool.submit(contextvars.copy_context().run, f)
+                rolled = run(segments.count)
+                chosen = spark.createDataFrame(self._choose(n).toArrow(), self.source.schema)
+                ranked = run(lambda: self._with_ranks(chosen, self.source, False))
+                rolled.result()
+                keys = F.broadcast(chosen.select(*self.keys).distinct())  # at most n rows
+                kept = segments.join(keys, list(self.keys), "left_semi").select(*segments.columns)
+                kept = spark.createDataFrame(kept.toArrow(), segments.schema)
+                kept = self._with_ranks(kept, segments, True)
+                out = self.projection(join_back(ranked.result(), kept, self.keys))
+        finally:
+            segments.unpersist()
         return top_n(out, self.report_order(out), n)
 
-
-def _field(key_column: str) -> str:
-    """Field of the sort key that holds a rank table's key column (``_r0k1`` -> ``k1``)."""
-    return key_column[key_column.index("p" if "p" in key_column else "k"):]
+    def _with_ranks(self, chosen: DataFrame, ranked: DataFrame, on_segments: bool) -> DataFrame:
+        """``chosen`` (a few rows of ``ranked``) with the ranks that they have in ``ranked``."""
+        specs = self._ranks(on_segments)
+        if not specs:
+            return chosen
+        intervals = []
+        texts = {}
+        for i, s in enumerate(specs):
+            key = sort_key(s)
+            schema = chosen.select(key.alias("k")).schema["k"].dataType
+            intervals.append((s, schema))
+            texts[f"k{i}"] = as_text(key)
+            if s.partition_by:
+                texts[f"s{i}"] = as_text(partition_start(key, schema))
+        rows = chosen.select(*[c.alias(name) for name, c in texts.items()]).collect()
+        intervals = [Intervals(s, schema, [r[name] for r in rows for name in (f"k{i}", f"s{i}") if name in texts]) for i, (s, schema) in enumerate(intervals)]
+        return with_ranks(chosen, intervals, counts(ranked, intervals))
 
 
 def build_plan(
@@ -170,4 +193,4 @@ def build_plan(
     return SubjectPlan(
         subject, drop_null_keys(detail, keys), keys,
         aggregate or (lambda rows: rollup(rows, keys, segment_aggs(thresholds))),
-        ranks, lambda joined: project(joined, thresholds), report_order, segment_weight, rank_mode, cut_detail)
+        ranks, lambda joined, *more: project(joined, thresholds, *more), report_order, segment_weight, rank_mode, cut_detail)

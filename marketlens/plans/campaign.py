@@ -74,11 +74,12 @@ def segment_view(segments: DataFrame) -> DataFrame:
     )
 
 
-def project(j: DataFrame, th: Thresholds) -> DataFrame:
+def project(j: DataFrame, th: Thresholds, *more: Column) -> DataFrame:
     roi, disc = F.col("roi_pct"), F.col("discount_pct")
     repeat, acq = F.col("repeat_purchase_rate"), F.col("customer_acquisition")
     seg_cpa = F.round("cost_per_acquisition_usd", 2)
     return j.select(
+        *more,
         "campaign_date", "campaign_name", "campaign_type", "target_audience", "market_segment",
         "discount_pct", "original_price_usd", "campaign_price_usd", "units_sold",
         F.round("revenue_generated", 2).alias("revenue_generated"),

@@ -61,10 +61,11 @@ def segment_view(segments: DataFrame) -> DataFrame:
     )
 
 
-def project(j: DataFrame, th: Thresholds) -> DataFrame:
+def project(j: DataFrame, th: Thresholds, *more: Column) -> DataFrame:
     gap, impact, flag = F.col("price_gap_pct"), F.col("market_share_impact"), F.col("promotion_flag")
     quality, brand = F.col("quality_comparison"), F.col("brand_positioning")
     return j.select(
+        *more,
         "tracking_date", "competitor", "product_category", "market", "own_price_usd",
         "competitor_price_usd", F.round(gap, 1).alias("price_gap_pct"), "promotion_flag",
         "quality_comparison", "brand_positioning", "market_share_impact", "competitors_tracked",

@@ -65,10 +65,11 @@ def segment_view(segments: DataFrame) -> DataFrame:
     )
 
 
-def project(j: DataFrame, th: Thresholds) -> DataFrame:
+def project(j: DataFrame, th: Thresholds, *more: Column) -> DataFrame:
     e, impact, rec = F.col("elasticity_coefficient"), F.col("revenue_impact_pct"), F.col("recommendation")
     optimal, price = F.col("optimal_price_usd"), F.col("price_point_usd")
     return j.select(
+        *more,
         "analysis_date", "product_category", "market", "customer_segment", "price_point_usd",
         "demand_quantity",
         F.round(e, 2).alias("elasticity_coefficient"),

@@ -174,6 +174,11 @@ SUBJECT_RULES = {
 }
 
 
+def insight_rows(plan) -> DataFrame:
+    """The labelled rows that the subject's rules read: campaign rules need a label of the rollup, the others the detail alone."""
+    return plan.labelled if plan.subject == "campaign_performance" else plan.alone
+
+
 def _rule_struct(rule: Rule, gate: Column) -> Column:
     code = F.lit(rule.code) if isinstance(rule.code, str) else rule.code()
     detail = rule.detail() if rule.detail else F.lit(None)

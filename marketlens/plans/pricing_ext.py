@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from marketlens.config import DateWindow
 from marketlens.functions import count_if, exact_avg, exact_sum
+from marketlens.operators.box_index import best_boxes
 from marketlens.plans.supply import supplier_scorecard
 from marketlens.session import materialize
 from marketlens.sources import derived
@@ -33,7 +34,7 @@ def price_monitor(tracking: DataFrame) -> DataFrame:
     """Per competitor, market and month: observations, mean competitor price,
     the previous observed month's mean and the change in percent."""
     monthly = tracking.groupBy("competitor", "market", _month("tracking_date").alias("month")).agg(
-        F.count(F.lit(1)).alias("observations"), exact_avg("competitor_price_usd").alias("avg_price"))
+        F.count(F.lit(1)).alias("observations"), F.round(exact_avg("competitor_price_usd"), 9).alias("avg_price"))
     w = Window.partitionBy("competitor", "market").orderBy("month")
     prev = F.lag("avg_price").over(w)
     return (monthly.withColumn("prev_avg_price", prev)
@@ -156,7 +157,8 @@ def apply_price_rules(tables: Mapping[str, DataFrame], rules: Sequence[PriceRule
 
 RULES_SCHEMA = ("priority int, rule_id string, min_price double, max_price double, min_size int, max_size int, "
                 "adjustment_pct double")
-PRICE_BUCKETS = 1024  # buckets over the observed price range
+# Market conditions of a rule, optional: gap to the competitors in percent, and units sold; half-open, NULL is open.
+MARKET_BOUNDS = ("min_gap", "max_gap", "min_demand", "max_demand")
 
 
 def rules_frame(spark, rules: Sequence[PriceRule] = DEFAULT_RULES) -> DataFrame:
@@ -164,33 +166,66 @@ def rules_frame(spark, rules: Sequence[PriceRule] = DEFAULT_RULES) -> DataFrame:
                                    r.adjustment_pct) for r in rules], RULES_SCHEMA)
 
 
+def rules_from_parts(parts: DataFrame) -> DataFrame:
+    """A rule table that grows with the catalogue: each part asks for a price band around its own list price,
+    every seventh one with an open upper end that an outlier price of 1e12 closes."""
+    price, size, key = F.col("p_retailprice"), F.col("p_size"), F.col("p_partkey")
+    return parts.select(
+        (key % 997).cast("int").alias("priority"), F.concat(F.lit("band_"), key.cast("string")).alias("rule_id"),
+        F.round(price - key % 40, 2).alias("min_price"), F.when(key % 7 == 0, F.lit(1e12)).otherwise(F.round(price + key % 25, 2)).alias("max_price"),
+        (size - key % 3).cast("int").alias("min_size"), (size + key % 5).cast("int").alias("max_size"),
+        ((key % 31) - 15).cast("double").alias("adjustment_pct"))
+
+
+def market_conditions(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Per part: ``gap``, the mean price gap to the competitors of its category in percent (whole hundredths), and
+    ``demand``, the units sold of the part."""
+    gaps = derived.competitor_tracking(tables).groupBy("product_category").agg(F.round(exact_avg("price_gap_pct"), 2).alias("gap"))
+    sold = tables["lineitem"].groupBy("l_partkey").agg(exact_sum("l_quantity").alias("demand"))
+    part = tables["part"].select("p_partkey", "p_type", "p_size", "p_retailprice")
+    out = part.join(gaps, F.col("p_type") == F.col("product_category"), "left").join(sold, F.col("p_partkey") == F.col("l_partkey"), "left")
+    return out.select("p_partkey", "p_type", "p_size", "p_retailprice", "gap", F.coalesce("demand", F.lit(0.0)).alias("demand"))
+
+
+# Our market rules: name, priority, change in percent, gap from and to, demand from and to.
+MARKET_RULES = (("raise", 0, 5.0, None, 0.0, 150.0, None), ("match", 10, -8.0, 5.0, None, None, None), ("clear", 20, -12.0, None, None, None, 60.0))
+
+
+def market_rules(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """A rule table over market conditions, ``MARKET_RULES`` once a category with a price floor and priority of
+    its own: raise the price where the category is not above its competitors and the part sells, lower it where the
+    category is above them, or where the part does not sell."""
+    kinds = tables["part"].select("p_type", (F.length("p_type") * 37 + F.ascii("p_type")).cast("bigint").alias("h")).distinct()
+
+    def rule(name, priority, change, *bounds):
+        market = [F.lit(v).cast("double").alias(c) for c, v in zip(MARKET_BOUNDS, bounds)]
+        return F.struct((F.lit(priority) + F.col("h") % 10).cast("int").alias("priority"), F.concat(F.lit(f"{name}_"), F.col("p_type")).alias("rule_id"),
+                        ((F.col("h") % 500) + 900).cast("double").alias("min_price"), F.lit(None).cast("double").alias("max_price"),
+                        F.lit(1).alias("min_size"), F.lit(50).alias("max_size"), F.lit(change).alias("adjustment_pct"), *market)
+
+    return kinds.select(F.explode(F.array(*[rule(*r) for r in MARKET_RULES])).alias("r")).select("r.*")
+
+
 def apply_price_rule_table(parts: DataFrame, rules: DataFrame) -> DataFrame:
-    """TB-8 over a rules *table* (range join; lowest priority number wins per part).
-
-    A part matches a rule when min_price <= price < max_price and min_size <= size <= max_size.
-    The distinct (price, size) pairs are matched, not the parts, so a popular price is one row.
-    Both sides meet on price buckets (an equi-join): the observed price range (two scalars)
-    is cut into at most PRICE_BUCKETS buckets and a rule goes to those its range covers; the
-    exact range test follows.  The winner of a pair is ``min_by`` over its matches and joins
-    back to the parts on (price, size).  Parts with no match keep their price, rule_id 'none'.
+    """TB-8 over a rules *table* (range join; lowest priority number wins per part, then the smaller id).
+
+    A part matches a rule when min_price <= price < max_price and min_size <= size <= max_size, and, where the rules
+    have the columns of ``MARKET_BOUNDS`` and the parts ``gap`` and ``demand``, when these lie in [min, max) too.
+    NULL bounds are open.  The distinct values are matched, through ``operators.box_index``, and
+    the winners join back to the parts.  Parts with no match keep their price, rule_id 'none'.
     """
-    p = parts.select("p_partkey", "p_type", "p_size", "p_retailprice")
-    price, size = F.col("p_retailprice"), F.col("p_size")
-    pairs = materialize(p.select("p_retailprice", "p_size").distinct(), "price-pairs")
-    lo, hi = pairs.agg(F.min("p_retailprice"), F.max("p_retailprice")).first()
-    lo, hi = (0.0, 0.0) if lo is None else (lo, hi)
-    width = max((hi - lo) / PRICE_BUCKETS, 1e-9)
-    bucket_of = lambda c: F.floor((c - F.lit(lo)) / F.lit(width)).cast("bigint")
-    reach = rules.where((F.col("max_price") > F.lit(lo)) & (F.col("min_price") <= F.lit(hi))).withColumn("bucket", F.explode(F.sequence(
-        bucket_of(F.greatest(F.col("min_price"), F.lit(lo))), bucket_of(F.least(F.col("max_price"), F.lit(hi))))))
-    in_range = ((price >= F.col("min_price")) & (price < F.col("max_price")) & size.between(F.col("min_size"), F.col("max_size")))
-    best = pairs.withColumn("bucket", bucket_of(price)).join(reach, "bucket").where(in_range).groupBy(
-        price.alias("m_price"), size.alias("m_size")).agg(
-        F.min_by(F.struct("rule_id", "adjustment_pct"), F.struct("priority", "rule_id")).alias("w"))
-    out = p.join(best, (price == F.col("m_price")) & (size == F.col("m_size")), "left")
-    adj = F.coalesce(F.col("w.adjustment_pct"), F.lit(0.0))
-    return out.select("p_partkey", "p_type", "p_size", "p_retailprice",
-                      F.coalesce(F.col("w.rule_id"), F.lit("none")).alias("rule_id"),
+    dims = [("p_retailprice", "min_price", "max_price"), ("p_size", "min_size", "_end_size")]
+    if set(MARKET_BOUNDS) <= set(rules.columns):
+        dims += [("gap", "min_gap", "max_gap"), ("demand", "min_demand", "max_demand")]
+    p = parts.select("p_partkey", "p_type", *[d[0] for d in dims])
+    best = best_boxes(p, rules.withColumn("_end_size", F.col("max_size") + 1), dims, ["priority", "rule_id"], ["rule_id", "adjustment_pct"])
+    best = best.withColumnsRenamed({d[0]: f"_{d[0]}" for d in dims})
+    same = F.lit(True)
+    for d in dims:
+        same = same & F.col(d[0]).cast("double").eqNullSafe(F.col(f"_{d[0]}"))
+    out = p.join(best, same, "left")
+    price, adj = F.col("p_retailprice"), F.coalesce(F.col("adjustment_pct"), F.lit(0.0))
+    return out.select("p_partkey", "p_type", "p_size", "p_retailprice", F.coalesce(F.col("rule_id"), F.lit("none")).alias("rule_id"),
                       F.round(price * (F.lit(1.0) + adj / F.lit(100.0)), 2).alias("new_price"))
 
 

@@ -97,11 +97,12 @@ def segment_view(segments: DataFrame) -> DataFrame:
     )
 
 
-def project(j: DataFrame, th: Thresholds) -> DataFrame:
+def project(j: DataFrame, th: Thresholds, *more: Column) -> DataFrame:
     uplift, budget = F.col("expected_uplift_pct"), F.col("budget_usd")
     response, dtype, dvalue = F.col("competitive_response"), F.col("discount_type"), F.col("discount_value")
     days = F.col("campaign_duration_days")
     return j.select(
+        *more,
         *DETAIL_COLUMNS, "campaign_duration_days", "planned_campaigns",
         F.round("total_market_budget", 2).alias("market_total_budget"),
         shown("avg_expected_uplift", 1).alias("market_avg_expected_uplift"),

@@ -12,10 +12,11 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marketlens.config import REFERENCE_WINDOW, STUDY_WINDOW
 from marketlens.plans import campaign, competitor, elasticity, intent, pricing_ext, promo, supply
-from marketlens.plans.insights import insights
+from marketlens.plans.insights import insight_rows, insights
 from marketlens.plans.summary import summarize
 from marketlens.session import checkpoint_root
 from marketlens.sources import derived
@@ -79,8 +80,8 @@ def _subject_queries(prefix: str) -> dict[str, Query]:
         f"{prefix}_ranks": lambda spark, d: subject_plan(prefix, spark, d).ranked.select(*rank_cols),
         f"{prefix}_segments": lambda spark, d: module.segment_view(subject_plan(prefix, spark, d).segments),
         # scope 'full': every labelled row; scope 'top_n': the rows of the report (the reference's scope)
-        f"{prefix}_summary": lambda spark, d: summarize(subject_plan(prefix, spark, d).labelled, module.SUBJECT),
-        f"{prefix}_insights": lambda spark, d: insights(subject_plan(prefix, spark, d).labelled, module.SUBJECT),
+        f"{prefix}_summary": lambda spark, d: summarize(subject_plan(prefix, spark, d).alone, module.SUBJECT),
+        f"{prefix}_insights": lambda spark, d: insights(insight_rows(subject_plan(prefix, spark, d)), module.SUBJECT),
         f"{prefix}_report_summary":
             lambda spark, d: summarize(subject_plan(prefix, spark, d).top(100), module.SUBJECT),
         f"{prefix}_report_insights":
@@ -141,11 +142,20 @@ def _all_parts(spark, d):
     return tables(spark, d)["part"].select("p_partkey")
 
 
+def _type_capacity(spark, d):
+    """A capacity table: 40 units a month for each part of a type whose size is even (so some types may have none)."""
+    even = tables(spark, d)["part"].where("p_size % 2 = 0")
+    return even.groupBy(F.col("p_type").alias("part_type")).agg((F.count(F.lit(1)) * 40).alias("units"))
+
+
 QUERIES.update({
     "tb_quality_trend": lambda spark, d: supply.quality_trend(tables(spark, d)),
     "tb_delivery_performance": lambda spark, d: supply.delivery_performance(tables(spark, d)),
     "tb_budget_variance": lambda spark, d: supply.budget_variance(tables(spark, d)),
     "tb_supplier_scorecard": lambda spark, d: supply.supplier_scorecard(tables(spark, d)),
+    "tb_shipping_cost": lambda spark, d: supply.shipping_cost(tables(spark, d)),
+    "tb_production_plan": lambda spark, d: supply.production_plan(tables(spark, d)),
+    "tb_production_plan_given": lambda spark, d: supply.production_plan(tables(spark, d), _type_capacity(spark, d)),
     "tb_capacity_plan": lambda spark, d: supply.capacity_plan(tables(spark, d)),
     "tb_price_monitor": lambda spark, d: pricing_ext.price_monitor(_tracking(spark, d)),
     "tb_market_entries": lambda spark, d: pricing_ext.market_entries(_tracking(spark, d)),
@@ -153,6 +163,10 @@ QUERIES.update({
     "tb_price_rules": lambda spark, d: pricing_ext.apply_price_rules(tables(spark, d)),
     "tb_price_rule_table": lambda spark, d: pricing_ext.apply_price_rule_table(
         tables(spark, d)["part"], pricing_ext.rules_frame(spark)),
+    "tb_price_rule_table_large": lambda spark, d: pricing_ext.apply_price_rule_table(
+        tables(spark, d)["part"], pricing_ext.rules_from_parts(tables(spark, d)["part"])),
+    "tb_market_rules": lambda spark, d: pricing_ext.apply_price_rule_table(
+        pricing_ext.market_conditions(tables(spark, d)), pricing_ext.market_rules(tables(spark, d))),
     "tb_elasticity_curves": lambda spark, d: pricing_ext.elasticity_curves(tables(spark, d)),
     "tb_optimal_prices": lambda spark, d: pricing_ext.optimal_prices(tables(spark, d)),
     "tb_brand_share": lambda spark, d: pricing_ext.brand_share(tables(spark, d)),

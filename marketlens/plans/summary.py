@@ -3,8 +3,8 @@
 ``rows`` is either the whole labelled result (``scope='full'``) or the top-n
 report (``scope='top_n'``, what the reference summarises).  Values are read
 from the rounded output columns, as the reference reads its returned rows.
-Sums and means go through exact decimals, so the answer does not depend on
-partitioning.  A NULL metric counts as 0 in sums (the reference would abort the
+Sums and means are exact (``functions.numeric``), so the answer does not depend on
+partitioning; means show nine places.  A NULL metric counts as 0 in sums (the reference would abort the
 summary; SURVEY D7) and the divisor of a mean is every row, as there.
 """
 
@@ -23,7 +23,7 @@ def _distinct_with_null(c: str) -> Column:
 
 
 def _mean_over_rows(c: str, total: Column) -> Column:
-    return exact_sum(c) / total
+    return F.round(exact_sum(c) / total, 9)  # float noise of the division goes
 
 
 def _fields(subject: str, total: Column, th: Thresholds) -> list[tuple[str, Column]]:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions import count_if, exact_avg, exact_sum
 from marketlens.operators.ranking import RankSpec, percent_rank_columns
+from marketlens.operators.selection import exact_quantiles
 from marketlens.session import materialize
 from marketlens.sources.derived import geo_of
 
@@ -114,31 +115,97 @@ def budget_variance(tables: Mapping[str, DataFrame], uplift_pct: int = 5, budget
                          (F.lit(100.0) * variance / F.nullif(F.col("budget_usd"), F.lit(0.0))).alias("variance_pct"))
 
 
+def price_levels(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Per supplier: the quantity-weighted mean, over its parts, of its unit price (list price over
+    quantity) against the unit price of all *other* suppliers of the same part; 1 is the others' level.
+
+    Sums per (part, supplier) come first; the others' sums are the part's totals minus the supplier's own, so no
+    pair of suppliers ever meets.  Parts of one supplier have nothing to compare and are left out; a
+    supplier with no shared part has NULL.  Money is in whole cents, the terms in steps of 1e-9.
+    """
+    li = tables["lineitem"].select("l_partkey", "l_suppkey", "l_quantity", F.round(F.col("l_extendedprice") * 100, 0).cast("bigint").alias("c"))
+    own = li.groupBy("l_partkey", "l_suppkey").agg(F.sum("c").alias("c"), exact_sum("l_quantity").alias("q"))
+    total = own.groupBy(F.col("l_partkey").alias("part")).agg(F.sum("c").alias("all_c"), exact_sum("q").alias("all_q"))
+    both = own.join(total, F.col("l_partkey") == F.col("part"))
+    other_c, other_q = F.col("all_c") - F.col("c"), F.col("all_q") - F.col("q")
+    both = both.filter((other_q > 0) & (other_c > 0) & (F.col("q") > 0))
+    term = F.round(F.col("q") * ((F.col("c") / F.col("q")) / (other_c / other_q)), 9)
+    return both.groupBy(F.col("l_suppkey").alias("level_key")).agg((exact_sum(term) / exact_sum("q")).alias("price_level"))
+
+
 def supplier_stats(tables: Mapping[str, DataFrame]) -> DataFrame:
     li = tables["lineitem"].select("l_suppkey", "l_quantity", "l_discount", "l_returnflag")
-    return li.groupBy(F.col("l_suppkey").alias("supplier_key")).agg(
+    stats = li.groupBy(F.col("l_suppkey").alias("supplier_key")).agg(
         exact_sum("l_quantity").alias("volume"),
         (count_if(F.col("l_returnflag") == "R") / F.count(F.lit(1))).alias("return_rate"),
         exact_avg("l_discount").alias("avg_discount"),
     )
+    levels = price_levels(tables)
+    return stats.join(levels, F.col("supplier_key") == F.col("level_key"), "left").withColumn(
+        "price_level", F.round(F.coalesce("price_level", F.lit(1.0)), 9)).drop("level_key")
 
 
-# Fixed weights of our scorecard: volume counts most; low returns and low discounts next.
-SCORE_WEIGHTS = {"volume": 0.4, "return_rate": 0.3, "avg_discount": 0.3}
+# Fixed weights of our scorecard: volume counts most; low returns and a low price level next.
+SCORE_WEIGHTS = {"volume": 0.4, "return_rate": 0.3, "price_level": 0.3}
 
 
 def supplier_scorecard(tables: Mapping[str, DataFrame], rank_mode: str = "two_pass") -> DataFrame:
-    """TB-4. Per supplier: volume (units), return rate, mean discount, their
-    percent ranks over all suppliers, and score = 0.4 pr(volume) + 0.3 (1 - pr(return
-    rate)) + 0.3 (1 - pr(discount)), rounded to 6 places."""
+    """TB-4. Per supplier: volume (units), return rate, mean discount, price level (``price_levels``; 1 where
+    nothing compares), the percent ranks of three of them over all suppliers, and score = 0.4 pr(volume)
+    + 0.3 (1 - pr(return rate)) + 0.3 (1 - pr(price level)), rounded to 6 places."""
     stats = materialize(supplier_stats(tables), "supplier-stats")
     stats = percent_rank_columns(stats, [RankSpec(f"pr_{c}", [(c, True)]) for c in SCORE_WEIGHTS], rank_mode)
     score = (SCORE_WEIGHTS["volume"] * F.col("pr_volume")
              + SCORE_WEIGHTS["return_rate"] * (1 - F.col("pr_return_rate"))
-             + SCORE_WEIGHTS["avg_discount"] * (1 - F.col("pr_avg_discount")))
+             + SCORE_WEIGHTS["price_level"] * (1 - F.col("pr_price_level")))
     return stats.withColumn("score", F.round(score, 6))
 
 
+# Our freight tariff: a share of the goods' value and a charge a unit.
+FREIGHT_VALUE_SHARE, FREIGHT_PER_UNIT = 0.02, 0.15
+
+
+def shipping_cost(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """TB-2. Per supplier nation: shipments, total and mean shipping cost, and the exact nearest-rank
+    50th and 90th percentiles of a shipment's cost.  The tables hold no freight, so a
+    shipment costs 2 % of its list value and 0.15 a unit (our tariff)."""
+    li = tables["lineitem"].select("l_suppkey", (F.col("l_extendedprice") * F.lit(FREIGHT_VALUE_SHARE) + F.col("l_quantity") * F.lit(FREIGHT_PER_UNIT)).alias("cost"))
+    supp = tables["supplier"].select("s_suppkey", "s_nationkey")
+    geo = geo_of(tables)
+    named = (li.join(supp, F.col("l_suppkey") == F.col("s_suppkey")).join(geo, F.col("s_nationkey") == F.col("n_nationkey"))
+             .select(F.col("n_name").alias("supplier_nation"), "cost"))
+    sums = named.groupBy("supplier_nation").agg(F.count("cost").alias("shipments"), F.round(exact_sum("cost"), 4).alias("total_cost"), F.round(exact_avg("cost"), 6).alias("mean_cost"))
+    middle = exact_quantiles(named, ["supplier_nation"], "cost", {"p50_cost": 0.5, "p90_cost": 0.9})
+    return sums.join(middle, "supplier_nation")
+
+
+def production_plan(tables: Mapping[str, DataFrame], capacity: DataFrame | None = None) -> DataFrame:
+    """TB-5. Per part type and calendar month from its first to its last month with shipments: units demanded,
+    capacity, units produced, the backlog carried into the next month, and utilisation (produced over capacity).
+
+    backlog(t) = max(0, backlog(t-1) + units(t) - capacity), in closed form the prefix sum of units - capacity
+    less its running minimum (at most 0).  ``capacity`` is a table (part_type, units per month; the largest
+    of several rows counts); without one, a type's whole mean monthly units.  A type that the table does not
+    hold has NULL in the four columns.
+    """
+    demand = capacity_plan(tables).select("part_type", "month", "units")
+    span = demand.groupBy("part_type").agg(F.min("month").alias("lo"), F.max("month").alias("hi"), exact_sum("units").alias("all_units"))
+    if capacity is None:
+        months = F.months_between("hi", "lo") + 1
+        limits = span.select(F.col("part_type").alias("c_type"), F.floor(F.col("all_units") / months).cast("double").alias("capacity"))
+    else:
+        limits = capacity.groupBy(F.col("part_type").alias("c_type")).agg(F.max("units").cast("double").alias("capacity"))
+    every = span.select("part_type", F.explode(F.sequence("lo", "hi", F.expr("interval 1 month"))).alias("month"))
+    filled = every.join(demand, ["part_type", "month"], "left").withColumn("units", F.coalesce("units", F.lit(0.0)))
+    filled = filled.join(limits, F.col("part_type").eqNullSafe(F.col("c_type")), "left").drop("c_type")
+    w = Window.partitionBy("part_type").orderBy("month")
+    planned = filled.withColumn("s", F.sum(F.col("units") - F.col("capacity")).over(w))
+    planned = planned.withColumn("backlog", F.col("s") - F.least(F.lit(0.0), F.min("s").over(w)))
+    produced = F.col("units") + F.coalesce(F.lag("backlog").over(w), F.when(F.col("backlog").isNotNull(), F.lit(0.0))) - F.col("backlog")
+    return planned.withColumn("produced", produced).select(
+        "part_type", "month", "units", "capacity", "produced", "backlog", (F.col("produced") / F.nullif("capacity", F.lit(0.0))).alias("utilisation"))
+
+
 def capacity_plan(tables: Mapping[str, DataFrame], capacity: DataFrame | None = None) -> DataFrame:
     """TB-5. Units shipped per part type and month, their 3-month moving mean
     (this and the two previous months with shipments), and utilisation against a

@@ -32,7 +32,7 @@ def hourly_means(events: DataFrame, watermark: str = WATERMARK, window: str = WI
     if events.isStreaming:
         ev = ev.withWatermark("ts", watermark)
     agg = ev.groupBy(F.window("ts", window).alias("w"), "event_type").agg(
-        F.count(F.lit(1)).alias("events"), exact_avg("value").alias("mean_value"))
+        F.count(F.lit(1)).alias("events"), F.round(exact_avg("value"), 9).alias("mean_value"))
     return agg.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
                       F.col("w.end").cast("timestamp_ntz").alias("window_end"),
                       "event_type", "events", "mean_value")

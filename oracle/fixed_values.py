@@ -143,7 +143,8 @@ ALIASES = {
 LATE_DAYS = 30
 COST_SHARE = 0.6
 GRID = (0.8, 0.05, 9)  # first factor, step, count
-SCORE_WEIGHTS = {"volume": 0.4, "return_rate": 0.3, "avg_discount": 0.3}
+SCORE_WEIGHTS = {"volume": 0.4, "return_rate": 0.3, "price_level": 0.3}
+FREIGHT = (0.02, 0.15)  # of the list value, a unit
 # priority, rule, price from, price below, size from, size to, change in percent
 PRICE_RULES = (
     (1, "clearance_small", 0.0, 1000.0, 1, 5, -15.0),
@@ -152,3 +153,6 @@ PRICE_RULES = (
     (4, "mid_band", 1000.0, 1500.0, 1, 50, 2.0),
     (5, "upper_band", 1500.0, 1000000000000.0, 1, 50, 4.0),
 )
+
+# Market rules: name, priority, change in percent, gap from and to, demand from and to (None: open).
+MARKET_RULES = (("raise", 0, 5.0, None, 0.0, 150.0, None), ("match", 10, -8.0, 5.0, None, None, None), ("clear", 20, -12.0, None, None, None, 60.0))

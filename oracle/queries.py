@@ -248,13 +248,13 @@ def fixed(c: str) -> str:
 
 
 SUMMARY = {
-    "competitor": {"unique_competitors": kinds("competitor"), "unique_markets": kinds("market"), "avg_price_gap": f"{fixed('price_gap_pct')} / COUNT(*)",
+    "competitor": {"unique_competitors": kinds("competitor"), "unique_markets": kinds("market"), "avg_price_gap": rounded(f"{fixed('price_gap_pct')} / COUNT(*)", 9),
                    "competitive_advantages": "COUNT(*) FILTER (price_gap_pct <= -15)"},
     "campaign": {"unique_campaigns": kinds("campaign_name"), "total_revenue": fixed("revenue_generated"), "total_cost": fixed("campaign_cost"),
-                 "avg_roi": f"{fixed('roi_pct')} / COUNT(*)"},
-    "elasticity": {"price_points_analyzed": "COUNT(*)", "unique_markets": kinds("market"), "avg_elasticity": f"{fixed('elasticity_coefficient')} / COUNT(*)",
+                 "avg_roi": rounded(f"{fixed('roi_pct')} / COUNT(*)", 9)},
+    "elasticity": {"price_points_analyzed": "COUNT(*)", "unique_markets": kinds("market"), "avg_elasticity": rounded(f"{fixed('elasticity_coefficient')} / COUNT(*)", 9),
                    "price_increase_opportunities": "COUNT(*) FILTER (recommendation = 'Increase Price')"},
-    "promo": {"planned_campaigns": "COUNT(*)", "total_budget": fixed("budget_usd"), "avg_expected_uplift": f"{fixed('expected_uplift_pct')} / COUNT(*)",
+    "promo": {"planned_campaigns": "COUNT(*)", "total_budget": fixed("budget_usd"), "avg_expected_uplift": rounded(f"{fixed('expected_uplift_pct')} / COUNT(*)", 9),
               "unique_markets": kinds("target_market")},
 }
 

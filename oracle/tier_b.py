@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle.fixed_values import COST_SHARE, GRID, LATE_DAYS, PRICE_RULES, SCORE_WEIGHTS
+from oracle.fixed_values import COST_SHARE, FREIGHT, GRID, LATE_DAYS, MARKET_RULES, PRICE_RULES, SCORE_WEIGHTS
 from oracle.mapping import MAPPING
 
 GEO = """geo AS (SELECT n.n_nationkey, n.n_name, r.r_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey)"""
@@ -66,19 +66,27 @@ FROM r"""
 
 
 def _scorecard_cte() -> str:
-    wv, wr, wd = SCORE_WEIGHTS["volume"], SCORE_WEIGHTS["return_rate"], SCORE_WEIGHTS["avg_discount"]
+    wv, wr, wp = SCORE_WEIGHTS["volume"], SCORE_WEIGHTS["return_rate"], SCORE_WEIGHTS["price_level"]
     return f"""
+own AS (
+  SELECT l_partkey, l_suppkey, SUM(CAST(ROUND(l_extendedprice * 100) AS BIGINT)) AS c, SUM(l_quantity) AS q FROM lineitem GROUP BY 1, 2),
+pairs_of AS (
+  SELECT a.l_suppkey, a.q, CAST(a.c AS DOUBLE) / a.q AS price, SUM(b.c) AS oc, SUM(b.q) AS oq
+  FROM own a JOIN own b ON a.l_partkey = b.l_partkey AND a.l_suppkey <> b.l_suppkey GROUP BY a.l_partkey, a.l_suppkey, a.q, a.c),
+lv AS (
+  SELECT l_suppkey, CAST(SUM(CAST(ROUND(q * (price / (CAST(oc AS DOUBLE) / oq)), 9) AS DECIMAL(38,9))) AS DOUBLE) / SUM(q) AS price_level
+  FROM pairs_of GROUP BY 1),
 st AS (
-  SELECT l_suppkey AS supplier_key, SUM(l_quantity) AS volume,
+  SELECT l.l_suppkey AS supplier_key, SUM(l_quantity) AS volume,
          COUNT(CASE WHEN l_returnflag = 'R' THEN 1 END) / COUNT(*) AS return_rate,
-         {xavg('l_discount')} AS avg_discount
-  FROM lineitem GROUP BY l_suppkey),
+         {xavg('l_discount')} AS avg_discount, ROUND(COALESCE(ANY_VALUE(lv.price_level), 1.0), 9) AS price_level
+  FROM lineitem l LEFT JOIN lv ON l.l_suppkey = lv.l_suppkey GROUP BY l.l_suppkey),
 card AS (
   SELECT *, ROUND(CAST({wv} AS DOUBLE) * pr_volume + CAST({wr} AS DOUBLE) * (1 - pr_return_rate)
-                  + CAST({wd} AS DOUBLE) * (1 - pr_avg_discount), 6) AS score
+                  + CAST({wp} AS DOUBLE) * (1 - pr_price_level), 6) AS score
   FROM (SELECT *, PERCENT_RANK() OVER (ORDER BY volume ASC NULLS FIRST) AS pr_volume,
                PERCENT_RANK() OVER (ORDER BY return_rate ASC NULLS FIRST) AS pr_return_rate,
-               PERCENT_RANK() OVER (ORDER BY avg_discount ASC NULLS FIRST) AS pr_avg_discount
+               PERCENT_RANK() OVER (ORDER BY price_level ASC NULLS FIRST) AS pr_price_level
         FROM st) t)"""
 
 
@@ -98,12 +106,87 @@ SELECT part_type, month, units,
 FROM m"""
 
 
+def shipping_cost() -> str:
+    share, unit = FREIGHT
+    return f"""
+WITH {GEO},
+f AS (
+  SELECT g.n_name AS supplier_nation, l.l_extendedprice * CAST({share} AS DOUBLE) + l.l_quantity * CAST({unit} AS DOUBLE) AS cost
+  FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN geo g ON s.s_nationkey = g.n_nationkey),
+n AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY supplier_nation ORDER BY cost) AS i, COUNT(*) OVER (PARTITION BY supplier_nation) AS m FROM f)
+SELECT supplier_nation, COUNT(*) AS shipments, ROUND(fsum(cost), 4) AS total_cost, ROUND(favg(cost), 6) AS mean_cost,
+       MIN(CASE WHEN i >= CEIL(m * 0.5) THEN cost END) AS p50_cost, MIN(CASE WHEN i >= CEIL(m * 0.9) THEN cost END) AS p90_cost
+FROM n GROUP BY supplier_nation"""
+
+
+def production_plan(capacity: str = "") -> str:
+    """Backlog by recursion, month after month."""
+    limits = capacity or """SELECT part_type, CAST(FLOOR(SUM(units) / (date_diff('month', MIN(month), MAX(month)) + 1)) AS DOUBLE) AS capacity FROM m GROUP BY 1"""
+    return f"""
+WITH RECURSIVE m AS (
+  SELECT p.p_type AS part_type, CAST(date_trunc('month', l.l_shipdate) AS DATE) AS month, SUM(l.l_quantity) AS units
+  FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey GROUP BY 1, 2),
+lim AS ({limits}),
+span AS (SELECT part_type, MIN(month) AS lo, MAX(month) AS hi FROM m GROUP BY 1),
+grid AS (SELECT part_type, CAST(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS DATE) AS month, lo FROM span),
+d AS (SELECT g.part_type, g.month, date_diff('month', g.lo, g.month) AS t, COALESCE(m.units, 0.0) AS units, lim.capacity
+      FROM grid g LEFT JOIN m ON g.part_type = m.part_type AND g.month = m.month LEFT JOIN lim ON g.part_type = lim.part_type),
+run AS (
+  SELECT part_type, month, t, units, capacity, CAST(0 AS DOUBLE) AS before, GREATEST(CAST(0 AS DOUBLE), units - capacity) AS backlog FROM d WHERE t = 0
+  UNION ALL
+  SELECT d.part_type, d.month, d.t, d.units, d.capacity, run.backlog, GREATEST(CAST(0 AS DOUBLE), run.backlog + d.units - d.capacity)
+  FROM run JOIN d ON d.part_type = run.part_type AND d.t = run.t + 1)
+SELECT part_type, month, units, capacity, IF(capacity IS NULL, NULL, units + before - backlog) AS produced, IF(capacity IS NULL, NULL, backlog) AS backlog,
+       IF(capacity IS NULL, NULL, (units + before - backlog) / NULLIF(capacity, 0.0)) AS utilisation
+FROM run"""
+
+
+def production_plan_given() -> str:
+    return production_plan("SELECT p_type AS part_type, CAST(COUNT(*) * 40 AS DOUBLE) AS capacity FROM part WHERE p_size % 2 = 0 GROUP BY 1")
+
+
+def _rule_join(rules: str, parts: str, more: str = "") -> str:
+    """All rules that match a part, the best one by row number."""
+    return f"""
+WITH {GEO}, {CT},
+rules AS ({rules}),
+parts AS ({parts}),
+hit AS (
+  SELECT p.*, r.rule_id, r.adjustment_pct, ROW_NUMBER() OVER (PARTITION BY p.p_partkey ORDER BY r.priority, r.rule_id) AS rn
+  FROM parts p LEFT JOIN rules r ON p.p_retailprice >= r.min_price AND (p.p_retailprice < r.max_price OR r.max_price IS NULL)
+    AND p.p_size BETWEEN r.min_size AND r.max_size {more})
+SELECT p_partkey, p_type, p_size, p_retailprice, COALESCE(rule_id, 'none') AS rule_id,
+       ROUND(p_retailprice * (CAST(1.0 AS DOUBLE) + COALESCE(adjustment_pct, CAST(0.0 AS DOUBLE)) / CAST(100.0 AS DOUBLE)), 2) AS new_price
+FROM hit WHERE rn = 1"""
+
+
+def price_rule_table_large() -> str:
+    return _rule_join("""SELECT p_partkey % 997 AS priority, 'band_' || p_partkey AS rule_id, ROUND(p_retailprice - p_partkey % 40, 2) AS min_price,
+       CASE WHEN p_partkey % 7 = 0 THEN CAST(1e12 AS DOUBLE) ELSE ROUND(p_retailprice + p_partkey % 25, 2) END AS max_price,
+       p_size - p_partkey % 3 AS min_size, p_size + p_partkey % 5 AS max_size, CAST(p_partkey % 31 - 15 AS DOUBLE) AS adjustment_pct FROM part""",
+                      "SELECT p_partkey, p_type, p_size, p_retailprice FROM part")
+
+
+def market_rules() -> str:
+    value = lambda v: "NULL" if v is None else f"CAST({v} AS DOUBLE)"
+    rules = " UNION ALL ".join(
+        f"SELECT {priority} + h % 10 AS priority, '{name}_' || p_type AS rule_id, CAST(h % 500 + 900 AS DOUBLE) AS min_price, CAST(NULL AS DOUBLE) AS max_price, 1 AS min_size, "
+        f"50 AS max_size, {value(change)} AS adjustment_pct, {value(a)} AS min_gap, {value(b)} AS max_gap, {value(c)} AS min_demand, {value(d)} AS max_demand FROM kinds"
+        for name, priority, change, a, b, c, d in MARKET_RULES)
+    parts = f"""SELECT p.p_partkey, p.p_type, p.p_size, p.p_retailprice, g.gap, COALESCE(s.demand, 0.0) AS demand
+  FROM part p LEFT JOIN (SELECT product_category, ROUND({xavg('price_gap_pct')}, 2) AS gap FROM competitor_tracking GROUP BY 1) g ON p.p_type = g.product_category
+  LEFT JOIN (SELECT l_partkey, SUM(l_quantity) AS demand FROM lineitem GROUP BY 1) s ON p.p_partkey = s.l_partkey"""
+    more = " ".join(f"AND (r.min_{c} IS NULL OR p.{c} >= r.min_{c}) AND (r.max_{c} IS NULL OR p.{c} < r.max_{c})" for c in ("gap", "demand"))
+    sql = _rule_join(rules, parts, more)
+    return sql.replace("\nrules AS", "\nkinds AS (SELECT DISTINCT p_type, length(p_type) * 37 + ascii(p_type) AS h FROM part),\nrules AS", 1)
+
+
 def price_monitor() -> str:
     return f"""
 WITH {CT},
 m AS (
   SELECT competitor, market, CAST(date_trunc('month', tracking_date) AS DATE) AS month, COUNT(*) AS observations,
-         {xavg('competitor_price_usd')} AS avg_price
+         ROUND({xavg('competitor_price_usd')}, 9) AS avg_price
   FROM competitor_tracking GROUP BY 1, 2, 3)
 SELECT *, 100.0 * (avg_price - prev_avg_price) / NULLIF(prev_avg_price, 0.0) AS change_pct
 FROM (SELECT *, LAG(avg_price) OVER (PARTITION BY competitor, market ORDER BY month) AS prev_avg_price FROM m) t"""
@@ -270,6 +353,11 @@ TIER_B = {
     "tb_delivery_performance": delivery_performance,
     "tb_budget_variance": budget_variance,
     "tb_supplier_scorecard": supplier_scorecard,
+    "tb_shipping_cost": shipping_cost,
+    "tb_production_plan": production_plan,
+    "tb_production_plan_given": production_plan_given,
+    "tb_price_rule_table_large": price_rule_table_large,
+    "tb_market_rules": market_rules,
     "tb_capacity_plan": capacity_plan,
     "tb_price_monitor": price_monitor,
     "tb_market_entries": market_entries,
@@ -291,7 +379,7 @@ def price_stream() -> str:
     return f"""
 WITH e AS (SELECT CAST(ts AS TIMESTAMP) AS ts, event_type, value FROM events),
 g AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, COUNT(*) AS events,
-             {xavg('value')} AS mean_value
+             CAST(ROUND(CAST(CAST({xavg('value')} AS VARCHAR) AS DECIMAL(38,17)), 9) AS DOUBLE) AS mean_value
       FROM e GROUP BY 1, 2)
 SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, event_type, events, mean_value
 FROM g WHERE window_start + INTERVAL 1 HOUR <= (SELECT MAX(ts) FROM e) - INTERVAL 2 HOUR"""

@@ -59,12 +59,30 @@ def test_unranked_outputs_write_and_rank_nothing(spark):
             assert not folders, (prefix, kind)
 
 
-def test_report_looks_up_ranks_for_the_kept_rows_only(spark):
-    plan = competitor.build(derived.competitor_tracking(tables(spark, SMALL)), STUDY_WINDOW)
-    text = plan.report(7)._jdf.queryExecution().optimizedPlan().toString()
-    top = text.rindex("GlobalLimit 7")
-    assert "_r0k0_r" in text[:top] and "_r0k0_r" in text  # rank joins stand above the inner limit
-    assert len(plan.report(7).collect()) == 7
+def test_reports_write_nothing_and_keep_few_rows(spark):
+    from marketlens.plans.registry import QUERIES, subject_plan
+    from marketlens.session import recording
+    for prefix in ("competitor", "campaign", "elasticity", "promo"):
+        with recording() as folders:
+            assert QUERIES[f"{prefix}_report"](spark, SMALL).count() == 100
+        assert not folders
+        text = _plan(subject_plan(prefix, spark, SMALL)._choose(7))
+        assert "TakeOrderedAndProject" in text and "SinglePartition" not in text
+
+
+def _scans(df) -> int:
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
+def test_summaries_and_insights_read_the_detail_once(spark):
+    from marketlens.plans.registry import QUERIES, SUBJECTS, facts_of
+    for prefix in ("competitor", "campaign", "elasticity", "promo"):
+        module = SUBJECTS[prefix][0]
+        once = _scans(module.detail(facts_of(prefix, spark, SMALL), STUDY_WINDOW))
+        assert _scans(QUERIES[f"{prefix}_summary"](spark, SMALL)) <= once
+        if prefix != "campaign":  # its rules need a label that reads the rollup
+            assert _scans(QUERIES[f"{prefix}_insights"](spark, SMALL)) <= once
+        assert _scans(QUERIES[f"{prefix}_segments"](spark, SMALL)) <= once
 
 
 def test_no_registered_plan_puts_rows_on_one_task(spark):

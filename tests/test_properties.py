@@ -51,7 +51,7 @@ def test_label_counts_sum_to_rows(spark):
 
 def test_two_pass_report_has_no_single_partition_over_rows(spark):
     plan = competitor.build(derived.competitor_tracking(tables(spark, SMALL)), STUDY_WINDOW)
-    text = plan.report(100)._jdf.queryExecution().executedPlan().toString().splitlines()
+    text = plan.rows._jdf.queryExecution().executedPlan().toString().splitlines()
     singles = [i for i, line in enumerate(text) if "Exchange SinglePartition" in line]
     assert singles, "expected the per-bucket offsets exchange"
     for i in singles:  # every single-partition exchange sits on the per-bucket totals

@@ -89,3 +89,34 @@ def test_hot_key_third_of_rows(spark):
         got = rank_over(df, [("v", False)], parts, name="r", mode="two_pass", buckets=8)
         want = rank_over(df, [("v", False)], parts, name="r", mode="window")
         assert _pairs(got, "r") == _pairs(want, "r")
+
+
+def _chosen_ranks(spark, df, specs, n):
+    from marketlens.operators.interval_rank import Intervals, as_text, counts, partition_start, sort_key, with_ranks
+    chosen = spark.createDataFrame(df.orderBy("id").limit(n).toArrow(), df.schema)
+    intervals = []
+    for s in specs:
+        key = sort_key(s)
+        schema = chosen.select(key.alias("k")).schema["k"].dataType
+        texts = [as_text(key).alias("a"), as_text(partition_start(key, schema)).alias("b")]
+        intervals.append(Intervals(s, schema, [t for r in chosen.select(*texts).collect() for t in r]))
+    return with_ranks(chosen, intervals, counts(df, intervals))
+
+
+def test_interval_ranks_match_windows(spark):
+    from marketlens.operators.ranking import RankSpec, rank_columns
+    df = _data(spark, n=900, seed=13).withColumn("a", F.when(F.col("id") % 17 == 0, F.lit(float("nan"))).when(F.col("id") % 23 == 0, -0.0).otherwise(F.col("a")))
+    df = df.withColumn("name", F.concat(F.lit('"q\\'), F.col("k").cast("string"))).withColumn("day", F.date_add(F.lit("1998-01-01").cast("date"), F.col("id") % 9))
+    specs = [RankSpec("r0", [("a", True)]), RankSpec("r1", [("a", False), ("b", True)]), RankSpec("r2", [(F.abs(F.col("a")), False)], ["k"]),
+             RankSpec("r3", [("a", True)], ["name", "k"]), RankSpec("r4", [("day", True), ("name", True)]), RankSpec("r5", [("a", False)], ["k"], "w")]
+    want = {r["id"]: r for r in rank_columns(df, specs, "window").collect()}
+    for n in (1, 2, 60, 500):
+        got = _chosen_ranks(spark, df, specs, n).collect()
+        assert len(got) == n
+        for r in got:
+            assert all(r[s.name] == want[r["id"]][s.name] for s in specs), (r, want[r["id"]])
+
+
+def test_interval_ranks_of_rows_that_are_absent(spark):
+    from marketlens.operators.ranking import RankSpec
+    assert _chosen_ranks(spark, _data(spark).limit(0), [RankSpec("r0", [("a", True)], ["k"])], 5).count() == 0
