@@ -36,7 +36,7 @@ def fold_words(text: str | None) -> bytes:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
-        size = max(n, PIECE + 4096)
+        size = max(2 * n, 1 << 16)  # grown as needed: every task builds its own
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             a = np.full(size, base, np.uint64)
             a[0] = 1
