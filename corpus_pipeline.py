@@ -45,14 +45,21 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, the one with the smallest id, of each near-duplicate group; a group
-    whose ids are all null keeps its first row by content."""
-    fp, group_fp, root, component, turn = (_free(docs, x) for x in ("fp", "group_fp", "root", "component_id", "turn"))
-    rows = cut(docs.withColumn(fp, simhash.fingerprints(F.col(TEXT))), "simhash-rows")
-    groups = simhash.components(rows, ID, fp).select(F.col("fp").alias(group_fp), F.col("root").alias(root), F.col("component_id").alias(component))
-    first = rows.join(groups, F.col(fp) == F.col(group_fp)).filter(F.col(ID).eqNullSafe(F.col(component)))
-    # Rows that share the smallest id: the partial aggregate keeps one of them, the first by content.
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return first.groupBy(root).agg(F.min(row).alias(turn)).select(F.col(f"{turn}.*"))
+    whose ids are all null keeps one row.  Among rows that share the smallest id the one with the least MD5 stays."""
+    # Only keys pass through Python, joins and aggregates; the rows themselves move once, in the last join.
+    whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    rows = docs.select(F.col(ID).alias("id"), F.md5(whole.cast("binary")).alias("row"), simhash.fingerprints(F.col(TEXT)).alias("fp"))
+    rows = cut(rows.groupBy("id", "row", "fp").agg(F.count(F.lit(1)).alias("n")), "simhash-rows")
+    groups = simhash.components(rows, "id", "fp").select(F.col("fp").alias("group_fp"), "root", "component_id")
+    first = rows.join(groups, F.col("fp") == F.col("group_fp")).filter(F.col("id").eqNullSafe(F.col("component_id")))
+    # Of several equal rows one stays.
+    kept = first.groupBy("root").agg(F.min(F.struct("row", "n")).alias("kept")).select("kept.*")
+    key, kept_row, kept_n = (_free(docs, x) for x in ("row_key", "kept_row", "kept_n"))
+    kept = kept.select(F.col("row").alias(kept_row), F.col("n").alias(kept_n))
+    found = docs.withColumn(key, F.md5(whole.cast("binary"))).join(kept, F.col(key) == F.col(kept_row))
+    alone = found.filter(F.col(kept_n) == 1).select(*docs.columns)
+    several = found.filter(F.col(kept_n) > 1).dropDuplicates([key]).select(*docs.columns)
+    return alone.unionByName(several)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
