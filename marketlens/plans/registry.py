@@ -18,7 +18,7 @@ from marketlens.config import REFERENCE_WINDOW, STUDY_WINDOW
 from marketlens.plans import campaign, competitor, elasticity, intent, pricing_ext, promo, supply
 from marketlens.plans.insights import insight_rows, insights
 from marketlens.plans.summary import summarize
-from marketlens.session import checkpoint_root
+from marketlens.session import checkpoint_root, remember
 from marketlens.sources import derived
 from marketlens.sources.tables import Tables
 from marketlens.streaming import price_monitor
@@ -108,6 +108,7 @@ def _written_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketlens.api import analyze
 
     folder = f"{checkpoint_root(spark)}/written-report-{uuid.uuid4().hex}"
+    remember(folder)
     analyze(tables(spark, sf_dir), query_type="competitor_analysis", limit=9999, window=STUDY_WINDOW).write(path=folder)
     return spark.read.parquet(f"{folder}/rows")
 

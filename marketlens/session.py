@@ -122,7 +122,8 @@ def delete_folders(spark: SparkSession, folders) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
-def _remember(path: str) -> None:
+def remember(path: str) -> None:
+    """Have the scratch blocks in effect delete ``path`` when they end."""
     for written in _SCRATCH.get():
         written.append(path)
 
@@ -137,7 +138,7 @@ def materialize(df: DataFrame, label: str, count: bool = False) -> DataFrame | t
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
-    _remember(path)
+    remember(path)
     if count:
         obs = Observation(f"rows-{uuid.uuid4().hex}")
         df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists").parquet(path)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from marketlens.functions import exact_avg
-from marketlens.session import checkpoint_root
+from marketlens.session import checkpoint_root, remember
 
 EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 WATERMARK = "2 hours"
@@ -67,6 +67,8 @@ def run_available(spark: SparkSession, source: str, file_glob: str | None = None
     checkpoint; calling again with the same ``run_dir`` continues the stream.
     """
     base = run_dir or f"{checkpoint_root(spark)}/price-stream-{uuid.uuid4().hex}"
+    if run_dir is None:
+        remember(base)
     q = start(spark, source, f"{base}/sink", f"{base}/checkpoint", file_glob)
     q.awaitTermination()
     return spark.read.schema(

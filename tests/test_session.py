@@ -46,3 +46,16 @@ def test_local_master_gets_a_private_folder():
     s = _Session("local[4]")
     root = checkpoint_root(s)
     assert root and s.conf.get("spark.checkpoint.dir") == root and s.sparkContext.getCheckpointDir() == root
+
+
+def test_scratch_deletes_stream_and_written_report_folders(spark):
+    import os
+    from marketlens.plans.registry import QUERIES
+    from marketlens.session import scratch
+    from tests.conftest import SMALL
+    with scratch(spark) as written:
+        assert QUERIES["tb_price_stream"](spark, SMALL).count() > 0
+        assert QUERIES["competitor_report_written"](spark, SMALL).count() == 500
+        names = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in written}
+    assert {"price-stream", "written-report"} <= names
+    assert not any(os.path.exists(p.removeprefix("file:")) for p in written)
