@@ -85,14 +85,16 @@ def dedup_lines(docs: DataFrame, id_col: str, text_col: str, window: int = WINDO
     gone = repeated_lines(docs, id_col, text_col, window, long_words).withColumnRenamed("key", "gone_key").distinct()
     found = rows.join(gone, rows["key"].eqNullSafe(gone["gone_key"]), "left")
     text = F.col(f"row.`{text_col}`")  # the row holds the text, so that it moves once
-    lines = _lines(text)
-    blank = F.transform(lines, lambda x: F.length(_trimmed(x)) == 0)
-    # Number each line among the non-blank ones; blank lines get -1 and stay.
-    numbered = F.aggregate(blank, F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("at")), lambda acc, b: F.struct(
-        (acc["n"] + F.when(b, 0).otherwise(1)).alias("n"), F.array_append(acc["at"], F.when(b, F.lit(-1)).otherwise(acc["n"])).alias("at")))["at"]
-    keep = F.filter(F.zip_with(lines, numbered, lambda x, i: F.when(~F.array_contains("gone", i), x)), lambda x: x.isNotNull())
-    clean = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(keep, "\n"))
-    n_lines = F.coalesce(F.size(F.filter(blank, lambda b: ~b)), F.lit(0))
+    # Lines with their place; the non-blank ones meet a flag each, in order, and all are put back by place.
+    placed = F.transform(_lines(text), lambda x, i: F.struct(i.alias("i"), (F.length(_trimmed(x)) == 0).alias("blank"), x.alias("x")))
+    blank, full = F.filter(placed, lambda p: p["blank"]), F.filter(placed, lambda p: ~p["blank"])
+    n_lines = F.coalesce(F.size(full), F.lit(0))
+    numbers = F.when(n_lines > 0, F.sequence(F.lit(0), n_lines - 1)).otherwise(F.array().cast("array<int>"))
+    flag = lambda at, keep: F.transform(at, lambda i: F.struct(i.alias("i"), F.lit(keep).alias("keep")))
+    flags = F.sort_array(F.concat(flag(F.array_except(numbers, F.col("gone")), True), flag(F.col("gone"), False)))
+    keep = F.filter(F.zip_with(full, flags, lambda p, f: F.when(f["keep"], p)), lambda p: p.isNotNull())
+    kept_lines = F.transform(F.sort_array(F.concat(keep, blank)), lambda p: p["x"])
+    clean = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(kept_lines, "\n"))
     done = found.select("row", clean.alias("clean"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("removed"), F.when(
         text.isNull(), 0).otherwise(n_lines).cast("bigint").alias("total"))
     others = [F.col(f"row.`{c}`") for c in docs.columns if c not in (kept, removed, total)]

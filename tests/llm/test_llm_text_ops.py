@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -130,6 +131,24 @@ def test_line_dedup_against_brute_force(spark, small):
         assert (r["clean_text"], r["n_removed"], r["n_lines"]) == want[(r["doc_id"], texts[r["doc_id"]])]
 
 
+def test_line_dedup_keeps_blank_lines_in_place(spark):
+    lines = ["one a", "", "two b", "  ", "three c", ""]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(["own", *lines, "last"]))], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs, "doc_id", "text").collect()}
+    assert got[1]["clean_text"] == docs.filter("doc_id = 1").first()["text"]
+    assert got[2]["clean_text"] == "own\n\n  \n\nlast" and got[2]["n_removed"] == 3 and got[2]["n_lines"] == 5
+
+
+def test_line_dedup_of_200_000_lines(spark):
+    n = 200_000
+    text = "\n".join(f"line {i} of the long text" for i in range(n))
+    docs = spark.createDataFrame([(1, text), (2, text + "\nits own end")], "doc_id bigint, text string")
+    begun = time.monotonic()
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs, "doc_id", "text").collect()}
+    assert got[1]["clean_text"] == text and got[2]["clean_text"] == "its own end" and got[2]["n_removed"] == n
+    assert time.monotonic() - begun < 120  # a fold that copies its array a line takes hours
+
+
 def test_line_dedup_runs_no_python(spark):
     plan = QUERIES["op5_line_dedup"](spark, SMALL)._jdf.queryExecution().toString() + QUERIES["op7_mixing"](spark, SMALL)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|ExternalRDD", plan)
@@ -346,3 +365,19 @@ def test_mixing_targets_and_bounds(spark):
     key = lambda f: sorted(map(str, f[["doc_id", "size", "copies"]].to_numpy().tolist()))
     assert key(again) == key(got)
     assert mixing.mix(docs.limit(0), "doc_id", "text", "source").count() == 0
+
+
+@pytest.mark.parametrize("ids, kind", [
+    ([-(2**63) + 1, 2**63 - 1, 0, 5, None, 5], "bigint"), (["b", "a", "", "a", None, "zz"], "string")])
+def test_mixing_takes_wide_ids_and_other_types(spark, ids, kind):
+    docs = spark.createDataFrame([(i, "same size here", "s") for i in ids], f"doc_id {kind}, text string, source string")
+    got = mixing.mix(docs, "doc_id", "text", "source").collect()
+    assert len(got) == len(ids) and {r["size"] for r in got} == {3}
+    assert sum(r["copies"] for r in got) == len(ids)
+
+
+def test_mixing_borders_part_rows_evenly_beside_an_outlier(spark):
+    docs = spark.range(20_000).selectExpr("CASE WHEN id = 7 THEN 9223372036854775807 ELSE id END AS doc_id")
+    borders = mixing.id_borders(docs, "doc_id")
+    sizes = docs.groupBy(mixing.id_range(F.col("doc_id"), borders).alias("c")).count().toPandas()["count"]
+    assert len(sizes) == mixing.ID_RANGES and sizes.max() < 3 * 20_000 / mixing.ID_RANGES
