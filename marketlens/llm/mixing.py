@@ -20,7 +20,7 @@ over a whole source.
 Defined cases: a null text has size 0; null source is a source of its own; rows with equal
 ids count as documents of their own and share the draw between them (which one of two equal
 rows is taken is not told apart); null ids come first; a source of size 0 has target 0 and
-takes nothing; an empty table gives no rows.
+takes nothing; ids may be of any type that can be ordered; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ MAX_COPIES = 3
 UNIT = 1_000_000
 SEED = 42
 ID_RANGES = 64
+BORDER_SAMPLE = 4096  # ids that reach the driver
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -65,14 +66,34 @@ def offset(source: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint") * F.lit(UNIT) / F.lit(1 << 32)
 
 
+def id_borders(docs: DataFrame, id_col: str) -> list:
+    """At most ``ID_RANGES`` - 1 ids that part the rows evenly, from the ``BORDER_SAMPLE`` ids of least hash.
+
+    Borders only spread the work: the result is the same for any.
+    """
+    ids = docs.select(F.col(id_col).alias("id")).filter("id IS NOT NULL")
+    sample = ids.orderBy(F.xxhash64("id"), "id").limit(BORDER_SAMPLE)
+    found = [r["id"] for r in sample.orderBy("id").collect()]
+    return list(dict.fromkeys(found[k * len(found) // ID_RANGES] for k in range(1, ID_RANGES))) if found else []
+
+
+def id_range(doc_id: Column, borders: list) -> Column:
+    """Number of borders up to the id, by bisection; null ids stand before all others."""
+
+    def between(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(doc_id < F.lit(borders[mid]), between(lo, mid)).otherwise(between(mid + 1, hi))
+
+    return F.when(doc_id.isNull(), F.lit(-1)).otherwise(between(0, len(borders)))
+
+
 def mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES, seed: int = SEED) -> DataFrame:
     """One row per document: ``row`` (its columns), ``doc_id``, ``size``, ``source_size``, ``target``, ``copies``."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    # Order-preserving id ranges, so that a cell is (source, size, range of ids); two numbers reach the driver.
-    lo, hi = docs.agg(F.min(id_col), F.max(id_col)).first()
-    width = 1 if lo is None else (hi - lo) // ID_RANGES + 1
-    place = F.lit(-1) if lo is None else F.coalesce(F.floor((F.col("doc_id") - F.lit(lo)) / F.lit(width)), F.lit(-1))
-    ranged = rows.withColumn("cell", place.cast("int"))
+    # A cell is (source, size, range of ids).
+    ranged = rows.withColumn("cell", id_range(F.col("doc_id"), id_borders(docs, id_col)))
     cells = ranged.groupBy("source", "size", "cell").agg(F.count(F.lit(1)).alias("n"))
     sized = cells.groupBy("source", "size").agg(F.sum("n").alias("n"))
     sources = source_targets(sized.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, max_copies)
