@@ -75,8 +75,25 @@ gdpr popup modal newsletter subscribe signup login form search comment comments
 CLOSED = frozenset("nav aside footer".split())
 COMMENT_NAMES = frozenset("comment comments disqus replies reply".split())
 NEGATIONS = frozenset("has with no without hide".split())
+# Inside an article a class names chrome if it has no words but chrome names and these.
+PLACES = frozenset("""
+area bar block bottom box button buttons card container content footer form frame head header icon icons inline inner input
+item items left link links list main outer page panel post posts right row section site slot small text title top unit wrap wrapper
+""".split())
 
-_PIECE = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)|</[^>]*(?:>|\Z)""", re.S)
+# Start tags that end an open paragraph, and the elements an open sibling is ended by.
+ENDS_P = frozenset("""
+address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6
+header hgroup hr li main menu nav ol p pre search section summary table ul
+""".split())
+ENDS = {
+    "li": frozenset(["li"]), "dd": frozenset(["dd", "dt"]), "dt": frozenset(["dd", "dt"]), "option": frozenset(["option"]),
+    "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "tr": frozenset(["td", "th", "tr"]),
+}
+CELLS = frozenset("td th tr".split())
+BOUNDS = frozenset("table caption td th button html body template".split())
+
+_PIECE = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))?)*)(>|\Z)|</[^>]*(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?(?=\s|/|\Z)""", re.I)
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe")}
 _SPACES = re.compile(r"\s+")
@@ -116,6 +133,10 @@ def _chrome(name: str, attributes: str, in_main: bool) -> bool:
             words = re.split(r"[\s_-]+", value)
             # a main element is chrome only as a reader's comment; "has-sidebar" names no sidebar
             names = COMMENT_NAMES if name in MAIN else CHROME_NAMES - {"header"} if in_main else CHROME_NAMES
+            if in_main and name not in MAIN:
+                # "search-results-study" is no search
+                tokens = [re.split(r"[_-]+", token) for token in value.split()]
+                words = [w for token in tokens if all(w in names or w in PLACES or w in NEGATIONS for w in token) for w in token]
             if any(w in names and (not k or words[k - 1] not in NEGATIONS) for k, w in enumerate(words)):
                 return True
     return False
@@ -130,6 +151,19 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
     stack: list[tuple[str, int, bool]] = []  # open elements: name, region, skipped
     region, skipped = BODY, False
 
+    def ended_from(name: str) -> int:
+        """Place in the stack from which the start tag ``name`` ends open elements (the stack's size: none)."""
+        ends, last = ENDS.get(name, ()), len(stack)
+        for k in range(len(stack) - 1, -1, -1):
+            above = stack[k][0]
+            if above in ends or above == "p" and name in ENDS_P:
+                last = k
+            elif above == "table" or name not in CELLS and (above in BOUNDS or above in ENDS_P and above not in ("p", "div", "address")):
+                break
+            elif above == "div" and not ends:
+                break
+        return last
+
     def close_block():
         if text:
             joined = _SPACES.sub(" ", html.unescape("".join(text))).strip()
@@ -164,6 +198,11 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
                     region, skipped = (stack[-1][1], stack[-1][2]) if stack else (BODY, False)
                     break
             continue
+        if name in ENDS_P or name in ENDS:
+            k = ended_from(name)
+            if k < len(stack):
+                del stack[k:]
+                region, skipped = (stack[-1][1], stack[-1][2]) if stack else (BODY, False)
         if name in VOID or m[3].rstrip().endswith("/") and name not in _RAW:
             continue
         if name in _RAW:
@@ -185,9 +224,8 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
             now = (now[0], False)
         if now != was:
             close_block()
-        if name not in ("p", "li", "td", "tr", "dt", "dd", "option") or now != was:
-            stack.append((name, *now))
-            region, skipped = now
+        stack.append((name, *now))
+        region, skipped = now
     close_block()
     return out
 

@@ -246,3 +246,27 @@ def test_page_edges(spark):
     got = page_text.extract(pages, "page_id", "url", "html").collect()
     assert sorted((r["page_id"] or 0, len(r["text"])) for r in got) == [(0, 1), (1, 0), (2, 0), (3, 499_999), (3, 499_999)]
     assert page_text.extract(pages.limit(0), "page_id", "url", "html").count() == 0
+
+
+@pytest.mark.parametrize("page, kept", [
+    ("<article><p title=it's>Hello world</p><p>don't stop here</p><p>end</p></article>", ["Hello world", "don't stop here", "end"]),
+    ("<article><p class=ad>Buy now<p>Real text one</p><p>two</article>", ["Real text one", "two"]),
+    ("<article><ul><li class=share>x<li>Real item</ul></article>", ["Real item"]),
+    ("<article><ul><li class=share>a<ul><li>x</li></ul>more</li><li>Real</ul></article>", ["Real"]),
+    ("<article><table><tr><td class=ad>x<td>Cell</td><tr class=promo><td>gone<tr><td>Row</table></article>", ["Cell", "Row"]),
+    ("<article><dl><dt class=ad>x<dd>Meaning</dl><p class=ad>a <b>b<div>after</div></article>", ["Meaning", "after"]),
+    ("<article><div class='article-form-guide'>a</div><div class='search-results-study'>b</div><div class='ad-slot'>no</div>"
+     "<div class='newsletter-signup wide'>no</div></article>", ["a", "b"]),
+    ("<article><p data-x = 'a > b' title=\"c > d\">Quoted</p></article>", ["Quoted"]),
+])
+def test_quotes_implied_ends_and_class_words(page, kept):
+    assert [text for text, region in page_text.blocks(page) if region == page_text.IN_MAIN] == kept
+
+
+def test_index_is_dealt_out_by_stretches_of_files(spark):
+    rows = [(f"f{k}", i * 1000, 1000, "response", i) for k in range(3) for i in range(100)]
+    index = spark.createDataFrame(rows, "path string, offset bigint, length bigint, record_type string, record_key bigint")
+    dealt = warc.by_stretch(index, 25_000)
+    assert dealt.rdd.getNumPartitions() == 12 and sorted(map(tuple, dealt.collect())) == sorted(rows)
+    parts = dealt.withColumn("part", F.spark_partition_id()).groupBy("path", F.floor(F.col("offset") / 25_000)).agg(F.count_distinct("part").alias("n"))
+    assert {r["n"] for r in parts.collect()} == {1}
