@@ -21,7 +21,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = warc.plan_records(pages, "page_id", "url", "html", least_bytes=0)
     mono = cut(warc.write_archives(planned, f"{folder}/mono"), "warc-mono")
     index = cut(warc.normalise(mono, f"{folder}/records"), "warc-index")
-    back = warc.read_records(index.repartition("path"), with_payload=False)
+    back = warc.read_records(warc.by_stretch(index), with_payload=False)
     return back.select(F.col("record_key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

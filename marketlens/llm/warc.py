@@ -168,6 +168,9 @@ def _key(value: str | None) -> int | None:
 
 def normalise(archives: DataFrame, folder: str) -> DataFrame:
     """Rewrite each archive of ``path`` with a gzip member per record; returns the index of the new files."""
+    archives = archives.select("path").distinct()
+    archives = archives.repartition(max(archives.count(), 1), "path")  # a path row is small, its archive is not
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seq = 0
         for batch in batches:
@@ -202,6 +205,16 @@ def _index_batch(rows: dict) -> pa.RecordBatch:
 RECORDS = ("record_key bigint, record_type string, url string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary")
 
 
+def by_stretch(index: DataFrame, stretch_bytes: int = 32 << 20) -> DataFrame:
+    """The index dealt out with a partition for each stretch of a file, in the order of the file.
+
+    Index rows are small beside the records, so partitions of equal index bytes would be few.
+    """
+    stretch = F.floor(F.col("offset") / F.lit(stretch_bytes))
+    stretches = index.select("path", stretch).distinct().count()
+    return index.repartition(max(stretches, 1), F.col("path"), stretch).sortWithinPartitions("path", "offset")
+
+
 def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
     """Read the members that an index lists, each by its offset and length.
 
