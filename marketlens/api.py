@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.config import DEFAULT_THRESHOLDS, REFERENCE_WINDOW, DateWindow, Thresholds, resolve_limit
@@ -24,7 +24,7 @@ from marketlens.plans.intent import route
 from marketlens.plans.messages import messages
 from marketlens.plans.summary import summarize
 from marketlens.session import delete_folders, recording
-from marketlens.sources import derived
+from marketlens.sources import committed, derived
 from marketlens.sources.schemas import SCHEMAS, check_columns
 
 SUBJECT_MODULES = {
@@ -81,16 +81,24 @@ class Report:
         }
 
     def write(self, path: str | None = None, table_prefix: str | None = None, mode: str = "errorifexists") -> None:
-        """Write rows, summary and insights as parquet folders under ``path`` or as
-        catalog tables ``<table_prefix>_rows`` etc. (one job each, executors write)."""
+        """Write rows, summary and insights from the executors.
+
+        Under ``path`` the three appear together or not at all (``sources.committed``; ``mode``
+        'overwrite' replaces an earlier result in one step; ``read_report`` reads a part).  With
+        ``table_prefix`` they are catalog tables ``<table_prefix>_rows`` etc., one job each."""
         if (path is None) == (table_prefix is None):
             raise ValueError("give exactly one of path or table_prefix")
-        for part, df in (("rows", self.rows), ("summary", self.summary), ("insights", self.insights)):
-            writer = df.write.mode(mode)
-            if path is not None:
-                writer.parquet(f"{path.rstrip('/')}/{part}")
-            else:
-                writer.saveAsTable(f"{table_prefix}_{part}")
+        parts = {"rows": self.rows, "summary": self.summary, "insights": self.insights}
+        if path is not None:
+            committed.write(parts, path, mode)
+            return
+        for part, df in parts.items():
+            df.write.mode(mode).saveAsTable(f"{table_prefix}_{part}")
+
+
+def read_report(spark: SparkSession, path: str, part: str = "rows") -> DataFrame:
+    """``rows``, ``summary`` or ``insights`` of the report last committed under ``path``."""
+    return committed.read(spark, path, part)
 
 
 def analyze(

@@ -4,7 +4,7 @@ import datetime as dt
 
 import pytest
 
-from marketlens.api import analyze
+from marketlens.api import analyze, read_report
 from marketlens.config import Thresholds, STUDY_WINDOW, DateWindow
 from marketlens.plans.registry import tables
 from tests.conftest import SMALL
@@ -70,9 +70,40 @@ def test_report_write_parquet(spark):
     out = tempfile.mkdtemp(prefix="ml-report-")
     rep = analyze(tables(spark, SMALL), question="demand", limit=5, window=STUDY_WINDOW)
     rep.write(path=out, mode="overwrite")
-    assert spark.read.parquet(f"{out}/rows").count() == 5
-    assert spark.read.parquet(f"{out}/summary").collect()[0].price_points_analyzed == 5
-    assert spark.read.parquet(f"{out}/insights").count() >= 1
+    assert read_report(spark, out).count() == 5
+    assert read_report(spark, out, "summary").collect()[0].price_points_analyzed == 5
+    assert read_report(spark, out, "insights").count() >= 1
+    with pytest.raises(FileExistsError):
+        rep.write(path=out)
+
+
+def test_report_write_is_all_or_nothing(spark, monkeypatch):
+    import dataclasses
+    import os
+    import tempfile
+
+    from pyspark.sql import functions as F
+
+    from marketlens.sources import committed
+    out = tempfile.mkdtemp(prefix="ml-report-")
+    with pytest.raises(FileNotFoundError):
+        read_report(spark, out)
+    rep = analyze(tables(spark, SMALL), question="demand", limit=5, window=STUDY_WINDOW)
+    broken = dataclasses.replace(rep, insights=rep.insights.withColumn("kind", F.raise_error(F.lit("executor lost"))))
+    with pytest.raises(Exception, match="executor lost"):
+        broken.write(path=out)
+    assert committed.manifest(spark, out) is None  # rows and summary were written, but nothing is in force
+    rep.write(path=out)
+    other = analyze(tables(spark, SMALL), question="demand", limit=7, window=STUDY_WINDOW)
+    with pytest.raises(Exception, match="executor lost"):
+        dataclasses.replace(other, insights=broken.insights).write(path=out, mode="overwrite")
+    assert read_report(spark, out).count() == 5 and read_report(spark, out, "summary").first().total_records == 5
+    other.write(path=out, mode="overwrite")
+    assert read_report(spark, out).count() == 7 and read_report(spark, out, "summary").first().total_records == 7
+    assert committed.prune(spark, out) == 3 and len(os.listdir(f"{out}/runs")) == 1
+    assert read_report(spark, out).count() == 7
+    with pytest.raises(ValueError):
+        other.write(path=out, mode="append")
 
 
 def test_response_shape(spark):
