@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.config import REFERENCE_WINDOW, STUDY_WINDOW
-from marketlens.plans import campaign, competitor, elasticity, intent, pricing_ext, promo, supply
+from marketlens.plans import campaign, competitor, elasticity, intent, pricing_ext, promo, seasonal, supply
 from marketlens.plans.insights import insight_rows, insights
 from marketlens.plans.summary import summarize
 from marketlens.session import checkpoint_root, remember
@@ -105,12 +105,12 @@ QUERIES.update({
 
 def _written_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-1: the report of a request by alias, written by the executors and read back."""
-    from marketlens.api import analyze
+    from marketlens.api import analyze, read_report
 
     folder = f"{checkpoint_root(spark)}/written-report-{uuid.uuid4().hex}"
     remember(folder)
     analyze(tables(spark, sf_dir), query_type="competitor_analysis", limit=9999, window=STUDY_WINDOW).write(path=folder)
-    return spark.read.parquet(f"{folder}/rows")
+    return read_report(spark, folder)
 
 
 QUERIES["competitor_report_written"] = _written_report
@@ -161,6 +161,7 @@ QUERIES.update({
     "tb_price_monitor": lambda spark, d: pricing_ext.price_monitor(_tracking(spark, d)),
     "tb_market_entries": lambda spark, d: pricing_ext.market_entries(_tracking(spark, d)),
     "tb_market_forecast": lambda spark, d: pricing_ext.market_forecast(_tracking(spark, d)),
+    "tb_seasonal_forecast": lambda spark, d: seasonal.seasonal_forecast(_tracking(spark, d)),
     "tb_price_rules": lambda spark, d: pricing_ext.apply_price_rules(tables(spark, d)),
     "tb_price_rule_table": lambda spark, d: pricing_ext.apply_price_rule_table(
         tables(spark, d)["part"], pricing_ext.rules_frame(spark)),

@@ -228,6 +228,41 @@ SELECT b.market, b.h AS horizon, b.month, ROUND(slope, 4) AS slope, ROUND(trend,
 FROM b LEFT JOIN s ON b.market = s.market AND b.cal_month = s.cal_month"""
 
 
+def seasonal_forecast(horizon: int = 3, holdout: int = 3) -> str:
+    """The moving mean as a self-join of the months, weights one half at the ends."""
+    exact = lambda c: f"CAST(SUM(CAST({c} AS DECIMAL(38,9))) AS DOUBLE)"
+    return f"""
+WITH {CT},
+m AS (SELECT market, CAST((year(tracking_date) - 1970) * 12 + month(tracking_date) - 1 AS INTEGER) AS t, {xavg('competitor_price_usd')} AS y
+      FROM competitor_tracking WHERE market IS NOT NULL GROUP BY 1, 2 HAVING COUNT(competitor_price_usd) > 0),
+fits AS (SELECT market, 'holdout' AS kind, MAX(t) - {holdout} AS until, {holdout} AS ahead FROM m GROUP BY 1
+         UNION ALL SELECT market, 'ahead', MAX(t), {horizon} FROM m GROUP BY 1),
+seen AS (SELECT f.market, f.kind, m.t, m.y FROM m JOIN fits f ON m.market = f.market AND m.t <= f.until),
+r AS (SELECT a.market, a.kind, a.t, a.y / ({exact('CASE WHEN abs(a.t - b.t) = 6 THEN b.y ELSE 2 * b.y END')} / 24) AS ratio
+      FROM seen a JOIN seen b ON a.market = b.market AND a.kind = b.kind AND abs(a.t - b.t) <= 6
+      GROUP BY a.market, a.kind, a.t, a.y HAVING COUNT(*) = 13),
+s0 AS (SELECT market, kind, t % 12 AS cal, {exact('ratio')} / COUNT(*) AS season FROM r GROUP BY 1, 2, 3),
+s1 AS (SELECT market, kind, {exact('season')} / COUNT(*) AS mean FROM s0 GROUP BY 1, 2),
+s AS (SELECT s0.market, s0.kind, cal, season / mean AS season FROM s0 JOIN s1 ON s0.market = s1.market AND s0.kind = s1.kind),
+a AS (SELECT seen.market, seen.kind, t, y / COALESCE(season, 1.0) AS a FROM seen
+      LEFT JOIN s ON seen.market = s.market AND seen.kind = s.kind AND seen.t % 12 = s.cal),
+f0 AS (SELECT market, kind, COUNT(*) AS n, SUM(t) AS sx, SUM(t * t) AS sxx, {exact('a')} AS sy, {exact('t * a')} AS sxy FROM a GROUP BY 1, 2),
+f1 AS (SELECT *, CASE WHEN n * sxx - sx * sx <> 0 THEN (n * sxy - sx * sy) / (n * sxx - sx * sx) ELSE 0.0 END AS slope FROM f0),
+f AS (SELECT market, kind, slope, (sy - slope * sx) / n AS level FROM f1),
+steps AS (SELECT market, kind, CAST(until + unnest(range(1, ahead + 1)) AS INTEGER) AS t FROM fits),
+o AS (SELECT steps.market, steps.kind, steps.t, COALESCE(season, 1.0) AS idx, level + slope * steps.t AS line, m.y AS actual
+      FROM steps JOIN f ON steps.market = f.market AND steps.kind = f.kind
+      LEFT JOIN s ON steps.market = s.market AND steps.kind = s.kind AND steps.t % 12 = s.cal
+      LEFT JOIN m ON steps.market = m.market AND steps.t = m.t
+      WHERE steps.kind = 'ahead' OR m.y IS NOT NULL),
+e AS (SELECT *, CASE WHEN kind = 'holdout' THEN 100.0 * abs(line * idx - actual) / NULLIF(abs(actual), 0.0) END AS err FROM o),
+g AS (SELECT market AS g, {exact('err')} / NULLIF(COUNT(err), 0) AS mape FROM e GROUP BY 1)
+SELECT market, kind, make_date(CAST(floor(t / 12) AS BIGINT) + 1970, CAST(t % 12 AS BIGINT) + 1, 1) AS month,
+       ROUND(idx, 4) AS seasonal_index, ROUND(line, 4) AS trend, ROUND(line * idx, 4) AS forecast,
+       CASE WHEN kind = 'holdout' THEN ROUND(actual, 4) END AS actual, ROUND(err, 4) AS error_pct, ROUND(mape, 4) AS holdout_mape
+FROM e JOIN g ON e.market = g.g"""
+
+
 def price_rules() -> str:
     arms_id, arms_adj = [], []
     for _, rule, low, high, small, large, change in sorted(PRICE_RULES):
@@ -362,6 +397,7 @@ TIER_B = {
     "tb_price_monitor": price_monitor,
     "tb_market_entries": market_entries,
     "tb_market_forecast": market_forecast,
+    "tb_seasonal_forecast": seasonal_forecast,
     "tb_price_rules": price_rules,
     "tb_price_rule_table": price_rule_table,
     "tb_elasticity_curves": elasticity_curves,
