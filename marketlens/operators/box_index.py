@@ -11,6 +11,10 @@ boxes match, so no more are needed, however many rules share a range.  A point l
 product for each combination of levels that occurs (at most the product of the logarithms of
 the end points, read as a list of level pairs), by an equi-join, and keeps the best.
 
+Distinct boxes are numbered in the order of their priority first, so that the products carry one number a box
+and their aggregation is a hash aggregation of that number; the winners' columns join at the
+end.  The boxes are dealt out by the products they make, so a task's memory does not grow with them.
+
 Equal points are matched once.  The rank of a value among the end points comes from the
 distributed rank of the distinct values, so neither side is collected or broadcast by hand.
 """
@@ -18,12 +22,13 @@ distributed rank of the distinct values, so neither side is collected or broadca
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.operators.ranking import rank_keys
-from marketlens.session import materialize
+from marketlens.session import dealt, materialize, tasks_for
 
 
 def _places(values: DataFrame, ends: DataFrame) -> DataFrame:
@@ -56,11 +61,16 @@ def best_boxes(points: DataFrame, boxes: DataFrame, dims: Sequence[tuple[str, st
     """
     names = [f"d{i}" for i in range(len(dims))]
     point_rows = points.select(*[F.nanvl(F.col(p).cast("double"), F.lit(None).cast("double")).alias(n) for n, (p, _, _) in zip(names, dims)]).distinct()
-    point_rows = materialize(point_rows, "box-points")
+    point_rows, points_n = materialize(point_rows, "box-points", count=True)
     ends = {n: (F.col(lo).cast("double"), F.col(hi).cast("double")) for n, (_, lo, hi) in zip(names, dims)}
-    box_rows = boxes.select(F.struct(*[F.col(c) for c in priority]).alias("turn"), F.struct(*[F.col(c) for c in result]).alias("won"),
-                            *[c.alias(f"{n}{side}") for n, pair in ends.items() for side, c in zip(("lo", "hi"), pair)])
-    box_rows = materialize(box_rows, "boxes")
+    turns, wons = [f"t{i}" for i in range(len(priority))], [f"w{i}" for i in range(len(result))]
+    bounds = {f"{n}{side}": c for n, pair in ends.items() for side, c in zip(("lo", "hi"), pair)}
+    order = [*turns, *wons, *bounds]
+    distinct = boxes.select(*[F.col(c).alias(t) for c, t in zip([*priority, *result], turns + wons)], *[c.alias(n) for n, c in bounds.items()]).distinct()
+    distinct, boxes_n = materialize(distinct.withColumn("w", F.lit(1).cast("bigint")), "boxes", count=True)
+    numbered = rank_keys(distinct, order, [True] * len(order), [], "w", "turn", tasks_for(boxes_n))
+    numbered = materialize(numbered, "boxes-numbered")
+    box_rows = numbered.select("turn", *bounds)
     levels, placed = {}, point_rows
     for n in names:
         both = box_rows.select(F.explode(F.array(f"{n}lo", f"{n}hi")).alias("value")).filter("value is not null").distinct()
@@ -73,23 +83,29 @@ def best_boxes(points: DataFrame, boxes: DataFrame, dims: Sequence[tuple[str, st
         anything = F.col(f"{n}lo").isNull() & F.col(f"{n}hi").isNull()
         first = F.when(F.col(f"{n}lo").isNull(), F.lit(0)).otherwise(F.col("_lo"))
         end = F.when(F.col(f"{n}hi").isNull(), F.lit(top + 1)).otherwise(F.col("_hi"))
-        whole = F.array(F.struct(F.lit(-1).alias("level"), F.lit(0).cast("bigint").alias("node")))  # the node that NULL lies in, too
-        box_rows = box_rows.withColumns({f"{n}first": first.cast("bigint"), f"{n}end": end.cast("bigint")})
-        nodes = F.when(anything, whole).otherwise(_nodes(F.col(f"{n}first"), F.col(f"{n}end"), levels[n]))
-        box_rows = box_rows.withColumn(f"{n}node", F.explode(nodes)).drop("_lo", "_hi", f"{n}first", f"{n}end")
+        box_rows = box_rows.withColumns({f"{n}first": F.when(~anything, first).cast("bigint"), f"{n}end": end.cast("bigint")}).drop("_lo", "_hi", f"{n}lo", f"{n}hi")
+    box_rows = materialize(box_rows, "box-segments")
+    whole = F.array(F.struct(F.lit(-1).alias("level"), F.lit(0).cast("bigint").alias("node")))  # the node that NULL lies in, too
+    nodes = {n: F.when(F.col(f"{n}first").isNull(), whole).otherwise(_nodes(F.col(f"{n}first"), F.col(f"{n}end"), levels[n])) for n in names}
+    made = reduce(Column.__mul__, [F.size(c).cast("bigint") for c in nodes.values()])
+    product = dealt(box_rows, box_rows.agg(F.sum(made)).first()[0] or 0, "turn")
+    for n, c in nodes.items():
+        product = product.withColumn(f"{n}node", F.explode(c)).drop(f"{n}first", f"{n}end")
     node = [f"{n}{part}" for n in names for part in ("level", "number")]
-    product = box_rows.select("turn", "won", *[F.col(f"{n}node")[part].alias(f"{n}{name}") for n in names for part, name in (("level", "level"), ("node", "number"))])
-    product = materialize(product.groupBy(*node).agg(F.min(F.struct("turn", "won")).alias("best")), "box-products")
+    product = product.select("turn", *[F.col(f"{n}node")[part].alias(f"{n}{name}") for n in names for part, name in (("level", "level"), ("node", "number"))])
+    product = materialize(product.groupBy(*node).agg(F.min("turn").alias("turn")), "box-products")
     # Which combinations of levels occur: at most one a level and dimension.
     shapes = [tuple(r) for r in product.select(*[f"{n}level" for n in names]).distinct().collect()]
+    values = [F.col(n).alias(p) for n, (p, _, _) in zip(names, dims)]
     if not shapes:
-        empty = point_rows.limit(0)
-        return empty.select(*[F.col(n).alias(p) for n, (p, _, _) in zip(names, dims)], *[F.lit(None).cast(product.schema["best"].dataType["won"].dataType[c].dataType).alias(c) for c in result])
+        return point_rows.limit(0).select(*values, *[F.lit(None).cast(numbered.schema[w].dataType).alias(c) for c, w in zip(result, wons)])
 
     def lookup(shape: tuple) -> Column:
         number = {n: F.lit(0).cast("bigint") if k < 0 else F.shiftright(F.col(f"{n}at"), k) for n, k in zip(names, shape)}
         return F.struct(*[c for n, k in zip(names, shape) for c in (F.lit(k).alias(f"{n}level"), number[n].alias(f"{n}number"))])
 
-    asked = placed.withColumn("look", F.explode(F.array(*[lookup(s) for s in shapes]))).select(*names, "look.*")
-    found = asked.join(product, node).groupBy(*names).agg(F.min("best").alias("best"))
-    return found.select(*[F.col(n).alias(p) for n, (p, _, _) in zip(names, dims)], *[F.col("best.won")[c].alias(c) for c in result])
+    asked = dealt(placed, points_n * len(shapes), *names).withColumn("look", F.explode(F.array(*[lookup(s) for s in shapes]))).select(*names, "look.*")
+    found = materialize(asked.join(product, node).groupBy(*names).agg(F.min("turn").alias("turn")), "box-found")
+    # One box may win many points: the winners alone, joined, are few then.
+    winners = numbered.select("turn", *wons).join(found.select("turn").distinct(), "turn", "left_semi")
+    return found.join(winners, "turn").select(*values, *[F.col(w).alias(c) for c, w in zip(result, wons)])

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+ROWS_A_TASK = 250_000  # rows of a task that holds them, or their groups, in memory
 
 
 def local_session(
@@ -145,3 +146,17 @@ def materialize(df: DataFrame, label: str, count: bool = False) -> DataFrame | t
         return spark.read.parquet(path), int(obs.get["rows"])
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
+
+
+def tasks_for(rows: int) -> int:
+    """So many tasks that each gets about ``ROWS_A_TASK`` of the rows."""
+    return max(1, -(-rows // ROWS_A_TASK))
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` over tasks whose number grows with its ``rows``, so that the memory of one task does not.
+
+    The number is given outright: neither the files' splits nor AQE, which merges partitions by
+    their compressed bytes, bound the rows of a task.  Rows are dealt before they are aggregated or multiplied.
+    """
+    return df.repartition(tasks_for(rows), *keys)

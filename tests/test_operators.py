@@ -2,9 +2,12 @@
 
 import math
 import random
+import re
 
 from pyspark.sql import functions as F
 
+from marketlens import session
+from marketlens.operators import box_index
 from marketlens.operators.box_index import best_boxes
 from marketlens.operators.selection import exact_quantiles
 
@@ -57,6 +60,27 @@ def test_ten_thousand_boxes_stay_in_few_products(spark):
         assert got[x] == want[1]
 
 
+def test_boxes_are_dealt_out_by_their_products(spark, monkeypatch):
+    """The node products of boxes from one file are made in many tasks, and no rows are sorted to find the best."""
+    plans, written = {}, box_index.materialize
+    monkeypatch.setattr(session, "ROWS_A_TASK", 100)
+
+    def seen(df, label, **options):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return written(df, label, **options)
+
+    monkeypatch.setattr(box_index, "materialize", seen)
+    boxes = _boxes(random.Random(4), 60)
+    copies = spark.createDataFrame(boxes * 3, BOX).coalesce(1)
+    points = [(i / 3, i % 9) for i in range(60)]
+    got = box_index.best_boxes(spark.createDataFrame(points, "x double, y int"), copies, DIMS, ["priority", "id"], ["id"]).collect()
+    assert {(r["x"], r["y"]): r["id"] for r in got} == {(x, y): best for x, y in points if (best := _best(x, y, boxes))}
+    assert "SortAggregate" not in plans["box-products"]
+    above, _, below = plans["box-products"].rpartition("Generate")
+    tasks = re.search(r"hashpartitioning\(turn\S*, (\d+)\), REPARTITION_BY_NUM", below)
+    assert above and int(tasks[1]) > 1
+
+
 def _nearest_rank(values, p):
     values = sorted(values, key=lambda v: (v != v, v))
     return values[max(1, math.ceil(len(values) * p)) - 1]
