@@ -18,7 +18,7 @@ from marketlens.config import DateWindow
 from marketlens.functions import count_if, exact_avg, exact_sum
 from marketlens.operators.box_index import best_boxes
 from marketlens.plans.supply import supplier_scorecard
-from marketlens.session import materialize
+from marketlens.session import dealt, materialize
 from marketlens.sources import derived
 from marketlens.sources.derived import geo_of
 
@@ -357,14 +357,16 @@ SUPPLIER_METRICS = ("volume", "return_rate", "score")
 def supplier_performance_for(products: DataFrame, tables: Mapping[str, DataFrame],
                              metrics: Sequence[str] = SUPPLIER_METRICS) -> DataFrame:
     """get_supplier_performance: for each product id the suppliers that shipped it
-    (distinct), with the wanted scorecard metrics.  An id nobody shipped keeps its row, with NULLs."""
+    (distinct), with the wanted scorecard metrics.  An id nobody shipped keeps its row, with NULLs.
+    The lines of the wanted ids are dealt out by pair, so no task holds more pairs as the table grows."""
     card = supplier_scorecard(tables)
     unknown = [m for m in metrics if m not in card.columns or m == "supplier_key"]
     if unknown:
         raise ValueError(f"unknown metrics {unknown}; choose from {[c for c in card.columns if c != 'supplier_key']}")
     li = tables["lineitem"].select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("supplier_key"))
     ids = products.select("p_partkey").distinct()
-    pairs = li.join(ids, "p_partkey", "left_semi").distinct().join(card, "supplier_key")
+    lines = dealt(li.join(ids, "p_partkey", "left_semi").filter("supplier_key is not null"), tables["lineitem"].count(), "p_partkey", "supplier_key")
+    pairs = lines.distinct().join(card, "supplier_key")
     return ids.join(pairs, "p_partkey", "left").select("p_partkey", "supplier_key", *metrics)
 
 

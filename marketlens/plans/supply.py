@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from marketlens.functions import count_if, exact_avg, exact_sum
 from marketlens.operators.ranking import RankSpec, percent_rank_columns
 from marketlens.operators.selection import exact_quantiles
-from marketlens.session import materialize
+from marketlens.session import dealt, materialize
 from marketlens.sources.derived import geo_of
 
 LATE_DAYS = 30
@@ -122,8 +122,11 @@ def price_levels(tables: Mapping[str, DataFrame]) -> DataFrame:
     Sums per (part, supplier) come first; the others' sums are the part's totals minus the supplier's own, so no
     pair of suppliers ever meets.  Parts of one supplier have nothing to compare and are left out; a
     supplier with no shared part has NULL.  Money is in whole cents, the terms in steps of 1e-9.
+    Lines are dealt out by pair before they are summed: there are nearly as many pairs as lines, so sums
+    beside the scan would shrink nothing, and hold a whole split's pairs in one task.
     """
     li = tables["lineitem"].select("l_partkey", "l_suppkey", "l_quantity", F.round(F.col("l_extendedprice") * 100, 0).cast("bigint").alias("c"))
+    li = dealt(li.filter("l_partkey is not null"), tables["lineitem"].count(), "l_partkey", "l_suppkey")
     own = li.groupBy("l_partkey", "l_suppkey").agg(F.sum("c").alias("c"), exact_sum("l_quantity").alias("q"))
     total = own.groupBy(F.col("l_partkey").alias("part")).agg(F.sum("c").alias("all_c"), exact_sum("q").alias("all_q"))
     both = own.join(total, F.col("l_partkey") == F.col("part"))

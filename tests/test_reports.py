@@ -284,6 +284,25 @@ def test_budget_and_capacity_tables(spark):
     assert all(r["utilisation"] == (r["units"] / 1000 if r["part_type"] == kind else None) for r in rows)
 
 
+def test_supplier_lookup_deals_lines_before_it_groups_them(spark, monkeypatch):
+    """Lines are dealt over tasks in step with their number; no pairs are summed or made distinct beside the scan."""
+    import re
+
+    from marketlens import session
+    from marketlens.plans import pricing_ext, supply
+    monkeypatch.setattr(session, "ROWS_A_TASK", 2)
+    rows = [(1, 10, 2.0, 8.0), (1, 20, 2.0, 4.0), (1, 10, 2.0, 8.0), (2, 10, 1.0, 1.0), (3, 20, 1.0, 5.0), (None, 20, 1.0, 5.0), (2, None, 1.0, 3.0), (9, 20, 1.0, 5.0)]
+    lines = spark.createDataFrame([(p, s, q, c, 0.0, "R" if s == 20 else "N") for p, s, q, c in rows],
+                                  "l_partkey bigint, l_suppkey bigint, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string")
+    ids = spark.createDataFrame([(1,), (2,), (3,), (4,), (1,)], "p_partkey bigint")
+    found = pricing_ext.supplier_performance_for(ids, {"lineitem": lines}, metrics=["volume", "price_level"])
+    assert sorted(found.collect(), key=str) == sorted([(1, 10, 5.0, 1.666666667), (1, 20, 5.0, 0.5), (2, 10, 5.0, 1.666666667), (3, 20, 5.0, 0.5), (4, None, None, None)], key=str)
+    for df, keys in ((found, "p_partkey"), (supply.price_levels({"lineitem": lines}), "l_partkey")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        dealt = re.findall(rf"hashpartitioning\({keys}#\d+L?, (?:l_suppkey|supplier_key)#\d+L?, (\d+)\), (\w+)", plan)
+        assert dealt and set(dealt) == {("4", "REPARTITION_BY_NUM")}
+
+
 def test_lookups_keep_unknown_ids(spark):
     from marketlens.plans import pricing_ext
     from marketlens.plans.registry import tables
